@@ -16,12 +16,32 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.quality_mil import scores, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return scores(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.bpe_codec import round_trip
 
     return round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
 
 
+def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.toxicity import severity, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return severity(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.media_jpeg import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.sharding import balanced_shards
 
@@ -30,7 +50,10 @@ def op10_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_mil": op3_quality_mil,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op6_toxicity_ordinal": op6_toxicity_ordinal,
+    "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_byte_prefix_shards": op10_byte_prefix_shards,
 }
 
