@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantle.llm.line_dedup import ORACLE_SQL as _LINES_SQL
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -16,6 +18,16 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Token shares of the domains that op1 mixes to.
+MIX = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), MIX)
+
+
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.quality_mil import scores, train
 
@@ -36,6 +48,12 @@ def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.media_jpeg import digest
 
@@ -50,12 +68,14 @@ def op10_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op3_quality_mil": op3_quality_mil,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_toxicity_ordinal": op6_toxicity_ordinal,
+    "op7_line_dedup": op7_line_dedup,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_byte_prefix_shards": op10_byte_prefix_shards,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": _LINES_SQL}
