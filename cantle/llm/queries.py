@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantle.llm.line_dedup import ORACLE_SQL as _LINES_SQL
+from cantle.llm.topk_blocks import ORACLE_SQL as _TOPK_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +36,18 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.topk_blocks import top_k
+
+    return top_k(_read(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def op4_ngram_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.bpe_codec import round_trip
 
@@ -69,7 +82,9 @@ def op10_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
+    "op2_topk_blocks": op2_topk_blocks,
     "op3_quality_mil": op3_quality_mil,
+    "op4_ngram_forest_join": op4_ngram_forest_join,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_toxicity_ordinal": op6_toxicity_ordinal,
     "op7_line_dedup": op7_line_dedup,
@@ -78,4 +93,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": _LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk_blocks": _TOPK_SQL, "op7_line_dedup": _LINES_SQL}
