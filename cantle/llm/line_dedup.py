@@ -6,15 +6,15 @@ has Jaccard similarity of at least 0.8 with it, equal sets included.
 
 1. Lines with equal sets collapse into one class, by the earliest line (pre-aggregated before the
    shuffle, so a line that fills a third of the table is one row per task).
-2. Words are ordered from rare to common, by a frequency sketch of fixed size, then hash. Any total
-   order makes the prefix filter exact; rarity makes it selective.
-3. A class sends each word of its prefix (n - ceil(0.8 n) + 1 words) to that word's group. Groups
-   of frequent words are split by salt. Inside a group in line order, a line is paired with the
-   group's first line and its nearest predecessors, if length and positional filters allow. That
-   settles small groups wholly and, in families of near copies, nearly all later lines.
-4. Lines still unsettled in larger groups meet all earlier lines of these groups in a join.
-5. Pairs are verified on the words themselves. Candidate lines are picked from the class table
-   through a bitmap of fixed size, so only lines that stand in a pair are shuffled.
+2. A few rounds thin out families of near copies: lines meet by a MinHash word, groups of frequent
+   words split by salt, and each is verified against its group's first line. What matches is gone.
+   Nothing is decided about the rest, so no round has to be complete.
+3. Exactly: words are ordered from rare to common (the ``HEAVY`` most frequent by class, others by
+   hash; any total order makes the prefix filter exact, rarity makes it selective). Lines still
+   there meet all earlier lines, gone ones included, that share a word of the prefixes
+   (n - ceil(0.8 n) + 1 words), if length and positional filters allow.
+4. These pairs are verified on the words themselves. Their lines are picked from the class table
+   through a bitmap of fixed size, so few others are shuffled.
 
 Edge cases: null text stays null and has no lines; an empty text stays; a null id orders first;
 repeated rows are ordered by their place in the input, so the first keeps its lines; ties do not
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from cantle.session import shared_dir
 
 MIN_TOKENS = 5
-#: Size of the frequency sketch: buckets of word hashes.
-BUCKETS = 1 << 14
+#: Frequent words whose frequency is kept, and the slots of either hash table that keeps them.
+HEAVY, SLOTS = 1 << 13, 1 << 15
 #: Rows of a word's group before it is split by salt, as a power of two.
 GROUP_BITS = 12
-#: Predecessors that a line is paired with in a group, besides the group's first line.
-NEAREST = 2
+#: Rounds that thin out families.
+ROUNDS = 3
 #: Rows of the candidate bitmap, each of 64 bits.
 BITMAP_ROWS = 1 << 18
 
@@ -66,8 +66,14 @@ class _Work:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        # shuffle files of the steps behind this table go when the JVM collects their handles
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def _classes(docs: DataFrame) -> DataFrame:
     """One row per distinct set of words: its earliest line, where that stands, and its size.
@@ -82,37 +88,60 @@ def _classes(docs: DataFrame) -> DataFrame:
     return grouped.select("n", "f.*")
 
 
-def _rarity(classes: DataFrame) -> Column:
-    """The frequency sketch as a literal: log2 of the number of lines, per bucket of word hashes."""
-    bucket = F.explode(F.transform(_words(F.col("line")), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))).alias("b")
-    counts = dict.fromkeys(range(BUCKETS), 0) | {r["b"]: r["c"] for r in classes.select(bucket).groupBy("b").agg(F.count("*").alias("c")).collect()}
-    return F.split(F.lit(",".join(str(int(counts[b]).bit_length()) for b in range(BUCKETS))), ",").cast("array<int>")
+class _Levels:
+    """Frequency classes of words: log2 of the number of lines for the most frequent, else 0.
+
+    Two hash tables hold the classes; a word has the lesser of its two slots, so a rare word
+    seldom passes for a frequent one (which would only cost time).
+    """
+
+    def __init__(self, classes: DataFrame):
+        hashes = classes.select(F.explode(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+        top = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(HEAVY).collect()
+        one, two = [0] * SLOTS, [0] * SLOTS
+        for r in top:
+            level = int(r["c"]).bit_length()
+            a, b = r["h"] % SLOTS, (r["h"] >> 20) % SLOTS
+            one[a], two[b] = max(one[a], level), max(two[b], level)
+        self.one, self.two = [F.split(F.lit(",".join(map(str, t))), ",").cast("array<int>") for t in (one, two)]
+
+    def of(self, h: Column) -> Column:
+        """The class of a word by its hash."""
+        first = F.pmod(h, F.lit(SLOTS)).cast("int")
+        second = F.pmod(F.shiftright(h, 20), F.lit(SLOTS)).cast("int")
+        return F.least(F.element_at(self.one, first + 1), F.element_at(self.two, second + 1))
+
+
+def _thinned(lines: DataFrame, levels: _Levels, turn: int) -> DataFrame:
+    """``lines`` without those that match the first line of their group in this round."""
+    ranked = F.array_min(F.transform(_words(F.col("line")), lambda w: F.struct(F.xxhash64(F.lit(turn), w).alias("m"), F.xxhash64(w).alias("h"))))
+    placed = lines.withColumn("least", ranked)
+    # earlier rounds have left few lines of a family, so later ones split less
+    over = levels.of(F.col("least.h")) - GROUP_BITS * turn
+    splits = F.when(over > 0, F.call_function("shiftleft", F.lit(1).cast("long"), over)).otherwise(F.lit(1).cast("long"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(turn), F.col("line_id")), splits))
+    group = Window.partitionBy(F.col("least.m"), "salt").orderBy("ord_doc", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = placed.withColumn("head_id", F.first("line_id").over(group)).withColumn("head", F.first("line").over(group))
+    same = (F.col("head_id") != F.col("line_id")) & _similar(F.col("head"), F.col("line"))
+    return head.where(~same).select(*lines.columns)
+
+
+def _similar(x: Column, y: Column) -> Column:
+    a, b = _words(x), _words(y)
+    common, both = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return common * 5 >= (both - common) * 4
 
 
-def _prefixes(classes: DataFrame, rarity: Column) -> DataFrame:
+def _prefixes(lines: DataFrame, levels: _Levels) -> DataFrame:
     """A row per prefix word: ``tok`` has the frequency class in its top bits, then the word's hash."""
 
     def ordered(w: Column) -> Column:
         h = F.xxhash64(w)
-        level = F.element_at(rarity, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1).cast("long")
-        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        return F.shiftleft(levels.of(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     toks = F.sort_array(F.transform(_words(F.col("line")), ordered))
     length = F.col("n") - F.ceil(F.col("n") * 0.8 - F.lit(1e-9)).cast("int") + 1
-    rows = classes.select("ord_doc", "line_id", "n", F.posexplode(F.slice(toks, F.lit(1), length)).alias("at", "tok"))
-    over = F.shiftrightunsigned(F.col("tok"), 57).cast("int") - GROUP_BITS
-    splits = F.when(over > 0, F.call_function("shiftleft", F.lit(1).cast("long"), over)).otherwise(F.lit(1).cast("long"))
-    return rows.withColumn("splits", splits).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.col("splits")))
-
-
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose word another line shares, with their predecessors in the group."""
-    group = Window.partitionBy("tok", "salt")
-    order = group.orderBy("ord_doc", "line_id")
-    me = F.struct("line_id", "n", "at")
-    out = prefixes.withColumn("many", F.count("*").over(group)).withColumn("nth", F.row_number().over(order))
-    out = out.withColumn("before", F.array(F.first(me).over(order), *[F.lag(me, k).over(order) for k in range(1, NEAREST + 1)]))
-    return out.where((F.col("many") > 1) | (F.col("splits") > 1))
+    return lines.select("ord_doc", "line_id", "n", F.posexplode(F.slice(toks, F.lit(1), length)).alias("at", "tok"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -123,29 +152,28 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     named = classes.select("line_id", "line", slot.alias("slot")).join(F.broadcast(bitmap), "slot")
     named = named.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).select("line_id", "line")
     both = pairs.join(named.toDF("earlier", "line_a"), "earlier").join(named.toDF("later", "line_b"), "later")
-    a, b = _words(F.col("line_a")), _words(F.col("line_b"))
-    sized = both.select("later", F.size(F.array_intersect(a, b)).alias("common"), (F.size(a) + F.size(b)).alias("both"))
-    return sized.where(F.col("common") * 5 >= (F.col("both") - F.col("common")) * 4).select("later").distinct()
+    return both.where(_similar(F.col("line_a"), F.col("line_b"))).select("later").distinct()
 
 
 def _survivors(docs: DataFrame, work: _Work) -> DataFrame:
     """``row_id, line_no`` of the lines of MIN_TOKENS words or more that stay."""
     classes = work.keep(_classes(docs), "classes")
-    shared = work.keep(_shared(_prefixes(classes, _rarity(classes))), "shared")
-
-    near = F.filter("before", lambda p: p.isNotNull() & (p["line_id"] != F.col("line_id")) & _fits(F.col("n"), F.col("at"), p["n"], p["at"]))
-    first_pairs = shared.select(F.col("line_id").alias("later"), F.explode(F.array_distinct(F.transform(near, lambda p: p["line_id"]))).alias("earlier")).distinct()
-    gone = work.keep(_verified(work.keep(first_pairs, "pairs_near"), classes), "gone_near")
-
-    large = shared.where((F.col("many") > NEAREST + 2) | (F.col("splits") > 1)).select("tok", "ord_doc", "line_id", "n", "at", "nth", "splits")
-    open_rows = large.where((F.col("nth") > NEAREST + 2) | (F.col("splits") > 1)).join(gone, F.col("line_id") == F.col("later"), "left_anti")
-    a, b = large.alias("a"), open_rows.alias("b")
+    levels = _Levels(classes)
+    open_lines = classes
+    for turn in range(1, ROUNDS + 1):
+        open_lines = work.keep(_thinned(open_lines, levels, turn), f"open{turn}")
+        if turn > 1:
+            work.drop(f"open{turn - 1}")
+    a, b = _prefixes(classes, levels).alias("a"), _prefixes(open_lines, levels).alias("b")
     c = F.col
     before = (c("a.ord_doc") < c("b.ord_doc")) | ((c("a.ord_doc") == c("b.ord_doc")) & (c("a.line_id") < c("b.line_id")))
-    rest = a.join(b, (c("a.tok") == c("b.tok")) & before & _fits(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
-    rest_pairs = rest.select(c("a.line_id").alias("earlier"), c("b.line_id").alias("later")).distinct()
-    gone = gone.unionByName(_verified(work.keep(rest_pairs, "pairs_rest"), classes))
-    return classes.join(gone, F.col("line_id") == F.col("later"), "left_anti").select("row_id", "line_no")
+    met = a.join(b, (c("a.tok") == c("b.tok")) & before & _fits(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
+    pairs = work.keep(met.select(c("a.line_id").alias("earlier"), c("b.line_id").alias("later")).distinct(), "pairs")
+    gone = work.keep(_verified(pairs, classes), "gone")
+    work.drop("pairs")
+    if ROUNDS:
+        work.drop("classes")
+    return open_lines.join(gone, F.col("line_id") == F.col("later"), "left_anti").select("row_id", "line_no")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:

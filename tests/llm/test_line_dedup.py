@@ -50,10 +50,12 @@ def _rows(seed, docs=80, vocab=60, family=40):
     return rows
 
 
-@pytest.mark.parametrize("seed,group_bits,nearest", [(1, 12, 2), (2, 1, 1), (3, 2, 2)])
-def test_equals_brute_force(spark, monkeypatch, seed, group_bits, nearest):
+@pytest.mark.parametrize("seed,group_bits,rounds", [(1, 12, 3), (2, 1, 1), (3, 2, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, group_bits, rounds):
     monkeypatch.setattr(ld, "GROUP_BITS", group_bits)
-    monkeypatch.setattr(ld, "NEAREST", nearest)
+    monkeypatch.setattr(ld, "ROUNDS", rounds)
+    monkeypatch.setattr(ld, "HEAVY", 64)
+    monkeypatch.setattr(ld, "SLOTS", 16)
     rows = _rows(seed)
     df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1)
     got = {r["kept"]: r["text"] for r in ld.dedup_lines(df).collect()}
