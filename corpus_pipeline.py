@@ -1,15 +1,81 @@
-"""The corpus pipeline: the stages in order, each reading what its predecessor wrote."""
+"""The corpus pipeline: five stages, each reading the table that its predecessor wrote.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
+columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads it
+back, so a lost executor costs the current stage at most.
+
+toxicity: texts with a probability of at least 0.3 of any toxic grade go.
+line_dedup: later lines like an earlier one go; a text that loses all its words goes with them.
+near_duplicates: of each group of linked or equal texts the one of least id stays.
+mixing: clean texts are kept at least once, low-quality ones thinned, to the target token shares.
+bpe: whole texts as token ids, with digests of ids and decoded text.
+
+Rows with null or empty text pass the filters unchanged.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cantle.llm import bpe_codec, line_dedup, mixing, ngram_join, toxicity
+from cantle.llm.queries import _tokenizer
+from cantle.session import shared_dir
+
+#: Token shares of the mixing stage; toxic texts are gone by then.
+WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs, counts=True)
+    lost = (F.col("n_removed") > 0) & (F.trim("text") == "")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.where(~F.coalesce(lost, F.lit(False))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.first_of_each_group(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.resample(docs, _labels(spark, sf_dir), WEIGHTS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(docs, _tokenizer(), keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mix),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: The fitted stages have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    root = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{root}/{k}-{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{root}/{k}-{name}")
     return docs
