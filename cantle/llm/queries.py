@@ -67,6 +67,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.lm_trie import scores, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return scores(docs, train(docs))
+
+
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.media_jpeg import digest
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_toxicity_ordinal": op6_toxicity_ordinal,
     "op7_line_dedup": op7_line_dedup,
+    "op8_elias_fano_lm": op8_elias_fano_lm,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_byte_prefix_shards": op10_byte_prefix_shards,
 }
