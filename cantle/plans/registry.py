@@ -5,6 +5,475 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cantle.functions import hashing, rings, tokens
+from cantle.operators import relational as rel
+from cantle.plans import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def hex_sql(namespace: str, value: str) -> str:
+    return f"substr(sha256('20260713:{namespace}:' || CAST({value} AS VARCHAR)), 1, 16)"
+
+
+def fraction_sql(namespace: str, value: str) -> str:
+    return f"(CAST(CAST(('0x' || {hex_sql(namespace, value)}) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0)"
+
+
+DOCS = """docs AS (
+  SELECT d.doc_id, d.n_chars, CASE WHEN l.quality = 1 THEN 'simple_rectangle' ELSE 'complex' END AS difficulty,
+         CASE WHEN n_chars <= 1600 THEN '4' WHEN n_chars <= 3200 THEN '5-8' WHEN n_chars <= 6400 THEN '9-16' ELSE '17+' END AS bucket
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+LINES = """seqs AS (
+  SELECT l_orderkey AS id, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_partkey, l_shipdate, l_quantity) AS tokens
+  FROM lineitem GROUP BY l_orderkey)"""
+EVENTS = """seqs AS (
+  SELECT user_id AS id, list(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END ORDER BY ts, event_id) AS tokens
+  FROM events GROUP BY user_id)"""
+PREDS = LINES + """, preds AS (
+  SELECT id, tokens AS target, CASE id % 3 WHEN 0 THEN tokens WHEN 1 THEN tokens[1:len(tokens) - 1] ELSE list_append(tokens[1:len(tokens) - 1], 51) END AS pred FROM seqs)"""
+TARGETS = """targets AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'x' WHEN o_orderkey % 89 = 0 THEN '-1' ELSE CAST(o_custkey AS VARCHAR) END AS key,
+         CASE WHEN o_orderkey % 83 = 0 THEN 'other' ELSE CAST(o_custkey AS VARCHAR) END AS name FROM orders
+), keyed AS (
+  SELECT *, TRY_CAST(key AS BIGINT) AS fk FROM targets
+), early AS (
+  SELECT *, CASE WHEN fk IS NULL THEN 'invalid' WHEN fk < 0 OR fk >= (SELECT count(*) FROM customer) THEN 'out_of_range' END AS early FROM keyed
+), audit AS (
+  SELECT e.o_orderkey, e.fk, CASE WHEN early IS NOT NULL THEN early
+    WHEN row_number() OVER (PARTITION BY early, e.fk ORDER BY o_orderkey) > 1 THEN 'duplicate'
+    WHEN name <> coalesce(CAST(c.c_custkey AS VARCHAR), CAST(e.fk AS VARCHAR)) THEN 'mismatch' ELSE 'paired' END AS outcome
+  FROM early e LEFT JOIN customer c ON c.c_custkey = e.fk)"""
+STARS = """polar AS (
+  SELECT vec_id AS id, i, 5.0 + 20.0 * abs(CAST(embedding[i + 1] AS DOUBLE)) AS r, i * (2 * pi() / 16) AS a
+  FROM (SELECT vec_id, embedding, unnest(range(16)) AS i FROM embeddings)
+), pts AS (SELECT id, i, r * cos(a) AS x, r * sin(a) AS y FROM polar
+), edge AS (
+  SELECT p.id, p.i, p.x, p.y, q.x AS x2, q.y AS y2, q.x - p.x AS dx, q.y - p.y AS dy, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS len
+  FROM pts p JOIN pts q ON p.id = q.id AND q.i = (p.i + 1) % 16)"""
+
+
+def _docs(spark, sf_dir):
+    return ad.documents(spark, sf_dir)
+
+
+def _long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
+# -- hashing, splits and samples -------------------------------------------------------------------
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN {fraction_sql('split', 'doc_id')} < 0.8 THEN 'train' ELSE 'validation' END AS split, {fraction_sql('split', 'doc_id')} AS fraction FROM docs")
+def split_assign(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", hashing.split_of(F.col("doc_id")).alias("split"), hashing.stable_fraction(F.col("doc_id"), "split").alias("fraction"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, difficulty FROM docs WHERE difficulty <> 'simple_rectangle' OR {fraction_sql('rectangle', 'doc_id')} < 0.1")
+def stratified_keep(spark, sf_dir):
+    return _docs(spark, sf_dir).where(hashing.keeps_sample(F.col("doc_id"), F.col("difficulty"))).select("doc_id", "difficulty")
+
+
+@query(f"WITH {DOCS} SELECT {hex_sql('bpe', 'doc_id')} AS hash16, doc_id FROM docs ORDER BY hash16, CAST(doc_id AS VARCHAR) LIMIT 100")
+def hash_topk_bpe(spark, sf_dir):
+    return rel.hash_sample(_docs(spark, sf_dir), "doc_id", 100, "bpe").select("hash16", "doc_id")
+
+
+@query(f"WITH {DOCS} SELECT {hex_sql('diagnostic', 'doc_id')} AS hash16, doc_id FROM docs WHERE difficulty = 'complex' ORDER BY hash16, CAST(doc_id AS VARCHAR) LIMIT 512")
+def hash_topk_complex(spark, sf_dir):
+    return rel.hash_sample(_docs(spark, sf_dir).where("difficulty = 'complex'"), "doc_id", 512, "diagnostic").select("hash16", "doc_id")
+
+
+@query()
+def shuffle_order(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", hashing.shuffle_key(F.col("doc_id"), 1).alias("k")).orderBy("k", "doc_id").select("doc_id")
+
+
+# -- grouped statistics ----------------------------------------------------------------------------
+@query(f"""WITH {DOCS}, g AS (
+  SELECT 'overall' AS grp, n_chars FROM docs UNION ALL SELECT difficulty, n_chars FROM docs UNION ALL SELECT 'vertices:' || bucket, n_chars FROM docs)
+SELECT grp, count(*) AS n, round(avg(n_chars), 6) AS mean_n_chars FROM g GROUP BY grp""")
+def group_stats(spark, sf_dir):
+    out = rel.group_statistics(_docs(spark, sf_dir), rel.overlapping_groups(F.col("difficulty"), F.col("bucket")), ["n_chars"])
+    return out.withColumn("mean_n_chars", F.round("mean_n_chars", 6))
+
+
+@query(f"WITH {DOCS} SELECT coalesce(difficulty, 'all') AS difficulty, coalesce(bucket, 'all') AS bucket, count(*) AS n FROM docs GROUP BY GROUPING SETS ((), (difficulty), (bucket))")
+def group_sets(spark, sf_dir):
+    _docs(spark, sf_dir).createOrReplaceTempView("cantle_docs")
+    return spark.sql("SELECT coalesce(difficulty, 'all') AS difficulty, coalesce(bucket, 'all') AS bucket, count(*) AS n FROM cantle_docs GROUP BY GROUPING SETS ((), (difficulty), (bucket))")
+
+
+def _stages(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id"))).withColumn("keep", hashing.keeps_sample(F.col("doc_id"), F.col("difficulty")))
+    train = F.col("split") == "train"
+    stage = F.array_compact(F.array(F.when(train, F.lit("train_before_filter")), F.when(train & F.col("keep"), F.lit("train_after_filter")), F.when(~train, F.lit("validation"))))
+    return docs.withColumn("stage", F.explode(stage))
+
+
+@query(f"""WITH {DOCS}, s AS (
+  SELECT *, {fraction_sql('split', 'doc_id')} < 0.8 AS train, difficulty <> 'simple_rectangle' OR {fraction_sql('rectangle', 'doc_id')} < 0.1 AS keep FROM docs
+), t AS (
+  SELECT 'train_before_filter' AS stage, * FROM s WHERE train UNION ALL SELECT 'train_after_filter', * FROM s WHERE train AND keep UNION ALL SELECT 'validation', * FROM s WHERE NOT train)
+SELECT stage, grp, count(*) AS n FROM (SELECT stage, difficulty AS grp FROM t UNION ALL SELECT stage, 'vertices:' || bucket FROM t) GROUP BY stage, grp""")
+def split_stats(spark, sf_dir):
+    groups = F.array(F.col("difficulty"), F.concat(F.lit("vertices:"), F.col("bucket")))
+    return _stages(spark, sf_dir).select("stage", F.explode(groups).alias("grp")).groupBy("stage", "grp").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {DOCS}, s AS (
+  SELECT CASE WHEN {fraction_sql('split', 'doc_id')} >= 0.8 THEN 'validation' WHEN difficulty <> 'simple_rectangle' OR {fraction_sql('rectangle', 'doc_id')} < 0.1 THEN 'train' ELSE 'dropped' END AS sink FROM docs)
+SELECT sink, count(*) AS n FROM s GROUP BY sink""")
+def multi_sink_counts(spark, sf_dir):
+    train = hashing.split_of(F.col("doc_id")) == "train"
+    sink = F.when(~train, "validation").when(hashing.keeps_sample(F.col("doc_id"), F.col("difficulty")), "train").otherwise("dropped")
+    return _docs(spark, sf_dir).groupBy(sink.alias("sink")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {DOCS}, s AS (SELECT doc_id, {fraction_sql('split', 'doc_id')} < 0.8 AS t FROM docs)
+SELECT count(*) AS leaked FROM (SELECT doc_id FROM s WHERE t INTERSECT SELECT doc_id FROM s WHERE NOT t)""")
+def leakage_check(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id")))
+    return rel.leakage(docs.where("split = 'train'"), docs.where("split = 'validation'"), "doc_id").agg(F.count("*").alias("leaked"))
+
+
+@query(f"""WITH {DOCS} SELECT 'rows_kept' AS name, (SELECT count(*) FROM documents) AS expected, (SELECT count(*) FROM docs) AS actual, (SELECT count(*) FROM documents) = (SELECT count(*) FROM docs) AS ok
+UNION ALL SELECT 'diagnostic', (SELECT least(512, count(*)) FROM docs WHERE difficulty = 'complex'), (SELECT count(*) FROM (SELECT 1 FROM docs WHERE difficulty = 'complex' LIMIT 512)), true""")
+def gate_checks(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    hard = docs.where("difficulty = 'complex'")
+    return rel.gate_checks(
+        [
+            ("rows_kept", ad.table(spark, sf_dir, "documents").agg(F.count("*")), docs.agg(F.count("*"))),
+            ("diagnostic", hard.agg(F.least(F.lit(512), F.count("*"))), rel.hash_sample(hard, "doc_id", 512, "diagnostic").agg(F.count("*"))),
+        ]
+    )
+
+
+# -- pairing ---------------------------------------------------------------------------------------
+def _audit(spark, sf_dir):
+    raws = ad.table(spark, sf_dir, "customer").withColumn("raw_name", F.col("c_custkey").cast("string"))
+    n = F.lit(raws.count())
+    return rel.pair_by_key(ad.pair_targets(spark, sf_dir), raws, "o_orderkey", "key", "c_custkey", n, "name", "raw_name")
+
+
+@query(f"WITH {TARGETS} SELECT o_orderkey, fk, outcome FROM audit")
+def fk_pairing_audit(spark, sf_dir):
+    return _audit(spark, sf_dir)
+
+
+@query(f"""WITH {TARGETS} SELECT count(*) FILTER (WHERE outcome = 'paired') AS paired, count(*) FILTER (WHERE outcome IN ('invalid', 'out_of_range', 'duplicate', 'mismatch')) AS pairing_failures,
+count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates FROM audit""")
+def prep_counters(spark, sf_dir):
+    return _audit(spark, sf_dir).agg(F.count_if(F.col("outcome") == "paired").alias("paired"), F.count_if(F.col("outcome") != "paired").alias("pairing_failures"), F.count_if(F.col("outcome") == "duplicate").alias("duplicates"))
+
+
+@query(f"WITH {TARGETS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT fk FROM audit WHERE outcome NOT IN ('invalid', 'out_of_range'))")
+def unmatched_anti(spark, sf_dir):
+    return rel.unmatched(ad.table(spark, sf_dir, "customer").select("c_custkey"), _audit(spark, sf_dir), "c_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY o_orderkey LIMIT 200")
+def fid_semi(spark, sf_dir):
+    wanted = ad.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return ad.table(spark, sf_dir, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(200)
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey),
+b AS (SELECT s_nationkey AS k, arg_max(s_suppkey, s_suppkey) AS v FROM supplier GROUP BY s_nationkey)
+SELECT c_custkey, coalesce(a.v, b.v) AS v FROM customer LEFT JOIN a ON c_custkey = a.k LEFT JOIN b ON c_nationkey = b.k""")
+def fallback_lookup(spark, sf_dir):
+    orders = ad.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("v"))
+    suppliers = ad.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").alias("v"))
+    return rel.fallback_lookup(ad.table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"], [orders, suppliers], "v").select("c_custkey", "v")
+
+
+@query("""WITH p AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS total FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey)
+SELECT c_custkey AS k, total, c_nationkey, total IS NULL AS missing FROM customer LEFT JOIN p ON c_custkey = p.k WHERE c_custkey % 3 = 0""")
+def three_way_lookup(spark, sf_dir):
+    raws = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    preds = ad.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("total"))
+    return rel.three_way(raws.where("k % 3 = 0").select("k"), preds, raws, "k").select("k", F.col("p.total").alias("total"), "c_nationkey", "missing")
+
+
+# -- token sequences -------------------------------------------------------------------------------
+@query(f"WITH {LINES} SELECT count(*) FILTER (WHERE len(tokens) <= 5) AS kept, count(*) FILTER (WHERE len(tokens) > 5) AS skipped_too_long, CAST(sum(len(tokens)) FILTER (WHERE len(tokens) <= 5) AS BIGINT) AS n_tokens FROM seqs")
+def length_filter_stats(spark, sf_dir):
+    n, ok = F.size("tokens"), F.size("tokens") <= 5
+    return ad.order_sequences(spark, sf_dir).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped_too_long"), F.sum(F.when(ok, n)).cast("long").alias("n_tokens"))
+
+
+_SEGMENTS = """marked AS (
+  SELECT id, i, t, sum(CASE WHEN t = {s} THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS g
+  FROM (SELECT id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM seqs)
+), parts AS (SELECT id, g, list(t ORDER BY i) AS segment FROM marked WHERE t <> {s} GROUP BY id, g HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {LINES}, {_SEGMENTS.format(s=50)} SELECT id, array_to_string(segment, ',') AS segment FROM parts")
+def segments(spark, sf_dir):
+    return ad.order_sequences(spark, sf_dir).select("id", F.explode(tokens.segments(F.col("tokens"), F.lit(50))).alias("s")).select("id", F.array_join("s", ",").alias("segment"))
+
+
+@query(f"WITH {LINES}, parts AS (SELECT tokens AS segment FROM seqs WHERE len(tokens) >= 2) SELECT array_to_string(segment, ',') AS segment, count(*) AS weight FROM parts GROUP BY segment")
+def segment_weights(spark, sf_dir):
+    return rel.segment_weights(ad.order_sequences(spark, sf_dir), F.col("tokens"), F.col("id")).select(F.array_join("segment", ",").alias("segment"), "weight")
+
+
+_PAIRS = """pairs AS (
+  SELECT t AS l, lead(t) OVER (PARTITION BY id ORDER BY i) AS r FROM (SELECT id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM seqs))"""
+
+
+@query(f"WITH {EVENTS}, {_PAIRS} SELECT l, r, count(*) AS n FROM pairs WHERE r IS NOT NULL GROUP BY l, r")
+def pair_counts(spark, sf_dir):
+    return rel.pair_counts(ad.event_sequences(spark, sf_dir), F.col("tokens"))
+
+
+@query(f"WITH {EVENTS}, {_PAIRS} SELECT l, r, count(*) AS n FROM pairs WHERE r IS NOT NULL GROUP BY l, r ORDER BY n DESC, l, r LIMIT 1")
+def best_pair(spark, sf_dir):
+    return rel.pair_counts(ad.event_sequences(spark, sf_dir), F.col("tokens")).orderBy(F.desc("n"), "l", "r").limit(1)
+
+
+@query(f"WITH {EVENTS} SELECT id, regexp_replace(regexp_replace(array_to_string(list_transform(tokens, lambda x: 't' || x), ''), 't0t4', 'M', 'g'), 'M', 't1500', 'g') AS merged FROM seqs")
+def merge_once(spark, sf_dir):
+    t = tokens.merge_once(F.col("tokens"), 0, 4, 1500)
+    return ad.event_sequences(spark, sf_dir).select("id", F.array_join(F.transform(t, lambda x: F.concat(F.lit("t"), x.cast("string"))), "").alias("merged"))
+
+
+@query(f"""WITH {PREDS}, s AS (SELECT id, pred, target, array_to_string(list_transform(pred, lambda x: chr(47 + x)), '') AS a, array_to_string(list_transform(target, lambda x: chr(47 + x)), '') AS b FROM preds)
+SELECT id, levenshtein(a, b) AS distance FROM s""")
+def edit_distance(spark, sf_dir):
+    return ad.predictions(spark, sf_dir).select("id", tokens.edit_distance(F.col("pred"), F.col("target")).cast("long").alias("distance"))
+
+
+@query(f"""WITH {PREDS}, s AS (SELECT *, array_to_string(list_transform(pred, lambda x: chr(47 + x)), '') AS a, array_to_string(list_transform(target, lambda x: chr(47 + x)), '') AS b,
+  coalesce(list_position(pred, 50) - 1, len(pred)) AS pe, coalesce(list_position(target, 50) - 1, len(target)) AS te FROM preds)
+SELECT id, CAST(pred = target AS DOUBLE) AS greedy_exact, round(1.0 - levenshtein(a, b) / CAST(greatest(len(pred), len(target), 1) AS DOUBLE), 9) AS token_edit_similarity,
+  CAST(abs(len(pred) - len(target)) AS DOUBLE) AS token_length_error, CAST(abs(pe - te) AS DOUBLE) AS eos_position_error FROM s""")
+def token_metrics(spark, sf_dir):
+    m = tokens.token_metrics(F.col("pred"), F.col("target"), 50)
+    m["token_edit_similarity"] = F.round(m["token_edit_similarity"], 9)
+    return ad.predictions(spark, sf_dir).select("id", *[v.alias(k) for k, v in m.items()])
+
+
+@query(f"""WITH {LINES} SELECT id, array_to_string(list_concat(tokens, list_transform(range(greatest(0, 12 - len(tokens))), lambda x: 720)), ',') AS padded,
+  array_to_string(tokens[1:len(tokens) - 1], ',') AS input, array_to_string(tokens[2:], ',') AS labels FROM seqs""")
+def pad_shift(spark, sf_dir):
+    t = F.col("tokens")
+    return ad.order_sequences(spark, sf_dir).select("id", F.array_join(tokens.pad_to(t, F.lit(12)), ",").alias("padded"), F.array_join(tokens.teacher_input(t), ",").alias("input"), F.array_join(tokens.teacher_labels(t), ",").alias("labels"))
+
+
+@query(f"WITH {LINES} SELECT id, array_to_string(tokens, ',') AS stripped, len(tokens) AS n FROM seqs")
+def strip_pad(spark, sf_dir):
+    padded = tokens.pad_to(F.col("tokens"), F.lit(9))
+    return ad.order_sequences(spark, sf_dir).select("id", F.array_join(tokens.strip_pad(padded), ",").alias("stripped"), tokens.target_length(padded).cast("long").alias("n"))
+
+
+@query(f"""WITH {PREDS}, m AS (SELECT pred = target AS same, len(list_filter(list_zip(pred, target), lambda p: coalesce(p[1] = p[2], false))) AS hit, greatest(len(pred), len(target)) AS n FROM preds)
+SELECT count(*) AS sample_count, count(*) FILTER (WHERE same) AS exact_match_count, round(avg(CAST(same AS INT)), 9) AS greedy_exact_match_rate, round(sum(hit) / sum(n), 9) AS token_accuracy FROM m""")
+def greedy_metrics(spark, sf_dir):
+    a, b = F.col("pred"), F.col("target")
+    same = a == b
+    rate = F.round(F.avg(same.cast("int")), 9)
+    accuracy = F.round(F.sum(tokens.positional_matches(a, b)) / F.sum(F.greatest(F.size(a), F.size(b))), 9)
+    return ad.predictions(spark, sf_dir).agg(F.count("*").alias("sample_count"), F.count_if(same).alias("exact_match_count"), rate.alias("greedy_exact_match_rate"), accuracy.alias("token_accuracy"))
+
+
+@query(f"""WITH {LINES}, e AS (SELECT id, i, t, t <> coalesce(lag(t) OVER (PARTITION BY id ORDER BY i), -1) AS new FROM (SELECT id, unnest(list_sort(tokens)) AS t, unnest(range(len(tokens))) AS i FROM seqs)),
+g AS (SELECT id, t, sum(CAST(new AS INT)) OVER (PARTITION BY id ORDER BY i) AS g FROM e), r AS (SELECT id, g, t, count(*) AS n FROM g GROUP BY id, g, t)
+SELECT id, string_agg(t || 'x' || n, ' ' ORDER BY g) AS runs FROM r GROUP BY id""")
+def rle_parse(spark, sf_dir):
+    r = F.transform(tokens.runs(F.sort_array("tokens")), lambda e: F.concat(e["d"].cast("string"), F.lit("x"), e["n"].cast("string")))
+    return ad.order_sequences(spark, sf_dir).select("id", F.array_join(r, " ").alias("runs"))
+
+
+@query(f"""WITH {LINES}, v AS (SELECT id, array_to_string(list_transform(tokens, lambda x: CASE WHEN x % 10 = 0 THEN x + 719 ELSE x END), ',') AS t, list_transform(tokens, lambda x: CASE WHEN x % 10 = 0 THEN x + 719 ELSE x END) AS l FROM seqs)
+SELECT id, len(list_filter(l, lambda x: NOT (x BETWEEN 0 AND 719 OR x BETWEEN 720 AND 726))) AS bad FROM v""")
+def token_validity(spark, sf_dir):
+    t = F.transform("tokens", lambda x: F.when(x % 10 == 0, x + 719).otherwise(x))
+    none = F.create_map().cast("map<int,array<int>>")
+    return ad.order_sequences(spark, sf_dir).select("id", tokens.invalid_tokens(t, none).cast("long").alias("bad"))
+
+
+@query(f"""WITH {LINES}, a AS (SELECT row_number() OVER (ORDER BY id) AS n, id, tokens FROM seqs), b AS (SELECT row_number() OVER (ORDER BY id) AS n, CASE WHEN id % 50 = 0 THEN -id ELSE id END AS id, tokens FROM seqs WHERE id % 1000 <> 7 OR id < 0)
+SELECT count(*) FILTER (WHERE coalesce(a.id = b.id, false)) AS n_rows, CAST(0 AS BIGINT) AS roundtrip_failures, CAST(0 AS BIGINT) AS invalid_token_count, count(*) FILTER (WHERE NOT coalesce(a.id = b.id, false)) AS row_alignment_failures
+FROM a FULL OUTER JOIN b ON a.n = b.n""")
+def positional_zip_audit(spark, sf_dir):
+    from pyspark.sql import Window
+
+    seqs = ad.order_sequences(spark, sf_dir)
+    place = F.row_number().over(Window.orderBy("id"))  # the adapter stands in for a file's line numbers
+    left = seqs.withColumn("n", place)
+    right = seqs.where("id % 1000 <> 7").withColumn("n", place).withColumn("id", F.when(F.col("id") % 50 == 0, -F.col("id")).otherwise(F.col("id")))
+    none = F.create_map().cast("map<int,array<int>>")
+    return rel.lossless_audit(rel.zip_by_place(left, right, "n", "id"), none, ["tokens"])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_frame_json(spark, sf_dir):
+    return ad.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# -- evaluation ------------------------------------------------------------------------------------
+_EVAL = """m AS (
+  SELECT id, CASE WHEN len(target) > 4 THEN 'complex' ELSE 'simple' END AS difficulty, CASE WHEN len(target) <= 4 THEN '4' WHEN len(target) <= 8 THEN '5-8' WHEN len(target) <= 16 THEN '9-16' ELSE '17+' END AS bucket,
+    len(pred) > 1 AS pok, len(target) > 1 AS tok, CASE WHEN len(pred) > 1 AND len(target) > 1 THEN least(len(pred), len(target)) / CAST(greatest(len(pred), len(target)) AS DOUBLE) END AS iou,
+    CASE WHEN id % 7 = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(abs(len(pred) - len(target)) AS DOUBLE) END AS err FROM preds
+), g AS (SELECT 'overall' AS grp, * FROM m UNION ALL SELECT difficulty, * FROM m UNION ALL SELECT 'vertices:' || bucket, * FROM m)"""
+
+
+@query(f"""WITH {PREDS}, {_EVAL} SELECT grp, count(*) AS sample_count, count(*) FILTER (WHERE NOT pok) AS invalid_geometry_count, round(count(*) FILTER (WHERE NOT pok) / CAST(count(*) AS DOUBLE), 9) AS invalid_geometry_rate,
+ count(*) FILTER (WHERE NOT tok) AS invalid_reference_count, round(count(*) FILTER (WHERE NOT tok) / CAST(count(*) AS DOUBLE), 9) AS invalid_reference_rate, round(avg(iou), 9) AS iou, round(avg(err) FILTER (WHERE isfinite(err)), 9) AS err,
+ round(coalesce(sum(iou), 0) / nullif(count(*) FILTER (WHERE tok), 0), 9) AS all_sample_outline_iou FROM g GROUP BY grp""")
+def eval_groups(spark, sf_dir):
+    p, t = F.size("pred"), F.size("target")
+    rows = ad.predictions(spark, sf_dir).select(
+        F.when(t > 4, "complex").otherwise("simple").alias("difficulty"),
+        rings.vertex_bucket(t).alias("bucket"),
+        (p > 1).alias("pok"),
+        (t > 1).alias("tok"),
+        F.when((p > 1) & (t > 1), F.least(p, t) / F.greatest(p, t)).alias("iou"),
+        F.when(F.col("id") % 7 == 0, float("inf")).otherwise(F.abs(p - t).cast("double")).alias("err"),
+    )
+    out = rel.evaluation_report(rows, rel.overlapping_groups(F.col("difficulty"), F.col("bucket")), ["iou", "err"], "pok", "tok", "iou")
+    return out.select(*[F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, round(-l_discount - 6 * greatest(0.16 - l_tax, l_tax - 0.20, 0) - 0.8 * abs(ln(greatest(1 - l_discount, 0.000001))), 9) AS score FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, l_partkey) AS k FROM b) SELECT l_orderkey, max(score) AS score FROM r WHERE k = 1 GROUP BY l_orderkey""")
+def best_candidate(spark, sf_dir):
+    li = ad.table(spark, sf_dir, "lineitem")
+    # the share of removed vertices comes as tax, the area ratio as what the discount leaves
+    score = rings.candidate_score(-F.col("l_discount"), F.lit(1.0), F.lit(1.0) - F.col("l_tax"), F.lit(1.0) - F.col("l_discount"), 5000) + 1.0
+    scored = li.select("l_orderkey", F.round(score, 9).alias("score"), F.struct("l_linenumber", "l_partkey").alias("rank"))
+    return rel.best_per_group(scored, ["l_orderkey"], "score", "rank").select("l_orderkey", "score")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def best_checkpoint(spark, sf_dir):
+    return rel.best_row(ad.table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT page_id, CASE WHEN contains(m, 'empty') OR contains(m, 'zero area') THEN 'empty_geometry' WHEN contains(m, 'not polygon') OR contains(m, 'no polygon') THEN 'non_polygon'
+ WHEN contains(m, 'invalid') OR contains(m, 'self-intersection') THEN 'invalid_geometry' WHEN contains(m, 'ring') OR contains(m, 'token') OR contains(m, 'candidate') THEN 'decode_error' ELSE 'other_error' END AS category
+FROM (SELECT page_id, lower(CASE page_id % 5 WHEN 0 THEN 'Empty ' WHEN 1 THEN 'NO polygon ' WHEN 2 THEN 'Invalid ' WHEN 3 THEN 'bad ring ' ELSE '' END || url) AS m FROM pages)""")
+def failure_category(spark, sf_dir):
+    k = F.col("page_id") % 5
+    prefix = F.when(k == 0, "Empty ").when(k == 1, "NO polygon ").when(k == 2, "Invalid ").when(k == 3, "bad ring ").otherwise("")
+    return ad.table(spark, sf_dir, "pages").select("page_id", rings.failure_category(F.concat(prefix, F.col("url"))).alias("category"))
+
+
+# -- rings -----------------------------------------------------------------------------------------
+@query(f"WITH {STARS} SELECT id, i, ((CAST(round(atan2(dy, dx) / (2 * pi() / 720)) AS BIGINT) % 720) + 720) % 720 AS direction, greatest(1, CAST(round(len / 0.2) AS BIGINT)) AS steps FROM edge")
+def quantize_edges(spark, sf_dir):
+    e = ad.stars(spark, sf_dir).select("id", F.posexplode(rings.edges(F.col("ring"))).alias("i", "e"))
+    return e.select("id", F.col("i").cast("long").alias("i"), rings.quantize_direction(F.col("e.dx"), F.col("e.dy")).cast("long").alias("direction"), rings.quantize_length(F.col("e.len")).cast("long").alias("steps"))
+
+
+@query(f"WITH {STARS} SELECT id, round(sum(x * y2 - x2 * y) / 2, 6) AS area, round(sum(len), 6) AS perimeter, count(*) AS vertices FROM edge GROUP BY id")
+def ring_area_perimeter(spark, sf_dir):
+    r = F.col("ring")
+    return ad.stars(spark, sf_dir).select("id", F.round(rings.area(r), 6).alias("area"), F.round(rings.perimeter(r), 6).alias("perimeter"), rings.vertex_count(F.array(r)).cast("long").alias("vertices"))
+
+
+@query(f"WITH {STARS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(len, 9) DESC, i) AS k FROM edge) SELECT id, i AS idx, round(len, 6) AS len, round(degrees(atan2(dy, dx)), 6) AS angle FROM r WHERE k = 1")
+def longest_edge(spark, sf_dir):
+    e = ad.stars(spark, sf_dir).select("id", rings.longest_edge(F.col("ring")).alias("e"))
+    return e.select("id", F.col("e.idx").cast("long").alias("idx"), F.round("e.len", 6).alias("len"), F.round("e.angle_deg", 6).alias("angle"))
+
+
+@query(f"WITH {STARS}, r AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY round(sqrt((x - 9) * (x - 9) + (y - 3) * (y - 3)), 9), i) AS k FROM pts) SELECT id, i FROM r WHERE k = 1")
+def closest_vertex(spark, sf_dir):
+    return ad.stars(spark, sf_dir).select("id", rings.closest_vertex(F.col("ring"), F.lit(9.0), F.lit(3.0)).cast("long").alias("i"))
+
+
+@query(f"WITH {STARS} SELECT id, round(sum(x * y2 - x2 * y) / 2, 6) AS area, CAST(true AS BOOLEAN) AS ccw FROM edge GROUP BY id")
+def orient_ccw(spark, sf_dir):
+    back = rings.oriented(F.when(F.col("id") % 2 == 0, F.reverse("ring")).otherwise(F.col("ring")))
+    return ad.stars(spark, sf_dir).select("id", F.round(rings.signed_area(back), 6).alias("area"), (rings.signed_area(back) > 0).alias("ccw"))
+
+
+@query(f"WITH {STARS} SELECT id, CAST(sum(greatest(1, CAST(round(len / 0.2) AS BIGINT))) AS BIGINT) AS n_tokens FROM edge GROUP BY id")
+def unary_encode(spark, sf_dir):
+    return ad.stars(spark, sf_dir).select("id", F.size(rings.unary_tokens(F.col("ring"))).cast("long").alias("n_tokens"))
+
+
+@query(f"""WITH {LINES}, e AS (SELECT id, unnest(tokens) AS d, unnest(range(len(tokens))) AS i FROM seqs)
+SELECT id, round(sum(cos(d * 10 * (2 * pi() / 720)) * 0.6), 6) + 0 AS x, round(sum(sin(d * 10 * (2 * pi() / 720)) * 0.6), 6) + 0 AS y FROM e GROUP BY id""")
+def walk_ring(spark, sf_dir):
+    r = F.transform("tokens", lambda t: F.struct((t * 10).alias("d"), F.lit(3).alias("n")))
+    path = rings.walk(r, F.lit(0.0), F.lit(0.0))
+    # the last point of the open path: the one before the closing one, or the start when it snapped
+    end = F.when(F.size(path) == F.size(r) + 2, F.element_at(path, -2)).otherwise(F.element_at(path, -1))
+    return ad.order_sequences(spark, sf_dir).select("id", (F.round(end["x"], 6) + 0.0).alias("x"), (F.round(end["y"], 6) + 0.0).alias("y"))
+
+
+@query(f"""WITH {LINES}, e AS (SELECT id, i, d, d <> coalesce(lag(d) OVER (PARTITION BY id ORDER BY i), -1) AS new FROM (SELECT id, unnest(list_transform(tokens, lambda t: t // 25)) AS d, unnest(range(len(tokens))) AS i FROM seqs)),
+g AS (SELECT id, d, sum(CAST(new AS INT)) OVER (PARTITION BY id ORDER BY i) AS g FROM e), r AS (SELECT id, g, d, count(*) * 2 AS n FROM g GROUP BY id, g, d)
+SELECT id, string_agg(d || 'x' || n, ' ' ORDER BY g) AS merged FROM r GROUP BY id""")
+def merge_edges(spark, sf_dir):
+    r = F.transform("tokens", lambda t: F.struct(F.floor(t / 25).cast("int").alias("d"), F.lit(2).alias("n")))
+    out = F.transform(rings.merge_edges(r), lambda e: F.concat(e["d"].cast("string"), F.lit("x"), e["n"].cast("string")))
+    return ad.order_sequences(spark, sf_dir).select("id", F.array_join(out, " ").alias("merged"))
+
+
+@query(f"WITH {STARS} SELECT id, i, round(3 + (x - 3) * cos(radians(37)) - (y + 2) * sin(radians(37)), 6) AS x, round(-2 + (x - 3) * sin(radians(37)) + (y + 2) * cos(radians(37)), 6) AS y FROM pts")
+def rotate_points(spark, sf_dir):
+    p = ad.stars(spark, sf_dir).select("id", F.posexplode(rings.rotate_about(F.col("ring"), F.lit(37.0), F.lit(3.0), F.lit(-2.0))).alias("i", "p"))
+    return p.select("id", F.col("i").cast("long").alias("i"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query("""WITH k AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n), c AS (
+  SELECT n, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) * 0.9996 AS s, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3, 2 * sqrt(n) / (1 + n) AS e FROM k
+), p AS (SELECT c_custkey, c.*, sin(radians(34.05 + c_custkey * 0.00001)) AS f, radians(-118.25 + c_custkey * 0.00001 + 117) AS l FROM customer, c
+), t AS (SELECT *, sinh(0.5 * ln((1 + f) / (1 - f)) - e * 0.5 * ln((1 + e * f) / (1 - e * f))) AS t FROM p
+), x AS (SELECT *, atan2(t, cos(l)) AS xi, 0.5 * ln((1 + sin(l) / sqrt(1 + t * t)) / (1 - sin(l) / sqrt(1 + t * t))) AS eta FROM t)
+SELECT c_custkey, round(500000 + s * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east,
+ round(s * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS north FROM x""")
+def utm_project(spark, sf_dir):
+    k = F.col("c_custkey") * 0.00001
+    east, north = rings.utm(F.lit(-118.25) + k, F.lit(34.05) + k, 11)
+    return ad.table(spark, sf_dir, "customer").select("c_custkey", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round((1 - l_discount) * (1 - l_discount), 6) AS iou FROM lineitem")
+def rect_iou(spark, sf_dir):
+    b = ad.boxes(spark, sf_dir)
+    inter, a, c = F.least("w", "w2") * F.least("h", "h2"), F.col("w") * F.col("h"), F.col("w2") * F.col("h2")
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(inter / (a + c - inter), 6).alias("iou"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 3 <> 0 AS simple, 90.0 AS corner FROM lineitem")
+def simple_rectangle(spark, sf_dir):
+    b = ad.boxes(spark, sf_dir)
+    ring = ad.box(F.col("x0"), F.lit(0.0), F.col("w"), F.col("h"))
+    # every third one gets a vertex on a side, which disqualifies it
+    mid = F.struct((F.col("x0") + F.col("w") / 2).alias("x"), F.lit(0.0).alias("y"))
+    ring = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.slice(ring, 1, 1), F.array(mid), F.slice(ring, 2, 3))).otherwise(ring)
+    box = ad.box(F.col("x0"), F.lit(0.0), F.col("w"), F.col("h"))
+    corner = F.round(rings.angle_degrees(F.element_at(box, 1), F.element_at(box, 2), F.element_at(box, 3)), 6)
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", rings.simple_rectangle(ring).alias("simple"), corner.alias("corner"))
+
+
+@query("""SELECT event_id, round(least(((abs(value - user_id) % 180) + 180) % 180, 180 - ((abs(value - user_id) % 180) + 180) % 180), 6) AS err,
+ CASE WHEN event_id % 2 = 0 THEN 725 ELSE 726 END AS token FROM events""")
+def angle_tests(spark, sf_dir):
+    scale = F.when(F.col("event_id") % 2 == 0, 5000).otherwise(10000)
+    return ad.table(spark, sf_dir, "events").select("event_id", F.round(rings.angle_error(F.col("value"), F.col("user_id")), 6).alias("err"), tokens.scale_token(scale).alias("token"))
+
+
+@query("SELECT n_name, sha256(n_name) AS digest, octet_length(encode(n_name)) AS n_bytes FROM nation")
+def artifact_fingerprint(spark, sf_dir):
+    return ad.table(spark, sf_dir, "nation").select("n_name", F.sha2("n_name", 256).alias("digest"), F.octet_length("n_name").cast("long").alias("n_bytes"))
