@@ -45,14 +45,20 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def _features(words: Column) -> Column:
-    """Distinct features of a text: words without outer punctuation, what is left of a word
-    without its Latin letters, and how much of the text is repetition, in tenths."""
-    low = F.transform(words, lambda w: F.lower(w))
-    bare = F.transform(low, lambda w: F.btrim(w, F.lit(".,;:!?()\"'")))
-    shape = F.transform(low, lambda w: F.concat(F.lit("\x01"), F.translate(w, "abcdefghijklmnopqrstuvwxyz", "")))
-    fresh = F.floor(F.lit(10.0) * F.size(F.array_distinct(low)) / F.greatest(F.size(low), F.lit(1)))
-    return F.array_distinct(F.concat(bare, shape, F.array(F.concat(F.lit("\x02"), fresh.cast("string")))))
+def _featured(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``words`` (all of them) and ``fs``, the text's distinct features: words without
+    outer punctuation, what is left of words without their Latin letters, and how much of the text
+    is not repetition, in tenths.
+
+    Each step is a column of its own, so that what several later columns use is worked out once.
+    """
+    df = df.withColumn("low", F.lower(F.coalesce(text, F.lit("")))).withColumn("words", _tokens(F.col("low")))
+    shapes = F.transform(F.array_distinct(_tokens(F.translate("low", "abcdefghijklmnopqrstuvwxyz", ""))), lambda s: F.concat(F.lit("\x01"), s))
+    df = df.withColumn("forms", F.array_distinct("words")).withColumn("shapes", shapes)
+    fresh = F.floor(F.lit(10.0) * F.size("forms") / F.greatest(F.size("words"), F.lit(1)))
+    bare = F.transform("forms", lambda w: F.btrim(w, F.lit(".,;:!?()\"'")))
+    fs = F.concat(F.array_distinct(bare), "shapes", F.array(F.concat(F.lit("\x02"), fresh.cast("string"))))
+    return df.withColumn("fs", fs).drop("low", "forms", "shapes")
 
 
 def _bucket(feature: Column, table: int) -> Column:
@@ -68,22 +74,21 @@ class DomainModel:
     bare: dict[str, float]
     tables: dict[str, list[list[int]]]
 
-    def evidence(self, words: Column) -> dict[str, Column]:
-        at = F.transform(_features(words), lambda f: F.struct(_bucket(f, 0).alias("a"), _bucket(f, 1).alias("b")))
-        return {d: F.aggregate(at, F.lit(0), self._added(d)) for d in DOMAINS[1:] if d in self.tables}
-
-    def posterior(self, words: Column) -> list[Column]:
-        """P(domain) in the order of DOMAINS."""
-        found, odds = self.evidence(words), []
-        for d in DOMAINS[1:]:
-            if d not in found:
-                odds.append(F.lit(0.0))
-                continue
-            e = found[d]
-            odds.append(F.exp(F.when(e > 0, F.least(F.lit(self.prior[d]) + e / 100, F.lit(30.0))).otherwise(F.lit(self.bare[d]))))
-        total = F.lit(1.0) + odds[0] + odds[1]
-        return [F.lit(1.0) / total, odds[0] / total, odds[1] / total]
-
+    def with_evidence(self, df: DataFrame) -> DataFrame:
+        """``df`` (with ``fs``) and a column e_<domain> per known domain."""
+        df = df.withColumn("at", F.transform("fs", lambda f: F.struct(_bucket(f, 0).alias("a"), _bucket(f, 1).alias("b"))))
+        return df.withColumns({f"e_{d}": F.aggregate("at", F.lit(0), self._added(d)) for d in self.tables}).drop("at")
+
+    def with_posterior(self, df: DataFrame) -> DataFrame:
+        """``df`` (with ``fs``) and P(domain) as p_<domain>; the steps are columns, worked out once each."""
+        df = self.with_evidence(df)
+        odds = {f"o_{d}": F.lit(0.0) for d in DOMAINS[1:]}
+        for d in self.tables:
+            e = F.col(f"e_{d}")
+            odds[f"o_{d}"] = F.exp(F.when(e > 0, F.least(F.lit(self.prior[d]) + e / 100, F.lit(30.0))).otherwise(F.lit(self.bare[d])))
+        df = df.withColumns(odds).withColumn("o_all", F.lit(1.0) + F.col("o_low") + F.col("o_toxic"))
+        named = {"p_clean": F.lit(1.0) / F.col("o_all"), "p_low": F.col("o_low") / F.col("o_all"), "p_toxic": F.col("o_toxic") / F.col("o_all")}
+        return df.withColumns(named).drop("fs", "o_all", *odds, *[f"e_{d}" for d in self.tables])
 
     def _added(self, domain: str):
         """The fold of the lesser evidence of the two tables."""
@@ -98,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     domain = F.when(F.col("t") == 1, "toxic").when(F.col("q") == 0, "low").otherwise("clean")
     known = known.select("id", domain.alias("domain")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    found = texts.select("domain", _features(_tokens(F.col("text"))).alias("fs"))
+    found = _featured(texts, F.col("text")).select("domain", "fs")
     # a text counts once for each bucket of either table
     keys = F.array_distinct(F.flatten(F.transform("fs", lambda f: F.array(_bucket(f, 0), _bucket(f, 1) + BUCKETS))))
     counted = found.select("domain", F.explode(F.concat(F.array(F.lit(-1)), keys)).alias("k"))
@@ -118,9 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 flat[k] = _evidence(r[d], texts_of[d], r["clean"], texts_of["clean"])
         model.tables[d] = [flat[:BUCKETS], flat[BUCKETS:]]
     if model.tables:  # how often each domain shows no evidence
-        words = texts.select("domain", _tokens(F.col("text")).alias("words"))
-        none = words.select("domain", *[e.alias(d) for d, e in model.evidence(F.col("words")).items()])
-        counts = none.agg(*[F.count_if((F.col("domain") == x) & (F.col(d) == 0)).alias(f"{d}_{x}") for d in model.tables for x in (d, "clean")]).collect()[0]
+        none = model.with_evidence(found)
+        counts = none.agg(*[F.count_if((F.col("domain") == x) & (F.col(f"e_{d}") == 0)).alias(f"{d}_{x}") for d in model.tables for x in (d, "clean")]).collect()[0]
         model.bare = {d: math.log((counts[f"{d}_{d}"] + 0.5) / (counts[f"{d}_clean"] + 0.5)) for d in model.tables}
     return model
 
@@ -218,10 +222,9 @@ def _unit(*cols: Column) -> Column:
 
 def members(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The narrow table: id, token count, posteriors, and the text's uniform number; written once."""
-    words = _tokens(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), _unit(F.col(id_col), F.col(text_col)).alias("u"), words.alias("words"))
-    named = [c.alias(f"p_{d}") for d, c in zip(DOMAINS, model.posterior(F.col("words")), strict=True)]
-    return materialise(base.select("doc_id", F.size("words").cast("long").alias("n_tokens"), *named, "u"))
+    base = docs.select(F.col(id_col).alias("doc_id"), _unit(F.col(id_col), F.col(text_col)).alias("u"), F.col(text_col).alias("text"))
+    rows = model.with_posterior(_featured(base, F.col("text")))
+    return materialise(rows.select("doc_id", F.size("words").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "u"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,9 +241,8 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budg
     fit = fit_rates(members(docs, model, id_col, text_col), weights, budget)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
-    rows = docs.toDF(*names).withColumn("words", _tokens(F.col(text)))
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    rows = rows.select(*names, *[c.alias(f"p_{d}") for d, c in zip(DOMAINS, model.posterior(F.col("words")), strict=True)])
+    rows = model.with_posterior(_featured(docs.toDF(*names), F.col(text)))
     rows = rows.withColumn("copies", F.floor(fit.rate(p) + _unit(F.col(key), F.col(text))).cast("int"))
     rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return rows.select(*[F.col(n).alias(o) for n, o in zip(names, docs.columns, strict=True)])
