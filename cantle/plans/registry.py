@@ -411,11 +411,12 @@ def unary_encode(spark, sf_dir):
 
 
 @query(f"""WITH {LINES}, e AS (SELECT id, unnest(tokens) AS d, unnest(range(len(tokens))) AS i FROM seqs)
-SELECT id, round(sum(cos(d * 10 * (2 * pi() / 720)) * 0.6), 6) + 0 AS x, round(sum(sin(d * 10 * (2 * pi() / 720)) * 0.6), 6) + 0 AS y FROM e GROUP BY id""")
+, s AS (SELECT id, sum(cos(d * 10 * (2 * pi() / 720)) * 0.6) AS x, sum(sin(d * 10 * (2 * pi() / 720)) * 0.6) AS y FROM e GROUP BY id)
+SELECT id, CASE WHEN sqrt(x * x + y * y) <= 0.1 THEN 0 ELSE round(x, 6) + 0 END AS x, CASE WHEN sqrt(x * x + y * y) <= 0.1 THEN 0 ELSE round(y, 6) + 0 END AS y FROM s""")
 def walk_ring(spark, sf_dir):
     r = F.transform("tokens", lambda t: F.struct((t * 10).alias("d"), F.lit(3).alias("n")))
     path = rings.walk(r, F.lit(0.0), F.lit(0.0))
-    # the last point of the open path: the one before the closing one, or the start when it snapped
+    # the last point before the closing one, or the start itself where the end snapped to it
     end = F.when(F.size(path) == F.size(r) + 2, F.element_at(path, -2)).otherwise(F.element_at(path, -1))
     return ad.order_sequences(spark, sf_dir).select("id", (F.round(end["x"], 6) + 0.0).alias("x"), (F.round(end["y"], 6) + 0.0).alias("y"))
 
@@ -455,7 +456,7 @@ def rect_iou(spark, sf_dir):
     return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(inter / (a + c - inter), 6).alias("iou"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 3 <> 0 AS simple, 90.0 AS corner FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 3 <> 0 AS simple, CAST(90.0 AS DOUBLE) AS corner FROM lineitem")
 def simple_rectangle(spark, sf_dir):
     b = ad.boxes(spark, sf_dir)
     ring = ad.box(F.col("x0"), F.lit(0.0), F.col("w"), F.col("h"))
