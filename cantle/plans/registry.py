@@ -478,3 +478,99 @@ def angle_tests(spark, sf_dir):
 @query("SELECT n_name, sha256(n_name) AS digest, octet_length(encode(n_name)) AS n_bytes FROM nation")
 def artifact_fingerprint(spark, sf_dir):
     return ad.table(spark, sf_dir, "nation").select("n_name", F.sha2("n_name", 256).alias("digest"), F.octet_length("n_name").cast("long").alias("n_bytes"))
+
+
+# -- vocabularies, polygons and models ---------------------------------------------------------------
+def _vocabulary(spark, sf_dir, size=1540):
+    from cantle.operators import bpe
+
+    return bpe.train_from(ad.event_sequences(spark, sf_dir), ["tokens"], "id", size=size)
+
+
+@query()
+def bpe_vocab(spark, sf_dir):
+    v = _vocabulary(spark, sf_dir)
+    return spark.createDataFrame([(i, " ".join(map(str, a))) for i, a in sorted(v.atoms.items())], "id int, atoms string")
+
+
+@query(f"WITH {EVENTS} SELECT id, array_to_string(tokens, ',') AS tokens, true AS shorter FROM seqs")
+def bpe_encode_roundtrip(spark, sf_dir):
+    from cantle.operators import bpe
+
+    v = _vocabulary(spark, sf_dir)
+    coded = bpe.encode_columns(ad.event_sequences(spark, sf_dir).withColumn("coded", F.col("tokens")), v, ["coded"])
+    back = bpe.decode_columns(coded.withColumn("n", F.size("coded")).withColumn("n_source", F.size("tokens")), v, ["coded"])
+    return back.select("id", F.array_join("coded", ",").alias("tokens"), (F.col("n") <= F.col("n_source")).alias("shorter"))
+
+
+@query(f"WITH {EVENTS} SELECT id, array_to_string(tokens, ',') AS tokens FROM seqs")
+def bpe_encode_native(spark, sf_dir):
+    v = _vocabulary(spark, sf_dir, 1508)
+    by_atoms = F.create_map(*[x for i, a in v.atoms.items() for x in (F.lit(",".join(map(str, a))), F.lit(i))])
+    coded = tokens.bpe_encode(F.col("tokens"), by_atoms, max(map(len, v.atoms.values())))
+    return ad.event_sequences(spark, sf_dir).select("id", F.array_join(tokens.bpe_decode(coded, v.decode_map()), ",").alias("tokens"))
+
+
+@query()
+def polygon_metrics(spark, sf_dir):
+    from cantle.operators import geometry
+
+    grown = F.transform("ring", lambda p: F.struct((p["x"] * 1.1).alias("x"), (p["y"] * 0.9 + 1.0).alias("y")))
+    pairs = ad.stars(spark, sf_dir).select("id", geometry.as_parts(F.col("ring")).alias("a"), geometry.as_parts(grown).alias("b"))
+    return geometry.compare(pairs, "id", "a", "b")
+
+
+@query()
+def codec_roundtrip(spark, sf_dir):
+    from cantle.operators import geometry
+
+    return geometry.round_trip(ad.stars(spark, sf_dir).select("id", geometry.as_parts(F.col("ring")).alias("geom")), "id", "geom")
+
+
+@query()
+def prepare_pairs(spark, sf_dir):
+    from cantle.operators import geometry
+
+    w, h, shrink = 5.0 + F.col("s_nationkey"), 3.0 + F.col("s_suppkey") % 7, 1.0 - (F.col("s_suppkey") % 4) * 0.05
+    one = ad.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("target_fid"),
+        F.col("s_suppkey").alias("raw_fid"),
+        F.col("s_suppkey").cast("string").alias("osm_id"),
+        geometry.as_parts(ad.box(F.lit(500000.0), F.lit(3760000.0), w, h)).alias("raw"),
+        geometry.as_parts(ad.box(F.lit(500000.0), F.lit(3760000.0), w * shrink, h)).alias("target"),
+    )
+    return geometry.prepare_pairs(one, 5000).select("target_fid", "raw_fid", "difficulty", "source_vertex_count", F.size("source_tokens").alias("n_source"), F.size("target_tokens").alias("n_target"), F.col("tokenization_metrics.outline_iou").alias("outline_iou"), "error")
+
+
+def _small_model():
+    from cantle.functions import seq2seq
+
+    shape = seq2seq.Shape(vocab=800, width=16, heads=2, layers=1, inner=32)
+    return seq2seq.random_weights(shape, 5), shape
+
+
+@query()
+def seq2seq_greedy(spark, sf_dir):
+    from cantle.operators import inference
+
+    seqs = ad.order_sequences(spark, sf_dir).withColumnRenamed("tokens", "source_tokens")
+    out = inference.greedy_predictions(seqs, *_small_model(), max_len=8)
+    return out.select("id", F.size("pred_tokens").alias("n_pred"))
+
+
+@query()
+def seq2seq_beam(spark, sf_dir):
+    from cantle.operators import bpe, geometry, inference
+
+    boxes = spark.range(24).select(F.col("id").alias("fid"), geometry.as_parts(ad.box(F.lit(0.0), F.lit(0.0), 1.0 + F.col("id") % 5, F.lit(2.0))).alias("geom"))
+    found = inference.candidates(boxes, *_small_model(), bpe.Vocabulary({}), 5000, max_len=10, beams=3)
+    return found.select("raw_fid", "beam_rank", F.round("model_score", 6).alias("model_score"), F.col("error").isNull().alias("decoded"))
+
+
+@query("""WITH e AS (SELECT date_trunc('hour', ts) AS start, 'overall' AS grp, value FROM events UNION ALL SELECT date_trunc('hour', ts), event_type, value FROM events)
+SELECT start, grp, count(*) AS n, round(avg(value), 6) AS mean_value FROM e GROUP BY start, grp""")
+def windowed_groups(spark, sf_dir):
+    from cantle.streaming.evaluation import windowed_groups as grouped
+
+    out = grouped(ad.table(spark, sf_dir, "events"), "ts", F.array(F.lit("overall"), F.col("event_type")), ["value"])
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "grp", "n", F.round("mean_value", 6).alias("mean_value"))
