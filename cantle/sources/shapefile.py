@@ -16,12 +16,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from cantle.functions import polygon as pg
 
 RECORDS_PER_PARTITION = 20_000
-PARTS_DDL = "array<array<array<struct<x:double,y:double>>>>"
+#: Parts, each a list of rings of points.
+PARTS = ArrayType(ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))))
 _REQUIRED = (".shp", ".shx", ".dbf", ".prj")
 
 
@@ -100,7 +101,7 @@ def _shape(raw: bytes) -> list | None:
             min(home, key=lambda s: -pg.signed_area(s[0])).append(h)
         else:
             shells.append([h])
-    return [[[{"x": float(x), "y": float(y)} for x, y in r] for r in s] for s in shells]
+    return [[[(float(x), float(y)) for x, y in r] for r in s] for s in shells]
 
 
 class _Range(InputPartition):
@@ -159,7 +160,7 @@ class ShapefileSource(DataSource):
 
     def schema(self) -> StructType:
         fields = _dbf_header(os.path.splitext(self.options["path"])[0] + ".dbf")[3]
-        geom = StructType.fromDDL(f"geom {PARTS_DDL}").fields[0]
+        geom = StructField("geom", PARTS)
         every = [StructField("fid", LongType()), *[StructField(n, _spark_type(k, d)) for n, k, _, d in fields], geom]
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
         return StructType([f for f in every if not wanted or f.name in wanted])
