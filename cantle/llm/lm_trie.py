@@ -46,6 +46,18 @@ SHARD_TOKENS = 1_500_000
 #: Bytes of text that a task counts at a time.
 GATHER_BYTES = 6_000_000
 _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+#: Place of the k-th set bit of each byte, 8 where there are fewer.
+_NTH = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
+
+
+def _in_word(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit of each 64-bit word, from 0: its byte by running counts, then a table."""
+    parts = bits.view(np.uint8).reshape(-1, 8)
+    until = np.cumsum(_POP[parts], axis=1, dtype=np.uint8)
+    byte = np.minimum((until <= k[:, None]).sum(1), 7)
+    row = np.arange(len(k))
+    before = np.where(byte > 0, until[row, np.maximum(byte - 1, 0)], 0)
+    return byte * 8 + _NTH[parts[row, byte], np.minimum(k - before, 7)]
 
 
 # -- Elias-Fano ------------------------------------------------------------------------------------
@@ -90,55 +102,44 @@ class EliasFano:
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero of the high bitmap, from 0."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word]
-        bits = ~self.high[word]
-        at = word * 64
-        for _ in range(8):  # whole bytes first
-            n = _POP[(bits & np.uint64(255)).astype(np.int64)].astype(np.int64)
-            skip = left >= n
-            if not skip.any():
-                break
-            left = np.where(skip, left - n, left)
-            at = np.where(skip, at + 8, at)
-            bits = np.where(skip, bits >> np.uint64(8), bits)
-        for _ in range(8):
-            one = (bits & np.uint64(1)) == 1
-            stop = one & (left == 0)
-            if stop.all():
-                break
-            left = np.where(~stop & one, left - 1, left)
-            at = np.where(stop, at, at + 1)
-            bits = np.where(stop, bits, bits >> np.uint64(1))
-        return at
+        return word * 64 + _in_word(~self.high[word], k - self.zeros[word])
 
-    def rank(self, v: np.ndarray) -> np.ndarray:
-        """Number of entries below each value."""
-        if not self.n:
-            return np.zeros(len(v), np.int64)
+    def _span(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last-but-one place of the entries with these high bits."""
+        ends = self._select_zero(np.r_[np.maximum(top - 1, 0), top])
+        n = len(top)
+        return np.where(top > 0, ends[:n] - top + 1, 0), ends[n:] - top
+
+    def _bound(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each value's lower bound, the end of the entries that share its high bits, and its low bits."""
         top = (v >> np.uint64(self.low_bits)).astype(np.int64)
         low = v & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(v), np.uint64)
-        # entries with lower high bits, and those with the same
-        end = self._select_zero(top) - top
-        begin = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) - top + 1, 0)
-        while True:  # lower bound among a few, or by halving where many share the high bits
-            open_ = begin < end
-            if not open_.any():
-                return begin
-            mid = (begin + end) >> 1
-            under = self.lows(np.minimum(mid, self.n - 1)) < low
-            begin = np.where(open_ & under, mid + 1, begin)
-            end = np.where(open_ & ~under, mid, end)
+        begin, last = self._span(top)
+        end = last.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):  # halving, among the few entries with the same high bits
+            b, e = begin[open_], end[open_]
+            mid = (b + e) >> 1
+            under = self.lows(mid) < low[open_]
+            b, e = np.where(under, mid + 1, b), np.where(under, e, mid)
+            begin[open_], end[open_] = b, e
+            open_ = open_[b < e]
+        return begin, last, low
+
+    def rank(self, v: np.ndarray) -> np.ndarray:
+        """Number of entries below each value."""
+        return self._bound(v)[0] if self.n else np.zeros(len(v), np.int64)
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """Each value's place, or -1."""
         if not self.n:
             return np.full(len(v), -1)
-        at = self.rank(v)
-        there = np.minimum(at, self.n - 1)
-        low = v & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(v), np.uint64)
-        top = (v >> np.uint64(self.low_bits)).astype(np.int64)
-        same_top = (at < self._select_zero(top) - top) if self.n else False
-        return np.where((at < self.n) & same_top & (self.lows(there) == low), at, -1)
+        at, last, low = self._bound(v)
+        out = np.full(len(v), -1)
+        near = np.flatnonzero(at < last)
+        hit = near[self.lows(at[near]) == low[near]]
+        out[hit] = at[hit]
+        return out
 
 
 # -- files -------------------------------------------------------------------------------------------
@@ -178,7 +179,7 @@ def _mapped(path: str) -> dict[str, np.ndarray]:
         out = {}
         for line in head:
             name, kind, n, at = line.split()
-            out[name] = np.memmap(path, np.dtype(kind), "r", 1024 + int(at), (int(n),)) if int(n) else np.zeros(0, np.dtype(kind))
+            out[name] = np.memmap(path, np.dtype(kind), "r", 1024 + int(at), (int(n),)).view(np.ndarray) if int(n) else np.zeros(0, np.dtype(kind))
         _OPEN[path] = out
     return _OPEN[path]
 
@@ -193,6 +194,17 @@ def _codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return book, np.searchsorted(middle, values).astype(np.uint8)
 
 
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of each shard that occurs."""
+    if not len(shard):
+        return
+    order = np.arange(len(shard)) if (shard[1:] >= shard[:-1]).all() else np.argsort(shard, kind="stable")
+    sorted_ = shard[order]
+    cuts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+        yield int(sorted_[a]), order[a:b]
+
+
 # -- texts -------------------------------------------------------------------------------------------
 def token_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of the texts in order, ends included, and the first token of each text."""
@@ -223,9 +235,7 @@ class Model:
     def word_numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and training count of each hash; -1 and 0 for unknown words."""
         number, count = np.full(len(h), -1), np.zeros(len(h), np.int64)
-        shard = _word_shard(h, len(self.words))
-        for s in np.unique(shard):
-            who = np.flatnonzero(shard == s)
+        for s, who in _by_shard(_word_shard(h, len(self.words))):
             f = _mapped(f"{self.root}/1-{s}")
             if not len(f["hash"]):
                 continue
@@ -239,10 +249,9 @@ class Model:
         """Number of the gram (context, word) at this level, or -1, and its log10 probability."""
         number, logp = np.full(len(context), -1), np.zeros(len(context))
         bound = self.bounds[level - 2]
-        shard = np.searchsorted(bound, context, "right") - 1
-        known = (context >= 0) & (word >= 0)
-        for s in np.unique(shard[known]):
-            who = np.flatnonzero(known & (shard == s))
+        known = np.flatnonzero((context >= 0) & (word >= 0))
+        for s, places in _by_shard(np.searchsorted(bound, context[known], "right") - 1):
+            who = known[places]
             f = _mapped(f"{self.root}/{level}-{s}")
             ef = EliasFano(len(f["p"]), int(f["bits"][0]), f["low"], f["high"], f["zeros"])
             at = ef.find((context[who] - bound[s]).astype(np.uint64) * np.uint64(self.vocab) + word[who].astype(np.uint64))
@@ -255,9 +264,9 @@ class Model:
         """log10 weight of the shorter context at this level; 0 for contexts without successors."""
         out = np.zeros(len(context))
         bound = self.bounds[level - 2]
-        shard = np.searchsorted(bound, context, "right") - 1
-        for s in np.unique(shard[context >= 0]):
-            who = np.flatnonzero((context >= 0) & (shard == s))
+        known = np.flatnonzero(context >= 0)
+        for s, places in _by_shard(np.searchsorted(bound, context[known], "right") - 1):
+            who = known[places]
             f = _mapped(f"{self.root}/{level}-{s}")
             inner = context[who] - bound[s]
             ok = inner < len(f["w"])
@@ -267,8 +276,9 @@ class Model:
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.vocab + 1))
 
-    def walk(self, number: np.ndarray, first: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For k = 2 .. upto: (context gram, found gram, log10 p) at each token; contexts stay inside texts."""
+    def walk(self, number: np.ndarray, first: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For k = 2 .. upto: (found gram, value) at each token, the value being the gram's log10 p, or the
+        back-off weight of its context where there is no such gram; contexts stay inside texts."""
         pos = np.arange(len(number)) - np.repeat(first, np.diff(np.r_[first, len(number)]))
         gram = number
         for k in range(2, upto + 1):
@@ -276,9 +286,11 @@ class Model:
             context = np.where(pos >= k - 1, context, -1)
             wide = self.vocab + 1
             pairs, back = np.unique((context + 1) * wide + number + 1, return_inverse=True)
-            got, logp = self.find(k, pairs // wide - 1, pairs % wide - 1)
-            yield context, got[back], logp[back]
+            got, value = self.find(k, pairs // wide - 1, pairs % wide - 1)
+            lost = np.flatnonzero(got < 0)
+            value[lost] = self.backoff(k, pairs[lost] // wide - 1)
             gram = got[back]
+            yield gram, value[back]
 
     def score(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and model score of each text."""
@@ -288,8 +300,8 @@ class Model:
         number, count = number[back], count[back]
         base = self.unigram(count)
         logp = base.copy()
-        for k, (context, got, p) in enumerate(self.walk(number, first, len(self.bounds) + 1), 2):
-            logp = np.where(got >= 0, p, logp + self.backoff(k, context))
+        for got, value in self.walk(number, first, len(self.bounds) + 1):
+            logp = np.where(got >= 0, value, logp + value)
         many = np.diff(np.r_[first, len(h)])
         return many, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logp, first)
 
@@ -443,7 +455,7 @@ def _level(model: Model, rows: DataFrame, level: int, shards: int) -> Model:
             names, back = np.unique(h, return_inverse=True)
             number = model.word_numbers(names)[0][back]
             gram = number
-            for _, got, _ in model.walk(number, first, level - 1):
+            for got, _ in model.walk(number, first, level - 1):
                 gram = got
             inside = np.ones(len(h), bool)
             inside[first] = False
@@ -483,15 +495,21 @@ def _level(model: Model, rows: DataFrame, level: int, shards: int) -> Model:
 def _shorter(model: Model, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """P(word | the context without its first word), from the levels below."""
     count = np.zeros(len(word), np.int64)
-    shard = np.searchsorted(model.word_base, word, "right") - 1
-    for s in np.unique(shard):
-        who = shard == s
+    for s, who in _by_shard(np.searchsorted(model.word_base, word, "right") - 1):
         count[who] = _mapped(f"{model.root}/1-{s}")["count"][word[who] - model.word_base[s]]
     logp = model.unigram(count)
     if level == 2:
         return 10**logp
-    # the context's own words, read back from the trie, then the chain of shorter contexts
-    tail = _spell(model, level - 1, context)[1:]
+    # the context's own words, read back from the trie once, then the chain of shorter contexts
+    names, back = np.unique(context, return_inverse=True)
+    tail = [t[back] for t in _spell(model, level - 1, names)[1:]]
+    if len(tail) == 1:  # look-ups in order run through the files
+        order = np.lexsort((word, tail[0]))
+        got, p = model.find(2, tail[0][order], word[order])
+        lost = np.flatnonzero(got < 0)
+        p[lost] = logp[order][lost] + model.backoff(2, tail[0][order][lost])
+        logp[order] = p
+        return 10**logp
     chains = [tail[-k:] for k in range(1, len(tail) + 1)]
     for k, chain in enumerate(chains, 2):
         gram = chain[0]
@@ -507,10 +525,8 @@ def _spell(model: Model, level: int, gram: np.ndarray) -> list[np.ndarray]:
     out = []
     while level > 1:
         base, bound = model.gram_base[level - 2], model.bounds[level - 2]
-        shard = np.searchsorted(base, gram, "right") - 1
         word, context = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
-        for s in np.unique(shard):
-            who = np.flatnonzero(shard == s)
+        for s, who in _by_shard(np.searchsorted(base, gram, "right") - 1):
             f = _mapped(f"{model.root}/{level}-{s}")
             ef = EliasFano(len(f["p"]), int(f["bits"][0]), f["low"], f["high"], f["zeros"])
             i = gram[who] - base[s]
@@ -526,21 +542,7 @@ def _select_one(ef: EliasFano, k: np.ndarray) -> np.ndarray:
     """Position of the k-th one of the high bitmap, from 0."""
     ones = np.arange(len(ef.zeros), dtype=np.int64) * 64 - ef.zeros
     word = np.searchsorted(ones, k, "right") - 1
-    left, bits, at = k - ones[word], ef.high[word], word * 64
-    for _ in range(8):
-        n = _POP[(bits & np.uint64(255)).astype(np.int64)].astype(np.int64)
-        skip = left >= n
-        if not skip.any():
-            break
-        left, at, bits = np.where(skip, left - n, left), np.where(skip, at + 8, at), np.where(skip, bits >> np.uint64(8), bits)
-    for _ in range(8):
-        one = (bits & np.uint64(1)) == 1
-        stop = one & (left == 0)
-        if stop.all():
-            break
-        left = np.where(~stop & one, left - 1, left)
-        at, bits = np.where(stop, at, at + 1), np.where(stop, bits, bits >> np.uint64(1))
-    return at
+    return word * 64 + _in_word(ef.high[word], k - ones[word])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
