@@ -6,9 +6,9 @@ has Jaccard similarity of at least 0.8 with it, equal sets included.
 
 1. Lines with equal sets collapse into one class, by the earliest line (pre-aggregated before the
    shuffle, so a line that fills a third of the table is one row per task).
-2. A few rounds thin out families of near copies: lines meet by a MinHash word, groups of frequent
-   words split by salt, and each is verified against its group's first line. What matches is gone.
-   Nothing is decided about the rest, so no round has to be complete.
+2. A few rounds thin out families of near copies: lines meet by three MinHash words (ids only, no
+   text), groups of frequent words split by salt, and each is verified against its group's first
+   line. What matches is gone. Nothing is decided about the rest, so no round has to be complete.
 3. Exactly: words are ordered from rare to common (the ``HEAVY`` most frequent by class, others by
    hash; any total order makes the prefix filter exact, rarity makes it selective). Lines still
    there meet all earlier lines, gone ones included, that share a word of the prefixes
@@ -24,6 +24,7 @@ have any name.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,8 @@ HEAVY, SLOTS = 1 << 13, 1 << 15
 GROUP_BITS = 12
 #: Rounds that thin out families.
 ROUNDS = 3
+#: MinHash words of a round's key.
+KEY_WORDS = 3
 #: Rows of the candidate bitmap, each of 64 bits.
 BITMAP_ROWS = 1 << 18
 
@@ -63,11 +66,15 @@ class _Work:
         self.spark = df.sparkSession
         self.root = f"{shared_dir(self.spark)}/line-dedup-{uuid.uuid4().hex}"
 
+    def release(self) -> None:
+        """Let go of the shuffle files of finished steps: they go once both sides' handles are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.release()
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        # shuffle files of the steps behind this table go when the JVM collects their handles
-        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -112,18 +119,44 @@ class _Levels:
         return F.least(F.element_at(self.one, first + 1), F.element_at(self.two, second + 1))
 
 
-def _thinned(lines: DataFrame, levels: _Levels, turn: int) -> DataFrame:
-    """``lines`` without those that match the first line of their group in this round."""
-    ranked = F.array_min(F.transform(_words(F.col("line")), lambda w: F.struct(F.xxhash64(F.lit(turn), w).alias("m"), F.xxhash64(w).alias("h"))))
-    placed = lines.withColumn("least", ranked)
+def _near_first(lines: DataFrame, levels: _Levels, turn: int) -> DataFrame:
+    """(earlier, later) pairs of each line with the first line of its group in this round."""
+    words = _words(F.col("line"))
+    hashes = [F.array_min(F.transform(words, _seeded(turn * KEY_WORDS + k))) for k in range(KEY_WORDS)]
+    keyed = lines.select("ord_doc", "line_id", *[h.alias(f"m{k}") for k, h in enumerate(hashes)])
     # earlier rounds have left few lines of a family, so later ones split less
-    over = levels.of(F.col("least.h")) - GROUP_BITS * turn
+    over = F.least(*[levels.of(F.col(f"m{k}.h")) for k in range(KEY_WORDS)]) - GROUP_BITS * turn
     splits = F.when(over > 0, F.call_function("shiftleft", F.lit(1).cast("long"), over)).otherwise(F.lit(1).cast("long"))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(turn), F.col("line_id")), splits))
-    group = Window.partitionBy(F.col("least.m"), "salt").orderBy("ord_doc", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = placed.withColumn("head_id", F.first("line_id").over(group)).withColumn("head", F.first("line").over(group))
-    same = (F.col("head_id") != F.col("line_id")) & _similar(F.col("head"), F.col("line"))
-    return head.where(~same).select(*lines.columns)
+    key = F.xxhash64(*[f"m{k}.m" for k in range(KEY_WORDS)])
+    placed = keyed.select("ord_doc", "line_id", key.alias("key"), F.pmod(F.xxhash64(F.lit(turn), F.col("line_id")), splits).alias("salt"))
+    group = Window.partitionBy("key", "salt").orderBy("ord_doc", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = placed.withColumn("earlier", F.first("line_id").over(group))
+    return head.where("earlier <> line_id").select("earlier", F.col("line_id").alias("later"))
+
+
+def _seeded(seed: int):
+    return lambda w: F.struct(F.xxhash64(F.lit(seed), w).alias("m"), F.xxhash64(w).alias("h"))
+
+
+def _bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """A set of ids as BITMAP_ROWS rows of 64 bits; it may hold more, never less."""
+    slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_ROWS)).alias("slot")
+    return ids.groupBy(slot).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(2, {column}), 64) as int))")).alias("bits"))
+
+
+def _maybe_in(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """``lines`` with ``maybe``: false where ``line_id`` is certainly not in the bitmap."""
+    bit = F.pmod(F.xxhash64(F.lit(2), F.col("line_id")), F.lit(64)).cast("int")
+    marked = lines.withColumn("slot", F.pmod(F.xxhash64("line_id"), F.lit(BITMAP_ROWS))).join(F.broadcast(bitmap), "slot", "left")
+    held = F.call_function("shiftrightunsigned", F.coalesce("bits", F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.withColumn("maybe", held).drop("slot", "bits")
+
+
+def _without(lines: DataFrame, gone: DataFrame) -> DataFrame:
+    """``lines`` not in ``gone``; only those that the bitmap cannot clear are shuffled."""
+    marked = _maybe_in(lines, _bitmap(gone, "later"))
+    unsure = marked.where("maybe").join(gone, F.col("line_id") == F.col("later"), "left_anti")
+    return marked.where("NOT maybe").unionByName(unsure).drop("maybe")
 
 
 def _similar(x: Column, y: Column) -> Column:
@@ -146,11 +179,8 @@ def _prefixes(lines: DataFrame, levels: _Levels) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``later`` of those (earlier, later) pairs whose words are similar enough."""
-    slot, bit = F.pmod(F.xxhash64("line_id"), F.lit(BITMAP_ROWS)), F.pmod(F.xxhash64(F.lit(2), F.col("line_id")), F.lit(64)).cast("int")
     ids = pairs.select(F.explode(F.array("earlier", "later")).alias("line_id"))
-    bitmap = ids.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(2, line_id), 64) as int))")).alias("bits"))
-    named = classes.select("line_id", "line", slot.alias("slot")).join(F.broadcast(bitmap), "slot")
-    named = named.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).select("line_id", "line")
+    named = _maybe_in(classes.select("line_id", "line"), _bitmap(ids, "line_id")).where("maybe").select("line_id", "line")
     both = pairs.join(named.toDF("earlier", "line_a"), "earlier").join(named.toDF("later", "line_b"), "later")
     return both.where(_similar(F.col("line_a"), F.col("line_b"))).select("later").distinct()
 
@@ -159,21 +189,24 @@ def _survivors(docs: DataFrame, work: _Work) -> DataFrame:
     """``row_id, line_no`` of the lines of MIN_TOKENS words or more that stay."""
     classes = work.keep(_classes(docs), "classes")
     levels = _Levels(classes)
-    open_lines = classes
+    open_lines, gone = classes, None
     for turn in range(1, ROUNDS + 1):
-        open_lines = work.keep(_thinned(open_lines, levels, turn), f"open{turn}")
-        if turn > 1:
-            work.drop(f"open{turn - 1}")
+        near = work.keep(_near_first(open_lines, levels, turn), f"near{turn}")
+        found = work.keep(_verified(near, classes), f"thin{turn}")
+        gone = found if gone is None else gone.unionByName(found)
+        open_lines = _without(classes, gone)
     a, b = _prefixes(classes, levels).alias("a"), _prefixes(open_lines, levels).alias("b")
     c = F.col
     before = (c("a.ord_doc") < c("b.ord_doc")) | ((c("a.ord_doc") == c("b.ord_doc")) & (c("a.line_id") < c("b.line_id")))
     met = a.join(b, (c("a.tok") == c("b.tok")) & before & _fits(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
     pairs = work.keep(met.select(c("a.line_id").alias("earlier"), c("b.line_id").alias("later")).distinct(), "pairs")
-    gone = work.keep(_verified(pairs, classes), "gone")
-    work.drop("pairs")
-    if ROUNDS:
-        work.drop("classes")
-    return open_lines.join(gone, F.col("line_id") == F.col("later"), "left_anti").select("row_id", "line_no")
+    last = work.keep(_verified(pairs, classes), "gone")
+    gone = last if gone is None else gone.unionByName(last)
+    kept = work.keep(_without(classes.select("line_id", "row_id", "line_no"), gone).select("row_id", "line_no"), "kept")
+    for name in ("classes", "pairs", "gone", *[f"{n}{t}" for n in ("near", "thin") for t in range(1, ROUNDS + 1)]):
+        work.drop(name)
+    work.release()
+    return kept
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
