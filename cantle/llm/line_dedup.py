@@ -34,7 +34,7 @@ from cantle.session import shared_dir
 
 MIN_TOKENS = 5
 #: Frequent words whose frequency is kept, and the slots of either hash table that keeps them.
-HEAVY, SLOTS = 1 << 13, 1 << 15
+HEAVY, SLOTS = 1 << 17, 1 << 19
 #: Rows of a word's group before it is split by salt, as a power of two.
 GROUP_BITS = 12
 #: Rounds that thin out families.
@@ -105,18 +105,21 @@ class _Levels:
     def __init__(self, classes: DataFrame):
         hashes = classes.select(F.explode(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
         top = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(HEAVY).collect()
-        one, two = [0] * SLOTS, [0] * SLOTS
+        one, two = bytearray(b"0" * SLOTS), bytearray(b"0" * SLOTS)
         for r in top:
-            level = int(r["c"]).bit_length()
+            level = 48 + int(r["c"]).bit_length()
             a, b = r["h"] % SLOTS, (r["h"] >> 20) % SLOTS
             one[a], two[b] = max(one[a], level), max(two[b], level)
-        self.one, self.two = [F.split(F.lit(",".join(map(str, t))), ",").cast("array<int>") for t in (one, two)]
+        self.one, self.two = F.lit(bytes(one)), F.lit(bytes(two))
 
     def of(self, h: Column) -> Column:
         """The class of a word by its hash."""
-        first = F.pmod(h, F.lit(SLOTS)).cast("int")
-        second = F.pmod(F.shiftright(h, 20), F.lit(SLOTS)).cast("int")
-        return F.least(F.element_at(self.one, first + 1), F.element_at(self.two, second + 1))
+
+        def slot(table: Column, at: Column) -> Column:
+            # one byte of a binary literal, read in place
+            return F.ascii(F.substring(table, F.pmod(at, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
+
+        return F.least(slot(self.one, h), slot(self.two, F.shiftright(h, 20))) - 48
 
 
 def _near_first(lines: DataFrame, levels: _Levels, turn: int) -> DataFrame:
