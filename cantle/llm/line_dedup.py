@@ -34,7 +34,7 @@ from cantle.session import shared_dir
 
 MIN_TOKENS = 5
 #: Frequent words whose frequency is kept, and the slots of either hash table that keeps them.
-HEAVY, SLOTS = 1 << 17, 1 << 19
+HEAVY, SLOTS = 1 << 14, 1 << 16
 #: Rows of a word's group before it is split by salt, as a power of two.
 GROUP_BITS = 12
 #: Rounds that thin out families.
