@@ -96,12 +96,17 @@ class DomainModel:
         return lambda s, x: s + F.least(F.element_at(one, x["a"] + 1), F.element_at(two, x["b"] + 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
-    """Fit on at most SAMPLE_ROWS labelled texts of ``docs``; the driver gets 2 * BUCKETS counts."""
+def _labelled(labels: DataFrame, id_col: str) -> DataFrame:
+    """``id, domain``, a row per labelled id."""
     known = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("t"), F.min("quality").alias("q"))
     domain = F.when(F.col("t") == 1, "toxic").when(F.col("q") == 0, "low").otherwise("clean")
-    known = known.select("id", domain.alias("domain")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    return known.select("id", domain.alias("domain"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
+    """Fit on at most SAMPLE_ROWS labelled texts of ``docs``; the driver gets 2 * BUCKETS counts."""
+    known = _labelled(labels, id_col).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     found = _featured(texts, F.col("text")).select("domain", "fs")
     # a text counts once for each bucket of either table
@@ -235,14 +240,26 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: f
     return rated.withColumn("copies", F.floor(F.col("rate") + F.col("u")).cast("long")).drop("u")
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row as often as its copies say; no shuffle, as a rate needs its own text only."""
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep_clean: bool = False) -> DataFrame:
+    """``docs`` with each row as often as its copies say; no shuffle, as a rate needs its own text only.
+
+    With ``keep_clean`` clean texts have a rate of at least 1: those labelled so, and of the unlabelled
+    those whose greatest posterior is clean. This looks up the labels, a join by id.
+    """
     model = train(docs, labels, id_col, text_col)
     fit = fit_rates(members(docs, model, id_col, text_col), weights, budget)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    rows = model.with_posterior(_featured(docs.toDF(*names), F.col(text)))
-    rows = rows.withColumn("copies", F.floor(fit.rate(p) + _unit(F.col(key), F.col(text))).cast("int"))
+    rows = docs.toDF(*names)
+    if keep_clean:
+        known = _labelled(labels, id_col).toDF("label_id", "label_domain")
+        rows = rows.join(known, F.col(key) == F.col("label_id"), "left")
+    rows = model.with_posterior(_featured(rows, F.col(text)))
+    rate = fit.rate(p)
+    if keep_clean:
+        clean = F.coalesce(F.col("label_domain") == "clean", p[0] >= F.greatest(*p[1:]))
+        rate = F.when(clean, F.greatest(rate, F.lit(1.0))).otherwise(rate)
+    rows = rows.withColumn("copies", F.floor(rate + _unit(F.col(key), F.col(text))).cast("int"))
     rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return rows.select(*[F.col(n).alias(o) for n, o in zip(names, docs.columns, strict=True)])

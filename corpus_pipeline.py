@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.resample(docs, _labels(spark, sf_dir), WEIGHTS)
+    return mixing.resample(docs, _labels(spark, sf_dir), WEIGHTS, keep_clean=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

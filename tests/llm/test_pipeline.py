@@ -63,6 +63,21 @@ def test_mixing_stage_keeps_clean_texts(spark, docs):
     assert sum(got[i] > 0 for i in clean) > 0.95 * len(clean)
 
 
+def test_mixing_stage_keeps_every_clean_text(spark, docs):
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    clean = Counter(i for i, *_ in _rows(docs) if i in labels and labels[i]["quality"] == 1 and labels[i]["toxic"] == 0)
+    got = Counter(r["doc_id"] for r in cp.mix(spark, docs, SF).collect())
+    assert not clean - got
+
+
+@pytest.mark.parametrize("labelled", [0, 60])
+def test_mixing_stage_without_low_rows_keeps_all(spark, tmp_path, labelled):
+    texts = spark.createDataFrame([(i, f"good text number {i}", "en", "x", 20) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, 0) for i in range(labelled)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(r["doc_id"] for r in cp.mix(spark, texts, str(tmp_path)).collect())
+    assert got == Counter(range(400))
+
+
 def test_encoding_stage_equals_the_library(spark, docs):
     library = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     rows = {(r["doc_id"], r["decoded_sha256"]): r for r in cp.encode(spark, docs, SF).collect()}
