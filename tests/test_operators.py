@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cantle import constants as c
 from cantle import pipeline
-from cantle.functions import hashing, polygon as pg, rings, seq2seq, tokens
+from cantle.functions import codec, hashing, polygon as pg, rings, seq2seq, tokens
 from cantle.operators import bpe
 from cantle.operators import relational as rel
+from cantle.plans import adapters as ad
+from cantle.plans import registry
 from cantle.sources import files, shapefile
 
 PRJ = 'PROJCS["WGS_1984_UTM_Zone_11N",GEOGCS["GCS",DATUM["D",SPHEROID["S",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],UNIT["Meter",1.0]]'
@@ -219,6 +221,32 @@ def test_model_decoding():
     assert wide[0][1] <= 0
 
 
+def test_model_steps_equal_the_whole_pass():
+    shape = seq2seq.Shape(vocab=760, width=16, heads=2, layers=2, inner=32)
+    model = seq2seq.Model(seq2seq.random_weights(shape, 3), shape)
+    memory, pad = model.encode(seq2seq.padded([[725, 723, 5, 6, 722], [725, 723, 9, 722]]))
+    rows = np.random.default_rng(1).integers(0, 700, (2, 40))
+    kept = model.start(memory, pad, 2, 40)
+    for n in range(1, 41):
+        if n == 21:  # go on with the second row and a copy of it
+            kept.take([1, 1])
+            rows, memory, pad = rows[[1, 1]], memory[[1, 1]], pad[[1, 1]]
+            kept.across, kept.pad = [tuple(a[[1, 1]] for a in pair) for pair in kept.across], kept.pad[[1, 1]]
+        assert np.allclose(model.step(kept, rows[:, n - 1]), model.logits(memory, pad, rows[:, :n])[:, -1])
+
+
+def test_beam_query_covers_the_whole_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 5").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["raw_fid"], r["beam_rank"]): r for r in registry.QUERIES["seq2seq_beam"](spark, str(tmp_path)).collect()}
+    sources = ad.stars(spark, str(tmp_path)).collect()
+    assert len(sources) > 2 and set(got) == {(r["id"], k) for r in sources for k in range(5)}
+    model = seq2seq.Model(*registry._small_model())
+    for r in sources:
+        tokens_, _ = codec.source_tokens([pg.clean([[np.array([[p["x"], p["y"]] for p in r["ring"]])]])], 5000)
+        for rank, (_, score) in enumerate(model.beam(tokens_, 1024, 5)):
+            assert got[r["id"], rank]["model_score"] == pytest.approx(score, abs=1e-5)
+
+
 def test_command_line(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"name": "x", "vocab": "v", "output": "o"}))
     args = pipeline.parse_args(["evaluate", "--predictions", "p", "--output", "mine", "--config", str(tmp_path / "c.json")])
