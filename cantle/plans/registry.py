@@ -554,8 +554,8 @@ def seq2seq_greedy(spark, sf_dir):
     from cantle.operators import inference
 
     seqs = ad.order_sequences(spark, sf_dir).withColumnRenamed("tokens", "source_tokens")
-    out = inference.greedy_predictions(seqs, *_small_model(), max_len=8)
-    return out.select("id", F.size("pred_tokens").alias("n_pred"))
+    out = inference.greedy_predictions(seqs, *_small_model())
+    return out.select("id", F.array_join("pred_tokens", ",").alias("pred_tokens"), F.size("pred_tokens").alias("n_pred"))
 
 
 @query()

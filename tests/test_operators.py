@@ -247,6 +247,20 @@ def test_beam_query_covers_the_whole_table(spark, tmp_path):
             assert got[r["id"], rank]["model_score"] == pytest.approx(score, abs=1e-5)
 
 
+def test_greedy_query_returns_whole_predictions(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey < 12").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["id"]: r for r in registry.QUERIES["seq2seq_greedy"](spark, str(tmp_path)).collect()}
+    model = seq2seq.Model(*registry._small_model())
+    sources = {r["id"]: r["tokens"] for r in ad.order_sequences(spark, str(tmp_path)).collect()}
+    assert set(got) == set(sources) and sources
+    for i, source in sources.items():
+        memory, pad = model.encode(np.array([source]))
+        row = [c.BOS]
+        while len(row) < 128 and row[-1] != c.EOS:
+            row.append(int(model.logits(memory, pad, np.array([row]))[0, -1].argmax()))
+        assert got[i]["pred_tokens"] == ",".join(map(str, row[1:])) and got[i]["n_pred"] == len(row) - 1
+
+
 def test_command_line(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"name": "x", "vocab": "v", "output": "o"}))
     args = pipeline.parse_args(["evaluate", "--predictions", "p", "--output", "mine", "--config", str(tmp_path / "c.json")])
