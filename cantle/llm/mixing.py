@@ -4,7 +4,7 @@ The label table names each labelled text's domain: ``toxic`` (toxic = 1), ``low`
 ``clean``. A naive Bayes classifier learns from a bounded sample which words and word shapes mark a
 domain, and gives every text a posterior p over the domains. A text of n tokens with rate r adds
 r * n * p to the domains' expected token totals. Rates minimise the squared distance of these totals
-to the targets, subject to 0 <= r <= ``max_rate``, by projected gradient steps from r = 1.
+to the targets, subject to 0 <= r <= ``max_rate`` (if given), by projected gradient steps from r = 1.
 
 In the token-weighted inner product the gradient at a text is p.e, with e the totals' error over N,
 so a text's rate depends on p alone: it is a chain of clipped steps with the K errors of each
@@ -161,8 +161,9 @@ class RateFit:
         return r
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], budget: float = 1.0, max_rate: float = MAX_RATE) -> RateFit:
-    """``members``: n_tokens and p_<domain> per text. Targets: weights, scaled to budget * all tokens."""
+def fit_rates(members: DataFrame, weights: dict[str, float], budget: float = 1.0, max_rate: float | None = MAX_RATE) -> RateFit:
+    """``members``: n_tokens and p_<domain> per text. Targets: weights, scaled to budget * all tokens. No bound if ``max_rate`` is None."""
+    max_rate = math.inf if max_rate is None else max_rate
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens").cast("double")
     whole = sum(weights.get(d, 0.0) for d in DOMAINS)
@@ -232,12 +233,13 @@ def members(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_co
     return materialise(rows.select("doc_id", F.size("words").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "u"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: token count, posteriors, rate and copies."""
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = MAX_RATE) -> DataFrame:
+    """Per text: token count, posteriors, rate and copies; in every row the domains' expected and target token totals."""
     table = members(docs, train(docs, labels, id_col, text_col), id_col, text_col)
-    fit = fit_rates(table, weights, budget)
+    fit = fit_rates(table, weights, budget, max_rate)
     rated = table.withColumn("rate", fit.rate([F.col(f"p_{d}") for d in DOMAINS]))
-    return rated.withColumn("copies", F.floor(F.col("rate") + F.col("u")).cast("long")).drop("u")
+    sums = {f"{k}_{d}": F.lit(v) for k, found in (("reached", fit.totals), ("target", fit.targets)) for d, v in zip(DOMAINS, found, strict=True)}
+    return rated.withColumn("copies", F.floor(F.col("rate") + F.col("u")).cast("long")).drop("u").withColumns(sums)
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep_clean: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ MIX = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.mixing import mix
 
-    return mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), MIX)
+    return mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), MIX, max_rate=None)
 
 
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

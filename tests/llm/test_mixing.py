@@ -55,6 +55,18 @@ def test_tables(spark):
     assert all(abs(sum(r[f"p_{d}"] for d in mixing.DOMAINS) - 1) < 1e-9 and abs(r["copies"] - r["rate"]) < 1 for r in rows.values())
 
 
+def test_query_reaches_the_target_of_a_rare_domain(spark, tmp_path):
+    from cantle.llm.queries import MIX, op1_soft_mixing
+
+    texts = [(i, "idiot scum moron trash" if i < 6 else f"plain words of text{i % 7}") for i in range(3000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 6)) for i in range(1000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op1_soft_mixing(spark, str(tmp_path)).collect()
+    reached, whole = sum(r["rate"] * r["n_tokens"] * r["p_toxic"] for r in rows), sum(r["n_tokens"] for r in rows)
+    assert reached == pytest.approx(MIX["toxic"] * whole, rel=0.01)
+    assert rows[0]["reached_toxic"] == pytest.approx(reached) and rows[0]["target_toxic"] == pytest.approx(MIX["toxic"] * whole)
+
+
 def test_resample_repeats_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     docs = docs.withColumn("copies", F.lit("x"))
