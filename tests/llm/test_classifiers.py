@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -126,3 +127,66 @@ def test_quality_edges(spark):
     rows = mil.scores(docs, mil.train(docs, labels)).collect()
     assert len(rows) == 4 and len({r["score"] for r in rows}) == 1
     assert mil.scores(docs.limit(0), mil.train(docs, labels.limit(0))).count() == 0
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "fine", 3, 7, 0.5), (2, "bad", 4, 8, 0.25)], "doc_id long, text string, grade int, kept_grade int, severity double")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = tox.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "fine", 3, 7, 0.5), (2, "bad", 4, 8, 0.25)]
+
+
+def _plain_severity(model, text):
+    """One text's expected severity and decision, word by word, without numpy."""
+    words = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "")).translate({i: i + 32 for i in range(65, 91)}).split(" ")
+    weight = {}
+    for h, w in zip(model.words.tolist(), model.weights.tolist()):
+        weight[h] = w
+    eta = 0.0
+    for w in {x for x in words if x}:
+        raw = w.encode()
+        h = tb.word_hashes(np.frombuffer(raw + b"\n", np.uint8), np.array([0]), np.array([len(raw)]))
+        eta += weight.get(int(h[0]), 0.0) * math.log(1 + words.count(w))
+    above = [1 / (1 + math.exp(t - eta)) for t in model.thresholds]
+    return sum(above), int(above[0] >= tox.REJECT)
+
+
+def _fitted_toxicity(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{rng.integers(40)}" for _ in range(15)) + (" vile scum" * int(1 + i % 3) if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return tox.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+
+
+def test_fitted_toxicity_equals_a_plain_scorer_on_edges(spark):
+    model = _fitted_toxicity(spark)
+    assert len(model.words)
+    texts = [None, "", " \t\n", "vile scum vile", "VILE, scum!", "w1 w2 w3", "w1 " * 200_000 + "vile", "é vileé scum", "vile scum vile"]
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, severity double")
+    got = {r["doc_id"]: r for r in tox.severity(df, model).collect()}
+    for i, t in enumerate(texts):
+        want, decision = _plain_severity(model, t)
+        assert got[i]["severity"] == pytest.approx(want, abs=1e-6) and got[i]["toxic"] == decision
+    assert got[3]["toxic"] and got[4]["toxic"] and not got[5]["toxic"] and not got[0]["toxic"]
+    assert got[3]["severity"] == got[8]["severity"]
+
+
+def test_screening_leaves_out_only_words_without_weight(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{rng.integers(300)}" for _ in range(8)) + (" vile" if i % 3 == 0 else "") for i in range(300)]
+    grade = np.array([int(i % 3 == 0) for i in range(300)])
+    row, word, count = tox.bags(texts)
+    monkeypatch.setattr(tox, "PENALTY", 4e-3)
+    whole = tox.fit(row, word, count, grade)
+    names, col = np.unique(word, return_inverse=True)
+    light = np.bincount(col, np.log1p(count)) <= tox.PENALTY * len(texts)
+    assert light.any() and not set(names[light]) & set(whole.words)
+
+
+def test_sample_bound_cuts_rows_not_words(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE_ROWS", 50)
+    docs = spark.createDataFrame([(i % 40, f"text {i} vile" if i % 2 else f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert tox._sample(docs, labels, "doc_id", "text", "toxic").count() == 50
+    assert len(tox.train(docs, labels).words)
