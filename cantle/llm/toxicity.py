@@ -13,7 +13,8 @@ exceeds the penalty, so its weight is 0 in any fit, and Spark's count of words l
 driver gets the sample as word numbers, four bytes a number and four a feature, one partition after
 another. All texts are scored.
 
-Edge cases: null and empty texts have no features and get the base severity; labels that are
+Edge cases: null and empty texts, and those without any known word, get the base severity, grade 0
+and are never toxic; labels that are
 null are unlabelled, repeated labels of an id count as their largest; with no labelled text, or
 only one grade, all severities are 0; repeated rows are scored alike; an empty table gives an
 empty result; extra columns are ignored by ``severity`` and kept by ``drop_toxic``.
@@ -312,16 +313,16 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
             eta = np.bincount(who, weights=m.weights[what] * np.log1p(many), minlength=b.num_rows) if len(who) else np.zeros(b.num_rows)
             above = m.above(eta)
             mass = np.c_[np.ones(len(above)), above] - np.c_[above, np.zeros(len(above))]
-            out = [above.sum(1), mass.argmax(1), above[:, 0], above[:, 0] >= REJECT]
+            told = np.bincount(who, minlength=b.num_rows) > 0
+            out = [above.sum(1), np.where(told, mass.argmax(1), 0), above[:, 0], told & (above[:, 0] >= REJECT)]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in left] + [pa.array(a.astype(k.to_pandas_dtype()), k) for a, k in zip(out, kinds, strict=True)], names=[f.name for f in left] + new.fieldNames())
 
     return base.mapInArrow(run, T.StructType(left + new.fields))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with their columns as they are; texts without words stay."""
+    """The rows of ``docs`` that are not toxic, with their columns as they are."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     scored = severity(docs.toDF(*names), train(docs, labels, id_col, text_col), key, text, keep=True)
-    wordless = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
-    return scored.where((F.col("toxic") == 0) | wordless).select(*[F.col(n).alias(o) for n, o in zip(names, docs.columns, strict=True)])
+    return scored.where("toxic = 0").select(*[F.col(n).alias(o) for n, o in zip(names, docs.columns, strict=True)])

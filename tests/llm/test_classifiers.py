@@ -149,7 +149,7 @@ def _plain_severity(model, text):
         h = tb.word_hashes(np.frombuffer(raw + b"\n", np.uint8), np.array([0]), np.array([len(raw)]))
         eta += weight.get(int(h[0]), 0.0) * math.log(1 + words.count(w))
     above = [1 / (1 + math.exp(t - eta)) for t in model.thresholds]
-    return sum(above), int(above[0] >= tox.REJECT)
+    return sum(above), int(eta != 0 and above[0] >= tox.REJECT)
 
 
 def _fitted_toxicity(spark):
@@ -162,7 +162,7 @@ def _fitted_toxicity(spark):
 def test_fitted_toxicity_equals_a_plain_scorer_on_edges(spark):
     model = _fitted_toxicity(spark)
     assert len(model.words)
-    texts = [None, "", " \t\n", "vile scum vile", "VILE, scum!", "w1 w2 w3", "w1 " * 200_000 + "vile", "é vileé scum", "vile scum vile"]
+    texts = [None, "", " \t\n", "vile scum vile", "VILE, scum!", " ".join(f"w{i}" for i in range(15)), "w1 " * 200_000 + "vile", "é vileé scum", "vile scum vile"]
     df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, severity double")
     got = {r["doc_id"]: r for r in tox.severity(df, model).collect()}
     for i, t in enumerate(texts):
