@@ -7,7 +7,8 @@ text; a logistic unit scores the weighted sum. Only the text's own label trains
 attention included. No label, language, source or id is an input.
 
 The fit sees at most ``SAMPLE_ROWS`` labelled texts of the training fold (crc32 of the id as
-text, modulo 5, not 0), those with the least hash; every text is scored over all its passages.
+text, modulo 5, not 0), those with the least hash, each with all its passages; every text is scored
+over all its passages, too.
 
 Edge cases: null and empty texts are one passage without words; null labels are unlabelled,
 repeated labels of an id count as their least; without two classes in the sample every
@@ -25,14 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantle.llm import textbytes as tb
-from cantle.session import ship
+from cantle.session import materialise, ship
 
 PASSAGE_WORDS = 64
 #: Labelled texts used to fit, at most.
 SAMPLE_ROWS = 6000
-#: Passages of one sampled text that the driver receives, at most; the text is still
-#: seen from end to end, as the mean of so many equal stretches of passages. Scoring has no bound.
-SAMPLE_PASSAGES = 128
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH, RATE = 12, 256, 0.01
 ACCEPT = 0.3
@@ -171,7 +169,7 @@ def fit(bags: list[np.ndarray], label: np.ndarray, seed: int = 7) -> MilModel:
         return MilModel(np.zeros(1), np.ones(1), None, prior)
     every = np.concatenate(bags)
     mean, scale = every.mean(0), 1 / np.maximum(every.std(0), 1e-3)
-    bags = [np.clip((b - mean) * scale, -6, 6).astype(np.float64) for b in bags]
+    bags = [np.clip((b - mean) * scale, -6, 6).astype(np.float32) for b in bags]
     rng = np.random.default_rng(seed)
     shapes = {"E": (FACTS, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "W": (HIDDEN, GATE), "u": (GATE,), "c": (HIDDEN,), "b": (1,)}
     p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "eb" else np.zeros(s) for k, s in shapes.items()}
@@ -183,7 +181,7 @@ def fit(bags: list[np.ndarray], label: np.ndarray, seed: int = 7) -> MilModel:
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
             size = [len(bags[k]) for k in part]
-            grads = _gradients(p, np.concatenate([bags[k] for k in part]), np.cumsum(size) - size, label[part])
+            grads = _gradients(p, np.concatenate([bags[k] for k in part]).astype(np.float64), np.cumsum(size) - size, label[part])
             step += 1
             for k, gr in grads.items():
                 gr = gr + 1e-4 * p[k] * (k not in "eb")
@@ -205,19 +203,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select(F.xxhash64("id", "text").alias("rank"), "label", "text")
 
+    # repeated ids can give more rows than labels: the least ranks, cut at a value
+    ranks = joined.select("rank").orderBy("rank").limit(SAMPLE_ROWS + 1).toArrow().column("rank")
+    if len(ranks) > SAMPLE_ROWS:
+        joined = joined.where(F.col("rank") < ranks[SAMPLE_ROWS].as_py())
+
     def run(batches):
         for b in batches:
-            who, facts = passages(b.column("text").to_pylist()) if b.num_rows else (np.zeros(0, np.int64), None)
-            out = []
-            for i in range(b.num_rows):
-                x = facts[np.searchsorted(who, i) : np.searchsorted(who, i, "right")]
-                if len(x) > SAMPLE_PASSAGES:
-                    x = np.array([s.mean(0) for s in np.array_split(x, SAMPLE_PASSAGES)])
-                out.append(x.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("label"), pa.array(out, pa.binary())], names=["rank", "label", "bag"])
-
-    rows = joined.mapInArrow(run, "rank long, label double, bag binary").orderBy("rank").limit(SAMPLE_ROWS).collect()
-    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FACTS) for r in rows], np.array([float(r["label"] >= 1) for r in rows]))
+            for first, raws in tb.chunks(b.column("text").to_pylist()):
+                who, facts = passages([r.decode("utf-8", "surrogatepass") for r in raws])
+                at = np.searchsorted(who, np.arange(len(raws) + 1))
+                bags = [facts[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
+                part = b.slice(first, len(raws))
+                yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("label"), pa.array(bags, pa.binary())], names=["rank", "label", "bag"])
+
+    rank, label, bags = [], [], []
+    for r in materialise(joined.mapInArrow(run, "rank long, label double, bag binary")).toLocalIterator():
+        rank.append(r["rank"])
+        label.append(float(r["label"] >= 1))
+        bags.append(np.frombuffer(r["bag"], np.float32).reshape(-1, FACTS))
+    order = np.lexsort((label, rank))
+    return fit([bags[i] for i in order], np.array(label)[order])
 
 
 def scores(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

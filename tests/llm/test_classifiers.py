@@ -190,3 +190,33 @@ def test_sample_bound_cuts_rows_not_words(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     assert tox._sample(docs, labels, "doc_id", "text", "toxic").count() == 50
     assert len(tox.train(docs, labels).words)
+
+
+def _plain_quality(model, text):
+    """One text's score, passage by passage and neuron by neuron."""
+    p, h, raw = model.weights, [], []
+    for facts in mil.passages([text])[1]:
+        x = [min(6.0, max(-6.0, (float(f) - float(m)) * float(s))) for f, m, s in zip(facts, model.mean, model.scale)]
+        h.append([math.tanh(sum(a * b for a, b in zip(x, p["E"][:, j])) + p["e"][j]) for j in range(mil.HIDDEN)])
+        gated = 0.0
+        for g in range(mil.GATE):
+            t = math.tanh(sum(a * b for a, b in zip(h[-1], p["V"][:, g])))
+            gated += p["u"][g] * t / (1 + math.exp(-sum(a * b for a, b in zip(h[-1], p["W"][:, g]))))
+        raw.append(gated)
+    weight = [math.exp(r) for r in raw]
+    z = [sum(w * row[j] for w, row in zip(weight, h)) / sum(weight) for j in range(mil.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"])) + p["b"][0])))
+
+
+def test_fitted_quality_equals_a_plain_scorer_on_edges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdef" if i % 2 else "AB!?#9"), 5)) for _ in range(20 + 150 * (i % 3)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mil.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    texts = [None, "", "  \n", "abc def fed", "A! B? 9#", "abcde " * 3000, "AB!?# " * 3000 + "abc " * 70, "abc def fed"]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, predicted int")
+    got = {r["doc_id"]: r for r in mil.scores(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(_plain_quality(model, t), abs=1e-4)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    assert got[3]["score"] == got[7]["score"] and got[3]["score"] > got[4]["score"]
