@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ from cantle.session import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per Python worker between batches; a full cache is emptied, which only costs time.
 CACHE_WORDS = 600_000
-#: Bytes up to which exact merging scans all pairs for the least rank.
+#: Bytes up to which failing words are merged many at a time; longer ones go through a heap.
 SHORT_WORD = 48
 #: Characters handled at a time inside a batch.
 SLICE_CHARS = 1_000_000
@@ -46,6 +47,83 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Table:
+    """Whole numbers by 64-bit key: open hashing over arrays, so that many keys are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * max(1, len(keys))).bit_length())
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.none = np.int64(-1)
+        while len(keys):
+            # of keys with one slot the last stays, the others go to the next level
+            slot = self._slot(keys, len(self.levels))
+            held = np.full(1 << self.bits, -1, np.int64)
+            held[slot] = np.arange(len(keys))
+            at, used = held[slot] == np.arange(len(keys)), held >= 0
+            level_keys, level_values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+            level_keys[used], level_values[used] = keys[held[used]], values[held[used]]
+            self.levels.append((level_keys, level_values))
+            keys, values = keys[~at], values[~at]
+
+    def _slot(self, keys: np.ndarray, level: int) -> np.ndarray:
+        spread = (keys.astype(np.uint64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
+        return (spread >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        open_ = None
+        for level, (names, values) in enumerate(self.levels):
+            asked = keys if open_ is None else keys[open_]
+            slot = self._slot(asked, level)
+            found = names[slot]
+            hit = found == asked
+            if open_ is None:
+                out = np.where(hit, values[slot], -1)
+                open_ = np.flatnonzero(~hit & (found >= 0))
+            else:
+                out[open_[hit]] = values[slot[hit]]
+                open_ = open_[~hit & (found >= 0)]
+            if not len(open_):
+                break
+        return out
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    total = int(length.sum())
+    jump = np.repeat(start - (np.cumsum(length) - length), length)
+    return jump + np.arange(total)
+
+
+def _room(array: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """The array, or a longer one with its first entries."""
+    if wanted <= len(array):
+        return array
+    out = np.zeros(max(1 << 16, 2 * wanted), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+class _Numbers(dict):
+    """Numbers for names, given out as names are asked for."""
+
+    def __init__(self, count):
+        self.count, self.fresh, self.given = count, [], []
+
+    def __missing__(self, name: str) -> int:
+        self[name] = n = next(self.count)
+        self.fresh.append(name)
+        self.given.append(n)
+        return n
+
+    def taken(self) -> tuple[list[str], list[int]]:
+        """The names that are new since the last call, and their numbers."""
+        out = self.fresh, self.given
+        self.fresh, self.given = [], []
+        return out
+
+
 class SpeculativeBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -60,8 +138,9 @@ class SpeculativeBpe:
         self.special = {t["content"]: t["id"] for t in doc.get("added_tokens", [])}
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
-        self.decimal = [str(i) for i in range(size)]
-        self.byte_id = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
+        # each id in decimal with a comma, filled up with zero bytes
+        self.decimal = np.array([f"{i},".encode() for i in range(size)])
+        self.byte_id = np.array([vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], np.int64)
         # merge trees: when a token is made, and of what; single bytes are there from the start
         self.rank = np.full(size, -1, np.int64)
         self.left = np.full(size, -1, np.int64)
@@ -73,38 +152,63 @@ class SpeculativeBpe:
             self.pair_rank.setdefault((x, y), (r, z))
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = r, x, y
+        self.made_by = np.full(len(merges) + 1, -1, np.int64)
+        for r, z in self.pair_rank.values():
+            self.made_by[r] = z
         keys = np.array([(x << 32) | y for x, y in self.pair_rank], np.int64)
-        ranks = np.array([r for r, _ in self.pair_rank.values()], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.key_ranks = keys[order], ranks[order]
-        made = {self.bytes[i]: i for i in self.byte_id} | {self.bytes[z]: int(z) for z in np.flatnonzero(self.rank >= 0)}
-        # greedy proposals use only tokens that are the merge result of their own bytes
-        # proposals use only tokens that are the merge result of their own bytes; -1 marks a mere prefix
-        known = {b: i for b, i in made.items() if len(b) == 1 or self.merge(b) == [i]}
-        self.walk: dict[bytes, int] = {b[:n]: -1 for b in known for n in range(1, len(b))} | known
+        self.pairs = _Table(keys, np.array([r for r, _ in self.pair_rank.values()], np.int32))
+        made = {self.bytes[i]: int(i) for i in self.byte_id} | {self.bytes[z]: int(z) for z in np.flatnonzero(self.rank >= 0)}
+        # proposals use only tokens that are the merge result of their own bytes
+        self._trie({b: i for b, i in made.items() if len(b) == 1 or self.merge(b) == [i]})
         # the pair test presumes that a merge comes after those that make its two sides
         self.regular = all(r > self.rank[x] and r > self.rank[y] for (x, y), (r, _) in self.pair_rank.items())
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.crowded = regex.compile(r" \s|\s ")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _trie(self, known: dict[bytes, int]) -> None:
+        """A number for each prefix of a known token, the steps between them, and the token at each, or -1."""
+        nodes = {b"": 0}
+        for b in known:
+            for n in range(1, len(b) + 1):
+                nodes.setdefault(b[:n], len(nodes))
+        self.token_at = np.full(len(nodes), -1, np.int64)
+        for b, i in known.items():
+            self.token_at[nodes[b]] = i
+        steps = np.array([(nodes[b[:-1]] << 8) | b[-1] for b in nodes if b], np.int64)
+        self.steps = _Table(steps, np.array([n for b, n in nodes.items() if b], np.int32))
 
     # -- speculation -------------------------------------------------------------------------
-    def propose(self, word: bytes) -> list[int]:
-        step, out, i, n = self.walk.get, [], 0, len(word)
-        while i < n:
-            j = end = i + 1
-            t = best = step(word[i:j])
-            while j < n:
-                j += 1
-                if (t := step(word[i:j])) is None:
-                    break
-                if t >= 0:
-                    best, end = t, j
-            out.append(best)
-            i = end
-        return out
+    def propose(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of the words buf[start:end], all words one byte further at a time:
+        (word number, token), in order."""
+        word, pos, stop = np.arange(len(start)), start.copy(), end
+        word, pos, stop = word[pos < stop], pos[pos < stop], stop[pos < stop]
+        at, node = pos.copy(), np.zeros(len(word), np.int64)
+        best, best_end = np.full(len(word), -1, np.int64), pos.copy()
+        owners, tokens = [], []
+        while len(word):
+            inside = at < stop
+            step = self.steps.get((node << 8) | buf[np.minimum(at, len(buf) - 1)])
+            go = inside & (step >= 0)
+            node = np.where(go, step, 0)
+            at = at + go
+            token = self.token_at[node]
+            better = go & (token >= 0)
+            best, best_end = np.where(better, token, best), np.where(better, at, best_end)
+            stuck = np.flatnonzero(~go)
+            if len(stuck):
+                owners.append(word[stuck])
+                tokens.append(best[stuck])
+                at[stuck] = best_end[stuck]
+                if (best_end[stuck] >= stop[stuck]).any():
+                    left = go | (best_end < stop)
+                    word, stop, at, node, best, best_end = word[left], stop[left], at[left], node[left], best[left], best_end[left]
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        return owner[order], token[order]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair, whether its tokens stay apart when their bytes stand side by side.
@@ -121,9 +225,8 @@ class SpeculativeBpe:
         until_x = np.full(len(a), never)
         until_y = np.full(len(a), never)
         while live.size:
-            key = (x << 32) | y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            r = np.where(self.keys[at] == key, self.key_ranks[at], never)
+            found = self.pairs.get((x << 32) | y).astype(np.int64)
+            r = np.where(found >= 0, found, never)
             clash = (r < until_x) & (r <= until_y) & (r < never)
             ok[live[clash]] = False
             rx, ry = self.rank[x], self.rank[y]
@@ -138,27 +241,9 @@ class SpeculativeBpe:
 
     # -- exact merging -------------------------------------------------------------------------
     def merge(self, word: bytes) -> list[int]:
-        """Lowest rank first, leftmost first among equals; long words use a heap over a linked list."""
-        ids: list[int] = [self.byte_id[c] for c in word]
+        """Lowest rank first, leftmost first among equals, through a heap over a linked list."""
+        ids: list[int] = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
-        if n > SHORT_WORD:
-            return self._merge_long(ids, n)
-        rank_of, none = self.pair_rank.get, (len(self.pair_rank) + 1, -1)
-        ranks = [rank_of(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            r, z = best = min(ranks)
-            if z < 0:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [z]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank_of((z, ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank_of((ids[i - 1], z), none)
-        return ids
-
-    def _merge_long(self, ids: list[int], n: int) -> list[int]:
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := self.pair_rank.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -177,59 +262,145 @@ class SpeculativeBpe:
                 heapq.heappush(heap, (p[0], h, ids[h], z, p[1]))
         return [t for t in ids if t >= 0]
 
-    def learn(self, words: set[str]) -> None:
-        """Put the words' tokens into the cache: propose, verify, repair."""
-        if not words:
-            return
-        fresh = list(words)
-        raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
-        if not self.regular:
-            self.cache.update((w, tuple(self.merge(b))) for w, b in zip(fresh, raw, strict=True))
-            return
-        proposed = [self.propose(b) for b in raw]
-        flat = np.fromiter(chain.from_iterable(proposed), np.int64)
-        owner = np.repeat(np.arange(len(fresh)), np.fromiter(map(len, proposed), np.int64, len(fresh)))
-        inner = owner[1:] == owner[:-1]
-        pairs, back = np.unique((flat[:-1][inner] << 32) | flat[1:][inner], return_inverse=True)
-        ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-        for k in np.unique(owner[1:][inner][~ok[back]]):
-            proposed[k] = self.merge(raw[k])
-        self.cache.update(zip(fresh, map(tuple, proposed), strict=True))
+    def merge_many(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many words of at most SHORT_WORD bytes at once: one merge of each word at a time.
+        (word number, token), in order."""
+        never = np.iinfo(np.int32).max
+        n, width = len(start), int((end - start).max(initial=1))
+        cols = np.arange(width)
+        filled = cols[None, :] < (end - start)[:, None]
+        ids = np.full((n, width), -1, np.int64)
+        ids[filled] = self.byte_id[buf[_spans(start, end - start)]]
+        after = np.where(filled & (cols[None, :] + 1 < (end - start)[:, None]), cols[None, :] + 1, -1)
+        before = np.broadcast_to(cols - 1, (n, width)).copy()
+        rank = np.full((n, width), never, np.int32)
+        r, c = np.nonzero(after >= 0)
+        found = self.pairs.get((ids[r, c] << 32) | ids[r, c + 1])
+        rank[r, c] = np.where(found >= 0, found, never)
+        live = np.arange(n)
+        while len(live):
+            i = rank[live].argmin(1)
+            best = rank[live, i]
+            going = best < never
+            live, i, best = live[going], i[going], best[going]
+            if not len(live):
+                break
+            z, j = self.made_by[best], after[live, i]
+            k = after[live, j]
+            ids[live, i], ids[live, j] = z, -1
+            rank[live, j] = never
+            after[live, i] = k
+            right = k >= 0
+            before[live[right], k[right]] = i[right]
+            h = before[live, i]
+            left = h >= 0
+            keys = np.r_[(z[right] << 32) | ids[live[right], k[right]], (ids[live[left], h[left]] << 32) | z[left]]
+            found = self.pairs.get(keys)
+            found = np.where(found >= 0, found, never)
+            rank[live, i] = never
+            rank[live[right], i[right]] = found[: int(right.sum())]
+            rank[live[left], h[left]] = found[int(right.sum()) :]
+        r, c = np.nonzero(ids >= 0)
+        return r, ids[r, c]
+
+    def learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words, one word after another, and how many each has: propose, verify, repair."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        end = np.cumsum(size)
+        start = end - size
+        owner, token = self.propose(buf, start, end)
+        if self.regular:
+            inner = np.flatnonzero(owner[1:] == owner[:-1])
+            bad = np.zeros(len(raw), bool)
+            bad[owner[inner[~self.compatible(token[inner], token[inner + 1])]]] = True
+        else:
+            bad = size > 1
+        parts = [(owner[~bad[owner]], token[~bad[owner]])]
+        # words of like lengths together, so that rows are filled well
+        least = 0
+        for most in (8, 16, SHORT_WORD):
+            some = np.flatnonzero(bad & (size > least) & (size <= most))
+            if len(some):
+                r, t = self.merge_many(buf, start[some], end[some])
+                parts.append((some[r], t))
+            least = most
+        for k in np.flatnonzero(bad & (size > SHORT_WORD)):
+            t = np.array(self.merge(raw[k]), np.int64)
+            parts.append((np.full(len(t), k), t))
+        owner, token = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return token[np.argsort(owner, kind="stable")].astype(np.int32), np.bincount(owner, minlength=len(raw))
+
+    # -- what is known -------------------------------------------------------------------------
+    def _forget(self) -> None:
+        """Words and units have numbers in common; arrays keep where each one's tokens are."""
+        count = itertools.count()
+        self.cache, self.units = _Numbers(count), _Numbers(count)
+        self.tokens, self.first, self.many = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+
+    def _put(self, number: np.ndarray, tokens: np.ndarray, many: np.ndarray) -> None:
+        self.tokens = _room(self.tokens, self.used, self.used + len(tokens))
+        self.tokens[self.used : self.used + len(tokens)] = tokens
+        held = int(number.max(initial=-1)) + 1
+        self.first, self.many = _room(self.first, len(self.first), held), _room(self.many, len(self.many), held)
+        self.first[number], self.many[number] = self.used + np.cumsum(many) - many, many
+        self.used += len(tokens)
+
+    def _tokens_of(self, number: np.ndarray) -> np.ndarray:
+        return self.tokens[_spans(self.first[number], self.many[number])]
+
+    def _settle(self) -> None:
+        """Put down the tokens of all words and units that have a number but none yet."""
+        names, number = self.units.taken()
+        # a unit of letters alone is one word
+        one = [" " + u for u in names if u.isalpha()]
+        one_at = [n for u, n in zip(names, number, strict=True) if u.isalpha()]
+        more = [self.words.findall(" " + u) for u in names if not u.isalpha()]
+        more_at = [n for u, n in zip(names, number, strict=True) if not u.isalpha()]
+        size = np.fromiter(map(len, more), np.int64, len(more))
+        inner = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(more)), np.int64, int(size.sum()))
+        names, number = self.cache.taken()
+        raw = [w.encode("utf-8", "surrogatepass") for w in chain(one, names)]
+        if raw:
+            self._put(np.array([*one_at, *number], np.int64), *self.learn(raw))
+        if more:
+            many = np.add.reduceat(self.many[inner], np.cumsum(size) - size)
+            self._put(np.array(more_at, np.int64), self._tokens_of(inner), many)
 
     # -- texts -----------------------------------------------------------------------------------
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        plans = [self._pieces(t) for t in texts]
-        self._prepare(plans)
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each text."""
+        if len(self.units) + len(self.cache) > CACHE_WORDS:
+            self._forget()
         word, unit = self.cache.__getitem__, self.units.__getitem__
-        out = []
-        for p in plans:
-            ids: list[int] = []
-            for kind, part in p:
-                if kind == "id":
-                    ids.append(part)
+        number, size = [], []
+        for t in texts:
+            n = 0
+            for kind, part in self._pieces(t):
+                if kind == "id":  # special tokens are negative
+                    number.append((-1 - part,))
+                    n += 1
                 else:
-                    ids.extend(chain.from_iterable(map(word if kind == "words" else unit, part)))
-            out.append(ids)
-        return out
+                    number.append(map(word if kind == "words" else unit, part))
+                    n += len(part)
+            size.append(n)
+        number = np.fromiter(chain.from_iterable(number), np.int64, sum(size))
+        self._settle()
+        special = number < 0
+        if special.any():
+            many = np.ones(len(number), np.int64)
+            many[~special] = self.many[number[~special]]
+            ids = np.empty(int(many.sum()), np.int32)
+            mine = np.repeat(special, many)
+            ids[mine], ids[~mine] = -1 - number[special], self._tokens_of(number[~special])
+        else:
+            many, ids = self.many[number], self._tokens_of(number)
+        whole = np.cumsum(np.r_[0, many])[np.cumsum(np.r_[0, size]).astype(np.int64)]
+        return [ids[i:j] for i, j in zip(whole, whole[1:], strict=False)]
 
-    def _prepare(self, plans: list) -> None:
-        """Fill the caches with all that the plans name."""
-        if len(self.units) + len(self.cache) > CACHE_WORDS:
-            self.units.clear()
-            self.cache.clear()
-        units: set[str] = set()
-        words: set[str] = set()
-        for p in plans:
-            for kind, part in p:
-                if kind != "id":
-                    (words if kind == "words" else units).update(part)
-        units -= self.units.keys()
-        split = {u: self.words.findall(" " + u) for u in units}
-        words.update(chain.from_iterable(split.values()))
-        self.learn(words - self.cache.keys())
-        look = self.cache
-        for u, parts in split.items():
-            self.units[u] = look[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([look[w] for w in parts]))
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.encode_arrays(texts)]
 
     def _pieces(self, text: str) -> list[tuple]:
         """(kind, parts): words as the pattern finds them, or units, each a space and what follows up to the next.
@@ -247,9 +418,12 @@ class SpeculativeBpe:
         head, *rest = text.split(" ")
         return [("words", self.words.findall(head)), ("units", rest)]
 
-    def decode(self, ids: list[int]) -> str:
-        table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.decimal[ids].tobytes().replace(b"\0", b"")[:-1]
+
+    def decode(self, ids) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, SpeculativeBpe] = {}
@@ -304,7 +478,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
     def run(batches):
         codec = load(spec.value)
         for b in batches:
-            ids = [x for part in _slices(_texts(b.column(text_col))) for x in codec.encode_many(part)]
+            ids = [x for part in _slices(_texts(b.column(text_col))) for x in codec.encode_arrays(part)]
             yield _emit(b, {out: pa.array(ids, pa.list_(pa.int32()))})
 
     return df.mapInArrow(run, _with(df, [T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -332,16 +506,15 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool
 
     def run(batches):
         codec = load(spec.value)
-        dec = codec.decimal
         for b in batches:
             n, ids_sha, text_sha, kept = [], [], [], []
             for part in _slices(_texts(b.column(text_col))):
-                for ids in codec.encode_many(part):
+                for ids in codec.encode_arrays(part):
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join([dec[i] for i in ids]).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(codec.joined(ids)).hexdigest())
                     text_sha.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
                     if keep_ids:
-                        kept.append(np.array(ids, np.int32))
+                        kept.append(ids)
             new = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             if keep_ids:
                 new["ids"] = pa.array(kept, pa.list_(pa.int32()))

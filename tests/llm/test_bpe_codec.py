@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,19 +39,55 @@ def test_decoding_equals_the_library(codec, library):
     assert [codec.decode(x) for x in ids] == [library.decode(x, skip_special_tokens=False) for x in ids]
 
 
-def test_repairs_are_needed_and_right(codec):
-    words = ["Ġ"]
+def _spans(words):
+    size = np.array([len(w) for w in words])
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, np.cumsum(size)
+
+
+def _grouped(owner, token, n):
+    return [token[owner == k].tolist() for k in range(n)]
+
+
+def test_proposals_are_longest_matches_and_need_repairs(codec):
     rng = random.Random(2)
-    words = [bytes(rng.choice(b"abcdehilnorst") for _ in range(rng.randrange(2, 90))) for _ in range(2000)]
-    differ = sum(codec.propose(w) != codec.merge(w) for w in words)
+    words = [bytes(rng.choice(b"abcdehilnorst") for _ in range(rng.randrange(1, 90))) for _ in range(2000)]
+    got = _grouped(*codec.propose(*_spans(words)), len(words))
+    known = {codec.bytes[i]: i for i in codec.token_at[codec.token_at >= 0].tolist()}
+    for w, tokens in zip(words[:200], got):
+        want, at = [], 0
+        while at < len(w):
+            n = max(k for k in range(1, len(w) - at + 1) if w[at : at + k] in known)
+            want.append(known[w[at : at + n]])
+            at += n
+        assert tokens == want
+    differ = sum(t != codec.merge(w) for w, t in zip(words, got))
     assert 0 < differ < len(words)
 
 
-def test_short_and_long_merging_agree(codec):
+def test_merging_of_many_and_of_one_agree(codec):
     rng = random.Random(3)
-    for _ in range(300):
-        w = bytes(rng.choice(b"aabbcdehilnorst ") for _ in range(rng.randrange(2, 48)))
-        assert codec.merge(w) == codec._merge_long([codec.byte_id[c] for c in w], len(w))
+    words = [bytes(rng.choice(b"aabbcdehilnorst ") for _ in range(rng.randrange(1, 48))) for _ in range(600)]
+    assert _grouped(*codec.merge_many(*_spans(words)), len(words)) == [codec.merge(w) for w in words]
+
+
+def test_table_finds_all_keys():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 50, 5000))
+    table = bpe_codec._Table(keys, np.arange(len(keys), dtype=np.int32))
+    assert (table.get(keys) == np.arange(len(keys))).all()
+    others = np.setdiff1d(rng.integers(0, 1 << 50, 5000), keys)
+    assert (table.get(others) == -1).all()
+
+
+def test_very_long_texts_through_spark(spark, library):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd") for _ in range(60_000)), " ".join(rng.choice(["the", "ing", "er", "qzx"]) * rng.randrange(1, 4) for _ in range(400_000)), "a\n" * 100_000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe_codec.round_trip(df, PATH).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
 def test_cache_limit_changes_nothing(codec, library, monkeypatch):
