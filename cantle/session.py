@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -36,6 +39,46 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number in ``name`` that is the same however often the rows are read.
+
+    Numbers over files hold, as each reading splits the files alike. Behind a shuffle, or anything else that
+    may deal rows out anew, the rows are written to the shared folder with their numbers.
+    """
+    numbered = df.withColumn(name, F.monotonically_increasing_id())
+    plans, steady = [df._jdf.queryExecution().optimizedPlan()], {"LogicalRelation", "Relation", "LocalRelation", "Project", "Filter"}
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName().split(" ")[0] not in steady or not plan.deterministic():
+            path = f"{shared_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+            with tidy(df.sparkSession):
+                numbered.write.option("compression", "zstd").parquet(path)
+            return df.sparkSession.read.schema(numbered.schema).parquet(path)
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return numbered
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def tidy(spark: SparkSession):
+    """Shuffle files of what runs in here go when it ends, not when the driver happens to collect garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def roomy(spark: SparkSession, bits: int):
+    """Aggregates over up to 2 ** bits short keys stay in generated code."""
+    return _setting(spark, "spark.sql.codegen.aggregate.fastHashMap.capacityBit", str(bits))
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the Python workers.
 
