@@ -1,62 +1,59 @@
 """Line dedup: an exact set-similarity join over the lines of all texts, in DataFrame functions only.
 
-A line's set is its distinct lower-cased words. Lines of at least ``MIN_TOKENS`` different words
-take part; shorter ones are left alone. A line goes if any earlier line (by id, then position)
-has Jaccard similarity of at least 0.8 with it, equal sets included.
-
-1. Lines with equal sets collapse into one class, by the earliest line (pre-aggregated before the
-   shuffle, so a line that fills a third of the table is one row per task).
-2. A few rounds thin out families of near copies: lines meet by three MinHash words (ids only, no
-   text), groups of frequent words split by salt, and each is verified against its group's first
-   line. What matches is gone. Nothing is decided about the rest, so no round has to be complete.
-3. Exactly: words are ordered from rare to common (the ``HEAVY`` most frequent by class, others by
-   hash; any total order makes the prefix filter exact, rarity makes it selective). Lines still
-   there meet all earlier lines, gone ones included, that share a word of the prefixes
-   (n - ceil(0.8 n) + 1 words), if length and positional filters allow.
-4. These pairs are verified on the words themselves. Their lines are picked from the class table
-   through a bitmap of fixed size, so few others are shuffled.
-
-Edge cases: null text stays null and has no lines; an empty text stays; a null id orders first;
-repeated rows are ordered by their place in the input, so the first keeps its lines; ties do not
-arise (all positions differ); an empty table gives an empty result; extra columns are kept and may
-have any name.
+A line's set is its distinct lower-cased words. Every line with a word takes part. A line goes if any
+earlier line (by id, then position) has Jaccard similarity of at least 0.8 with it, equal sets
+included.
+
+1. Words of all texts are counted in ``CELLS`` cells by hash. Levels, log2 of a cell's count, are an
+   array of fixed size that plans read through a scalar subquery. A word's place in the order is
+   (level, hash): any total order of words makes the prefix filter exact, rarity makes it
+   selective. As a cell counts at least its words, level 0 means that a word occurs once.
+2. Lines with equal sets collapse into one class, by the earliest line (pre-aggregated before the
+   shuffle, so a line that fills a third of the table is one row per task). A class keeps the words
+   of its prefix (n - ceil(0.8 n) + 1), rarest first, and a signature: 64 bits, one set by each word.
+3. Postings are the prefix words that occur more than once. Where a word is hot, as in families of near
+   copies, each line is compared with the first and with the one before it among the word's
+   postings; of what passes the length, positional and signature filters each line's nearest
+   is verified. This removes most near copies at the cost of a sort. Very frequent words are dealt
+   out by salt: nothing is decided here about lines that stay open.
+4. Exactly: lines still open meet all earlier classes, gone ones included, that share a prefix word,
+   if the same filters allow. Of two similar sets the smaller one needs floor(n / 9) + 1 prefix
+   words only. What meets is verified on the words (as hashes of 64 bits).
+
+The signature filter is exact, too: a word of one set alone flips at most one bit, so sets with
+similarity of at least 0.8 differ in at most (n1 + n2) / 9 bits.
+
+Edge cases: null text stays null and has no lines; an empty text stays, as do lines without words; a
+null id orders first; repeated rows are ordered by their place in the input, so the first keeps its
+lines; ties do not arise (all positions differ); an empty table gives an empty result; extra columns
+are kept and may have any name; lines and texts may have any length.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantle.session import shared_dir
-
-MIN_TOKENS = 5
-#: Frequent words whose frequency is kept, and the slots of either hash table that keeps them.
-HEAVY, SLOTS = 1 << 14, 1 << 16
-#: Rows of a word's group before it is split by salt, as a power of two.
-GROUP_BITS = 12
-#: Rounds that thin out families.
-ROUNDS = 3
-#: MinHash words of a round's key.
-KEY_WORDS = 3
-#: Rows of the candidate bitmap, each of 64 bits.
+from cantle.session import pinned, roomy, shared_dir, tidy
+
+#: Cells in which words are counted, as a power of two; one byte each.
+CELL_BITS = 18
+#: Cells of a block while their array is put together, as a power of two.
+BLOCK_BITS = 10
+#: Occurrences, as a power of two, from which a word is hot: step 3 thins its postings first.
+HOT_BITS = 7
+#: Words from which a line has a second signature.
+WIDE = 40
+#: Occurrences, as a power of two, beyond which a word's postings are dealt out by salt in step 3.
+SALT_BITS = 12
+#: Bits of a word's hash behind its level.
+HASH_BITS = 57
+#: Rows of a bitmap of ids, each of 64 bits.
 BITMAP_ROWS = 1 << 18
 
-
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""))
-
-
-def _needed(n1: Column, n2: Column) -> Column:
-    """Common words that similarity 0.8 takes: ceil(0.8 / 1.8 * (n1 + n2))."""
-    return F.ceil((n1 + n2) * 4 / F.lit(9.0) - F.lit(1e-9)).cast("int")
-
-
-def _fits(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
-    """Length filter and positional filter for a word at these places (from 0) of two ordered sets."""
-    return (n1 * 5 >= n2 * 4) & (n2 * 5 >= n1 * 4) & (F.least(n1 - at1, n2 - at2) >= _needed(n1, n2))
+LINE = ["row_id", "line_no"]
 
 
 class _Work:
@@ -66,149 +63,169 @@ class _Work:
         self.spark = df.sparkSession
         self.root = f"{shared_dir(self.spark)}/line-dedup-{uuid.uuid4().hex}"
 
-    def release(self) -> None:
-        """Let go of the shuffle files of finished steps: they go once both sides' handles are collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.release()
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """One row per distinct set of words: its earliest line, where that stands, and its size.
+def _plain(text: Column) -> Column:
+    """Lower case, with a space for any white space but line ends."""
+    odd = text.rlike("[\\t\\x0B\\f\\r]")
+    return F.lower(F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text))
 
-    ``line_id`` grows with the input position; (ord_doc, line_id) is the order of lines.
-    """
-    lines = docs.select("row_id", "ord_doc", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).withColumn("line_id", F.monotonically_increasing_id())
-    hashed = lines.withColumn("h", F.sort_array(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))))
-    wide = hashed.where(F.size("h") >= MIN_TOKENS)
-    first = F.min(F.struct("ord_doc", "line_id", "row_id", "line_no", "line")).alias("f")
-    grouped = wide.groupBy(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), F.col("h")).alias("k2"), F.size("h").alias("n")).agg(first)
-    return grouped.select("n", "f.*")
 
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << CELL_BITS) - 1).cast("long")).cast("int")
 
-class _Levels:
-    """Frequency classes of words: log2 of the number of lines for the most frequent, else 0.
 
-    Two hash tables hold the classes; a word has the lesser of its two slots, so a rare word
-    seldom passes for a frequent one (which would only cost time).
-    """
+def _levels(docs: DataFrame) -> DataFrame:
+    """One row: the level of each cell, from the words of all texts."""
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("body")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = words.select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    level = F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int")
+    every = docs.sparkSession.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"), F.lit(0).alias("level"))
+    cells = counts.select("cell", level.alias("level")).unionByName(every).groupBy("cell").agg(F.max("level").alias("level"))
+    # in two steps, so that no task sorts more than a block of cells
+    packed = F.sort_array(F.collect_list(F.shiftleft("cell", 6).bitwiseOR(F.col("level")))).alias("x")
+    blocks = cells.groupBy(F.shiftright("cell", BLOCK_BITS).alias("b")).agg(packed)
+    blocks = blocks.select("b", F.transform("x", lambda v: v.bitwiseAND(F.lit(63)).cast("tinyint")).alias("x"))
+    return blocks.agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("all")).select(F.flatten("all.x").alias("levels"))
 
-    def __init__(self, classes: DataFrame):
-        hashes = classes.select(F.explode(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-        top = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(HEAVY).collect()
-        one, two = bytearray(b"0" * SLOTS), bytearray(b"0" * SLOTS)
-        for r in top:
-            level = 48 + int(r["c"]).bit_length()
-            a, b = r["h"] % SLOTS, (r["h"] >> 20) % SLOTS
-            one[a], two[b] = max(one[a], level), max(two[b], level)
-        self.one, self.two = F.lit(bytes(one)), F.lit(bytes(two))
 
-    def of(self, h: Column) -> Column:
-        """The class of a word by its hash."""
+def _classes(docs: DataFrame, levels: DataFrame) -> DataFrame:
+    """One row per distinct set of words: its earliest line, size, signature and prefix."""
+    lines = docs.select("row_id", "ord_doc", F.posexplode(F.split(_plain(F.col("body")), "\n")).alias("line_no", "line"))
+    table = F.col("levels")
 
-        def slot(table: Column, at: Column) -> Column:
-            # one byte of a binary literal, read in place
-            return F.ascii(F.substring(table, F.pmod(at, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
+    def ordered(h: Column) -> Column:
+        return F.shiftleft(F.get(table, _cell(h)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-        return F.least(slot(self.one, h), slot(self.two, F.shiftright(h, 20))) - 48
+    sets = lines.withColumn("levels", levels.scalar()).select("row_id", "ord_doc", "line_no", F.sort_array(F.transform(_hashes(F.col("line")), ordered)).alias("t"))
+    n = F.size("t")
+    more = F.when(n > WIDE, _signature(F.col("t"), 6)).otherwise(F.lit(0).cast("long"))
+    row = F.struct("ord_doc", "row_id", "line_no", n.alias("n"), _signature(F.col("t"), 0).alias("sig"), more.alias("more"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
+    whole = sets.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), F.col("t")).alias("k2"), row.alias("f"))
+    return whole.groupBy("k1", "k2").agg(F.min("f").alias("f")).where("f.n > 0").select("f.*")
 
 
-def _near_first(lines: DataFrame, levels: _Levels, turn: int) -> DataFrame:
-    """(earlier, later) pairs of each line with the first line of its group in this round."""
-    words = _words(F.col("line"))
-    hashes = [F.array_min(F.transform(words, _seeded(turn * KEY_WORDS + k))) for k in range(KEY_WORDS)]
-    keyed = lines.select("ord_doc", "line_id", *[h.alias(f"m{k}") for k, h in enumerate(hashes)])
-    # earlier rounds have left few lines of a family, so later ones split less
-    over = F.least(*[levels.of(F.col(f"m{k}.h")) for k in range(KEY_WORDS)]) - GROUP_BITS * turn
-    splits = F.when(over > 0, F.call_function("shiftleft", F.lit(1).cast("long"), over)).otherwise(F.lit(1).cast("long"))
-    key = F.xxhash64(*[f"m{k}.m" for k in range(KEY_WORDS)])
-    placed = keyed.select("ord_doc", "line_id", key.alias("key"), F.pmod(F.xxhash64(F.lit(turn), F.col("line_id")), splits).alias("salt"))
-    group = Window.partitionBy("key", "salt").orderBy("ord_doc", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = placed.withColumn("earlier", F.first("line_id").over(group))
-    return head.where("earlier <> line_id").select("earlier", F.col("line_id").alias("later"))
+def _hashes(line: Column) -> Column:
+    """The distinct words of a line, as hashes of 64 bits."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _seeded(seed: int):
-    return lambda w: F.struct(F.xxhash64(F.lit(seed), w).alias("m"), F.xxhash64(w).alias("h"))
+def _signature(toks: Column, shift: int) -> Column:
+    """64 bits, of which each word sets one, by six bits of its hash."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
-def _bitmap(ids: DataFrame, column: str) -> DataFrame:
-    """A set of ids as BITMAP_ROWS rows of 64 bits; it may hold more, never less."""
-    slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_ROWS)).alias("slot")
-    return ids.groupBy(slot).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(2, {column}), 64) as int))")).alias("bits"))
+def _postings(classes: DataFrame) -> DataFrame:
+    """A row per prefix word that occurs more than once; ``hot`` where it occurs often."""
+    every = classes.select("ord_doc", *LINE, "n", "sig", "more", F.posexplode("prefix").alias("at", "tok"))
+    return every.where(F.col("tok") >= F.lit(1 << HASH_BITS)).withColumn("hot", F.col("tok") >= F.lit(HOT_BITS << HASH_BITS))
 
 
-def _maybe_in(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """``lines`` with ``maybe``: false where ``line_id`` is certainly not in the bitmap."""
-    bit = F.pmod(F.xxhash64(F.lit(2), F.col("line_id")), F.lit(64)).cast("int")
-    marked = lines.withColumn("slot", F.pmod(F.xxhash64("line_id"), F.lit(BITMAP_ROWS))).join(F.broadcast(bitmap), "slot", "left")
-    held = F.call_function("shiftrightunsigned", F.coalesce("bits", F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1).cast("long")) == 1
-    return marked.withColumn("maybe", held).drop("slot", "bits")
+def _apart(a: str, b: str) -> Column:
+    """Bits in which the signatures differ: the greater of the two counts."""
+    return F.greatest(*[F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("sig", "more")])
+
 
+def _may_match(a: str, b: str) -> Column:
+    """Length, positional (for the first word in common, places from 0) and signature filters."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    wide = (na > WIDE) & (nb > WIDE)
+    sig, more = (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) * 9 <= na + nb for c in ("sig", "more"))
+    common = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & sig & (more | ~wide) & (common * 9 >= (na + nb) * 4)
 
-def _without(lines: DataFrame, gone: DataFrame) -> DataFrame:
-    """``lines`` not in ``gone``; only those that the bitmap cannot clear are shuffled."""
-    marked = _maybe_in(lines, _bitmap(gone, "later"))
-    unsure = marked.where("maybe").join(gone, F.col("line_id") == F.col("later"), "left_anti")
-    return marked.where("NOT maybe").unionByName(unsure).drop("maybe")
 
+def _nearest(hot: DataFrame) -> DataFrame:
+    """Pairs of a line and an earlier one: the nearest of those that open or go before it among a word's postings."""
+    over = F.shiftright("tok", HASH_BITS).cast("int") - SALT_BITS
+    parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(over, F.lit(0)))
+    dealt = hot.withColumn("salt", F.pmod(F.xxhash64(*LINE), parts)).withColumn("me", F.struct(*LINE, "n", "sig", "more", "at"))
+    group = Window.partitionBy("tok", "salt").orderBy("ord_doc", *LINE)
+    first = F.first("me").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = dealt.select("me", first.alias("head"), F.lag("me").over(group).alias("last"))
+    pairs = met.select("me", F.explode(F.array("head", "last")).alias("other"))
+    pairs = pairs.where(F.col("other").isNotNull() & ((F.col("other.row_id") != F.col("me.row_id")) | (F.col("other.line_no") != F.col("me.line_no"))))
+    pairs = pairs.where(_may_match("me", "other"))
+    named = pairs.select(F.col("me.row_id").alias("row_id"), F.col("me.line_no").alias("line_no"), _apart("me", "other").alias("apart"), F.col("other.row_id").alias("row_a"), F.col("other.line_no").alias("line_a"))
+    return named.groupBy(*LINE).agg(F.min(F.struct("apart", "row_a", "line_a")).alias("best")).select(*LINE, "best.row_a", "best.line_a")
 
-def _similar(x: Column, y: Column) -> Column:
-    a, b = _words(x), _words(y)
-    common, both = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
-    return common * 5 >= (both - common) * 4
 
+def _meeting(short: DataFrame, long: DataFrame, later: str) -> DataFrame:
+    """All pairs that share a prefix word and pass the filters, as the later line and the earlier one.
 
-def _prefixes(lines: DataFrame, levels: _Levels) -> DataFrame:
-    """A row per prefix word: ``tok`` has the frequency class in its top bits, then the word's hash."""
+    Of two similar sets the smaller needs floor(n / 9) + 1 prefix words only. ``later``: "short" or
+    "long" where that side must be the later line, else "any".
+    """
+    a, b, c = short.where(F.col("at") <= F.floor(F.col("n") / 9)).alias("a"), long.alias("b"), F.col
+    (a1, a2, a3), (b1, b2, b3) = ((c(f"{s}.ord_doc"), c(f"{s}.row_id"), c(f"{s}.line_no")) for s in "ab")
+    first = (a1 < b1) | ((a1 == b1) & ((a2 < b2) | ((a2 == b2) & (a3 < b3))))
+    other = (a1 != b1) | (a2 != b2) | (a3 != b3)
+    # of equal sizes, the earlier line is the smaller set; where only one side may be later, it can be either
+    sized = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (first if later == "any" else other))
+    side = {"any": F.lit(True), "short": ~first, "long": first}[later]
+    met = a.join(b, (c("a.tok") == c("b.tok")) & sized & side & _may_match("a", "b"))
+    pair = [F.when(first, y).otherwise(x).alias(n) for n, x, y in (("row_id", a2, b2), ("line_no", a3, b3))]
+    return met.select(*pair, F.when(first, a2).otherwise(b2).alias("row_a"), F.when(first, a3).otherwise(b3).alias("line_a"))
+
+
+def _bitmap(ids: DataFrame, key: list[str]) -> DataFrame:
+    """A set of ids as BITMAP_ROWS rows of 64 bits; it may hold more, never less."""
+    slot, bit = F.pmod(F.xxhash64(*key), F.lit(BITMAP_ROWS)), F.pmod(F.xxhash64(F.lit(2), *key), F.lit(64)).cast("int")
+    return ids.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+
+
+def _maybe_in(rows: DataFrame, bitmap: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with ``maybe``: false where the key is certainly not in the bitmap."""
+    bit = F.pmod(F.xxhash64(F.lit(2), *key), F.lit(64)).cast("int")
+    marked = rows.withColumn("slot", F.pmod(F.xxhash64(*key), F.lit(BITMAP_ROWS))).join(F.broadcast(bitmap), "slot", "left")
+    held = F.call_function("shiftrightunsigned", F.coalesce("bits", F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.withColumn("maybe", held).drop("slot", "bits")
 
-    def ordered(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(levels.of(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    toks = F.sort_array(F.transform(_words(F.col("line")), ordered))
-    length = F.col("n") - F.ceil(F.col("n") * 0.8 - F.lit(1e-9)).cast("int") + 1
-    return lines.select("ord_doc", "line_id", "n", F.posexplode(F.slice(toks, F.lit(1), length)).alias("at", "tok"))
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` whose lines are not in ``gone``; only those that the bitmap cannot clear are shuffled."""
+    marked = _maybe_in(rows, _bitmap(gone, LINE), LINE)
+    unsure = marked.where("maybe").join(gone.select(*LINE), LINE, "left_anti")
+    return marked.where("NOT maybe").unionByName(unsure.select(*marked.columns)).drop("maybe")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``later`` of those (earlier, later) pairs whose words are similar enough."""
-    ids = pairs.select(F.explode(F.array("earlier", "later")).alias("line_id"))
-    named = _maybe_in(classes.select("line_id", "line"), _bitmap(ids, "line_id")).where("maybe").select("line_id", "line")
-    both = pairs.join(named.toDF("earlier", "line_a"), "earlier").join(named.toDF("later", "line_b"), "later")
-    return both.where(_similar(F.col("line_a"), F.col("line_b"))).select("later").distinct()
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The lines of those pairs whose words are similar enough."""
+    ids = pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(F.col("row_a").alias("row_id"), F.col("line_a").alias("line_no")))).alias("x")).select("x.*")
+    rows = _maybe_in(docs, _bitmap(ids, ["row_id"]), ["row_id"]).where("maybe")
+    lines = rows.select("row_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    named = _maybe_in(lines, _bitmap(ids, LINE), LINE).where("maybe").select(*LINE, _hashes(_plain(F.col("line"))).alias("words"))
+    both = pairs.join(named.toDF("row_a", "line_a", "x"), ["row_a", "line_a"]).join(named.toDF(*LINE, "y"), LINE)
+    sized = both.select(*LINE, F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("both"))
+    return sized.where("common * 9 >= both * 4").select(*LINE).distinct()
 
 
 def _survivors(docs: DataFrame, work: _Work) -> DataFrame:
-    """``row_id, line_no`` of the lines of MIN_TOKENS words or more that stay."""
-    classes = work.keep(_classes(docs), "classes")
-    levels = _Levels(classes)
-    open_lines, gone = classes, None
-    for turn in range(1, ROUNDS + 1):
-        near = work.keep(_near_first(open_lines, levels, turn), f"near{turn}")
-        found = work.keep(_verified(near, classes), f"thin{turn}")
-        gone = found if gone is None else gone.unionByName(found)
-        open_lines = _without(classes, gone)
-    a, b = _prefixes(classes, levels).alias("a"), _prefixes(open_lines, levels).alias("b")
-    c = F.col
-    before = (c("a.ord_doc") < c("b.ord_doc")) | ((c("a.ord_doc") == c("b.ord_doc")) & (c("a.line_id") < c("b.line_id")))
-    met = a.join(b, (c("a.tok") == c("b.tok")) & before & _fits(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
-    pairs = work.keep(met.select(c("a.line_id").alias("earlier"), c("b.line_id").alias("later")).distinct(), "pairs")
-    last = work.keep(_verified(pairs, classes), "gone")
-    gone = last if gone is None else gone.unionByName(last)
-    kept = work.keep(_without(classes.select("line_id", "row_id", "line_no"), gone).select("row_id", "line_no"), "kept")
-    for name in ("classes", "pairs", "gone", *[f"{n}{t}" for n in ("near", "thin") for t in range(1, ROUNDS + 1)]):
-        work.drop(name)
-    work.release()
+    """``row_id, line_no`` of the lines with words that stay."""
+    with roomy(docs.sparkSession, CELL_BITS):
+        levels = work.keep(_levels(docs), "levels")
+    classes = work.keep(_classes(docs, levels), "classes")
+    postings = _postings(classes)
+    rare, hot = postings.where("NOT hot"), work.keep(postings.where("hot"), "hot")
+    near = work.keep(_nearest(hot), "near")
+    gone = work.keep(_verified(near, docs), "gone-near")
+    live = _without(hot, gone)
+    met = _meeting(rare, rare, "any").unionByName(_meeting(live, hot, "short")).unionByName(_meeting(hot, live, "long"))
+    met = work.keep(_without(met.distinct(), gone), "met")
+    gone = gone.unionByName(work.keep(_verified(met, docs), "gone-met"))
+    kept = work.keep(_without(classes.select(*LINE), gone), "kept")
+    work.drop("levels", "classes", "hot", "near", "gone-near", "met", "gone-met")
     return kept
 
 
@@ -219,20 +236,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
-    rows = docs.toDF(*names).withColumn("row_id", F.monotonically_increasing_id())
+    rows = pinned(docs.toDF(*names), "row_id")
+    work = _Work(docs)
     narrow = rows.select("row_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("ord_doc"), F.col(text).alias("body"))
-    kept = _survivors(narrow, _Work(docs)).groupBy("row_id").agg(F.collect_set("line_no").alias("kept"))
-    lines = F.split(text, "\n")
-    stays = F.filter(lines, lambda line, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | (F.size(_words(line)) < MIN_TOKENS))
-    out = rows.join(kept, "row_id", "left").withColumn("stays", stays)
-    new = [F.when(F.col(text).isNotNull(), F.array_join("stays", "\n")).alias(o) if c == text else F.col(c).alias(o) for c, o in zip(names, docs.columns, strict=True)]
+    kept = _survivors(narrow, work)
+    worded = lambda line: line.rlike("[^ \\t\\x0B\\f\\r]")
+    # rows that lose lines: those with more lines with words than are kept
+    left = kept.groupBy("row_id").agg(F.count("*").alias("n_kept"))
+    fewer = rows.select("row_id", F.size(F.filter(F.split(text, "\n"), worded)).alias("n")).join(left, "row_id", "left").where("n > coalesce(n_kept, 0)")
+    changed = work.keep(fewer.select("row_id"), "changed")
+    bitmap = _bitmap(changed, ["row_id"])
+    marked = _maybe_in(rows, bitmap, ["row_id"])
+    stay = _maybe_in(kept, bitmap, ["row_id"]).where("maybe").groupBy("row_id").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
+    parted = marked.where("maybe").join(stay, "row_id", "left").withColumn("parts", F.split(text, "\n"))
+    blank = F.filter(F.transform("parts", lambda line, i: F.when(~worded(line), i)), lambda i: i.isNotNull())
+    places = parted.withColumn("places", F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)))
+    cut = places.withColumn("stays", F.transform("places", lambda i: F.get(F.col("parts"), i)))
+    total, lost = F.col("n_lines_"), F.col("n_lost_")
+    same = marked.where("NOT maybe").select(*names, (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines_"), F.lit(0).alias("n_lost_"))
+    cut = cut.select(*[F.when(F.col(c).isNotNull(), F.array_join("stays", "\n")).alias(c) if c == text else F.col(c) for c in names], F.size("parts").alias("n_lines_"), (F.size("parts") - F.size("stays")).alias("n_lost_"))
+    out = same.unionByName(cut)
+    new = [F.col(c).alias(o) for c, o in zip(names, docs.columns, strict=True)]
     if not counts:
         return out.select(*new)
-    total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    total = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(total)
-    left = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.size("stays").cast("long"))
     new = [n for n, o in zip(new, docs.columns, strict=True) if o not in ("n_lines", "n_removed")]
-    return out.select(*new, total.alias("n_lines"), (total - left).alias("n_removed"))
+    whole = lambda c: F.when(F.col(text).isNull(), 0).otherwise(c).cast("long")
+    return out.select(*new, whole(total).alias("n_lines"), whole(lost).alias("n_removed"))
 
 
 #: The same result by plain set arithmetic in DuckDB, with exact word counts for the order.
@@ -243,7 +272,7 @@ WITH lines AS (
 ), sets AS (
   SELECT doc_id, line_no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> ''))) AS ws FROM lines
 ), wide AS (
-  SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM sets WHERE len(ws) >= 5
+  SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM sets WHERE len(ws) >= 1
 ), cls AS (
   SELECT ws, n, min(id) AS id FROM wide GROUP BY ws, n
 ), words AS (
@@ -263,7 +292,7 @@ WITH lines AS (
 ), kept AS (
   SELECT w.doc_id, w.line_no FROM wide w WHERE w.id IN (SELECT id FROM cls) AND w.id NOT IN (SELECT id FROM gone)
 ), verdict AS (
-  SELECT s.doc_id, s.line_no, s.line, len(s.ws) < 5 OR k.doc_id IS NOT NULL AS stays
+  SELECT s.doc_id, s.line_no, s.line, len(s.ws) < 1 OR k.doc_id IS NOT NULL AS stays
   FROM sets s LEFT JOIN kept k ON s.doc_id = k.doc_id AND s.line_no = k.line_no
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE stays), '') AS text,

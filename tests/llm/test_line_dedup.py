@@ -1,8 +1,12 @@
 import random
+from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cantle.llm import line_dedup as ld
+from cantle.llm import queries
 
 
 def _brute(rows):
@@ -15,7 +19,7 @@ def _brute(rows):
         left = []
         for line in rows[i][1].split("\n"):
             s = {w for w in line.lower().split() if w}
-            if len(s) < ld.MIN_TOKENS:
+            if not s:
                 left.append(line)
                 continue
             if not any(len(s & t) * 5 >= (len(s) + len(t) - len(s & t)) * 4 for t in seen):
@@ -50,27 +54,65 @@ def _rows(seed, docs=80, vocab=60, family=40):
     return rows
 
 
-@pytest.mark.parametrize("seed,group_bits,rounds", [(1, 12, 3), (2, 1, 1), (3, 2, 0)])
-def test_equals_brute_force(spark, monkeypatch, seed, group_bits, rounds):
-    monkeypatch.setattr(ld, "GROUP_BITS", group_bits)
-    monkeypatch.setattr(ld, "ROUNDS", rounds)
-    monkeypatch.setattr(ld, "HEAVY", 64)
-    monkeypatch.setattr(ld, "SLOTS", 16)
-    rows = _rows(seed)
-    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1)
+def _check(spark, rows, df):
     got = {r["kept"]: r["text"] for r in ld.dedup_lines(df).collect()}
     want = _brute(rows)
     assert [got[n] for n in range(len(rows))] == want
+    return want
+
+
+@pytest.mark.parametrize("seed,cells,hot,salt", [(1, 12, 2, 12), (2, 10, 0, 1), (3, 11, 30, 12)])
+def test_equals_brute_force(spark, monkeypatch, seed, cells, hot, salt):
+    monkeypatch.setattr(ld, "CELL_BITS", cells)
+    monkeypatch.setattr(ld, "HOT_BITS", hot)
+    monkeypatch.setattr(ld, "SALT_BITS", salt)
+    monkeypatch.setattr(ld, "WIDE", 10)
+    rows = _rows(seed)
+    want = _check(spark, rows, spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1))
     assert sum(w != t for w, (_, t) in zip(want, rows)) > 30
 
 
+def test_rows_behind_a_shuffle(spark, tmp_path):
+    """Wide rows that adaptive coalescing deals out anew at each reading keep their places."""
+    rows = _rows(4, docs=400, family=100)
+    df = spark.createDataFrame([(i, t, n, "x" * 500) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int, wide string")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        ids = [i for i, _ in rows]
+        single = df.where(~F.col("doc_id").isin([i for i in set(ids) if ids.count(i) > 1 and i is not None]))
+        single = single.repartition(64, "doc_id")
+        got = {r["kept"]: r["text"] for r in ld.dedup_lines(single).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    left = [(n, i, t) for n, (i, t) in enumerate(rows) if n in got]
+    want = _brute([(i, t) for _, i, t in left])
+    assert [got[n] for n, _, _ in left] == want and len(left) > 450
+
+
+def test_short_and_long_lines(spark):
+    rows = [(1, "same four word line\nTwo words\none"), (2, "Same four word line\ntwo  words\t\nONE\n \n"), (3, "one"), (4, "a b c d"), (5, "a b c d e")]
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows += [(6, long), (7, long + " tail"), (8, "\n" * 5000), (9, "x y z\n" * 5000)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1)
+    want = _check(spark, rows, df)
+    assert want[1] == " \n" and want[2] == "" and want[4] == "" and want[6] == "" and want[7] == rows[7][1]
+
+
 def test_counts_and_empty(spark):
-    df = spark.createDataFrame([(1, "a b c d e\nshort\nA B C D E f", 9), (2, None, 9)], "doc_id long, text string, n_removed int")
+    df = spark.createDataFrame([(1, "a b c d e\nshort\nA B C D E f", 9), (2, None, 9), (3, "", 9)], "doc_id long, text string, n_removed int")
     got = sorted(tuple(r) for r in ld.dedup_lines(df, counts=True).collect())
-    assert got == [(1, "a b c d e\nshort", 3, 1), (2, None, 0, 0)]
+    assert got == [(1, "a b c d e\nshort", 3, 1), (2, None, 0, 0), (3, "", 1, 0)]
     assert ld.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = Counter(con.execute(f"SELECT doc_id, text, n_lines, n_removed FROM ({ld.ORACLE_SQL})").fetchall())
+    got = Counter(tuple(r) for r in queries.QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001").select("doc_id", "text", "n_lines", "n_removed").collect())
+    assert got == want
+
+
 def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     plan = ld.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
