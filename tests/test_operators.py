@@ -268,3 +268,72 @@ def test_command_line(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"nonsense": 1}))
     with pytest.raises(ValueError):
         pipeline.parse_args(["evaluate", "--config", str(tmp_path / "c.json")])
+
+
+def _plain_beam(model, source, max_len, beams, penalty, min_len):
+    """Hypotheses as plain lists, whole decoding at each step."""
+    memory, pad = model.encode(np.array([source]))
+    held = [([c.BOS], 0.0)]
+    rate = lambda h: h[1] / max(1, len(h[0]) - 1) ** penalty
+    for n in range(1, max_len):
+        if all(t[-1] == c.EOS for t, _ in held):
+            break
+        pool = [h for h in held if h[0][-1] == c.EOS]
+        for t, s in held:
+            if t[-1] != c.EOS:
+                x = model.logits(memory, pad, np.array([t]))[0, -1]
+                x[[c.PAD, c.BOS, c.SCALE_5000, c.SCALE_10000]] = -np.inf
+                if n < min_len:
+                    x[c.EOS] = -np.inf
+                p = x - x.max() - np.log(np.exp(x - x.max()).sum())
+                pool += [([*t, int(k)], s + p[k]) for k in np.argsort(-p, kind="stable")[:beams]]
+        held = sorted(pool, key=rate, reverse=True)[:beams]
+    return [(t, rate((t, s))) for t, s in held]
+
+
+def test_beam_equals_a_plain_search():
+    shape = seq2seq.Shape(vocab=760, width=16, heads=2, layers=2, inner=32)
+    for seed, lift in enumerate([0.0, 3.0, 6.0]):
+        weights = seq2seq.random_weights(shape, seed)
+        weights["output.bias"][c.EOS] = lift
+        model = seq2seq.Model(weights, shape)
+        got, want = model.beam([725, 723, 5, 6, 722], 12, 4, 0.8, 3), _plain_beam(model, [725, 723, 5, 6, 722], 12, 4, 0.8, 3)
+        assert [t for t, _ in got] == [t for t, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want])
+
+
+def test_training_equals_recounting_after_each_merge():
+    rng = np.random.default_rng(8)
+    for size, most in ((1512, 4), (1530, 10)):
+        segs = [(rng.integers(0, 4, rng.integers(1, 20)).tolist(), int(rng.integers(0, 3))) for _ in range(25)]
+        rows, weights, atoms = [list(s) for s, w in segs if w], [w for _, w in segs if w], {}
+        barred = set()
+        while 1500 + len(atoms) < size:
+            count = {}
+            for r, w in zip(rows, weights):
+                for p in zip(r, r[1:]):
+                    count[p] = count.get(p, 0) + w
+            best = max((n for p, n in count.items() if p not in barred), default=0)
+            if not best:
+                break
+            got = bpe.train(segs, 1500 + len(atoms) + 1, most).atoms
+            if len(got) == len(atoms):
+                break
+            spelled = got[1500 + len(atoms)]
+            ties = [p for p, n in count.items() if n == best and p not in barred]
+            spell = lambda t: atoms.get(t, (t,))
+            long = [p for p in ties if len(spell(p[0]) + spell(p[1])) > most]
+            barred.update(long)
+            fit = [p for p in ties if p not in barred]
+            if not fit:
+                continue
+            pair = next(p for p in fit if spell(p[0]) + spell(p[1]) == spelled)
+            new = 1500 + len(atoms)
+            for r in rows:
+                i = 0
+                while i < len(r) - 1:
+                    if (r[i], r[i + 1]) == pair:
+                        r[i : i + 2] = [new]
+                    i += 1
+            atoms[new] = spelled
+        assert len(atoms) > 5 and bpe.train(segs, 1500 + len(atoms), most).atoms == atoms
