@@ -26,6 +26,7 @@ often as they occur; texts of any length are counted whole; extra columns are no
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -35,16 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantle.llm import textbytes as tb
-from cantle.session import shared_dir, ship
+from cantle.session import shared_dir, ship, tidy
 
 ORDER = 3
 DISCOUNT = 0.75
 #: The end mark's place among the word hashes; a word with this very hash would be taken for it.
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Occurrences that a shard gets on average.
-SHARD_TOKENS = 1_500_000
-#: Bytes of text that a task counts at a time.
-GATHER_BYTES = 6_000_000
+SHARD_TOKENS = 4_000_000
+#: Bytes of text that a task counts or scores at a time: each look-up goes through all shards once.
+GATHER_BYTES = 8_000_000
+SCORE_BYTES = 6_000_000
 _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the k-th set bit of each byte, 8 where there are fewer.
 _NTH = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
@@ -105,10 +107,20 @@ class EliasFano:
         return word * 64 + _in_word(~self.high[word], k - self.zeros[word])
 
     def _span(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-but-one place of the entries with these high bits."""
-        ends = self._select_zero(np.r_[np.maximum(top - 1, 0), top])
-        n = len(top)
-        return np.where(top > 0, ends[:n] - top + 1, 0), ends[n:] - top
+        """First and last-but-one place of the entries with these high bits: the run of ones behind a zero."""
+        at = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) + 1, 0)
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        last = len(self.high) - 1
+        bits = self.high[np.minimum(word, last)] >> off
+        bits |= np.where(off > 0, self.high[np.minimum(word + 1, last)] << (np.uint64(64) - np.maximum(off, np.uint64(1))), np.uint64(0))
+        stop = ~bits
+        run = np.log2(np.maximum(stop & (~stop + np.uint64(1)), np.uint64(1)).astype(np.float64)).astype(np.int64)
+        begin = at - top
+        end = begin + run
+        long = np.flatnonzero(stop == 0)  # 64 ones or more
+        if len(long):
+            end[long] = self._select_zero(top[long]) - top[long]
+        return begin, end
 
     def _bound(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each value's lower bound, the end of the entries that share its high bits, and its low bits."""
@@ -232,6 +244,10 @@ class Model:
         self.word_base = np.cumsum([0, *words])
         self.gram_base = [np.cumsum([0, *g]) for g in grams]
 
+    def remove(self) -> None:
+        """Delete the trie's files, once all that is to be scored has been."""
+        shutil.rmtree(self.root, ignore_errors=True)
+
     def word_numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and training count of each hash; -1 and 0 for unknown words."""
         number, count = np.full(len(h), -1), np.zeros(len(h), np.int64)
@@ -317,28 +333,45 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _sent(keys: np.ndarray, extra: np.ndarray | None, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Sorted keys with counts, one packed row per shard."""
-    if extra is None:
-        names, count = np.unique(keys, return_counts=True)
-        at = np.searchsorted(names, keys)
-        own = np.zeros(len(names), np.int64)
-        own[at] = shard
-        second = None
+def _counted(keys: np.ndarray, second: np.ndarray | None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Distinct keys, or pairs of keys and seconds, in order, and how often each occurs or the sum of its weights."""
+    if not len(keys):
+        return keys, second, np.zeros(0, np.int64)
+    wide = int(second.max()) + 1 if second is not None else 1
+    one = second is None or int(keys.max()) < (1 << 63) // wide  # both in one whole number
+    if one:
+        mixed = keys if second is None else keys.astype(np.int64) * wide + second
+        if weight is None:
+            mixed = np.sort(mixed)
+        else:
+            order = np.argsort(mixed, kind="stable")
+            mixed, weight = mixed[order], weight[order]
+        new = np.flatnonzero(np.r_[True, mixed[1:] != mixed[:-1]])
+        names = mixed[new]
+        names, others = (names, None) if second is None else (names // wide, names % wide)
     else:
-        order = np.lexsort((extra, keys))
-        keys, extra, shard = keys[order], extra[order], shard[order]
-        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (extra[1:] != extra[:-1])])
-        names, second, own, count = keys[new], extra[new].astype(np.int64), shard[new], np.diff(np.r_[new, len(keys)])
-    for s in np.unique(own):
-        pick = own == s
-        cols = [names[pick]] + ([second[pick].astype(np.uint32)] if second is not None and (second < 1 << 32).all() else [second[pick]] if second is not None else [])
-        n = int(pick.sum())
-        many = count[pick]
+        order = np.lexsort((second, keys))
+        keys, second = keys[order], second[order]
+        weight = None if weight is None else weight[order]
+        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (second[1:] != second[:-1])])
+        names, others = keys[new], second[new]
+    return names, others, np.diff(np.r_[new, len(mixed if one else keys)]) if weight is None else np.add.reduceat(weight, new)
+
+
+def _sent(keys: np.ndarray, second: np.ndarray | None, shard_of) -> Iterator[tuple[int, bytes]]:
+    """Sorted keys with counts, one packed row per shard; shards are ascending ranges of keys."""
+    names, others, count = _counted(keys, second)
+    own = shard_of(names)
+    cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(own)] if len(own) else []
+    if others is not None:
+        others = others.astype(np.uint32) if not len(others) or others.max() < 1 << 32 else others
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        many = count[a:b]
         wide = many > 255  # counts in a byte, large ones listed behind
         spots = np.flatnonzero(wide)
-        body = b"".join([np.array([n, len(spots), cols[1].itemsize if len(cols) > 1 else 0], np.int64).tobytes(), *[c.tobytes() for c in cols], np.where(wide, 0, many).astype(np.uint8).tobytes(), spots.astype(np.int64).tobytes(), many[spots].astype(np.int64).tobytes()])
-        yield int(s), body
+        size = 0 if others is None else others.itemsize
+        cols = [names[a:b]] if others is None else [names[a:b], others[a:b]]
+        yield int(own[a]), b"".join([np.array([b - a, len(spots), size], np.int64).tobytes(), *[c.tobytes() for c in cols], np.where(wide, 0, many).astype(np.uint8).tobytes(), spots.astype(np.int64).tobytes(), many[spots].astype(np.int64).tobytes()])
 
 
 def _received(rows: list[bytes], key_type) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -356,21 +389,11 @@ def _received(rows: list[bytes], key_type) -> tuple[np.ndarray, np.ndarray | Non
         spots = np.frombuffer(r, np.int64, big, at)
         c[spots] = np.frombuffer(r, np.int64, big, at + 8 * big)
         count.append(c)
-    k, c = np.concatenate(keys), np.concatenate(count)
-    if second:
-        x = np.concatenate(second)
-        order = np.lexsort((x, k))
-        k, x, c = k[order], x[order], c[order]
-        new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
-        return k[new], x[new], np.add.reduceat(c, new)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[new], None, np.add.reduceat(c, new)
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    for _, raws in tb.chunks(batch.column("body").to_pylist()):
+    return _counted(np.concatenate(keys), np.concatenate(second) if second else None, np.concatenate(count))
+
+
+def _texts(batch: pa.RecordBatch, most: int) -> Iterator[list[bytes]]:
+    for _, raws in tb.chunks(batch.column("body").to_pylist(), most):
         yield raws
 
 
@@ -383,8 +406,8 @@ def _gather(batches, count) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "body"])
 
     for b in batches:
-        for raws in _texts(b):
-            held.append(raws)
+        for raws in _texts(b, GATHER_BYTES):
+            held += raws
             n += sum(map(len, raws))
             if n > GATHER_BYTES:
                 yield flush()
@@ -410,7 +433,8 @@ def _built(sent: DataFrame, shards: int, build) -> list[tuple]:
             done.append((shard, *build(shard, rows)))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(3)], names=["shard", "n", "total"])
 
-    return sorted(tuple(r) for r in out.mapInArrow(run, "shard long, n long, total long").collect())
+    with tidy(sent.sparkSession):
+        return sorted(tuple(r) for r in out.mapInArrow(run, "shard long, n long, total long").collect())
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> Model:
@@ -424,8 +448,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     n1 = max(1, int(size // (4 * SHARD_TOKENS)))
 
     def words(held):
-        h = np.concatenate([token_hashes(r)[0] for r in held])
-        return _sent(h, None, _word_shard(h, n1))
+        return _sent(token_hashes(held)[0], None, lambda h: _word_shard(h, n1))
 
     def write_words(shard, bodies):
         name, _, count = _received(bodies, np.uint64)
@@ -449,23 +472,18 @@ def _level(model: Model, rows: DataFrame, level: int, shards: int) -> Model:
     bound = list(range(0, max(contexts, 1), per))
 
     def grams(held):
-        context, word = [], []
-        for raws in held:
-            h, first = token_hashes(raws)
-            names, back = np.unique(h, return_inverse=True)
-            number = model.word_numbers(names)[0][back]
-            gram = number
-            for got, _ in model.walk(number, first, level - 1):
-                gram = got
-            inside = np.ones(len(h), bool)
-            inside[first] = False
-            for k in range(1, level - 1):  # a text's first level - 1 tokens have too short a context
-                inside[np.minimum(first + k, len(h) - 1)[first + k < np.r_[first[1:], len(h)]]] = False
-            at = np.flatnonzero(inside)
-            context.append(gram[at - 1])
-            word.append(number[at])
-        c, w = np.concatenate(context), np.concatenate(word)
-        return _sent(c.astype(np.int64), w.astype(np.int64), c // per) if len(c) else iter(())
+        h, first = token_hashes(held)
+        names, back = np.unique(h, return_inverse=True)
+        number = model.word_numbers(names)[0][back]
+        gram = number
+        for got, _ in model.walk(number, first, level - 1):
+            gram = got
+        inside = np.ones(len(h), bool)
+        inside[first] = False
+        for k in range(1, level - 1):  # a text's first level - 1 tokens have too short a context
+            inside[np.minimum(first + k, len(h) - 1)[first + k < np.r_[first[1:], len(h)]]] = False
+        at = np.flatnonzero(inside)
+        return _sent(gram[at - 1], number[at], lambda c: c // per)
 
     def write(shard, bodies):
         c, w, n = _received(bodies, np.int64)
@@ -551,7 +569,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for b in batches:
-            parts = [model.score(raws) for raws in _texts(b)]
+            parts = [model.score(raws) for raws in _texts(b, SCORE_BYTES)]
             if not parts:
                 continue
             many, known, plain, logp = (np.concatenate(x) for x in zip(*parts, strict=True))

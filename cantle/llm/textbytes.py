@@ -15,12 +15,12 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, encoded texts) with about CHUNK bytes each."""
+def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, encoded texts) with about ``most`` bytes each."""
     first, part, n = 0, [], 0
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        if part and n + len(raw) > CHUNK:
+        if part and n + len(raw) > most:
             yield first, part
             first, part, n = i, [], 0
         part.append(raw)
