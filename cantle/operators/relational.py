@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantle.constants import PAD
 from cantle.functions import hashing, tokens
+from cantle.sources.files import write_report
 
 
 # -- pairing -------------------------------------------------------------------------------------
@@ -18,10 +20,12 @@ def pair_by_key(targets: DataFrame, raws: DataFrame, target_id: str, key: str, r
     was not used by an earlier target (``duplicate``), and names agree (``mismatch``), else
     ``paired``. A key is used up by its first target even if that fails later.
     """
-    number = F.expr(f"try_cast(try_cast({key} AS double) AS bigint)")
+    # whole numbers as they are; a fraction is cut off
+    number = F.coalesce(F.expr(f"try_cast({key} AS bigint)"), F.expr(f"try_cast(try_cast({key} AS double) AS bigint)"))
     checked = targets.withColumn("fk", number).withColumn("early", F.when(F.col("fk").isNull(), "invalid").when((F.col("fk") < 0) | (F.col("fk") >= n_raw), "out_of_range"))
-    nth = F.row_number().over(Window.partitionBy("early", "fk").orderBy(target_id))
-    checked = checked.withColumn("nth", F.when(F.col("early").isNull(), nth))
+    # the first target of a key by an aggregate: a key with very many targets, or very many bad keys, meet in no window
+    first = checked.where("early IS NULL").groupBy("fk").agg(F.min(target_id).alias("first_"))
+    checked = checked.join(first, "fk", "left").withColumn("nth", F.when(F.col("early").isNull() & (F.col(target_id) != F.col("first_")), 2))
     named = raws.select(F.col(raw_id).cast("long").alias("fk"), F.col(raw_name).alias("raw_name_"))
     joined = checked.join(named, "fk", "left")
     outcome = F.coalesce(
@@ -132,6 +136,67 @@ def evaluation_report(df: DataFrame, groups: Column, metrics: Sequence[str], pre
     )
 
 
+def checks(spark, rows: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """(name, expected, actual, ok) from numbers."""
+    return spark.createDataFrame([(n, int(a), int(b)) for n, a, b in rows], "name string, expected long, actual long").withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def stage_statistics(df: DataFrame, stages: Column, groups: Column) -> dict[str, dict[str, int]]:
+    """Rows per stage and group; a row counts in each of its stages and groups."""
+    pairs = df.select(F.explode(stages).alias("stage"), groups.alias("g")).select("stage", F.explode("g").alias("grp"))
+    out: dict[str, dict[str, int]] = {}
+    for r in pairs.groupBy("stage", "grp").count().collect():
+        out.setdefault(r["stage"], {})[r["grp"]] = r["count"]
+    return out
+
+
+def best_checkpoint(log: DataFrame, score: str = "greedy_exact_match_rate") -> DataFrame:
+    """The row of highest score among test rows, else among training rows; the earliest epoch of equals."""
+    scored = log.where(F.col(score) >= 0).withColumn("kind_", F.when(F.col("split") == "test", 0).when(F.col("split") == "train", 1))
+    return scored.where("kind_ IS NOT NULL").orderBy("kind_", F.desc(score), "epoch").limit(1).drop("kind_")
+
+
+def greedy_rates(df: DataFrame, pred: str, target: str) -> DataFrame:
+    """Rows, exact matches, their rate, and matching places over the longer lengths."""
+    a, b = F.col(pred), F.col(target)
+    same = F.count_if(a == b)
+    hits, places = F.sum(tokens.positional_matches(a, b)), F.sum(F.greatest(F.size(a), F.size(b)))
+    return df.agg(F.count("*").alias("sample_count"), same.alias("exact_match_count"), F.try_divide(same, F.count("*")).alias("greedy_exact_match_rate"), F.try_divide(hits, places).alias("token_accuracy"))
+
+
+def exact_rate(df: DataFrame, pred: str, target: str) -> DataFrame:
+    """Share of rows that are equal but for padding at the end; a row without one of its sides is an error."""
+    a, b = (F.when(F.col(x).isNull(), F.raise_error(F.lit(f"a row has no {x}")).cast("array<int>")).otherwise(F.col(x)) for x in (pred, target))
+    return df.agg(F.avg((tokens.strip_pad(a) == tokens.strip_pad(b)).cast("int")).alias("exact_match_rate"))
+
+
+def teacher_forced_accuracy(df: DataFrame, predicted: str, labels: str, pad: int = PAD) -> DataFrame:
+    """Right tokens over all label tokens but padding, over all rows at once."""
+    real = F.filter(F.arrays_zip(F.col(predicted).alias("p"), F.col(labels).alias("l")), lambda x: x["l"] != pad)
+    right = F.size(F.filter(real, lambda x: x["p"] == x["l"]))
+    correct, total = F.sum(right), F.sum(F.size(real))
+    return df.agg(correct.alias("correct"), total.alias("total"), F.try_divide(correct, total).alias("token_accuracy"))
+
+
+def average_loss(df: DataFrame, loss: str) -> DataFrame:
+    """The mean of the completed steps' losses; 0 without any."""
+    return df.agg((F.coalesce(F.sum(loss), F.lit(0.0)) / F.greatest(F.count(loss), F.lit(1))).alias("average_loss"))
+
+
+class NonFinite(ValueError):
+    """A value that is no finite number."""
+
+
+def require_finite(df: DataFrame, columns: Sequence[str], stage: str, report: str | None = None, context: dict | None = None) -> None:
+    """Raise where a column holds NaN or an infinity, after writing what is known beside the run's outputs."""
+    bad = df.agg(*[F.count_if(~(F.abs(F.col(c)) < float("inf"))).alias(c) for c in columns]).collect()[0].asDict()
+    bad = {k: n for k, n in bad.items() if n}
+    if bad:
+        if report:
+            write_report(report, {**(context or {}), "failure_stage": stage, "rows": bad}, allow_nan=False)
+        raise NonFinite(f"values that are not finite in {stage}: {bad}")
+
+
 def gate_checks(rows: Sequence[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """(name, expected, actual, ok) from pairs of one-value frames."""
     out = None

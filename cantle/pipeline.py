@@ -1,6 +1,7 @@
 """The preparation, evaluation and inference jobs, and their command line.
 
-``prepare``: pair two layers, encode, split, sample, learn a vocabulary, re-encode, audit, record.
+``prepare``: pair two layers, encode, split, sample, learn a vocabulary, re-encode, audit, pass gates,
+record. ``prepare-all``: both cities at all scales, from layers in degrees. ``predict``: greedy predictions.
 ``evaluate``: grouped report of a prediction file. ``infer``: polygons for unmatched sources.
 ``decode``: a prediction file as a layer. ``project``: a layer in degrees to UTM.
 """
@@ -11,6 +12,7 @@ import argparse
 import json
 import os
 import shutil
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,58 +64,242 @@ def paired(spark: SparkSession, raw_path: str, target_path: str) -> tuple[DataFr
     return pairs, audit, raw
 
 
-def prepare(spark: SparkSession, raw_path: str, target_path: str, root: str, scale: int, seed: int = c.SEED, fraction: float = c.RECTANGLE_FRACTION, split: str | None = None, bpe_rows: int = c.BPE_ROWS, vocab_size: int = c.BPE_SIZE, force: bool = False) -> dict:
-    """All outputs of one scale; nothing is redone while the manifest is current."""
+@dataclass
+class Samples:
+    """Token rows of a pair of layers, with what failed and what no target names."""
+
+    rows: DataFrame  # persisted: every pair, with an error or tokens
+    good: DataFrame
+    failed: DataFrame
+    lost: DataFrame
+    audit: DataFrame
+
+    def release(self) -> None:
+        self.rows.unpersist()
+        self.audit.unpersist()
+
+
+SAMPLE_COLUMNS = ["sample_id", "raw_fid", "target_fid", "osm_id", "scale", "split", "difficulty", "source_tokens", "target_tokens", "source_frame", "source_vertex_count", "target_vertex_count", "tokenization_metrics"]
+
+
+def tokenised(spark: SparkSession, raw_path: str, target_path: str, scale: int, prefix: str = "pair", seed: int = c.SEED, split: str | None = None) -> Samples:
+    pairs, audit, raw = paired(spark, raw_path, target_path)
+    rows, audit = geometry.prepare_pairs(pairs, scale).persist(), audit.persist()
+    named = F.when(F.lit(split).isNotNull(), F.lit(split)).otherwise(hashing.split_of(F.col("osm_id"), seed))
+    good = rows.where("error IS NULL").withColumns({"scale": F.lit(scale), "split": named, "sample_id": F.concat_ws(":", F.lit(prefix), "raw_fid", F.lit(scale))})
+    failed = audit.where("outcome <> 'paired'").select("target_fid", F.col("fk").alias("raw_fid"), F.lit("pairing").alias("failure_type"), F.col("outcome").alias("error"))
+    failed = failed.unionByName(rows.where("error IS NOT NULL").select("target_fid", "raw_fid", F.lit("preprocessing").alias("failure_type"), "error"))
+    lost = rel.unmatched(raw.select(F.col("fid").alias("raw_fid"), "osm_id"), audit, "raw_fid").withColumn("scale", F.lit(scale))
+    return Samples(rows, good, failed, lost, audit)
+
+
+def export_unmatched(spark: SparkSession, raw_path: str, ids: DataFrame, output: str, scale: int) -> int:
+    """Source tokens and frames of the sources that ``ids`` (raw_fid, osm_id) names, without targets.
+
+    Ids outside the layer and rows without geometry are left out. Any other row that cannot be encoded
+    fails the export, and the old file stays.
+    """
+    shapefile.check_crs(raw_path)
+    layer = shapefile.read(spark, raw_path, ["fid", "geom"]).toDF("raw_fid", "raw").where(F.size("raw") > 0)
+    rows = geometry.encode_sources(ids.select("raw_fid", "osm_id").join(layer, "raw_fid"), scale)
+    named = rows.withColumns({"scale": F.lit(scale), "sample_id": F.concat_ws(":", F.lit("unmatched"), "raw_fid", F.lit(scale))})
+    files.write_jsonl(named.select("sample_id", "raw_fid", "osm_id", "scale", "source_tokens", "source_frame", "source_vertex_count"), output)
+    return files.read_jsonl(spark, output, "raw_fid long").count()
+
+
+def prepare(spark: SparkSession, raw_path: str, target_path: str, root: str, scale: int, seed: int = c.SEED, fraction: float = c.RECTANGLE_FRACTION, split: str | None = None, bpe_rows: int = c.BPE_ROWS, vocab_size: int = c.BPE_SIZE, force: bool = False, expected_unmatched: int | None = None, test: tuple[str, str] | None = None) -> dict:
+    """All outputs of one scale; nothing is redone while the manifest is current.
+
+    ``test``: raw and target layer of a second city, encoded with the vocabulary of the first. Everything is
+    made in a folder of its own and has to pass the gates before any old output is replaced; only the
+    lists of failures are put in place either way.
+    """
     out = Layout(root, scale)
-    inputs = [*shapefile.family(raw_path), *shapefile.family(target_path)]
-    config = {"scale": scale, "seed": seed, "fraction": fraction, "split": split, "bpe_rows": bpe_rows, "vocab_size": vocab_size}
+    inputs = [f for p in (raw_path, target_path, *(test or ())) for f in shapefile.family(p)]
+    config = {"scale": scale, "seed": seed, "fraction": fraction, "split": split, "bpe_rows": bpe_rows, "vocab_size": vocab_size, "expected_unmatched": expected_unmatched}
     manifest = out.at("manifest.json")
     if not force and files.manifest_is_current(manifest, config, inputs):
         with open(manifest, encoding="utf-8") as f:
             return json.load(f)
+    work = Layout(os.path.join(root, f".work-{uuid.uuid4().hex}"), scale)
+    os.makedirs(work.at(""))
     os.makedirs(out.at(""), exist_ok=True)
-    pairs, audit, raw = paired(spark, raw_path, target_path)
-    rows = geometry.prepare_pairs(pairs, scale).persist()
-    audit = audit.persist()
-    named = F.when(F.lit(split).isNotNull(), F.lit(split)).otherwise(hashing.split_of(F.col("osm_id"), seed))
-    good = rows.where("error IS NULL").withColumns({"scale": F.lit(scale), "split": named, "sample_id": F.concat_ws(":", F.lit("pair"), "raw_fid", F.lit(scale))})
+    try:
+        report, gates = _prepare_into(spark, work, raw_path, target_path, test, config)
+        for name in os.listdir(work.at("")):
+            if name.endswith("failures.jsonl"):
+                files.replace(work.at(name), out.at(name))
+        rel.require(rel.checks(spark, gates))
+        made = sorted(os.listdir(work.at("")))
+        for name in made:
+            files.replace(work.at(name), out.at(name))
+    finally:
+        shutil.rmtree(work.root, ignore_errors=True)
+    made = [n for n in sorted(os.listdir(out.at(""))) if n.endswith(("l", ".txt")) and n in {*made, "failures.jsonl", "test.failures.jsonl"}]
+    return files.write_manifest(manifest, config, inputs, [out.at(n) for n in made], {"scale": scale, **report})
+
+
+def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path: str, test: tuple[str, str] | None, config: dict) -> tuple[dict, list[tuple[str, int, int]]]:
+    """Write all outputs below ``work``; the report, and the gates as (name, expected, actual)."""
+    scale, split, fraction, seed = config["scale"], config["split"], config["fraction"], config["seed"]
+    main = tokenised(spark, raw_path, target_path, scale, "pair", seed, split)
     keep = hashing.keeps_sample(F.col("osm_id"), F.col("difficulty"), seed, fraction)
-    sample = good.select(*[f.split(" ")[0] for f in ("sample_id s", "raw_fid s", "target_fid s", "osm_id s", "scale s", "split s", "difficulty s", "source_tokens s", "target_tokens s", "source_frame s", "source_vertex_count s", "target_vertex_count s", "tokenization_metrics s")])
+    sample = main.good.select(*SAMPLE_COLUMNS)
     sinks = {"all": sample} if split else {"train": sample.where((F.col("split") == "train") & keep), "validation": sample.where("split = 'validation'")}
-    failed = audit.where("outcome <> 'paired'").select("target_fid", F.col("fk").alias("raw_fid"), F.lit("pairing").alias("failure_type"), F.col("outcome").alias("error"))
-    failed = failed.unionByName(rows.where("error IS NOT NULL").select("target_fid", "raw_fid", F.lit("preprocessing").alias("failure_type"), "error"))
-    lost = rel.unmatched(raw.select(F.col("fid").alias("raw_fid"), "osm_id"), audit, "raw_fid").withColumn("scale", F.lit(scale))
-    for name, df in {**sinks, "failures": failed, "unmatched": lost}.items():
-        files.write_jsonl(df, out.at(f"{name}.jsonl"))
-
-    source = "all" if split else "train"
-    atomic = files.read_jsonl(spark, out.at(f"{source}.jsonl"), files.SAMPLE_DDL)
-    chosen = rel.hash_sample(atomic, "osm_id", bpe_rows, "bpe", ["raw_fid"])
+    made = {"": main}
+    if test:
+        made["test."] = other = tokenised(spark, *test, scale, "test", seed, "test")
+        sinks["test"] = other.good.select(*SAMPLE_COLUMNS)
+    for prefix, part in made.items():
+        files.write_jsonl(part.failed, work.at(f"{prefix}failures.jsonl"))
+        files.write_jsonl(part.lost, work.at(f"{prefix}unmatched.jsonl"))
+    for name, df in sinks.items():
+        files.write_jsonl(df, work.at(f"{name}.jsonl"))
+    exported = export_unmatched(spark, raw_path, main.lost, work.at("unmatched.source.jsonl"), scale)
+
+    atomic = files.read_jsonl(spark, work.at("all.jsonl" if split else "train.jsonl"), files.SAMPLE_DDL)
+    chosen = rel.hash_sample(atomic, "osm_id", config["bpe_rows"], "bpe", ["raw_fid"])
     ordered = chosen.withColumn("place", F.concat("hash16", F.lpad(F.col("raw_fid").cast("string"), 20, "0")))
-    vocab = bpe.train_from(ordered, ["source_tokens", "target_tokens"], "place", vocab_size)
-    vocab.save(out.at("vocab.txt"))
-    audits = {}
-    for name in sinks:
-        before = files.read_jsonl(spark, out.at(f"{name}.jsonl"), files.SAMPLE_DDL)
-        coded = bpe.encode_columns(before, vocab, ["source_tokens", "target_tokens"])
-        files.write_jsonl(coded, out.at(f"{name}.bpe.jsonl"))
-        after = files.read_jsonl(spark, out.at(f"{name}.bpe.jsonl"), files.SAMPLE_DDL)
-        zipped = rel.zip_by_place(before.withColumn("n", F.col("target_fid")), after.withColumn("n", F.col("target_fid")), "n", "sample_id")
-        audits[name] = rel.lossless_audit(zipped, vocab.decode_map(), ["source_tokens", "target_tokens"]).collect()[0].asDict()
+    vocab = bpe.train_from(ordered, ["source_tokens", "target_tokens"], "place", config["vocab_size"])
+    vocab.save(work.at("vocab.txt"))
     hard = rel.hash_sample(atomic.where("difficulty = 'complex'"), "osm_id", c.DIAGNOSTIC_ROWS, "diagnostic", ["raw_fid"]).drop("hash16")
-    files.write_jsonl(hard, out.at("diagnostic.jsonl"))
+    files.write_jsonl(hard, work.at("diagnostic.jsonl"))
+
+    audits, gates = {}, []
+    for name in (*sinks, "diagnostic"):
+        before = files.read_jsonl(spark, work.at(f"{name}.jsonl"), files.SAMPLE_DDL)
+        files.write_jsonl(bpe.encode_columns(before, vocab, ["source_tokens", "target_tokens"]), work.at(f"{name}.bpe.jsonl"))
+        after = files.read_jsonl(spark, work.at(f"{name}.bpe.jsonl"), files.SAMPLE_DDL)
+        zipped = rel.zip_by_place(before.withColumn("n", F.col("target_fid")), after.withColumn("n", F.col("target_fid")), "n", "sample_id")
+        audits[name] = found = rel.lossless_audit(zipped, vocab.decode_map(), ["source_tokens", "target_tokens"]).collect()[0].asDict()
+        coded, rows = after.count(), before.count()
+        gates += [(f"{name} rows", rows, coded), (f"{name} audit rows", coded, found["n_rows"])]
+        gates += [(f"{name} {k}", 0, found[k]) for k in ("roundtrip_failures", "invalid_token_count", "row_alignment_failures")]
+
+    stage = F.col("split") == "train"
+    stages = F.array_compact(F.array(F.when(stage, F.lit("train_before_filter")), F.when(stage & keep, F.lit("train_after_filter")), F.when(F.col("split") == "validation", F.lit("validation"))))
     groups = rel.overlapping_groups(F.col("difficulty"), geometry.bucket("source_vertex_count"))
-    flat = good.select("difficulty", "source_vertex_count", *[F.col(f"tokenization_metrics.{m}").alias(m) for m in pg.LIGHT])
+    split_stats = rel.stage_statistics(main.good, stages, groups)
+    flat = main.good.select("difficulty", "source_vertex_count", *[F.col(f"tokenization_metrics.{m}").alias(m) for m in pg.LIGHT])
     stats = {r["grp"]: r.asDict() for r in rel.group_statistics(flat, groups, list(pg.LIGHT)).collect()}
-    counters = {r["outcome"]: r["count"] for r in audit.groupBy("outcome").count().collect()}
-    bad = [n for n, a in audits.items() if a["roundtrip_failures"] or a["invalid_token_count"] or a["row_alignment_failures"]]
-    if bad:
-        raise ValueError(f"lossy encoding in {', '.join(bad)}")
-    if not split and rel.leakage(sinks["train"], sinks["validation"], "osm_id").limit(1).count():
-        raise ValueError("ids leak from training into validation")
-    outputs = [out.at(f"{n}.jsonl") for n in (*sinks, "failures", "unmatched", "diagnostic")] + [out.at(f"{n}.bpe.jsonl") for n in sinks] + [out.at("vocab.txt")]
-    rows.unpersist()
-    return files.write_manifest(manifest, config, inputs, outputs, {"scale": scale, "outcomes": counters, "groups": stats, "audits": audits, "vocabulary": len(vocab.atoms)})
+    counters = {"unmatched": main.lost.count(), "unmatched_exported": exported}
+    for prefix, part in made.items():
+        kinds = {r["failure_type"]: r["count"] for r in part.failed.groupBy("failure_type").count().collect()}
+        counters |= {f"{prefix}paired": part.good.count(), f"{prefix}pairing_failures": kinds.get("pairing", 0), f"{prefix}preprocessing_failures": kinds.get("preprocessing", 0)}
+        gates += [(f"{prefix}{k} failures", 0, kinds.get(k, 0)) for k in ("pairing", "preprocessing")]
+    before, after = (split_stats.get(k, {}) for k in ("train_before_filter", "train_after_filter"))
+    counters |= {f"{n}_written": audits[n]["n_rows"] for n in audits}
+    counters |= {k: stats.get(k, {}).get("n", 0) for k in ("simple_rectangle", "complex")}
+    counters["rectangles_dropped"] = before.get("simple_rectangle", 0) - after.get("simple_rectangle", 0)
+    rectangles = before.get("simple_rectangle", 0)
+    if not split:
+        gates.append(("ids in training and validation", 0, rel.leakage(sinks["train"], sinks["validation"], "osm_id").count()))
+        gates += [(f"rows of another split in {n}", 0, df.where(F.col("split") != n).count()) for n, df in sinks.items()]
+        if rectangles >= 100:
+            gates.append(("rectangles kept beyond 0.02 of their share", 0, int(abs(after.get("simple_rectangle", 0) / rectangles - fraction) > 0.02)))
+    gates.append(("diagnostic rows of all complex ones", min(c.DIAGNOSTIC_ROWS, atomic.where("difficulty = 'complex'").count()), audits["diagnostic"]["n_rows"]))
+    if config["expected_unmatched"] is not None:
+        gates.append(("unmatched sources", config["expected_unmatched"], counters["unmatched"]))
+    outcomes = {r["outcome"]: r["count"] for r in main.audit.groupBy("outcome").count().collect()}
+    for part in made.values():
+        part.release()
+    return {"outcomes": outcomes, "counters": counters, "split_stats": split_stats, "groups": stats, "audits": audits, "vocabulary": len(vocab.atoms)}, gates
+
+
+def utm_prj(epsg: int) -> str:
+    """The WKT of a northern UTM zone in metres."""
+    zone = c.EPSG[epsg]
+    degrees = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
+    numbers = {"False_Easting": 500000.0, "False_Northing": 0.0, "Central_Meridian": 6.0 * zone - 183.0, "Scale_Factor": 0.9996, "Latitude_Of_Origin": 0.0}
+    return f'PROJCS["WGS_1984_UTM_Zone_{zone}N",{degrees},PROJECTION["Transverse_Mercator"],' + "".join(f'PARAMETER["{k}",{v}],' for k, v in numbers.items()) + 'UNIT["Meter",1.0]]'
+
+
+def prepare_all(spark: SparkSession, cities: dict, root: str, force: bool = False, min_free_gb: float = 20.0, expected_unmatched: dict | None = None, **options) -> dict:
+    """Both cities at all scales: layers to UTM (kept while inputs and outputs are as recorded), then ``prepare``.
+
+    ``cities``: {"main": {"raw": path, "targets": {scale: path}, "epsg": code}, "test": {...}}.
+    """
+    os.makedirs(root, exist_ok=True)
+    need_disk(root, min_free_gb)
+    layers = {}
+    for city, spec in cities.items():
+        for name, source in {"raw": spec["raw"], **{f"target_{k}": v for k, v in spec["targets"].items()}}.items():
+            layers[city, name] = (source, os.path.join(root, "projected", city, f"{name}.shp"), int(spec["epsg"]))
+    if missing := sorted(source for source, _, _ in layers.values() if not os.path.exists(source)):
+        raise FileNotFoundError(f"missing layers: {', '.join(missing)}")
+    projection = {}
+    for (city, name), (source, output, epsg) in layers.items():
+        record = os.path.join(root, "projected", "audits", f"{city}_{name}.json")
+        if force or not files.manifest_is_current(record, {"epsg": epsg}, shapefile.family(source)):
+            os.makedirs(os.path.dirname(output), exist_ok=True)
+            project(spark, source, output, epsg, utm_prj(epsg))
+            files.write_manifest(record, {"epsg": epsg}, shapefile.family(source), shapefile.family(output))
+        projection[f"{city}_{name}"] = output
+    at = lambda city, name: layers[city, name][1]
+    reports = {}
+    for scale in cities["main"]["targets"]:
+        pair = (at("test", "raw"), at("test", f"target_{scale}")) if "test" in cities else None
+        wanted = (expected_unmatched or {}).get(scale)
+        reports[str(scale)] = prepare(spark, at("main", "raw"), at("main", f"target_{scale}"), root, int(scale), force=force, expected_unmatched=wanted, test=pair, **options)
+    body = {"projection": projection, "scales": reports}
+    files.write_report(os.path.join(root, "manifest.json"), body)
+    return body
+
+
+def predict(spark: SparkSession, dataset: str, weights: str, output: str, shape: seq2seq.Shape, max_len: int = 1024, limit: int | None = None) -> int:
+    """Greedy predictions of a whole dataset, in its order and without a filter on length."""
+    rows = files.read_jsonl(spark, dataset, files.SAMPLE_DDL)
+    rows = rows.limit(limit) if limit else rows
+    found = inference.greedy_predictions(rows, seq2seq.load(weights), shape, max_len)
+    named = found.withColumns({"target_tokens": tokens.strip_pad(F.coalesce("target_tokens", F.array().cast("array<int>"))), "difficulty": F.coalesce("difficulty", F.lit("unknown")), "source_vertex_count": F.coalesce("source_vertex_count", F.lit(0))})
+    files.write_jsonl(named.select("raw_fid", "osm_id", "scale", "source_frame", "difficulty", "source_vertex_count", "pred_tokens", "target_tokens"), output)
+    written = files.read_jsonl(spark, output, "raw_fid long").count()
+    if not written:
+        raise ValueError(f"{dataset} has no rows")
+    return written
+
+
+def auto_evaluate(spark: SparkSession, run_dir: str, datasets: dict[str, str], vocab_path: str, shape: seq2seq.Shape, prj: str, max_len: int = 512) -> dict:
+    """Predictions, rates and layers of the best checkpoint that the metrics log of a run names.
+
+    The best row is the test row with the highest exact rate, else such a training row. Weights are
+    ``checkpoint_epoch_<n>.npz`` beside the log; without log or weights nothing is done.
+    """
+    log = os.path.join(run_dir, "metrics.jsonl")
+    if not os.path.exists(log):
+        return {}
+    best = rel.best_checkpoint(files.read_jsonl(spark, log, "split string, epoch int, greedy_exact_match_rate double")).collect()
+    weights = os.path.join(run_dir, f"checkpoint_epoch_{best[0]['epoch']}.npz") if best else ""
+    if not os.path.exists(weights):
+        return {}
+    body = {"epoch": best[0]["epoch"], "split": best[0]["split"], "datasets": {}}
+    for label, dataset in datasets.items():
+        preds = os.path.join(run_dir, "auto_eval", f"preds_{label}.jsonl")
+        predict(spark, dataset, weights, preds, shape, max_len)
+        rates = rel.greedy_rates(files.read_predictions(spark, preds), "pred_tokens", "target_tokens").collect()[0].asDict()
+        layer = os.path.join(run_dir, "auto_eval", f"pred_{label}.shp")
+        body["datasets"][label] = rates | {"polygons": decode_predictions(spark, preds, vocab_path, layer, prj)}
+    files.write_report(os.path.join(run_dir, "auto_eval", "report.json"), body)
+    return body
+
+
+def test_dataset_path(path: str) -> str:
+    """The test dataset that belongs to a training dataset."""
+    parts = path.replace("\\", "/").split("/")
+    if "train" not in parts[1:-1]:
+        raise ValueError(f"{path} does not lie in a folder train")
+    at = parts.index("train", 1)
+    return "/".join([*parts[:at], "test", *parts[at + 1 :]])
+
+
+def vocabulary_path(root: str, dataset: str | None = None, scale: int | None = None) -> str:
+    """The vocabulary of a scale, which a dataset's path can name."""
+    if scale is None:
+        named = [s for s in (5000, 10000) if f"scale{s}" in (dataset or "").replace(f"scale{s}0", "")]
+        if not named:
+            raise ValueError(f"{dataset} names no scale")
+        scale = named[0]
+    return Layout(root, 10000 if scale == 10000 else 5000).at("vocab.txt")
 
 
 def evaluate(spark: SparkSession, predictions: str, vocab_path: str, output: str) -> dict:
@@ -232,6 +418,8 @@ def parse_args(argv=None) -> argparse.Namespace:
         "evaluate": [("predictions", str), ("vocab", str), ("output", str)],
         "infer": [("raw", str), ("weights", str), ("vocab", str), ("output", str), ("scale", int), ("ids", str), ("limit", int), ("max-len", int), ("beams", int)],
         "decode": [("predictions", str), ("vocab", str), ("output", str), ("prj", str)],
+        "prepare-all": [("cities", str), ("root", str), ("bpe-rows", int), ("vocab-size", int), ("seed", int), ("min-free-gb", float)],
+        "predict": [("dataset", str), ("weights", str), ("output", str), ("max-len", int), ("limit", int)],
         "project": [("input", str), ("output", str), ("epsg", int), ("prj", str)],
     }
     for name, options in common.items():
@@ -239,7 +427,7 @@ def parse_args(argv=None) -> argparse.Namespace:
         s.add_argument("--config")
         for o, kind in options:
             s.add_argument(f"--{o}", type=kind)
-        if name == "prepare":
+        if name.startswith("prepare"):
             s.add_argument("--force", action="store_true")
     args = p.parse_args(argv)
     if args.config:
@@ -260,6 +448,13 @@ def main(argv=None) -> int:
     if args.command == "prepare":
         need_disk(os.path.dirname(os.path.abspath(given["root"])), given.pop("min_free_gb", 20.0))
         body = prepare(spark, given.pop("raw"), given.pop("target"), given.pop("root"), given.pop("scale"), **given)
+    elif args.command == "prepare-all":
+        with open(given.pop("cities"), encoding="utf-8") as f:
+            cities = json.load(f)
+        expected = cities.pop("expected_unmatched", None)
+        body = prepare_all(spark, cities, given.pop("root"), expected_unmatched=expected, **given)
+    elif args.command == "predict":
+        body = {"written": predict(spark, args.dataset, args.weights, args.output, seq2seq.Shape(), args.max_len or 1024, args.limit)}
     elif args.command == "evaluate":
         body = evaluate(spark, args.predictions, args.vocab, args.output)
     elif args.command == "infer":

@@ -33,10 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
+def materialise(df: DataFrame, small: bool = False) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    ``small``: many tasks give few rows, which are gathered into files of the advisory size first.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return (df.hint("rebalance") if small else df).checkpoint(eager=True)
 
 
 def pinned(df: DataFrame, name: str) -> DataFrame:

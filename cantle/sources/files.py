@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
@@ -34,17 +35,47 @@ def fid_filter(spark: SparkSession, path: str | None) -> DataFrame | None:
     return None if path is None else read_jsonl(spark, path, "raw_fid long").select("raw_fid").distinct()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """A folder of JSON lines that replaces the old one only when it is whole."""
-    temp = f"{path}.{uuid.uuid4().hex}"
-    df.write.option("ignoreNullFields", "false").json(temp)
+    """A folder of JSON lines that replaces the old one only when it is whole; the old one is moved aside
+    first and comes back if the new one cannot be put in place."""
+    temp, aside = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(temp), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot move {temp} to {path}")
+    (new, fs), (old, _), (kept, _) = (_hadoop(spark, p) for p in (temp, path, aside))
+    try:
+        df.write.option("ignoreNullFields", "false").json(temp)
+        had = fs.exists(old)
+        if had and not fs.rename(old, kept):
+            raise OSError(f"cannot move {path} aside")
+        if not fs.rename(new, old):
+            if had:
+                fs.rename(kept, old)
+            raise OSError(f"cannot move {temp} to {path}")
+        fs.delete(kept, True)
+    finally:
+        fs.delete(new, True)
+
+
+def replace(source: str, target: str) -> None:
+    """Move a file or folder over another one, which is put aside until the move is done."""
+    aside = f"{target}.{uuid.uuid4().hex}.old"
+    had = os.path.exists(target)
+    if had:
+        os.replace(target, aside)
+    try:
+        os.replace(source, target)
+    except OSError:
+        if had:
+            os.replace(aside, target)
+        raise
+    if os.path.isdir(aside):
+        shutil.rmtree(aside)
+    elif had:
+        os.remove(aside)
 
 
 def append_metric(spark: SparkSession, path: str, row: Mapping) -> None:

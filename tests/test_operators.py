@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import numpy as np
@@ -337,3 +338,134 @@ def test_training_equals_recounting_after_each_merge():
                     i += 1
             atoms[new] = spelled
         assert len(atoms) > 5 and bpe.train(segs, 1500 + len(atoms), most).atoms == atoms
+
+
+def _two_cities(tmp_path, extra=1):
+    """(raw, target) layers of two cities in degrees, squares of about ten metres."""
+    wgs = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
+    cities = {}
+    for city, lon, lat, epsg in (("main", -118.25, 34.05, 32611), ("test", -74.0, 40.7, 32618)):
+        square = lambda i: [[[(lon + i * 4e-4 + x, lat + y) for x, y in ((0, 0), (1e-4, 0), (1e-4, 1e-4), (0, 1e-4))]]]  # noqa: B023,E731
+        raw = str(tmp_path / city / "raw.shp")
+        (tmp_path / city).mkdir(exist_ok=True)
+        _layer(raw, [(str(i), square(i)) for i in range(8 + extra)], [("osm_id", "C", 20, 0)], wgs)
+        targets = {}
+        for scale in (5000, 10000):
+            targets[scale] = str(tmp_path / city / f"target_{scale}.shp")
+            _layer(targets[scale], [(str(i), i, square(i)) for i in range(8)], [("osm_id", "C", 20, 0), ("InBld_FID", "N", 12, 0)], wgs)
+        cities[city] = {"raw": raw, "targets": targets, "epsg": epsg}
+    return cities
+
+
+def test_prepare_all(spark, tmp_path):
+    cities, root = _two_cities(tmp_path), str(tmp_path / "out")
+    body = pipeline.prepare_all(spark, cities, root, min_free_gb=0.0, expected_unmatched={5000: 1}, vocab_size=1510)
+    assert set(body["scales"]) == {"5000", "10000"} and len(body["projection"]) == 6
+    report = body["scales"]["5000"]
+    assert report["counters"]["paired"] == 8 and report["counters"]["test.paired"] == 8
+    assert report["counters"]["unmatched"] == report["counters"]["unmatched_exported"] == 1
+    out = pipeline.Layout(root, 5000)
+    source = spark.read.json(out.at("unmatched.source.jsonl")).collect()
+    assert [(r["sample_id"], r["raw_fid"], r["osm_id"], r["source_tokens"][:2]) for r in source] == [("unmatched:8:5000", 8, "8", [725, 723])]
+    assert "target_tokens" not in source[0] and source[0]["source_frame"]["longest_edge_m"] > 5
+    assert files.read_jsonl(spark, out.at("test.bpe.jsonl"), files.SAMPLE_DDL).count() == 8
+    split = report["split_stats"]
+    assert split["train_before_filter"]["overall"] + split.get("validation", {}).get("overall", 0) == 8
+    assert report["counters"]["train_written"] + report["counters"]["validation_written"] + report["counters"]["rectangles_dropped"] == 8
+    before = {p: os.stat(p).st_mtime_ns for p in body["projection"].values()}
+    again = pipeline.prepare_all(spark, cities, root, min_free_gb=0.0, expected_unmatched={5000: 1}, vocab_size=1510)
+    assert again["scales"] == json.loads(json.dumps(body["scales"])) and before == {p: os.stat(p).st_mtime_ns for p in before}
+    with pytest.raises(FileNotFoundError, match="absent"):
+        pipeline.prepare_all(spark, {"main": cities["main"] | {"raw": "absent.shp"}}, root, min_free_gb=0.0)
+    with pytest.raises(OSError):
+        pipeline.prepare_all(spark, cities, root, min_free_gb=1e9)
+
+
+def test_gates_keep_old_outputs(spark, tmp_path):
+    cities, root = _two_cities(tmp_path), str(tmp_path / "out")
+    main = {"main": cities["main"]}
+    pipeline.prepare_all(spark, main, root, min_free_gb=0.0, vocab_size=1510)
+    out = pipeline.Layout(root, 5000)
+    old = files.fingerprint(out.at("train.jsonl"))
+    with pytest.raises(ValueError, match="unmatched sources: expected 7, got 1"):
+        pipeline.prepare_all(spark, main, root, min_free_gb=0.0, expected_unmatched={5000: 7}, vocab_size=1505)
+    assert files.fingerprint(out.at("train.jsonl")) == old and not [n for n in os.listdir(root) if n.startswith(".work")]
+    raw, target = (os.path.join(root, "projected", "main", n) for n in ("raw.shp", "target_5000.shp"))
+    rows = [(*v, parts) for *v, parts in [("0", 99, [_square(500000, 3760000, 10, 4)]), ("1", 1, [_square(500000, 3760000, 10, 4)])]]
+    _layer(target, rows, [("osm_id", "C", 20, 0), ("InBld_FID", "N", 12, 0)])
+    with pytest.raises(ValueError, match="pairing failures: expected 0, got 1"):
+        pipeline.prepare(spark, raw, target, root, 5000, vocab_size=1510)
+    assert files.fingerprint(out.at("train.jsonl")) == old
+    assert [r["error"] for r in spark.read.json(out.at("failures.jsonl")).collect()] == ["out_of_range"]
+
+
+def test_failed_export_keeps_the_old_file(spark, tmp_path, monkeypatch):
+    raw = str(tmp_path / "raw.shp")
+    _layer(raw, [("a", [_square(500000, 3760000, 10, 4)]), ("b", []), ("c", [_square(500040, 3760000, 9, 4)])], [("osm_id", "C", 20, 0)])
+    ids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (7, "z")], "raw_fid long, osm_id string")
+    output = str(tmp_path / "u.jsonl")
+    assert pipeline.export_unmatched(spark, raw, ids, output, 5000) == 2
+    before = files.fingerprint(output)
+    monkeypatch.setattr(pipeline.geometry, "encode_sources", lambda df, scale: df.withColumn("source_tokens", F.raise_error(F.lit("no"))).withColumns({"source_frame": F.lit(None), "source_vertex_count": F.lit(0)}))
+    with pytest.raises(Exception, match="no"):
+        pipeline.export_unmatched(spark, raw, ids, output, 5000)
+    assert files.fingerprint(output) == before and sorted(n for n in os.listdir(tmp_path) if n.startswith("u.jsonl")) == ["u.jsonl"]
+
+
+def test_auto_evaluation(spark, tmp_path):
+    raw = [(str(i), [_square(500000 + 30 * i, 3760000, 10, 4)]) for i in range(4)]
+    _layer(tmp_path / "raw.shp", raw, [("osm_id", "C", 20, 0)])
+    _layer(tmp_path / "target.shp", [(n, i, p) for i, (n, p) in enumerate(raw)], [("osm_id", "C", 20, 0), ("InBld_FID", "N", 12, 0)])
+    pipeline.prepare(spark, str(tmp_path / "raw.shp"), str(tmp_path / "target.shp"), str(tmp_path / "out"), 5000, split="test", vocab_size=1510)
+    out = pipeline.Layout(str(tmp_path / "out"), 5000)
+    shape = seq2seq.Shape(vocab=1600, width=16, heads=2, layers=1, inner=16)
+    run = str(tmp_path / "run")
+    assert pipeline.auto_evaluate(spark, run, {"test": out.at("all.bpe.jsonl")}, out.at("vocab.txt"), shape, PRJ) == {}
+    os.makedirs(run)
+    with open(os.path.join(run, "metrics.jsonl"), "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in [{"split": "train", "epoch": 1, "greedy_exact_match_rate": 0.9}, {"split": "test", "epoch": 2, "greedy_exact_match_rate": 0.5}, {"split": "test", "epoch": 3, "greedy_exact_match_rate": 0.5}])
+    seq2seq.save(os.path.join(run, "checkpoint_epoch_2.npz"), seq2seq.random_weights(shape))
+    body = pipeline.auto_evaluate(spark, run, {"test": out.at("all.bpe.jsonl")}, out.at("vocab.txt"), shape, PRJ, max_len=12)
+    assert body["epoch"] == 2 and body["datasets"]["test"]["sample_count"] == 4
+    preds = files.read_predictions(spark, os.path.join(run, "auto_eval", "preds_test.jsonl"))
+    assert sorted(r["raw_fid"] for r in preds.collect()) == [0, 1, 2, 3]
+    log = spark.createDataFrame([("train", 4, 0.3), ("train", 5, 0.4), ("test", 6, None)], "split string, epoch int, greedy_exact_match_rate double")
+    assert rel.best_checkpoint(log).collect()[0]["epoch"] == 5
+
+
+def test_rates_and_guards(spark, tmp_path):
+    df = spark.createDataFrame([([1, 2, 720], [1, 2], 0.5), ([1, 3], [1, 2], None), ([4], [4, 720, 720], 1.5)], "p array<int>, t array<int>, loss double")
+    assert rel.exact_rate(df, "p", "t").collect()[0][0] == pytest.approx(2 / 3)
+    with pytest.raises(Exception, match="a row has no t"):
+        rel.exact_rate(df.withColumn("t", F.lit(None).cast("array<int>")), "p", "t").collect()
+    forced = spark.createDataFrame([([1, 2, 9], [1, 2, 720]), ([1, 3], [1, 2])], "p array<int>, l array<int>")
+    assert tuple(rel.teacher_forced_accuracy(forced, "p", "l").collect()[0]) == (3, 4, 0.75)
+    assert rel.average_loss(df, "loss").collect()[0][0] == 1.0 and rel.average_loss(df.limit(0), "loss").collect()[0][0] == 0.0
+    rel.require_finite(df, ["loss"], "step")
+    bad = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),)], "loss double")
+    report = str(tmp_path / "failure.json")
+    with pytest.raises(rel.NonFinite):
+        rel.require_finite(bad, ["loss"], "backward", report, {"epoch": 3})
+    assert json.load(open(report)) == {"epoch": 3, "failure_stage": "backward", "rows": {"loss": 2}}
+
+
+def test_paths_and_accessors(tmp_path):
+    assert pipeline.test_dataset_path("/a/train/x.jsonl") == "/a/test/x.jsonl"
+    with pytest.raises(ValueError):
+        pipeline.test_dataset_path("/a/val/x.jsonl")
+    assert pipeline.vocabulary_path("/r", "/d/scale10000/train.jsonl").endswith("scale10000/vocab.txt")
+    assert pipeline.vocabulary_path("/r", "/d/scale5000/train.jsonl") == pipeline.vocabulary_path("/r", scale=5000)
+    with pytest.raises(ValueError):
+        pipeline.vocabulary_path("/r", "/d/train.jsonl")
+    v = bpe.Vocabulary({1501: (1, 2, 3), 1500: (1, 2)}, 1500, 6000, 10)
+    assert v.composite_ids == [1500, 1501] and v.lengths() == {1501: 3, 1500: 2} and v.length(1501) == 3 and v.length(7) == 1
+    (tmp_path / "v.txt").write_text("# start_id=1500\n1500\t1 2\n")
+    short = bpe.Vocabulary.load(str(tmp_path / "v.txt"))
+    assert short.atoms == {1500: (1, 2)} and short.size == 6000 and short.max_atoms == 10
+
+
+def test_long_keys_pair_exactly(spark):
+    targets = spark.createDataFrame([(1, "9007199254740993", "a"), (2, "7.9", "b"), (3, "x", "c"), (4, None, "d"), (5, "7", "b")], "tid long, key string, name string")
+    raws = spark.createDataFrame([(9007199254740993, "a"), (9007199254740992, "no"), (7, "b")], "rid long, raw_name string")
+    got = {r["tid"]: (r["fk"], r["outcome"]) for r in rel.pair_by_key(targets, raws, "tid", "key", "rid", F.lit(1 << 60), "name", "raw_name").collect()}
+    assert got == {1: (9007199254740993, "paired"), 2: (7, "paired"), 3: (None, "invalid"), 4: (None, "invalid"), 5: (7, "duplicate")}
