@@ -63,10 +63,11 @@ class _Work:
         self.spark = df.sparkSession
         self.root = f"{shared_dir(self.spark)}/line-dedup-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, small: bool = True) -> DataFrame:
+        """Write a table down and read it from there; many tasks' few rows go into few files."""
         path = f"{self.root}/{name}"
         with tidy(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+            (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -214,10 +215,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _survivors(docs: DataFrame, work: _Work) -> DataFrame:
     """``row_id, line_no`` of the lines with words that stay."""
     with roomy(docs.sparkSession, CELL_BITS):
-        levels = work.keep(_levels(docs), "levels")
-    classes = work.keep(_classes(docs, levels), "classes")
+        levels = work.keep(_levels(docs), "levels", small=False)
+    classes = work.keep(_classes(docs, levels), "classes", small=False)
     postings = _postings(classes)
-    rare, hot = postings.where("NOT hot"), work.keep(postings.where("hot"), "hot")
+    rare, hot = postings.where("NOT hot"), work.keep(postings.where("hot"), "hot", small=False)
     near = work.keep(_nearest(hot), "near")
     gone = work.keep(_verified(near, docs), "gone-near")
     live = _without(hot, gone)
