@@ -6,14 +6,19 @@ greatest and the least weight in it. A query's bound for a block is the sum of i
 each the larger of weight * greatest and weight * least. Queries take blocks in falling order of
 bound, score them whole, and stop when the next bound falls below their k-th score.
 
-Blocks are gathered into spans and queries into groups; each (span, group) is a task of bounded
+Blocks are gathered into spans and queries into groups; each (span, group) is a cell of bounded
 size that returns k rows per query at most. A first pass over one span gives every query a score
-to beat, so later spans start with a tight k-th score and mostly return little.
+to beat. Then only the blocks' extremes go to all groups; a span's vectors follow to the groups that
+have a query whose bound for one of its blocks reaches that score.
+
+How much is pruned depends on the vectors: blocks of like vectors are skipped, blocks of unrelated
+ones have bounds that no k-th score reaches (``scored_share`` measures it).
 
 Edge cases: rows with a null id, a null vector, or null or non-finite components take no part; a
-shorter vector counts as if filled with zeros; an id that repeats counts once, with its least vector;
-equal scores rank by smaller id; fewer candidates than k give fewer rows; sums beyond 64 bits stop
-at the largest long; an empty table gives an empty result; extra columns are not read.
+shorter vector counts as if filled with zeros; each row of an id that repeats is a candidate, for the
+other rows of its id too, and a query of its own if the id is divisible; equal scores rank by smaller id; fewer
+candidates than k give fewer rows; sums beyond 64 bits stop at the largest long; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantle.session import materialise, ship, shuffle_width
+from cantle.session import materialise, pinned, ship, shuffle_width
 
 SCALE = 64.0
 BLOCK = 256
@@ -54,107 +59,132 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[max(-_LONG - 1, min(_LONG, int(v))) for v in r] for r in x @ y.T], np.int64).reshape(len(a), len(b))
 
 
-def _merge(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _merge(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
     """The k best of each row, by falling score, then rising id."""
-    order = np.lexsort((ids, -score.astype(np.float64) if score.dtype != np.int64 else ~score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+    order = np.lexsort((rows, ids, ~score), axis=1)[:, :k]
+    return [np.take_along_axis(x, order, 1) for x in (score, ids, rows)]
 
 
-def search_span(blocks: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query place, candidate id, score) of each query's best in the span that reach ``least``,
-    and the number of (query, block) pairs that were scored."""
-    wide = max([queries.shape[1], *[m.shape[1] for _, m in blocks]])
-    pad = lambda x: np.pad(x, ((0, 0), (0, wide - x.shape[1])))
-    queries, blocks = pad(queries), [(i, pad(m)) for i, m in blocks]
-    top, low = np.array([m.max(0) for _, m in blocks]), np.array([m.min(0) for _, m in blocks])
+def _bounds(queries: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What a query can score at most in blocks of these greatest and least weights."""
     bound = np.maximum(queries, 0) @ top.T + np.minimum(queries, 0) @ low.T
     slack = 1e-9 * (np.abs(queries) @ np.maximum(np.abs(top), np.abs(low)).T)  # for sums that float64 rounds
-    bound += np.where(slack > 1e3, slack, 0)
+    return bound + np.where(slack > 1e3, slack, 0)
+
+
+def _even(parts: list[np.ndarray]) -> list[np.ndarray]:
+    wide = max(p.shape[1] for p in parts)
+    return [np.pad(p, ((0, 0), (0, wide - p.shape[1]))) for p in parts]
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def search_span(blocks: list[Block], query_rows: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query place, candidate id, candidate row, score) of each query's best in the span that reach ``least``,
+    and the number of (query, block) pairs that were scored. A block has rows, ids and vectors."""
+    queries, *vectors = _even([queries, *[m for *_, m in blocks]])
+    bound = _bounds(queries, np.array([m.max(0) for m in vectors]), np.array([m.min(0) for m in vectors]))
     order = np.argsort(-bound, axis=1, kind="stable")
-    n = len(queries)
-    empty = -_LONG - 1
-    score, ids = np.full((n, k), empty, np.int64), np.full((n, k), _LONG, np.int64)
-    kth = np.maximum(least.astype(np.float64), -np.inf)
+    n, empty = len(queries), -_LONG - 1
+    score, ids, rows = np.full((n, k), empty, np.int64), np.full((n, k), _LONG, np.int64), np.full((n, k), -1, np.int64)
+    kth = least.astype(np.float64)
     live, scored = np.arange(n), 0
     for turn in range(len(blocks)):
-        nth = order[live, turn]
-        live = live[bound[live, nth] >= kth[live]]
+        live = live[bound[live, order[live, turn]] >= kth[live]]
         if not len(live):
             break
         nth = order[live, turn]
         scored += len(live)
         for b in np.unique(nth):
             who = live[nth == b]
-            names, vectors = blocks[b]
-            s = _products(queries[who], vectors)
-            c = np.broadcast_to(names, s.shape).copy()
-            own = c == query_ids[who][:, None]
-            s[own], c[own] = empty, _LONG
-            score[who], ids[who] = _merge(np.c_[score[who], s], np.c_[ids[who], c], k)
-        kth[live] = np.maximum(kth[live], np.where(ids[live, -1] < _LONG, score[live, -1].astype(np.float64), -np.inf))
-    keep = (ids < _LONG) & (score >= least[:, None])
-    return np.nonzero(keep)[0], ids[keep], score[keep], scored
+            s = _products(queries[who], vectors[b])
+            c, r = (np.broadcast_to(x, s.shape).copy() for x in (blocks[b][1], blocks[b][0]))
+            own = r == query_rows[who][:, None]
+            s[own], c[own], r[own] = empty, _LONG, -1
+            score[who], ids[who], rows[who] = _merge(np.c_[score[who], s], np.c_[ids[who], c], np.c_[rows[who], r], k)
+        kth[live] = np.maximum(kth[live], np.where(rows[live, -1] >= 0, score[live, -1].astype(np.float64), -np.inf))
+    keep = (rows >= 0) & (score >= least[:, None])
+    return np.nonzero(keep)[0], ids[keep], rows[keep], score[keep], scored
 
 
 def _clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """One row per id, without unusable vectors."""
+    """Numbered rows without unusable vectors."""
     x = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    found = df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
-    return found.groupBy("vec_id").agg(F.min("x").alias("x"))
+    return pinned(df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")), "row")
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
-    """Blocks of consecutive ids: ``pid, seq, ids, matrix, wide``."""
+    """Blocks of consecutive ids, with their greatest and least weights: ``pid, seq, rows, ids, matrix, top, low, wide``."""
+    names = ["pid", "seq", "rows", "ids", "matrix", "top", "low", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, ids, rows, pid = 0, [], [], None
+        seq, held, pid = 0, [], None
 
-        def block(i, r):
-            m = quantise(r)
-            return pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([seq]), pa.array([np.array(i, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]])], names=["pid", "seq", "ids", "matrix", "wide"])
+        def block(part):
+            m = quantise([x for *_, x in part])
+            packs = [np.array([p[i] for p in part], np.int64) for i in (0, 1)] + [m, m.max(0), m.min(0)]
+            return pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([seq]), *[pa.array([a.tobytes()], pa.binary()) for a in packs], pa.array([m.shape[1]])], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
             pid = b.column("pid")[0].as_py()
-            ids += b.column("vec_id").to_pylist()
-            rows += b.column("x").to_pylist()
-            while len(ids) >= BLOCK:
-                yield block(ids[:BLOCK], rows[:BLOCK])
-                ids, rows, seq = ids[BLOCK:], rows[BLOCK:], seq + 1
-        if ids:
-            yield block(ids, rows)
+            held += zip(*[b.column(c).to_pylist() for c in ("row", "vec_id", "x")], strict=True)
+            while len(held) >= BLOCK:
+                yield block(held[:BLOCK])
+                held, seq = held[BLOCK:], seq + 1
+        if held:
+            yield block(held)
 
     spread = vectors.repartitionByRange(shuffle_width(vectors.sparkSession), "vec_id").sortWithinPartitions("vec_id")
-    return spread.withColumn("pid", F.spark_partition_id().cast("long")).mapInArrow(run, "pid long, seq long, ids binary, matrix binary, wide long")
+    return spread.withColumn("pid", F.spark_partition_id().cast("long")).mapInArrow(run, "pid long, seq long, rows binary, ids binary, matrix binary, top binary, low binary, wide long")
 
 
-_CELL = "query_id long, vec_id long, score long"
+_CELL = "query_row long, query_id long, vec_id long, row long, score long, scored long"
 
 
-def _open(ids: bytes, matrix: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(matrix).reshape(-1, wide)
+def _asked(queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return queries["query_row"].to_numpy(np.int64), quantise([list(x) for x in queries["x"]]), queries["least"].to_numpy(np.int64)
 
 
-def _answer(key, blocks, queries, k: int):
+def _answer(blocks, queries, k: int):
     import pandas as pd
 
+    columns = [c.split()[0] for c in _CELL.split(", ")]
     if not len(blocks) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    packs = [_open(*r) for r in blocks.sort_values(["pid", "seq"])[["ids", "matrix", "wide"]].itertuples(index=False)]
-    names = queries["query_id"].to_numpy(np.int64)
-    who, ids, score, _ = search_span(packs, names, quantise([list(x) for x in queries["x"]]), queries["least"].to_numpy(np.int64), k)
-    return pd.DataFrame({"query_id": names[who], "vec_id": ids, "score": score})
+        return pd.DataFrame({c: [] for c in columns}).astype("int64")
+    packs = [(np.frombuffer(r.rows, np.int64), np.frombuffer(r.ids, np.int64), np.frombuffer(r.matrix).reshape(-1, r.wide)) for r in blocks.sort_values(["pid", "seq"]).itertuples(index=False)]
+    rows, vectors, least = _asked(queries)
+    who, ids, found, score, scored = search_span(packs, rows, vectors, least, k)
+    out = pd.DataFrame({"query_row": rows[who], "query_id": queries["query_id"].to_numpy(np.int64)[who], "vec_id": ids, "row": found, "score": score, "scored": 0})
+    # the pairs scored, on a row without a candidate
+    return pd.concat([out, pd.DataFrame([dict.fromkeys(columns, -1) | {"scored": scored}])])[columns]
+
 
+def _reached(key, blocks, queries):
+    """One row if a query's bound for a block of the span reaches the score that it has to beat."""
+    import pandas as pd
 
-def _meet(spans: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each span with each group of queries; both sides carry the pair's key."""
-    return spans.groupBy("span", "grp").cogroup(queries.groupBy("span", "grp")).applyInPandas(lambda key, a, b: _answer(key, a, b, k), _CELL)
+    if len(blocks) and len(queries):
+        _, vectors, least = _asked(queries)
+        vectors, *ends = _even([vectors, *[np.frombuffer(getattr(r, c)).reshape(1, -1) for r in blocks.itertuples(index=False) for c in ("top", "low")]])
+        bound = _bounds(vectors, np.concatenate(ends[::2]), np.concatenate(ends[1::2]))
+        if (bound >= least.astype(np.float64)[:, None]).any():
+            return pd.DataFrame({"span": [key[0]], "grp": [key[1]]})
+    return pd.DataFrame({"span": [], "grp": []}).astype("int32")
 
 
-def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score`` for the queries whose id is divisible by ``every``."""
+def _meet(spans: DataFrame, queries: DataFrame, cells: int, run, ddl: str) -> DataFrame:
+    """Each span with each group of queries; both sides carry the cell's key and are dealt out by it."""
+    width = max(1, min(2 * cells, 4 * shuffle_width(spans.sparkSession)))
+    a, b = (df.repartition(width, "span", "grp").groupBy("span", "grp") for df in (spans, queries))
+    return a.cogroup(b).applyInPandas(run, ddl)
+
+
+def _searched(df: DataFrame, k: int, every: int, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
+    """The cells' rows, and the numbers of blocks and queries."""
     ship(df.sparkSession)
     vectors = _clean(df, id_col, vector_col)
     blocks = materialise(_packed(vectors))
@@ -171,34 +201,52 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
     n_spans = max(1, -(-total // SPAN_BLOCKS))
 
     queries = vectors.where(F.col("vec_id") % every == 0)
-    n_groups = max(1, -(-queries.count() // GROUP_QUERIES))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "x", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int").alias("grp"), F.lit(-_LONG - 1).alias("least"))
+    many = queries.count()
+    n_groups = max(1, -(-many // GROUP_QUERIES))
+    asked = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "x", F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int").alias("grp"), F.lit(-_LONG - 1).alias("least"))
     groups = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))
-    found = _meet(spans.where("span = 0").withColumn("grp", groups), asked.withColumn("span", F.lit(0)), k)
+    cell = lambda key, a, b: _answer(a, b, k)
+    vectors_of = spans.select("span", "pid", "seq", "rows", "ids", "matrix", "wide")
+    found = _meet(vectors_of.where("span = 0").withColumn("grp", groups), asked.withColumn("span", F.lit(0)), n_groups, cell, _CELL)
     if n_spans > 1:
         found = materialise(found)
-        beat = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-        low = F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-_LONG - 1)).alias("least")
-        tighter = asked.drop("least").join(beat, "query_id", "left").select("query_id", "x", "grp", F.coalesce(low, F.lit(-_LONG - 1)).alias("least"))
+        beat = found.where("row >= 0").groupBy("query_row").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+        low = F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-_LONG - 1))
+        tighter = asked.drop("least").join(beat, "query_row", "left").withColumn("least", F.coalesce(low, F.lit(-_LONG - 1))).drop("low", "n")
         rest = tighter.withColumn("span", F.explode(F.sequence(F.lit(1), F.lit(n_spans - 1))))
-        found = found.unionByName(_meet(spans.where("span > 0").withColumn("grp", groups), rest, k))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        cells = (n_spans - 1) * n_groups
+        ends = spans.where("span > 0").select("span", "top", "low").withColumn("grp", groups)
+        open_cells = materialise(_meet(ends, rest, cells, _reached, "span int, grp int"))
+        sent, waiting = vectors_of.join(open_cells, "span"), rest.join(open_cells, ["span", "grp"], "left_semi")
+        found = found.unionByName(_meet(sent, waiting, cells, cell, _CELL))
+    return found, total, many
+
+
+def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``."""
+    found = _searched(df, k, every, id_col, vector_col)[0].where("row >= 0")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def scored_share(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The share of all (query, block) pairs that were scored; the others were pruned by their bounds."""
+    found, blocks, queries = _searched(df, k, every, id_col, vector_col)
+    return (found.where("row < 0").agg(F.sum("scored")).collect()[0][0] or 0) / max(1, blocks * queries)
+
+
 #: Brute force over all pairs.
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(min(embedding), lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.id AS query, a.vec_id AS query_id, b.id AS id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.id <> b.id
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -1,22 +1,20 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 
+from cantle.llm import queries
 from cantle.llm import topk_blocks as tk
 
 
 def _brute(rows, k, every):
-    seen = {}
-    for i, x in rows:
-        if i is None or x is None or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        seen[i] = min(seen.get(i, list(x)), list(x))
-    q = {i: [math.floor(64 * v) for v in x] for i, x in seen.items()}
+    """Each usable row is a candidate of all others, whatever its id."""
+    q = [(i, [math.floor(64 * v) for v in x]) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
     out = []
-    for i in sorted(q):
+    for n, (i, x) in enumerate(q):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(x, y)), j) for m, (j, y) in enumerate(q) if m != n)[:k]
             out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best)]
     return out
 
@@ -47,12 +45,37 @@ def test_huge_components_stay_exact():
 def test_blocks_are_pruned_without_loss():
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 4, (30, 8))
-    blocks = [(np.arange(i * 16, i * 16 + 16), np.floor(64 * (c + rng.normal(0, 0.2, (16, 8))))) for i, c in enumerate(centres)]
-    every = np.concatenate([m for _, m in blocks])
+    blocks = [(np.arange(i * 16, i * 16 + 16), np.arange(i * 16, i * 16 + 16), np.floor(64 * (c + rng.normal(0, 0.2, (16, 8))))) for i, c in enumerate(centres)]
+    every = np.concatenate([m for *_, m in blocks])
     ids = np.arange(0, 480, 20)
-    who, names, score, scored = tk.search_span(blocks, ids, every[ids], np.full(len(ids), -(2**63)), 5)
+    who, names, _, score, scored = tk.search_span(blocks, ids, every[ids], np.full(len(ids), -(2**63)), 5)
     assert scored < 0.5 * len(ids) * len(blocks)
     full = (every[ids] @ every.T).astype(np.int64)
     for q, i in enumerate(ids):
         want = sorted((-full[q, j], j) for j in range(480) if j != i)[:5]
         assert [(-s, j) for j, s in zip(names[who == q], score[who == q])] == want
+
+
+def test_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [9.0, 0.0]), (1, [1.0, 1.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, tk.top_k(df, 20, 20).collect()))
+    assert got == sorted(_brute(rows, 20, 20)) and len(got) == 9
+
+
+def test_spans_that_no_bound_reaches_stay_away(spark, monkeypatch):
+    monkeypatch.setattr(tk, "BLOCK", 8)
+    monkeypatch.setattr(tk, "SPAN_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), (np.eye(8)[i // 40] * 50 + rng.normal(0, 0.1, 8)).tolist()) for i in range(320)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, tk.top_k(df, 5, 20).collect())) == sorted(_brute(rows, 5, 20))
+    assert 0 < tk.scored_share(df, 5, 20) < 0.8
+
+
+def test_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    cols = "query_id, rank, vec_id, score"
+    want = sorted(con.execute(f"SELECT {cols} FROM ({tk.ORACLE_SQL})").fetchall())
+    assert sorted(tuple(r) for r in queries.QUERIES["op2_topk_blocks"](spark, "/root/testdata/sf0.001").select(*cols.split(", ")).collect()) == want
