@@ -35,4 +35,4 @@ def keeps_sample(value: Column, difficulty: Column, seed: int = SEED, fraction:
 
 def shuffle_key(value: Column, epoch: int, seed: int = SEED) -> Column:
     """A sort key that deals rows in another order each epoch."""
-    return F.xxhash64(value, F.lit(epoch), F.lit(seed))
+    return hash_prefix(value, f"shuffle{epoch}", seed)

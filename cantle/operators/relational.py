@@ -227,3 +227,11 @@ def pair_counts(df: DataFrame, sequence: Column, weight: Column | None = None) -
     weight = F.lit(1) if weight is None else weight
     pairs = df.select(weight.cast("long").alias("w"), F.explode(tokens.adjacent_pairs(sequence)).alias("p"))
     return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("w").alias("n"))
+
+
+def best_pair(df: DataFrame, sequence: Column, position: Column, weight: Column | None = None) -> DataFrame:
+    """The most frequent pair of neighbours; of equal counts the one first seen, by position, then place."""
+    weight = F.lit(1) if weight is None else weight
+    pairs = df.select(weight.cast("long").alias("w"), position.alias("pos"), F.posexplode(tokens.adjacent_pairs(sequence)).alias("at", "p"))
+    counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("w").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
+    return counts.orderBy(F.desc("n"), "first").limit(1).drop("first")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantle.functions import hashing, rings, tokens
+from cantle.functions.codec import FRAME_DDL
 from cantle.operators import relational as rel
 from cantle.plans import adapters as ad
+from cantle.session import shared_dir
+from cantle.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,12 +64,12 @@ TARGETS = """targets AS (
     WHEN name <> coalesce(CAST(c.c_custkey AS VARCHAR), CAST(e.fk AS VARCHAR)) THEN 'mismatch' ELSE 'paired' END AS outcome
   FROM early e LEFT JOIN customer c ON c.c_custkey = e.fk)"""
 STARS = """polar AS (
-  SELECT vec_id AS id, i, 5.0 + 20.0 * abs(CAST(embedding[i + 1] AS DOUBLE)) AS r, i * (2 * pi() / 16) AS a
-  FROM (SELECT vec_id, embedding, unnest(range(16)) AS i FROM embeddings)
+  SELECT vec_id AS id, i, 5.0 + 20.0 * abs(CAST(embedding[i + 1] AS DOUBLE)) AS r, i * (2 * pi() / 64) AS a
+  FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)
 ), pts AS (SELECT id, i, r * cos(a) AS x, r * sin(a) AS y FROM polar
 ), edge AS (
   SELECT p.id, p.i, p.x, p.y, q.x AS x2, q.y AS y2, q.x - p.x AS dx, q.y - p.y AS dy, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS len
-  FROM pts p JOIN pts q ON p.id = q.id AND q.i = (p.i + 1) % 16)"""
+  FROM pts p JOIN pts q ON p.id = q.id AND q.i = (p.i + 1) % 64)"""
 
 
 def _docs(spark, sf_dir):
@@ -97,9 +101,9 @@ def hash_topk_complex(spark, sf_dir):
     return rel.hash_sample(_docs(spark, sf_dir).where("difficulty = 'complex'"), "doc_id", 512, "diagnostic").select("hash16", "doc_id")
 
 
-@query()
+@query(f"WITH {DOCS} SELECT doc_id, {hex_sql('shuffle1', 'doc_id')} AS k FROM docs")
 def shuffle_order(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", hashing.shuffle_key(F.col("doc_id"), 1).alias("k")).orderBy("k", "doc_id").select("doc_id")
+    return _docs(spark, sf_dir).select("doc_id", hashing.shuffle_key(F.col("doc_id"), 1).alias("k")).orderBy("k", "doc_id")
 
 
 # -- grouped statistics ----------------------------------------------------------------------------
@@ -135,22 +139,30 @@ def split_stats(spark, sf_dir):
 
 
 @query(f"""WITH {DOCS}, s AS (
-  SELECT CASE WHEN {fraction_sql('split', 'doc_id')} >= 0.8 THEN 'validation' WHEN difficulty <> 'simple_rectangle' OR {fraction_sql('rectangle', 'doc_id')} < 0.1 THEN 'train' ELSE 'dropped' END AS sink FROM docs)
-SELECT sink, count(*) AS n FROM s GROUP BY sink""")
+  SELECT CASE WHEN {fraction_sql('split', 'doc_id')} >= 0.8 THEN 'validation' WHEN difficulty <> 'simple_rectangle' OR {fraction_sql('rectangle', 'doc_id')} < 0.1 THEN 'train' END AS sink, doc_id FROM docs)
+SELECT sink, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM s WHERE sink IS NOT NULL GROUP BY sink""")
 def multi_sink_counts(spark, sf_dir):
-    train = hashing.split_of(F.col("doc_id")) == "train"
-    sink = F.when(~train, "validation").when(hashing.keeps_sample(F.col("doc_id"), F.col("difficulty")), "train").otherwise("dropped")
-    return _docs(spark, sf_dir).groupBy(sink.alias("sink")).agg(F.count("*").alias("n"))
+    """Rows as read back from the two sinks."""
+    docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id")))
+    keep = hashing.keeps_sample(F.col("doc_id"), F.col("difficulty"))
+    root, out = f"{shared_dir(spark)}/sinks-{uuid.uuid4().hex}", None
+    for name, df in {"train": docs.where((F.col("split") == "train") & keep), "validation": docs.where("split = 'validation'")}.items():
+        files.write_jsonl(df, f"{root}/{name}.jsonl")
+        back = files.read_jsonl(spark, f"{root}/{name}.jsonl", "doc_id long").select(F.lit(name).alias("sink"), "doc_id")
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("sink").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query(f"""WITH {DOCS}, s AS (SELECT doc_id, {fraction_sql('split', 'doc_id')} < 0.8 AS t FROM docs)
-SELECT count(*) AS leaked FROM (SELECT doc_id FROM s WHERE t INTERSECT SELECT doc_id FROM s WHERE NOT t)""")
+@query(f"""WITH s AS (SELECT o_custkey, {fraction_sql('split', 'o_orderkey')} < 0.8 AS t FROM orders)
+SELECT o_custkey FROM s WHERE t INTERSECT SELECT o_custkey FROM s WHERE NOT t""")
 def leakage_check(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id")))
-    return rel.leakage(docs.where("split = 'train'"), docs.where("split = 'validation'"), "doc_id").agg(F.count("*").alias("leaked"))
+    """Customers on both sides of a split by order, which does not keep them apart."""
+    orders = ad.table(spark, sf_dir, "orders").select("o_custkey", hashing.split_of(F.col("o_orderkey")).alias("split"))
+    return rel.leakage(orders.where("split = 'train'"), orders.where("split = 'validation'"), "o_custkey")
 
 
 @query(f"""WITH {DOCS} SELECT 'rows_kept' AS name, (SELECT count(*) FROM documents) AS expected, (SELECT count(*) FROM docs) AS actual, (SELECT count(*) FROM documents) = (SELECT count(*) FROM docs) AS ok
+UNION ALL SELECT 'one_line_an_order', (SELECT count(*) FROM orders), (SELECT count(*) FROM lineitem), (SELECT count(*) FROM orders) = (SELECT count(*) FROM lineitem)
 UNION ALL SELECT 'diagnostic', (SELECT least(512, count(*)) FROM docs WHERE difficulty = 'complex'), (SELECT count(*) FROM (SELECT 1 FROM docs WHERE difficulty = 'complex' LIMIT 512)), true""")
 def gate_checks(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -158,6 +170,7 @@ def gate_checks(spark, sf_dir):
     return rel.gate_checks(
         [
             ("rows_kept", ad.table(spark, sf_dir, "documents").agg(F.count("*")), docs.agg(F.count("*"))),
+            ("one_line_an_order", ad.table(spark, sf_dir, "orders").agg(F.count("*")), ad.table(spark, sf_dir, "lineitem").agg(F.count("*"))),
             ("diagnostic", hard.agg(F.least(F.lit(512), F.count("*"))), rel.hash_sample(hard, "doc_id", 512, "diagnostic").agg(F.count("*"))),
         ]
     )
@@ -181,9 +194,12 @@ def prep_counters(spark, sf_dir):
     return _audit(spark, sf_dir).agg(F.count_if(F.col("outcome") == "paired").alias("paired"), F.count_if(F.col("outcome") != "paired").alias("pairing_failures"), F.count_if(F.col("outcome") == "duplicate").alias("duplicates"))
 
 
-@query(f"WITH {TARGETS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT fk FROM audit WHERE outcome NOT IN ('invalid', 'out_of_range'))")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount < 0.1)")
 def unmatched_anti(spark, sf_dir):
-    return rel.unmatched(ad.table(spark, sf_dir, "customer").select("c_custkey"), _audit(spark, sf_dir), "c_custkey")
+    """Orders that no line names but such as are out of range."""
+    outcome = F.when(F.col("l_discount") < 0.1, "paired").otherwise("out_of_range")
+    audit = ad.table(spark, sf_dir, "lineitem").select(outcome.alias("outcome"), F.col("l_orderkey").alias("fk"))
+    return rel.unmatched(ad.table(spark, sf_dir, "orders").select("o_orderkey"), audit, "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY o_orderkey LIMIT 200")
@@ -192,21 +208,21 @@ def fid_semi(spark, sf_dir):
     return ad.table(spark, sf_dir, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(200)
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey),
+@query("""WITH a AS (SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v FROM orders GROUP BY o_custkey),
 b AS (SELECT s_nationkey AS k, arg_max(s_suppkey, s_suppkey) AS v FROM supplier GROUP BY s_nationkey)
 SELECT c_custkey, coalesce(a.v, b.v) AS v FROM customer LEFT JOIN a ON c_custkey = a.k LEFT JOIN b ON c_nationkey = b.k""")
 def fallback_lookup(spark, sf_dir):
-    orders = ad.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("v"))
+    orders = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("v"))
     suppliers = ad.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").alias("v"))
     return rel.fallback_lookup(ad.table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"], [orders, suppliers], "v").select("c_custkey", "v")
 
 
-@query("""WITH p AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS total FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey)
-SELECT c_custkey AS k, total, c_nationkey, total IS NULL AS missing FROM customer LEFT JOIN p ON c_custkey = p.k WHERE c_custkey % 3 = 0""")
+@query("""WITH p AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS total FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS k, total, c_nationkey, total IS NULL AS missing FROM customer LEFT JOIN p ON c_custkey = p.k""")
 def three_way_lookup(spark, sf_dir):
     raws = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
-    preds = ad.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("total"))
-    return rel.three_way(raws.where("k % 3 = 0").select("k"), preds, raws, "k").select("k", F.col("p.total").alias("total"), "c_nationkey", "missing")
+    preds = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("total"))
+    return rel.three_way(raws.select("k"), preds, raws, "k").select("k", F.col("p.total").alias("total"), "c_nationkey", "missing")
 
 
 # -- token sequences -------------------------------------------------------------------------------
@@ -241,9 +257,11 @@ def pair_counts(spark, sf_dir):
     return rel.pair_counts(ad.event_sequences(spark, sf_dir), F.col("tokens"))
 
 
-@query(f"WITH {EVENTS}, {_PAIRS} SELECT l, r, count(*) AS n FROM pairs WHERE r IS NOT NULL GROUP BY l, r ORDER BY n DESC, l, r LIMIT 1")
+@query(f"""WITH {EVENTS}, placed AS (
+  SELECT id, i, t AS l, lead(t) OVER (PARTITION BY id ORDER BY i) AS r FROM (SELECT id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM seqs))
+SELECT l, r, count(*) AS n FROM placed WHERE r IS NOT NULL GROUP BY l, r ORDER BY n DESC, min(struct_pack(id := id, i := i)) LIMIT 1""")
 def best_pair(spark, sf_dir):
-    return rel.pair_counts(ad.event_sequences(spark, sf_dir), F.col("tokens")).orderBy(F.desc("n"), "l", "r").limit(1)
+    return rel.best_pair(ad.event_sequences(spark, sf_dir), F.col("tokens"), F.col("id"))
 
 
 @query(f"WITH {EVENTS} SELECT id, regexp_replace(regexp_replace(array_to_string(list_transform(tokens, lambda x: 't' || x), ''), 't0t4', 'M', 'g'), 'M', 't1500', 'g') AS merged FROM seqs")
@@ -299,31 +317,37 @@ def rle_parse(spark, sf_dir):
     return ad.order_sequences(spark, sf_dir).select("id", F.array_join(r, " ").alias("runs"))
 
 
-@query(f"""WITH {LINES}, v AS (SELECT id, array_to_string(list_transform(tokens, lambda x: CASE WHEN x % 10 = 0 THEN x + 719 ELSE x END), ',') AS t, list_transform(tokens, lambda x: CASE WHEN x % 10 = 0 THEN x + 719 ELSE x END) AS l FROM seqs)
-SELECT id, len(list_filter(l, lambda x: NOT (x BETWEEN 0 AND 719 OR x BETWEEN 720 AND 726))) AS bad FROM v""")
+@query(f"""WITH {LINES}, v AS (SELECT id, list_transform(tokens, lambda x: CASE x % 10 WHEN 0 THEN x + 719 WHEN 1 THEN 1500 WHEN 2 THEN 1501 ELSE x END) AS l FROM seqs)
+SELECT id, len(list_filter(l, lambda x: NOT (x BETWEEN 0 AND 726 OR x = 1500))) AS bad FROM v""")
 def token_validity(spark, sf_dir):
-    t = F.transform("tokens", lambda x: F.when(x % 10 == 0, x + 719).otherwise(x))
-    none = F.create_map().cast("map<int,array<int>>")
-    return ad.order_sequences(spark, sf_dir).select("id", tokens.invalid_tokens(t, none).cast("long").alias("bad"))
+    """Directions, ids beyond them, one composite id that the vocabulary has, and one that it has not."""
+    rest = F.col("tokens")
+    t = F.transform(rest, lambda x: F.when(x % 10 == 0, x + 719).when(x % 10 == 1, 1500).when(x % 10 == 2, 1501).otherwise(x))
+    atoms = F.create_map(F.lit(1500), F.array(F.lit(1), F.lit(2)))
+    return ad.order_sequences(spark, sf_dir).select("id", tokens.invalid_tokens(t, atoms).cast("long").alias("bad"))
 
 
-@query(f"""WITH {LINES}, a AS (SELECT row_number() OVER (ORDER BY id) AS n, id, tokens FROM seqs), b AS (SELECT row_number() OVER (ORDER BY id) AS n, CASE WHEN id % 50 = 0 THEN -id ELSE id END AS id, tokens FROM seqs WHERE id % 1000 <> 7 OR id < 0)
-SELECT count(*) FILTER (WHERE coalesce(a.id = b.id, false)) AS n_rows, CAST(0 AS BIGINT) AS roundtrip_failures, CAST(0 AS BIGINT) AS invalid_token_count, count(*) FILTER (WHERE NOT coalesce(a.id = b.id, false)) AS row_alignment_failures
-FROM a FULL OUTER JOIN b ON a.n = b.n""")
+@query(f"""WITH {LINES}, z AS (SELECT id, id % 1000 <> 7 AND (id % 50 <> 0 OR id = 0) AS aligned, id % 13 = 0 OR id % 17 = 0 AS lost, id % 17 = 0 AS bad FROM seqs)
+SELECT count(*) FILTER (WHERE aligned) AS n_rows, count(*) FILTER (WHERE aligned AND lost) AS roundtrip_failures, count(*) FILTER (WHERE aligned AND bad) AS invalid_token_count, count(*) FILTER (WHERE NOT aligned) AS row_alignment_failures FROM z""")
 def positional_zip_audit(spark, sf_dir):
-    from pyspark.sql import Window
-
-    seqs = ad.order_sequences(spark, sf_dir)
-    place = F.row_number().over(Window.orderBy("id"))  # the adapter stands in for a file's line numbers
-    left = seqs.withColumn("n", place)
-    right = seqs.where("id % 1000 <> 7").withColumn("n", place).withColumn("id", F.when(F.col("id") % 50 == 0, -F.col("id")).otherwise(F.col("id")))
-    none = F.create_map().cast("map<int,array<int>>")
-    return rel.lossless_audit(rel.zip_by_place(left, right, "n", "id"), none, ["tokens"])
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+    """The order key stands in for a file's line number; the coded side has lines missing, of other samples, with wrong and unknown tokens."""
+    i, t = F.col("id"), F.col("tokens")
+    left = ad.order_sequences(spark, sf_dir).withColumn("n", i)
+    wrong = F.concat(F.array(F.element_at(t, 1) + 1), F.slice(t, F.lit(2), F.size(t)))
+    coded = F.when(i % 17 == 0, F.concat(t, F.array(F.lit(1600)))).when(i % 13 == 0, wrong).otherwise(t)
+    # the pair (1, 2) has an id of its own
+    atoms = F.create_map(F.lit(1500), F.array(F.lit(1), F.lit(2)))
+    pair = tokens.merge_once(coded, 1, 2, 1500)
+    right = left.where("id % 1000 <> 7").withColumn("tokens", pair).withColumn("id", F.when(i % 50 == 0, -i).otherwise(i))
+    return rel.lossless_audit(rel.zip_by_place(left, right, "n", "id"), atoms, ["tokens"])
+
+
+@query("SELECT event_id, value AS start_x, -value AS rotation_deg, CAST(json_extract(props, '$.k') AS INT) AS start_vertex_index, value / 2 AS inner_x, 2 AS inner_n FROM events")
 def parse_frame_json(spark, sf_dir):
-    return ad.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    v, k = F.col("value"), F.get_json_object("props", "$.k")
+    parts = [F.lit('{"start_x":'), v, F.lit(',"start_y":0.5,"ref_x":1,"ref_y":2,"rotation_deg":'), -v, F.lit(',"longest_edge_m":3.5,"start_vertex_index":'), k, F.lit(',"inner_starts":[['), v / 2, F.lit(",1.5],[7,8]]}")]
+    frames = ad.table(spark, sf_dir, "events").select("event_id", F.from_json(F.concat(*[x.cast("string") for x in parts]), FRAME_DDL).alias("f"))
+    return frames.select("event_id", "f.start_x", "f.rotation_deg", "f.start_vertex_index", F.col("f.inner_starts")[0][0].alias("inner_x"), F.size("f.inner_starts").alias("inner_n"))
 
 
 # -- evaluation ------------------------------------------------------------------------------------
@@ -405,9 +429,9 @@ def orient_ccw(spark, sf_dir):
     return ad.stars(spark, sf_dir).select("id", F.round(rings.signed_area(back), 6).alias("area"), (rings.signed_area(back) > 0).alias("ccw"))
 
 
-@query(f"WITH {STARS} SELECT id, CAST(sum(greatest(1, CAST(round(len / 0.2) AS BIGINT))) AS BIGINT) AS n_tokens FROM edge GROUP BY id")
+@query(f"WITH {STARS} SELECT id, rtrim(string_agg(repeat((((CAST(round(atan2(dy, dx) / (2 * pi() / 720)) AS BIGINT) % 720) + 720) % 720) || ',', CAST(greatest(1, CAST(round(len / 0.2) AS BIGINT)) AS INT)), '' ORDER BY i), ',') AS tokens FROM edge GROUP BY id")
 def unary_encode(spark, sf_dir):
-    return ad.stars(spark, sf_dir).select("id", F.size(rings.unary_tokens(F.col("ring"))).cast("long").alias("n_tokens"))
+    return ad.stars(spark, sf_dir).select("id", F.array_join(rings.unary_tokens(F.col("ring")), ",").alias("tokens"))
 
 
 @query(f"""WITH {LINES}, e AS (SELECT id, unnest(tokens) AS d, unnest(range(len(tokens))) AS i FROM seqs)
@@ -449,22 +473,31 @@ def utm_project(spark, sf_dir):
     return ad.table(spark, sf_dir, "customer").select("c_custkey", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round((1 - l_discount) * (1 - l_discount), 6) AS iou FROM lineitem")
+@query("""WITH b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS w, 1.0 + p_partkey % 7 AS h, 1.0 - (p_partkey % 10) / 20.0 AS f FROM part)
+SELECT p_partkey, round(f * f, 6) AS outline_iou, round(abs(f * f - 1), 6) AS area_relative_error, round(abs(f - 1), 6) AS perimeter_relative_error, round(f * f, 6) AS minimum_rectangle_iou, round(abs(f - 1), 6) AS long_error FROM b""")
 def rect_iou(spark, sf_dir):
-    b = ad.boxes(spark, sf_dir)
-    inter, a, c = F.least("w", "w2") * F.least("h", "h2"), F.col("w") * F.col("h"), F.col("w2") * F.col("h2")
-    return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(inter / (a + c - inter), 6).alias("iou"))
+    """Polygon metrics of boxes that share a corner, which have closed forms."""
+    from cantle.operators import geometry
 
+    w, h, f = F.col("p_size").cast("double"), 1.0 + F.col("p_partkey") % 7, 1.0 - (F.col("p_partkey") % 10) / 20.0
+    pair = ad.table(spark, sf_dir, "part").select("p_partkey", geometry.as_parts(ad.box(F.lit(0.0), F.lit(0.0), w * f, h * f)).alias("a"), geometry.as_parts(ad.box(F.lit(0.0), F.lit(0.0), w, h)).alias("b"))
+    found = geometry.compare(pair, "p_partkey", "a", "b")
+    near = lambda c: F.round(F.round(c, 9), 6)
+    names = ["outline_iou", "area_relative_error", "perimeter_relative_error", "minimum_rectangle_iou"]
+    return found.select("p_partkey", *[near(c).alias(c) for c in names], near("minimum_rectangle_long_error").alias("long_error"))
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 3 <> 0 AS simple, CAST(90.0 AS DOUBLE) AS corner FROM lineitem")
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 3 <> 0 AS simple, round(degrees(acos((l_quantity * l_linenumber) / (l_quantity * sqrt(l_linenumber * l_linenumber + 1.0)))), 6) AS corner FROM lineitem""")
 def simple_rectangle(spark, sf_dir):
+    """Boxes, every third with a vertex on a side, and the angle at the foot of a slope of 1 in the line's number."""
     b = ad.boxes(spark, sf_dir)
     ring = ad.box(F.col("x0"), F.lit(0.0), F.col("w"), F.col("h"))
-    # every third one gets a vertex on a side, which disqualifies it
     mid = F.struct((F.col("x0") + F.col("w") / 2).alias("x"), F.lit(0.0).alias("y"))
     ring = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.slice(ring, 1, 1), F.array(mid), F.slice(ring, 2, 3))).otherwise(ring)
-    box = ad.box(F.col("x0"), F.lit(0.0), F.col("w"), F.col("h"))
-    corner = F.round(rings.angle_degrees(F.element_at(box, 1), F.element_at(box, 2), F.element_at(box, 3)), 6)
+    foot, line = F.element_at(ring, 1), F.col("l_linenumber").cast("double")
+    along = F.struct((foot["x"] + F.col("w")).alias("x"), foot["y"].alias("y"))
+    slope = F.struct((foot["x"] + line).alias("x"), (foot["y"] + 1.0).alias("y"))
+    corner = F.round(rings.angle_degrees(along, foot, slope), 6)
     return b.select("l_orderkey", "l_linenumber", "l_partkey", rings.simple_rectangle(ring).alias("simple"), corner.alias("corner"))
 
 
@@ -475,9 +508,13 @@ def angle_tests(spark, sf_dir):
     return ad.table(spark, sf_dir, "events").select("event_id", F.round(rings.angle_error(F.col("value"), F.col("user_id")), 6).alias("err"), tokens.scale_token(scale).alias("token"))
 
 
-@query("SELECT n_name, sha256(n_name) AS digest, octet_length(encode(n_name)) AS n_bytes FROM nation")
+@query("SELECT CAST(sum(octet_length(encode(n_name)) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*) AS lines FROM nation")
 def artifact_fingerprint(spark, sf_dir):
-    return ad.table(spark, sf_dir, "nation").select("n_name", F.sha2("n_name", 256).alias("digest"), F.octet_length("n_name").cast("long").alias("n_bytes"))
+    """The fingerprint of a written file of names."""
+    path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}.txt"
+    ad.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    found = files.fingerprint("/" + path.removeprefix("file:").lstrip("/"))
+    return spark.createDataFrame([(found["bytes"], found["sha256"], found["lines"])], "n_bytes long, digest string, lines long")
 
 
 # -- vocabularies, polygons and models ---------------------------------------------------------------
@@ -493,22 +530,33 @@ def bpe_vocab(spark, sf_dir):
     return spark.createDataFrame([(i, " ".join(map(str, a))) for i, a in sorted(v.atoms.items())], "id int, atoms string")
 
 
-@query(f"WITH {EVENTS} SELECT id, array_to_string(tokens, ',') AS tokens, true AS shorter FROM seqs")
+#: Fixed composite tokens of the queries that encode event kinds (0 to 4).
+_COMPOSITES = {1500: (0, 4), 1501: (0, 4, 0), 1502: (4, 4), 1503: (2, 2, 4), 1504: (4, 0, 4, 0, 1)}
+
+
+def _longest_match_sql() -> str:
+    names = {"".join(map(str, a)): i for i, a in _COMPOSITES.items()}
+    pattern = "|".join([*sorted(names, key=len, reverse=True), "[0-4]"])
+    cases = " ".join(f"WHEN '{n}' THEN {i}" for n, i in names.items())
+    return f"list_transform(regexp_extract_all(array_to_string(tokens, ''), '{pattern}'), lambda m: CASE m {cases} ELSE CAST(m AS INT) END)"
+
+
+@query(f"WITH {EVENTS} SELECT id, array_to_string({_longest_match_sql()}, ',') AS coded, array_to_string(tokens, ',') AS tokens FROM seqs")
 def bpe_encode_roundtrip(spark, sf_dir):
     from cantle.operators import bpe
 
-    v = _vocabulary(spark, sf_dir)
-    coded = bpe.encode_columns(ad.event_sequences(spark, sf_dir).withColumn("coded", F.col("tokens")), v, ["coded"])
-    back = bpe.decode_columns(coded.withColumn("n", F.size("coded")).withColumn("n_source", F.size("tokens")), v, ["coded"])
-    return back.select("id", F.array_join("coded", ",").alias("tokens"), (F.col("n") <= F.col("n_source")).alias("shorter"))
+    v = bpe.Vocabulary(dict(_COMPOSITES), 1500, 6000, 10)
+    coded = bpe.encode_columns(ad.event_sequences(spark, sf_dir), v, ["tokens"])
+    back = bpe.decode_columns(coded.withColumn("coded", F.array_join("tokens", ",")), v, ["tokens"])
+    return back.select("id", "coded", F.array_join("tokens", ",").alias("tokens"))
 
 
-@query(f"WITH {EVENTS} SELECT id, array_to_string(tokens, ',') AS tokens FROM seqs")
+@query(f"WITH {EVENTS} SELECT id, array_to_string({_longest_match_sql()}, ',') AS coded, array_to_string(tokens, ',') AS tokens FROM seqs")
 def bpe_encode_native(spark, sf_dir):
-    v = _vocabulary(spark, sf_dir, 1508)
-    by_atoms = F.create_map(*[x for i, a in v.atoms.items() for x in (F.lit(",".join(map(str, a))), F.lit(i))])
-    coded = tokens.bpe_encode(F.col("tokens"), by_atoms, max(map(len, v.atoms.values())))
-    return ad.event_sequences(spark, sf_dir).select("id", F.array_join(tokens.bpe_decode(coded, v.decode_map()), ",").alias("tokens"))
+    by_atoms = F.create_map(*[x for i, a in _COMPOSITES.items() for x in (F.lit(",".join(map(str, a))), F.lit(i))])
+    atoms = F.create_map(*[x for i, a in _COMPOSITES.items() for x in (F.lit(i), F.array(*map(F.lit, a)))])
+    coded = ad.event_sequences(spark, sf_dir).select("id", tokens.bpe_encode(F.col("tokens"), by_atoms, max(map(len, _COMPOSITES.values()))).alias("c"))
+    return coded.select("id", F.array_join("c", ",").alias("coded"), F.array_join(tokens.bpe_decode(F.col("c"), atoms), ",").alias("tokens"))
 
 
 @query()
@@ -527,11 +575,14 @@ def codec_roundtrip(spark, sf_dir):
     return geometry.round_trip(ad.stars(spark, sf_dir).select("id", geometry.as_parts(F.col("ring")).alias("geom")), "id", "geom")
 
 
-@query()
+@query("""WITH b AS (SELECT s_suppkey, 5.0 + s_nationkey AS w, 3.0 + s_suppkey % 7 AS h, (5.0 + s_nationkey) * (1.0 - (s_suppkey % 4) * 0.04) AS v FROM supplier),
+q AS (SELECT *, greatest(1, floor(w / 0.2 + 0.5 + 1e-9)) AS nw, greatest(1, floor(h / 0.2 + 0.5 + 1e-9)) AS nh, greatest(1, floor(v / 0.2 + 0.5 + 1e-9)) AS nv FROM b)
+SELECT s_suppkey AS target_fid, s_suppkey AS raw_fid, 'simple_rectangle' AS difficulty, 4 AS source_vertex_count, CAST(2 * (nw + nh) + 3 AS INT) AS n_source, CAST(2 * (nv + nh) + 2 AS INT) AS n_target,
+ round(least(nv * 0.2, v) * least(nh * 0.2, h) / (nv * 0.2 * nh * 0.2 + v * h - least(nv * 0.2, v) * least(nh * 0.2, h)), 3) AS outline_iou, CAST(NULL AS VARCHAR) AS error FROM q""")
 def prepare_pairs(spark, sf_dir):
     from cantle.operators import geometry
 
-    w, h, shrink = 5.0 + F.col("s_nationkey"), 3.0 + F.col("s_suppkey") % 7, 1.0 - (F.col("s_suppkey") % 4) * 0.05
+    w, h, shrink = 5.0 + F.col("s_nationkey"), 3.0 + F.col("s_suppkey") % 7, 1.0 - (F.col("s_suppkey") % 4) * 0.04
     one = ad.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("target_fid"),
         F.col("s_suppkey").alias("raw_fid"),
@@ -539,7 +590,7 @@ def prepare_pairs(spark, sf_dir):
         geometry.as_parts(ad.box(F.lit(500000.0), F.lit(3760000.0), w, h)).alias("raw"),
         geometry.as_parts(ad.box(F.lit(500000.0), F.lit(3760000.0), w * shrink, h)).alias("target"),
     )
-    return geometry.prepare_pairs(one, 5000).select("target_fid", "raw_fid", "difficulty", "source_vertex_count", F.size("source_tokens").alias("n_source"), F.size("target_tokens").alias("n_target"), F.col("tokenization_metrics.outline_iou").alias("outline_iou"), "error")
+    return geometry.prepare_pairs(one, 5000).select("target_fid", "raw_fid", "difficulty", "source_vertex_count", F.size("source_tokens").alias("n_source"), F.size("target_tokens").alias("n_target"), F.round("tokenization_metrics.outline_iou", 3).alias("outline_iou"), "error")
 
 
 def _small_model():
