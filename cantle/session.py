@@ -63,6 +63,12 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return numbered
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
