@@ -36,7 +36,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantle.session import pinned, roomy, shared_dir, tidy
+from cantle.session import pinned, remove, roomy, shared_dir, tidy
 
 #: Cells in which words are counted, as a power of two; one byte each.
 CELL_BITS = 18
@@ -72,8 +72,7 @@ class _Work:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, f"{self.root}/{name}")
 
 
 def _plain(text: Column) -> Column:

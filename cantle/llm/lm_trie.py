@@ -43,9 +43,9 @@ DISCOUNT = 0.75
 #: The end mark's place among the word hashes; a word with this very hash would be taken for it.
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Occurrences that a shard gets on average.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 #: Bytes of text that a task counts or scores at a time: each look-up goes through all shards once.
-GATHER_BYTES = 8_000_000
+GATHER_BYTES = 6_000_000
 SCORE_BYTES = 6_000_000
 _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the k-th set bit of each byte, 8 where there are fewer.
@@ -220,17 +220,25 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 # -- texts -------------------------------------------------------------------------------------------
 def token_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of the texts in order, ends included, and the first token of each text."""
-    buf, begin = tb.pack(raws)
-    buf = tb.lower(buf)
-    start, end = tb.words(buf)
-    h = tb.word_hashes(buf, start, end)
-    many = np.bincount(np.searchsorted(begin, start, "right") - 1, minlength=len(raws)) + 1
-    first = np.cumsum(many) - many
-    out = np.full(int(many.sum()), END, np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[first + many - 1] = False
-    out[inner] = h
-    return out, first
+    hashes, many, i = [], [], 0
+    while i < len(raws):  # hashing takes many bytes for one of text, so some texts at a time
+        j, n = i + 1, len(raws[i])
+        while j < len(raws) and n + len(raws[j]) <= tb.CHUNK:
+            n += len(raws[j])
+            j += 1
+        buf, begin = tb.pack(raws[i:j])
+        buf = tb.lower(buf)
+        start, end = tb.words(buf)
+        count = np.bincount(np.searchsorted(begin, start, "right") - 1, minlength=j - i) + 1
+        out = np.full(int(count.sum()), END, np.uint64)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(count) - 1] = False
+        out[inner] = tb.word_hashes(buf, start, end)
+        hashes.append(out)
+        many.append(count)
+        i = j
+    many = np.concatenate(many) if many else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.cumsum(many) - many
 
 
 class Model:

@@ -10,7 +10,12 @@ near_duplicates: of each group of linked or equal texts the one of least id stay
 mixing: clean texts are kept at least once, low-quality ones thinned, to the target token shares.
 bpe: whole texts as token ids, with digests of ids and decoded text.
 
-Rows with null or empty text pass the filters unchanged.
+Edge cases, for every stage: rows with null or empty text pass the filters unchanged, and so do texts without
+a known word (toxicity) or without words (lines, groups); repeated rows are scored alike, the first of
+them in the input keeps its lines and stays of its group; ties cannot arise, as places in the input
+tell equal rows apart; very long texts and lines are read whole; an empty table gives an empty table
+with the stage's columns; columns beside ``doc_id`` and ``text`` are kept whatever their names, but for
+``n_chars``, which follows the text, and the names that the last stage adds.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cantle.llm import bpe_codec, line_dedup, mixing, ngram_join, toxicity
 from cantle.llm.queries import _tokenizer
-from cantle.session import shared_dir
+from cantle.session import remove, shared_dir, tidy
 
 #: Token shares of the mixing stage; toxic texts are gone by then.
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
@@ -37,11 +42,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, counts=True)
-    lost = (F.col("n_removed") > 0) & (F.trim("text") == "")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where(~F.coalesce(lost, F.lit(False))).select(*docs.columns)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    text, key = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
+    out = line_dedup.dedup_lines(docs.toDF(*names), key, text, counts=True)
+    cut = F.col("n_removed") > 0
+    kept = out.where(~F.coalesce(cut & (F.trim(text) == ""), F.lit(False)))
+    new = {n: F.when(cut, F.length(text).cast("long")).otherwise(F.col(n)) if o == "n_chars" else F.col(n) for n, o in zip(names, docs.columns, strict=True)}
+    return kept.select(*[new[n].alias(o) for n, o in zip(names, docs.columns, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,13 +76,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's table goes when its successor's is written."""
     root = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{root}/{k}-{name}")
+        with tidy(spark):
+            out.write.parquet(f"{root}/{k}-{name}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}-{name}")
+        if k:
+            remove(spark, f"{root}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
