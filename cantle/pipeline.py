@@ -1,7 +1,8 @@
 """The preparation, evaluation and inference jobs, and their command line.
 
 ``prepare``: pair two layers, encode, split, sample, learn a vocabulary, re-encode, audit, pass gates,
-record. ``prepare-all``: both cities at all scales, from layers in degrees. ``predict``: greedy predictions.
+record. ``prepare-all``: both cities at all scales, from layers in degrees. ``train``: the sequence model.
+``predict``: greedy predictions.
 ``evaluate``: grouped report of a prediction file. ``infer``: polygons for unmatched sources.
 ``decode``: a prediction file as a layer. ``project``: a layer in degrees to UTM.
 """
@@ -9,6 +10,7 @@ record. ``prepare-all``: both cities at all scales, from layers in degrees. ``pr
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import os
 import shutil
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from cantle import constants as c
 from cantle.functions import hashing, rings, seq2seq, tokens
 from cantle.functions import polygon as pg
-from cantle.operators import bpe, geometry, inference
+from cantle.operators import bpe, geometry, inference, training
 from cantle.operators import relational as rel
 from cantle.sources import files, shapefile
 
@@ -419,6 +421,7 @@ def parse_args(argv=None) -> argparse.Namespace:
         "infer": [("raw", str), ("weights", str), ("vocab", str), ("output", str), ("scale", int), ("ids", str), ("limit", int), ("max-len", int), ("beams", int)],
         "decode": [("predictions", str), ("vocab", str), ("output", str), ("prj", str)],
         "prepare-all": [("cities", str), ("root", str), ("bpe-rows", int), ("vocab-size", int), ("seed", int), ("min-free-gb", float)],
+        "train": [("dataset", str), ("run-dir", str), ("test", str), ("resume", str)] + [(f.name.replace("_", "-"), type(f.default) if f.default is not None else int) for f in dataclasses.fields(training.Plan)],
         "predict": [("dataset", str), ("weights", str), ("output", str), ("max-len", int), ("limit", int)],
         "project": [("input", str), ("output", str), ("epsg", int), ("prj", str)],
     }
@@ -453,6 +456,9 @@ def main(argv=None) -> int:
             cities = json.load(f)
         expected = cities.pop("expected_unmatched", None)
         body = prepare_all(spark, cities, given.pop("root"), expected_unmatched=expected, **given)
+    elif args.command == "train":
+        fixed = {k: given.pop(k, None) for k in ("dataset", "run_dir", "test", "resume")}
+        body = {"checkpoint": training.train(spark, fixed["dataset"], fixed["run_dir"], seq2seq.Shape(), training.Plan(**given), fixed["test"], fixed["resume"])}
     elif args.command == "predict":
         body = {"written": predict(spark, args.dataset, args.weights, args.output, seq2seq.Shape(), args.max_len or 1024, args.limit)}
     elif args.command == "evaluate":
