@@ -170,7 +170,10 @@ def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path:
     audits, gates = {}, []
     for name in (*sinks, "diagnostic"):
         before = files.read_jsonl(spark, work.at(f"{name}.jsonl"), files.SAMPLE_DDL)
-        files.write_jsonl(bpe.encode_columns(before, vocab, ["source_tokens", "target_tokens"]), work.at(f"{name}.bpe.jsonl"))
+        broken = bpe.encode_or_keep(before, vocab, ["source_tokens", "target_tokens"], work.at(f"{name}.bpe.jsonl"), work.at(f"{name}.bpe.failures.jsonl"))
+        gates.append((f"{name} rows that cannot be encoded", 0, broken))
+        if broken:
+            continue
         after = files.read_jsonl(spark, work.at(f"{name}.bpe.jsonl"), files.SAMPLE_DDL)
         zipped = rel.zip_by_place(before.withColumn("n", F.col("target_fid")), after.withColumn("n", F.col("target_fid")), "n", "sample_id")
         audits[name] = found = rel.lossless_audit(zipped, vocab.decode_map(), ["source_tokens", "target_tokens"]).collect()[0].asDict()
@@ -190,7 +193,7 @@ def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path:
         counters |= {f"{prefix}paired": part.good.count(), f"{prefix}pairing_failures": kinds.get("pairing", 0), f"{prefix}preprocessing_failures": kinds.get("preprocessing", 0)}
         gates += [(f"{prefix}{k} failures", 0, kinds.get(k, 0)) for k in ("pairing", "preprocessing")]
     before, after = (split_stats.get(k, {}) for k in ("train_before_filter", "train_after_filter"))
-    counters |= {f"{n}_written": audits[n]["n_rows"] for n in audits}
+    counters |= {f"{n}_written": a["n_rows"] for n, a in audits.items()}
     counters |= {k: stats.get(k, {}).get("n", 0) for k in ("simple_rectangle", "complex")}
     counters["rectangles_dropped"] = before.get("simple_rectangle", 0) - after.get("simple_rectangle", 0)
     rectangles = before.get("simple_rectangle", 0)
@@ -199,7 +202,7 @@ def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path:
         gates += [(f"rows of another split in {n}", 0, df.where(F.col("split") != n).count()) for n, df in sinks.items()]
         if rectangles >= 100:
             gates.append(("rectangles kept beyond 0.02 of their share", 0, int(abs(after.get("simple_rectangle", 0) / rectangles - fraction) > 0.02)))
-    gates.append(("diagnostic rows of all complex ones", min(c.DIAGNOSTIC_ROWS, atomic.where("difficulty = 'complex'").count()), audits["diagnostic"]["n_rows"]))
+    gates.append(("diagnostic rows of all complex ones", min(c.DIAGNOSTIC_ROWS, atomic.where("difficulty = 'complex'").count()), hard.count()))
     if config["expected_unmatched"] is not None:
         gates.append(("unmatched sources", config["expected_unmatched"], counters["unmatched"]))
     outcomes = {r["outcome"]: r["count"] for r in main.audit.groupBy("outcome").count().collect()}
@@ -435,7 +438,11 @@ def parse_args(argv=None) -> argparse.Namespace:
     args = p.parse_args(argv)
     if args.config:
         with open(args.config, encoding="utf-8") as f:
-            config = {k.replace("-", "_"): v for k, v in json.load(f).items() if k not in ("command", "name", "requires")}
+            body = json.load(f)
+        # an experiment may wait for the marker files of others
+        if waiting := [m for m in body.get("requires", []) if not os.path.exists(m)]:
+            raise FileNotFoundError(f"{args.config} waits for {', '.join(waiting)}")
+        config = {k.replace("-", "_"): v for k, v in body.items() if k not in ("command", "name", "requires")}
         if unknown := set(config) - set(vars(args)):
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         for k, v in config.items():

@@ -469,3 +469,23 @@ def test_long_keys_pair_exactly(spark):
     raws = spark.createDataFrame([(9007199254740993, "a"), (9007199254740992, "no"), (7, "b")], "rid long, raw_name string")
     got = {r["tid"]: (r["fk"], r["outcome"]) for r in rel.pair_by_key(targets, raws, "tid", "key", "rid", F.lit(1 << 60), "name", "raw_name").collect()}
     assert got == {1: (9007199254740993, "paired"), 2: (7, "paired"), 3: (None, "invalid"), 4: (None, "invalid"), 5: (7, "duplicate")}
+
+
+def test_limit_takes_the_first_rows(spark, tmp_path):
+    v = bpe.Vocabulary({1500: (1, 2)}, 1500, 6000, 10)
+    df = spark.createDataFrame([(i, [1, 2, i]) for i in range(9, -1, -1)], "line int, t array<int>").repartition(3)
+    out, bad = str(tmp_path / "o.jsonl"), str(tmp_path / "bad.jsonl")
+    assert bpe.encode_or_keep(df, v, ["t"], out, bad, limit=3, order="line") == 0
+    assert sorted(r["t"] for r in spark.read.json(out).collect()) == [[1500, 0], [1500, 1], [1500, 2]]
+    broken = df.withColumn("t", F.when(F.col("line") == 4, F.array(F.lit(1), F.lit(None))).otherwise(F.col("t")))
+    assert bpe.encode_or_keep(broken, v, ["t"], out, bad) == 1
+    assert [r["line"] for r in spark.read.json(bad).collect()] == [4] and spark.read.json(out).count() == 3
+
+
+def test_experiments_wait_for_markers(tmp_path):
+    marker, config = tmp_path / "done", tmp_path / "c.json"
+    config.write_text(json.dumps({"name": "x", "requires": [str(marker)], "output": "o"}))
+    with pytest.raises(FileNotFoundError, match="waits for"):
+        pipeline.parse_args(["evaluate", "--config", str(config)])
+    marker.write_text("")
+    assert pipeline.parse_args(["evaluate", "--config", str(config)]).output == "o"
