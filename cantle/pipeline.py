@@ -362,8 +362,7 @@ def evaluate_unmatched(spark: SparkSession, raw_path: str, pred_path: str, ids:
 
 def infer(spark: SparkSession, raw_path: str, weights: str, vocab_path: str, output: str, scale: int, shape: seq2seq.Shape, ids: str | None = None, limit: int | None = None, max_len: int = 1024, beams: int = 5) -> dict:
     """Polygons for the chosen sources of a layer, written as a layer; failures beside it."""
-    layer = shapefile.read(spark, raw_path)
-    layer = layer.withColumn("fid", F.coalesce(F.col("RAW_FID").cast("long"), F.col("fid"))) if "RAW_FID" in layer.columns else layer
+    layer = geometry.records(shapefile.read(spark, raw_path))
     wanted = files.fid_filter(spark, ids)
     if wanted is not None:
         layer = layer.join(F.broadcast(wanted.withColumnRenamed("raw_fid", "fid")) if wanted.count() < 1_000_000 else wanted.withColumnRenamed("raw_fid", "fid"), "fid", "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cantle import constants as c
 from cantle import pipeline
 from cantle.functions import codec, hashing, polygon as pg, rings, seq2seq, tokens
-from cantle.operators import bpe
+from cantle.operators import bpe, geometry
 from cantle.operators import relational as rel
 from cantle.plans import adapters as ad
 from cantle.plans import registry
@@ -489,3 +489,10 @@ def test_experiments_wait_for_markers(tmp_path):
         pipeline.parse_args(["evaluate", "--config", str(config)])
     marker.write_text("")
     assert pipeline.parse_args(["evaluate", "--config", str(config)]).output == "o"
+
+
+def test_records_without_polygons_are_left_out(spark, tmp_path):
+    rows = [(7, [_square(0, 0, 4, 4)]), (8, []), (None, [[[(0, 0), (1, 0), (2, 0)]]]), (None, [_square(9, 9, 2, 2)])]
+    _layer(tmp_path / "l.shp", rows, [("RAW_FID", "N", 12, 0)])
+    got = geometry.records(shapefile.read(spark, str(tmp_path / "l.shp"))).collect()
+    assert sorted((r["fid"], len(r["geom"][0][0])) for r in got) == [(3, 4), (7, 4)]
