@@ -10,7 +10,7 @@ included.
    selective. As a cell counts at least its words, level 0 means that a word occurs once.
 2. Lines with equal sets collapse into one class, by the earliest line (pre-aggregated before the
    shuffle, so a line that fills a third of the table is one row per task). A class keeps the words
-   of its prefix (n - ceil(0.8 n) + 1), rarest first, and a signature: 64 bits, one set by each word.
+   of its prefix (n - ceil(0.8 n) + 1), rarest first, and a signature: 128 bits, one set by each word.
 3. Postings are the prefix words that occur more than once. Where a word is hot, as in families of near
    copies, each line is compared with the first and with the one before it among the word's
    postings; of what passes the length, positional and signature filters each line's nearest
@@ -44,12 +44,12 @@ CELL_BITS = 18
 BLOCK_BITS = 10
 #: Occurrences, as a power of two, from which a word is hot: step 3 thins its postings first.
 HOT_BITS = 7
-#: Words from which a line has a second signature.
-WIDE = 40
 #: Occurrences, as a power of two, beyond which a word's postings are dealt out by salt in step 3.
 SALT_BITS = 12
 #: Bits of a word's hash behind its level.
 HASH_BITS = 57
+#: Bits of the hash by which postings meet.
+KEY_BITS = 33
 #: Rows of a bitmap of ids, each of 64 bits.
 BITMAP_ROWS = 1 << 18
 
@@ -109,8 +109,7 @@ def _classes(docs: DataFrame, levels: DataFrame) -> DataFrame:
 
     sets = lines.withColumn("levels", levels.scalar()).select("row_id", "ord_doc", "line_no", F.sort_array(F.transform(_hashes(F.col("line")), ordered)).alias("t"))
     n = F.size("t")
-    more = F.when(n > WIDE, _signature(F.col("t"), 6)).otherwise(F.lit(0).cast("long"))
-    row = F.struct("ord_doc", "row_id", "line_no", n.alias("n"), _signature(F.col("t"), 0).alias("sig"), more.alias("more"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
+    row = F.struct("ord_doc", "row_id", "line_no", n.alias("n"), _signature(F.col("t"), False).alias("sig"), _signature(F.col("t"), True).alias("more"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
     whole = sets.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), F.col("t")).alias("k2"), row.alias("f"))
     return whole.groupBy("k1", "k2").agg(F.min("f").alias("f")).where("f.n > 0").select("f.*")
 
@@ -120,35 +119,42 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _signature(toks: Column, shift: int) -> Column:
-    """64 bits, of which each word sets one, by six bits of its hash."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+def _signature(toks: Column, odd: bool) -> Column:
+    """Half of the signature: 64 bits, of which each word with an odd (else even) seventh hash bit sets one, by the six below."""
+    one = F.lit(1).cast("long")
+
+    def bit(x: Column) -> Column:
+        own = F.shiftright(x, 6) if odd else F.bitwise_not(F.shiftright(x, 6))
+        return F.call_function("shiftleft", own.bitwiseAND(one), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
     return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """A row per prefix word that occurs more than once; ``hot`` where it occurs often."""
-    every = classes.select("ord_doc", *LINE, "n", "sig", "more", F.posexplode("prefix").alias("at", "tok"))
-    return every.where(F.col("tok") >= F.lit(1 << HASH_BITS)).withColumn("hot", F.col("tok") >= F.lit(HOT_BITS << HASH_BITS))
+    """A row per prefix word that occurs more than once; ``hot`` where it occurs often.
+
+    ``tok`` is the word's level and the top KEY_BITS of its hash: words that share them only meet in vain.
+    """
+    every = classes.select("ord_doc", *LINE, "n", "sig", "more", F.posexplode("prefix").alias("at", "word"))
+    kept = every.where(F.col("word") >= F.lit(1 << HASH_BITS)).withColumn("hot", F.col("word") >= F.lit(HOT_BITS << HASH_BITS))
+    return kept.withColumn("tok", F.shiftrightunsigned("word", HASH_BITS - KEY_BITS)).drop("word")
 
 
 def _apart(a: str, b: str) -> Column:
-    """Bits in which the signatures differ: the greater of the two counts."""
-    return F.greatest(*[F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("sig", "more")])
+    """Bits in which the signatures differ."""
+    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("sig", "more")), F.lit(0))
 
 
 def _may_match(a: str, b: str) -> Column:
     """Length, positional (for the first word in common, places from 0) and signature filters."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    wide = (na > WIDE) & (nb > WIDE)
-    sig, more = (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) * 9 <= na + nb for c in ("sig", "more"))
     common = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
-    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & sig & (more | ~wide) & (common * 9 >= (na + nb) * 4)
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (common * 9 >= (na + nb) * 4) & (_apart(a, b) * 9 <= na + nb)
 
 
 def _nearest(hot: DataFrame) -> DataFrame:
     """Pairs of a line and an earlier one: the nearest of those that open or go before it among a word's postings."""
-    over = F.shiftright("tok", HASH_BITS).cast("int") - SALT_BITS
+    over = F.shiftright("tok", KEY_BITS).cast("int") - SALT_BITS
     parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(over, F.lit(0)))
     dealt = hot.withColumn("salt", F.pmod(F.xxhash64(*LINE), parts)).withColumn("me", F.struct(*LINE, "n", "sig", "more", "at"))
     group = Window.partitionBy("tok", "salt").orderBy("ord_doc", *LINE)
@@ -165,16 +171,20 @@ def _meeting(short: DataFrame, long: DataFrame, later: str) -> DataFrame:
     """All pairs that share a prefix word and pass the filters, as the later line and the earlier one.
 
     Of two similar sets the smaller needs floor(n / 9) + 1 prefix words only. ``later``: "short" or
-    "long" where that side must be the later line, else "any".
+    "long" where that side must be the later line. With "any" both sides are one table, which is shuffled
+    once: the test of the smaller set's places names the other side, too, and so stays in the join.
     """
-    a, b, c = short.where(F.col("at") <= F.floor(F.col("n") / 9)).alias("a"), long.alias("b"), F.col
+    c = F.col
+    near = short if later == "any" else short.where(c("at") * 9 <= c("n"))
+    a, b = near.alias("a"), long.alias("b")
+    few = c("a.at") * 9 <= c("a.n") + F.least(c("b.n"), F.lit(0))
     (a1, a2, a3), (b1, b2, b3) = ((c(f"{s}.ord_doc"), c(f"{s}.row_id"), c(f"{s}.line_no")) for s in "ab")
     first = (a1 < b1) | ((a1 == b1) & ((a2 < b2) | ((a2 == b2) & (a3 < b3))))
     other = (a1 != b1) | (a2 != b2) | (a3 != b3)
     # of equal sizes, the earlier line is the smaller set; where only one side may be later, it can be either
     sized = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (first if later == "any" else other))
     side = {"any": F.lit(True), "short": ~first, "long": first}[later]
-    met = a.join(b, (c("a.tok") == c("b.tok")) & sized & side & _may_match("a", "b"))
+    met = a.join(b, (c("a.tok") == c("b.tok")) & few & sized & side & _may_match("a", "b"))
     pair = [F.when(first, y).otherwise(x).alias(n) for n, x, y in (("row_id", a2, b2), ("line_no", a3, b3))]
     return met.select(*pair, F.when(first, a2).otherwise(b2).alias("row_a"), F.when(first, a3).otherwise(b3).alias("line_a"))
 

@@ -42,7 +42,10 @@ STEPS, TOLERANCE = 40, 1e-5
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """Words between white space; a single space is split at without a pattern."""
+    flat = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    flat = F.when(flat.rlike("[\\t\\x0B\\f\\r]"), F.translate(flat, "\t\x0b\f\r", "    ")).otherwise(flat)
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def _featured(df: DataFrame, text: Column) -> DataFrame:

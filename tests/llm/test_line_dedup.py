@@ -66,7 +66,6 @@ def test_equals_brute_force(spark, monkeypatch, seed, cells, hot, salt):
     monkeypatch.setattr(ld, "CELL_BITS", cells)
     monkeypatch.setattr(ld, "HOT_BITS", hot)
     monkeypatch.setattr(ld, "SALT_BITS", salt)
-    monkeypatch.setattr(ld, "WIDE", 10)
     rows = _rows(seed)
     want = _check(spark, rows, spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1))
     assert sum(w != t for w, (_, t) in zip(want, rows)) > 30
