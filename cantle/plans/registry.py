@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from cantle.functions import hashing, rings, tokens
 from cantle.functions.codec import FRAME_DDL
 from cantle.operators import relational as rel
 from cantle.plans import adapters as ad
-from cantle.session import shared_dir
+from cantle.session import scratch
 from cantle.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,7 +144,7 @@ def multi_sink_counts(spark, sf_dir):
     """Rows as read back from the two sinks."""
     docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id")))
     keep = hashing.keeps_sample(F.col("doc_id"), F.col("difficulty"))
-    root, out = f"{shared_dir(spark)}/sinks-{uuid.uuid4().hex}", None
+    root, out = scratch(spark, "sinks"), None
     for name, df in {"train": docs.where((F.col("split") == "train") & keep), "validation": docs.where("split = 'validation'")}.items():
         files.write_jsonl(df, f"{root}/{name}.jsonl")
         back = files.read_jsonl(spark, f"{root}/{name}.jsonl", "doc_id long").select(F.lit(name).alias("sink"), "doc_id")
@@ -511,7 +510,7 @@ def angle_tests(spark, sf_dir):
 @query("SELECT CAST(sum(octet_length(encode(n_name)) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*) AS lines FROM nation")
 def artifact_fingerprint(spark, sf_dir):
     """The fingerprint of a written file of names."""
-    path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}.txt"
+    path = scratch(spark, "names") + ".txt"
     ad.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
     found = files.fingerprint("/" + path.removeprefix("file:").lstrip("/"))
     return spark.createDataFrame([(found["bytes"], found["sha256"], found["lines"])], "n_bytes long, digest string, lines long")

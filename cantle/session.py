@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
@@ -43,6 +44,18 @@ def materialise(df: DataFrame, small: bool = False) -> DataFrame:
         return (df.hint("rebalance") if small else df).checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder; it is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_sweep, spark, path)
+    return path
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        remove(spark, path)
+
+
 def pinned(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a row number in ``name`` that is the same however often the rows are read.
 
@@ -54,7 +67,7 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     while plans:
         plan = plans.pop()
         if plan.nodeName().split(" ")[0] not in steady or not plan.deterministic():
-            path = f"{shared_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+            path = scratch(df.sparkSession, "pinned")
             with tidy(df.sparkSession):
                 numbered.write.option("compression", "zstd").parquet(path)
             return df.sparkSession.read.schema(numbered.schema).parquet(path)
