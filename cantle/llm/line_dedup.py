@@ -31,19 +31,18 @@ are kept and may have any name; lines and texts may have any length.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantle.session import pinned, remove, roomy, shared_dir, tidy
+from cantle.session import pinned, remove, roomy, scratch, tidy
 
 #: Cells in which words are counted, as a power of two; one byte each.
-CELL_BITS = 18
+CELL_BITS = 20
 #: Cells of a block while their array is put together, as a power of two.
 BLOCK_BITS = 10
-#: Occurrences, as a power of two, from which a word is hot: step 3 thins its postings first.
-HOT_BITS = 7
+#: Occurrences, as a power of two, from which a word is hot: step 3 thins its postings first. Where texts are so
+#: many that cells are full, HOT_ABOVE more than the median cell has.
+HOT_BITS, HOT_ABOVE = 7, 3
 #: Occurrences, as a power of two, beyond which a word's postings are dealt out by salt in step 3.
 SALT_BITS = 12
 #: Bits of a word's hash behind its level.
@@ -61,7 +60,7 @@ class _Work:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.root = f"{shared_dir(self.spark)}/line-dedup-{uuid.uuid4().hex}"
+        self.root = scratch(self.spark, "line-dedup")
 
     def keep(self, df: DataFrame, name: str, small: bool = True) -> DataFrame:
         """Write a table down and read it from there; many tasks' few rows go into few files."""
@@ -130,13 +129,19 @@ def _signature(toks: Column, odd: bool) -> Column:
     return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _hot_level(levels: DataFrame) -> int:
+    """The level from which a cell's words are hot."""
+    median = F.element_at(F.sort_array("levels"), F.greatest(F.lit(1), F.floor(F.size("levels") / 2).cast("int")))
+    return max(HOT_BITS, levels.select(median).collect()[0][0] + HOT_ABOVE) if HOT_BITS else 0
+
+
+def _postings(classes: DataFrame, hot_level: int) -> DataFrame:
     """A row per prefix word that occurs more than once; ``hot`` where it occurs often.
 
     ``tok`` is the word's level and the top KEY_BITS of its hash: words that share them only meet in vain.
     """
     every = classes.select("ord_doc", *LINE, "n", "sig", "more", F.posexplode("prefix").alias("at", "word"))
-    kept = every.where(F.col("word") >= F.lit(1 << HASH_BITS)).withColumn("hot", F.col("word") >= F.lit(HOT_BITS << HASH_BITS))
+    kept = every.where(F.col("word") >= F.lit(1 << HASH_BITS)).withColumn("hot", F.col("word") >= F.lit(hot_level << HASH_BITS))
     return kept.withColumn("tok", F.shiftrightunsigned("word", HASH_BITS - KEY_BITS)).drop("word")
 
 
@@ -226,7 +231,7 @@ def _survivors(docs: DataFrame, work: _Work) -> DataFrame:
     with roomy(docs.sparkSession, CELL_BITS):
         levels = work.keep(_levels(docs), "levels", small=False)
     classes = work.keep(_classes(docs, levels), "classes", small=False)
-    postings = _postings(classes)
+    postings = _postings(classes, _hot_level(levels))
     rare, hot = postings.where("NOT hot"), work.keep(postings.where("hot"), "hot", small=False)
     near = work.keep(_nearest(hot), "near")
     gone = work.keep(_verified(near, docs), "gone-near")

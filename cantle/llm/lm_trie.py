@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantle.llm import textbytes as tb
-from cantle.session import shared_dir, ship, tidy
+from cantle.session import scratch, ship, tidy
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -449,7 +449,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """Count, smooth and write the trie of the texts that are not held out."""
     spark = docs.sparkSession
     ship(spark)
-    root = f"{_local(shared_dir(spark))}/lm-trie-{uuid.uuid4().hex}"
+    root = _local(scratch(spark, "lm-trie"))
     os.makedirs(root, exist_ok=True)
     rows = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).collect()[0][0] or 0

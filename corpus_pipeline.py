@@ -20,14 +20,12 @@ with the stage's columns; columns beside ``doc_id`` and ``text`` are kept whatev
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantle.llm import bpe_codec, line_dedup, mixing, ngram_join, toxicity
 from cantle.llm.queries import _tokenizer
-from cantle.session import remove, shared_dir, tidy
+from cantle.session import remove, scratch, tidy
 
 #: Token shares of the mixing stage; toxic texts are gone by then.
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
@@ -77,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; a stage's table goes when its successor's is written."""
-    root = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    root = scratch(spark, "corpus-pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
