@@ -11,8 +11,8 @@ included.
 2. Lines with equal sets collapse into one class, by the earliest line (pre-aggregated before the
    shuffle, so a line that fills a third of the table is one row per task). A class keeps the words
    of its prefix (n - ceil(0.8 n) + 1), rarest first, and a signature: 128 bits, one set by each word.
-3. Postings are the prefix words that occur more than once. Where a word is hot, as in families of near
-   copies, each line is compared with the first and with the one before it among the word's
+3. Postings are the prefix words that occur more than once. Where a word is hot, as in large families of
+   near copies, each line is compared with the first and with the one before it among the word's
    postings; of what passes the length, positional and signature filters each line's nearest
    is verified. This removes most near copies at the cost of a sort. Very frequent words are dealt
    out by salt: nothing is decided here about lines that stay open.
@@ -42,8 +42,8 @@ CELL_BITS = 20
 BLOCK_BITS = 10
 #: Occurrences, as a power of two, from which a word is hot: step 3 thins its postings first. Where texts are so
 #: many that cells are full, HOT_ABOVE more than the median cell has.
-HOT_BITS, HOT_ABOVE = 7, 3
-#: Occurrences, as a power of two, beyond which a word's postings are dealt out by salt in step 3.
+HOT_BITS, HOT_ABOVE = 9, 5
+#: Occurrences, as a power of two, beyond which a word's postings are dealt out by salt in step 3, and joined by themselves in step 4.
 SALT_BITS = 12
 #: Bits of a word's hash behind its level.
 HASH_BITS = 57
@@ -62,11 +62,11 @@ class _Work:
         self.spark = df.sparkSession
         self.root = scratch(self.spark, "line-dedup")
 
-    def keep(self, df: DataFrame, name: str, small: bool = True) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, small: bool = True, by: str | None = None) -> DataFrame:
         """Write a table down and read it from there; many tasks' few rows go into few files."""
         path = f"{self.root}/{name}"
         with tidy(self.spark):
-            (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
+            (df.hint("rebalance") if small else df).write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -135,14 +135,16 @@ def _hot_level(levels: DataFrame) -> int:
     return max(HOT_BITS, levels.select(median).collect()[0][0] + HOT_ABOVE) if HOT_BITS else 0
 
 
-def _postings(classes: DataFrame, hot_level: int) -> DataFrame:
-    """A row per prefix word that occurs more than once; ``hot`` where it occurs often.
+def _postings(classes: DataFrame, least: int, most: int = 62) -> DataFrame:
+    """A row per prefix word with a level from ``least`` to ``most``.
 
     ``tok`` is the word's level and the top KEY_BITS of its hash: words that share them only meet in vain.
     """
-    every = classes.select("ord_doc", *LINE, "n", "sig", "more", F.posexplode("prefix").alias("at", "word"))
-    kept = every.where(F.col("word") >= F.lit(1 << HASH_BITS)).withColumn("hot", F.col("word") >= F.lit(hot_level << HASH_BITS))
-    return kept.withColumn("tok", F.shiftrightunsigned("word", HASH_BITS - KEY_BITS)).drop("word")
+    word, low = F.col("word"), F.lit(least << HASH_BITS)
+    some = classes.where(F.element_at("prefix", -1) >= low)  # the most frequent of the prefix
+    every = some.select(*[c for c in classes.columns if c != "prefix"], F.posexplode("prefix").alias("at", "word"))
+    kept = every.where((word >= low) & (F.shiftright(word, HASH_BITS) <= most))
+    return kept.withColumn("tok", F.shiftrightunsigned(word, HASH_BITS - KEY_BITS)).drop("word")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -173,11 +175,11 @@ def _nearest(hot: DataFrame) -> DataFrame:
 
 
 def _meeting(short: DataFrame, long: DataFrame, later: str) -> DataFrame:
-    """All pairs that share a prefix word and pass the filters, as the later line and the earlier one.
+    """All pairs that share a prefix word and pass the filters, as the later line, which must be open, and the earlier one.
 
     Of two similar sets the smaller needs floor(n / 9) + 1 prefix words only. ``later``: "short" or
     "long" where that side must be the later line. With "any" both sides are one table, which is shuffled
-    once: the test of the smaller set's places names the other side, too, and so stays in the join.
+    once: tests of one side name the other, too, and so stay in the join.
     """
     c = F.col
     near = short if later == "any" else short.where(c("at") * 9 <= c("n"))
@@ -188,7 +190,7 @@ def _meeting(short: DataFrame, long: DataFrame, later: str) -> DataFrame:
     other = (a1 != b1) | (a2 != b2) | (a3 != b3)
     # of equal sizes, the earlier line is the smaller set; where only one side may be later, it can be either
     sized = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (first if later == "any" else other))
-    side = {"any": F.lit(True), "short": ~first, "long": first}[later]
+    side = {"any": F.when(first, c("b.open")).otherwise(c("a.open")), "short": ~first, "long": first}[later]
     met = a.join(b, (c("a.tok") == c("b.tok")) & few & sized & side & _may_match("a", "b"))
     pair = [F.when(first, y).otherwise(x).alias(n) for n, x, y in (("row_id", a2, b2), ("line_no", a3, b3))]
     return met.select(*pair, F.when(first, a2).otherwise(b2).alias("row_a"), F.when(first, a3).otherwise(b3).alias("line_a"))
@@ -231,16 +233,22 @@ def _survivors(docs: DataFrame, work: _Work) -> DataFrame:
     with roomy(docs.sparkSession, CELL_BITS):
         levels = work.keep(_levels(docs), "levels", small=False)
     classes = work.keep(_classes(docs, levels), "classes", small=False)
-    postings = _postings(classes, _hot_level(levels))
-    rare, hot = postings.where("NOT hot"), work.keep(postings.where("hot"), "hot", small=False)
-    near = work.keep(_nearest(hot), "near")
+    near = work.keep(_nearest(_postings(classes, _hot_level(levels))), "near")
     gone = work.keep(_verified(near, docs), "gone-near")
-    live = _without(hot, gone)
-    met = _meeting(rare, rare, "any").unionByName(_meeting(live, hot, "short")).unionByName(_meeting(hot, live, "long"))
-    met = work.keep(_without(met.distinct(), gone), "met")
+    # lines found so far are closed: they still meet later lines, but need no earlier one
+    closed = _maybe_in(classes, _bitmap(gone, LINE), LINE).where("maybe").join(gone, LINE, "left_semi").select(*classes.columns)
+    marked = _without(classes, gone).withColumn("open", F.lit(True)).unionByName(closed.withColumn("open", F.lit(False)))
+    vast = F.element_at("prefix", -1) >= F.lit((SALT_BITS + 1) << HASH_BITS)
+    classes = work.keep(marked.withColumn("vast", vast), "marked", small=False, by="vast")
+    work.drop("classes")
+    # words of so many postings that gone lines should not even meet go by themselves
+    few, many = _postings(classes.drop("vast"), 1, SALT_BITS), _postings(classes.where("vast").drop("vast"), SALT_BITS + 1)
+    live = many.where("open")
+    met = _meeting(few, few, "any").unionByName(_meeting(live, many, "short")).unionByName(_meeting(many, live, "long"))
+    met = work.keep(met.distinct(), "met")
     gone = gone.unionByName(work.keep(_verified(met, docs), "gone-met"))
     kept = work.keep(_without(classes.select(*LINE), gone), "kept")
-    work.drop("levels", "classes", "hot", "near", "gone-near", "met", "gone-met")
+    work.drop("levels", "marked", "near", "gone-near", "met", "gone-met")
     return kept
 
 
