@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cantle.llm import textbytes as tb
 from cantle.session import ship
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE.
@@ -477,7 +478,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
 
     def run(batches):
         codec = load(spec.value)
-        for b in batches:
+        for b in tb.sliced(batches):
             ids = [x for part in _slices(_texts(b.column(text_col))) for x in codec.encode_arrays(part)]
             yield _emit(b, {out: pa.array(ids, pa.list_(pa.int32()))})
 
@@ -490,7 +491,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
     def run(batches):
         codec = load(spec.value)
-        for b in batches:
+        for b in tb.sliced(batches):
             yield _emit(b, {out: pa.array([codec.decode(x or []) for x in b.column(ids_col).to_pylist()], pa.string())})
 
     return df.mapInArrow(run, _with(df, [T.StructField(out, T.StringType())]))
@@ -506,7 +507,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool
 
     def run(batches):
         codec = load(spec.value)
-        for b in batches:
+        for b in tb.sliced(batches):
             n, ids_sha, text_sha, kept = [], [], [], []
             for part in _slices(_texts(b.column(text_col))):
                 for ids in codec.encode_arrays(part):
@@ -519,5 +520,6 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool
             if keep_ids:
                 new["ids"] = pa.array(kept, pa.list_(pa.int32()))
             yield _emit(b.drop_columns([text_col]), new)
+        codec._forget()  # the worker may go on with other work
 
     return narrow.mapInArrow(run, schema)

@@ -576,7 +576,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("body"))
 
     def run(batches):
-        for b in batches:
+        for b in tb.sliced(batches, 4096):
             parts = [model.score(raws) for raws in _texts(b, SCORE_BYTES)]
             if not parts:
                 continue

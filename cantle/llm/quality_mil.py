@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         joined = joined.where(F.col("rank") < ranks[SAMPLE_ROWS].as_py())
 
     def run(batches):
-        for b in batches:
+        for b in tb.sliced(batches):
             for first, raws in tb.chunks(b.column("text").to_pylist()):
                 who, facts = passages([r.decode("utf-8", "surrogatepass") for r in raws])
                 at = np.searchsorted(who, np.arange(len(raws) + 1))
@@ -234,7 +234,7 @@ def scores(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in tb.sliced(batches):
             out = np.zeros(b.num_rows)
             for first, raws in tb.chunks(b.column("text").to_pylist()):
                 who, facts = passages([r.decode("utf-8", "surrogatepass") for r in raws])

@@ -29,6 +29,13 @@ def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, li
         yield first, part
 
 
+def sliced(batches, rows: int = 1024) -> Iterator:
+    """Arrow batches of at most so many rows: what a batch turns into takes many times its size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def pack(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One buffer with a newline after each text, and the start of each text."""
     buf = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)

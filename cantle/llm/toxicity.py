@@ -228,7 +228,7 @@ def _word_totals(sample: DataFrame) -> DataFrame:
     """``h, texts, toxic_texts, mass`` of each word of the sample, summed up in each batch first."""
 
     def run(batches):
-        for b in batches:
+        for b in tb.sliced(batches):
             who, what, many = bags(b.column("text").to_pylist())
             if not len(what):
                 continue
@@ -247,7 +247,7 @@ def _numbered(sample: DataFrame, names: np.ndarray, hot: np.ndarray) -> DataFram
 
     def run(batches):
         known, warm = sent.value
-        for b in batches:
+        for b in tb.sliced(batches):
             who, what, many = bags(b.column("text").to_pylist())
             at = np.minimum(np.searchsorted(known, what), len(known) - 1)
             hit = known[at] == what
@@ -308,7 +308,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in tb.sliced(batches):
             who, what, many = matched(b.column(text_col).to_pylist(), m)
             eta = np.bincount(who, weights=m.weights[what] * np.log1p(many), minlength=b.num_rows) if len(who) else np.zeros(b.num_rows)
             above = m.above(eta)
