@@ -40,9 +40,9 @@ from cantle.session import pinned, remove, roomy, scratch, tidy
 CELL_BITS = 20
 #: Cells of a block while their array is put together, as a power of two.
 BLOCK_BITS = 10
-#: Occurrences, as a power of two, from which a word is hot: step 3 thins its postings first. Where texts are so
-#: many that cells are full, HOT_ABOVE more than the median cell has.
-HOT_BITS, HOT_ABOVE = 9, 5
+#: A word is hot, so that step 3 thins its postings first, from 2 ** HOT_SHARE-th of all words on, but no sooner
+#: than from 2 ** HOT_LEAST occurrences and no later than from 2 ** HOT_MOST.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 15, 7, 14
 #: Occurrences, as a power of two, beyond which a word's postings are dealt out by salt in step 3, and joined by themselves in step 4.
 SALT_BITS = 12
 #: Bits of a word's hash behind its level.
@@ -85,17 +85,17 @@ def _cell(h: Column) -> Column:
 
 
 def _levels(docs: DataFrame) -> DataFrame:
-    """One row: the level of each cell, from the words of all texts."""
+    """One row: the level of each cell, from the words of all texts, and the number of words."""
     words = docs.select(F.explode(F.split(F.replace(_plain(F.col("body")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     level = F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int")
     every = docs.sparkSession.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"), F.lit(0).alias("level"))
-    cells = counts.select("cell", level.alias("level")).unionByName(every).groupBy("cell").agg(F.max("level").alias("level"))
+    cells = counts.select("cell", level.alias("level"), "n").unionByName(every.withColumn("n", F.lit(0).cast("long"))).groupBy("cell").agg(F.max("level").alias("level"), F.sum("n").alias("n"))
     # in two steps, so that no task sorts more than a block of cells
     packed = F.sort_array(F.collect_list(F.shiftleft("cell", 6).bitwiseOR(F.col("level")))).alias("x")
-    blocks = cells.groupBy(F.shiftright("cell", BLOCK_BITS).alias("b")).agg(packed)
-    blocks = blocks.select("b", F.transform("x", lambda v: v.bitwiseAND(F.lit(63)).cast("tinyint")).alias("x"))
-    return blocks.agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("all")).select(F.flatten("all.x").alias("levels"))
+    blocks = cells.groupBy(F.shiftright("cell", BLOCK_BITS).alias("b")).agg(packed, F.sum("n").alias("n"))
+    blocks = blocks.select("b", "n", F.transform("x", lambda v: v.bitwiseAND(F.lit(63)).cast("tinyint")).alias("x"))
+    return blocks.agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("all"), F.sum("n").alias("total")).select(F.flatten("all.x").alias("levels"), "total")
 
 
 def _classes(docs: DataFrame, levels: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _classes(docs: DataFrame, levels: DataFrame) -> DataFrame:
     def ordered(h: Column) -> Column:
         return F.shiftleft(F.get(table, _cell(h)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    sets = lines.withColumn("levels", levels.scalar()).select("row_id", "ord_doc", "line_no", F.sort_array(F.transform(_hashes(F.col("line")), ordered)).alias("t"))
+    sets = lines.withColumn("levels", levels.select("levels").scalar()).select("row_id", "ord_doc", "line_no", F.sort_array(F.transform(_hashes(F.col("line")), ordered)).alias("t"))
     n = F.size("t")
     row = F.struct("ord_doc", "row_id", "line_no", n.alias("n"), _signature(F.col("t"), False).alias("sig"), _signature(F.col("t"), True).alias("more"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
     whole = sets.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), F.col("t")).alias("k2"), row.alias("f"))
@@ -131,8 +131,8 @@ def _signature(toks: Column, odd: bool) -> Column:
 
 def _hot_level(levels: DataFrame) -> int:
     """The level from which a cell's words are hot."""
-    median = F.element_at(F.sort_array("levels"), F.greatest(F.lit(1), F.floor(F.size("levels") / 2).cast("int")))
-    return max(HOT_BITS, levels.select(median).collect()[0][0] + HOT_ABOVE) if HOT_BITS else 0
+    total = levels.select("total").collect()[0][0] or 0
+    return max(HOT_LEAST, min(HOT_MOST, int(total).bit_length() - 1 - HOT_SHARE))
 
 
 def _postings(classes: DataFrame, least: int, most: int = 62) -> DataFrame:
@@ -167,11 +167,9 @@ def _nearest(hot: DataFrame) -> DataFrame:
     group = Window.partitionBy("tok", "salt").orderBy("ord_doc", *LINE)
     first = F.first("me").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = dealt.select("me", first.alias("head"), F.lag("me").over(group).alias("last"))
-    pairs = met.select("me", F.explode(F.array("head", "last")).alias("other"))
-    pairs = pairs.where(F.col("other").isNotNull() & ((F.col("other.row_id") != F.col("me.row_id")) | (F.col("other.line_no") != F.col("me.line_no"))))
-    pairs = pairs.where(_may_match("me", "other"))
-    named = pairs.select(F.col("me.row_id").alias("row_id"), F.col("me.line_no").alias("line_no"), _apart("me", "other").alias("apart"), F.col("other.row_id").alias("row_a"), F.col("other.line_no").alias("line_a"))
-    return named.groupBy(*LINE).agg(F.min(F.struct("apart", "row_a", "line_a")).alias("best")).select(*LINE, "best.row_a", "best.line_a")
+    fits = lambda c: F.when(((F.col(f"{c}.row_id") != F.col("me.row_id")) | (F.col(f"{c}.line_no") != F.col("me.line_no"))) & _may_match("me", c), F.struct(_apart("me", c).alias("apart"), f"{c}.row_id", f"{c}.line_no"))
+    pairs = met.select(F.col("me.row_id").alias("row_id"), F.col("me.line_no").alias("line_no"), F.least(fits("head"), fits("last")).alias("best")).where("best IS NOT NULL")
+    return pairs.groupBy(*LINE).agg(F.min("best").alias("best")).select(*LINE, F.col("best.row_id").alias("row_a"), F.col("best.line_no").alias("line_a"))
 
 
 def _meeting(short: DataFrame, long: DataFrame, later: str) -> DataFrame:

@@ -64,7 +64,8 @@ def _check(spark, rows, df):
 @pytest.mark.parametrize("seed,cells,hot,salt", [(1, 12, 2, 12), (2, 10, 0, 1), (3, 11, 30, 12)])
 def test_equals_brute_force(spark, monkeypatch, seed, cells, hot, salt):
     monkeypatch.setattr(ld, "CELL_BITS", cells)
-    monkeypatch.setattr(ld, "HOT_BITS", hot)
+    monkeypatch.setattr(ld, "HOT_LEAST", hot)
+    monkeypatch.setattr(ld, "HOT_MOST", hot)
     monkeypatch.setattr(ld, "SALT_BITS", salt)
     rows = _rows(seed)
     want = _check(spark, rows, spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1))
