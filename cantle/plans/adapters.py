@@ -53,9 +53,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_sequences(spark, sf_dir).select("id", t.alias("target"), pred.alias("pred"))
 
 
-def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stars(spark: SparkSession, sf_dir: str, size: float = 1.0) -> DataFrame:
     """A star-shaped ring per embedding, with a vertex for each of its 64 components."""
-    e = F.transform("embedding", lambda x, i: F.struct((F.lit(5.0) + 20.0 * F.abs(x.cast("double"))).alias("r"), (i * F.lit(2 * math.pi / 64)).alias("a")))
+    e = F.transform("embedding", lambda x, i: F.struct(((F.lit(5.0) + 20.0 * F.abs(x.cast("double"))) * size).alias("r"), (i * F.lit(2 * math.pi / 64)).alias("a")))
     ring = F.transform(e, lambda v: F.struct((v["r"] * F.cos(v["a"])).alias("x"), (v["r"] * F.sin(v["a"])).alias("y")))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), ring.alias("ring"))
 

@@ -612,8 +612,8 @@ def seq2seq_greedy(spark, sf_dir):
 def seq2seq_beam(spark, sf_dir):
     from cantle.operators import bpe, geometry, inference
 
-    stars = ad.stars(spark, sf_dir).select(F.col("id").alias("fid"), geometry.as_parts(F.col("ring")).alias("geom"))
-    # about half a second a row, so few rows a task
+    stars = ad.stars(spark, sf_dir, 0.25).select(F.col("id").alias("fid"), geometry.as_parts(F.col("ring")).alias("geom"))
+    # about a second a row, so few rows a task
     dealt = stars.repartition(4 * spark.sparkContext.defaultParallelism, "fid")
     found = inference.candidates(dealt, *_small_model(), bpe.Vocabulary({}), 5000)
     return found.select("raw_fid", "beam_rank", F.round("model_score", 6).alias("model_score"), F.col("error").isNull().alias("decoded"))
