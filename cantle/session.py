@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +78,13 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return numbered
 
 
+def trim() -> None:
+    """Give memory that a fit has freed back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever it lies."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
