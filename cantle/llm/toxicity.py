@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cantle.llm import textbytes as tb
-from cantle.session import materialise, ship
+from cantle.session import materialise, ship, trim
 
 #: Labelled texts used to fit, at most.
 SAMPLE_ROWS = 16000
@@ -287,7 +287,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = np.r_[0, np.cumsum([len(words[i]) for i in order])]
     col, feature = np.concatenate([words[i] for i in order]), np.concatenate([x[i] for i in order])
     del words, x
-    return fit_sparse(names, _Sparse(at, col, feature, len(names)), dose_grades(np.array(dose)[order], toxic))
+    model = fit_sparse(names, _Sparse(at, col, feature, len(names)), dose_grades(np.array(dose)[order], toxic))
+    del col, feature
+    trim()
+    return model
 
 
 SCORES = "severity double, grade int, p_toxic double, toxic int"
