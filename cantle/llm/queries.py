@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantle.llm.hard_negatives import ORACLE_SQL as _NEGATIVES_SQL
 from cantle.llm.line_dedup import ORACLE_SQL as _LINES_SQL
 from cantle.llm.ngram_join import ORACLE_SQL as _NEAR_SQL
 from cantle.llm.topk_blocks import ORACLE_SQL as _TOPK_SQL
@@ -92,6 +93,12 @@ def op10_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.hard_negatives import mine
+
+    return mine(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_topk_blocks": op2_topk_blocks,
@@ -103,7 +110,8 @@ QUERIES = {
     "op8_elias_fano_lm": op8_elias_fano_lm,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_byte_prefix_shards": op10_byte_prefix_shards,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_topk_blocks": _TOPK_SQL, "op4_ngram_forest_join": _NEAR_SQL, "op7_line_dedup": _LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk_blocks": _TOPK_SQL, "op4_ngram_forest_join": _NEAR_SQL, "op7_line_dedup": _LINES_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
