@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cantle.llm.hard_negatives import ORACLE_SQL as _NEGATIVES_SQL
 from cantle.llm.line_dedup import ORACLE_SQL as _LINES_SQL
 from cantle.llm.ngram_join import ORACLE_SQL as _NEAR_SQL
+from cantle.llm.ranked_search import ORACLE_SQL as _RANKED_SQL
 from cantle.llm.topk_blocks import ORACLE_SQL as _TOPK_SQL
 from cantle.session import materialise
 
@@ -99,6 +100,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.ranked_search import search
+
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_topk_blocks": op2_topk_blocks,
@@ -111,7 +118,8 @@ QUERIES = {
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_byte_prefix_shards": op10_byte_prefix_shards,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_topk_blocks": _TOPK_SQL, "op4_ngram_forest_join": _NEAR_SQL, "op7_line_dedup": _LINES_SQL, "op11_hard_negatives": _NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk_blocks": _TOPK_SQL, "op4_ngram_forest_join": _NEAR_SQL, "op7_line_dedup": _LINES_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op13_ranked_search": _RANKED_SQL}
