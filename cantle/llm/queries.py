@@ -100,6 +100,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cantle.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), _tokenizer(), keep_ids=False)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cantle.llm.ranked_search import search
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_byte_prefix_shards": op10_byte_prefix_shards,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_cost_packing": op12_cost_packing,
     "op13_ranked_search": op13_ranked_search,
 }
 
