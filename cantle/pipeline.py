@@ -25,7 +25,7 @@ from cantle.functions import hashing, rings, seq2seq, tokens
 from cantle.functions import polygon as pg
 from cantle.operators import bpe, geometry, inference, training
 from cantle.operators import relational as rel
-from cantle.sources import files, shapefile
+from cantle.sources import files, shapefile, shapefile_sink
 
 
 @dataclass(frozen=True)
@@ -372,7 +372,7 @@ def infer(spark: SparkSession, raw_path: str, weights: str, vocab_path: str, out
     removed = F.when(F.col("raw_vertices") > 0, (F.col("raw_vertices") - F.col("vertices")) / F.col("raw_vertices")).otherwise(0.0)
     best = best.select("raw_fid", F.lit(scale).alias("scale"), removed.alias("vtx_cmp"), F.col("area_ratio").alias("area_rat"), "beam_rank", "geom")
     fields = [("raw_fid", "N", 12, 0), ("scale", "N", 8, 0), ("vtx_cmp", "F", 12, 6), ("area_rat", "F", 12, 6), ("beam_rank", "N", 8, 0)]
-    written = shapefile.write(best, output, fields, shapefile.check_crs(raw_path), "raw_fid")
+    written = shapefile_sink.write(best, output, fields, shapefile.check_crs(raw_path), "raw_fid")
     failed = inference.failures(cands).withColumn("scale", F.lit(scale))
     files.write_jsonl(failed, os.path.splitext(output)[0] + ".failures.jsonl")
     out = {"written": written, "failed": failed.count(), "output": output}
@@ -396,7 +396,7 @@ def decode_predictions(spark: SparkSession, predictions: str, vocab_path: str, o
             yield pd.DataFrame(out, columns=["raw_fid", "osm_id", "scale", "geom"])
 
     rows = files.read_predictions(spark, predictions).mapInPandas(run, f"raw_fid long, osm_id string, scale int, geom {geometry.PARTS_DDL}")
-    return shapefile.write(rows, output, [("raw_fid", "N", 12, 0), ("osm_id", "C", 40, 0), ("scale", "N", 8, 0)], prj, "raw_fid")
+    return shapefile_sink.write(rows, output, [("raw_fid", "N", 12, 0), ("osm_id", "C", 40, 0), ("scale", "N", 8, 0)], prj, "raw_fid")
 
 
 def project(spark: SparkSession, path: str, output: str, epsg: int, prj: str) -> int:
@@ -410,7 +410,7 @@ def project(spark: SparkSession, path: str, output: str, epsg: int, prj: str) ->
 
     geom = F.transform("geom", lambda part: F.transform(part, lambda ring: F.transform(ring, turned)))
     fields = shapefile._dbf_header(os.path.splitext(path)[0] + ".dbf")[3]
-    return shapefile.write(df.withColumn("geom", geom), output, fields, prj, "fid")
+    return shapefile_sink.write(df.withColumn("geom", geom), output, fields, prj, "fid")
 
 
 def parse_args(argv=None) -> argparse.Namespace:

@@ -1,20 +1,30 @@
-"""ESRI shapefiles: a Python data source for reading, and a writer.
+"""ESRI shapefiles: a Python data source for reading. ``shapefile_sink`` writes them.
 
 The public formats: .shp and .shx hold shapes and their offsets, .dbf (dBase III) the attributes, .prj
 the coordinate system. Records keep their order; ``fid`` is the record's place. Reading is split
-by record ranges; without ``geom`` among the ``columns`` option only the .dbf is read.
+by record ranges (option ``records``: how many a partition); without ``geom`` and ``box`` among the
+``columns`` option only the .dbf is read.
+
+Filters on ``fid`` and on attributes are pushed into the scan: ranges of ``fid`` drop whole partitions, and
+a record whose attributes fail is left before its shape is read. The option ``window`` (x0,y0,x1,y1) keeps
+records whose bounding box meets the window; it is tested on the 32 bytes at a record's head, and
+partitions whose boxes, as the layer's box index has them, lie outside are not read at all.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -23,12 +33,30 @@ from cantle.functions import polygon as pg
 RECORDS_PER_PARTITION = 20_000
 #: Parts, each a list of rings of points.
 PARTS = ArrayType(ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))))
+#: A record's bounding box.
+BOX = StructType([StructField(n, DoubleType()) for n in ("x0", "y0", "x1", "y1")])
 _REQUIRED = (".shp", ".shx", ".dbf", ".prj")
+_EVERY = (*_REQUIRED, ".cpg")
+
+
+def recover(base: str) -> None:
+    """Finish a replacement that was committed: its marker names the new files, which are moved over the old ones."""
+    try:
+        with open(base + ".commit", encoding="utf-8") as f:
+            mark = json.load(f)["mark"]
+    except FileNotFoundError:
+        return
+    for e in _EVERY:
+        with contextlib.suppress(FileNotFoundError):  # moved already
+            os.replace(base + e + mark, base + e)
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(base + ".commit")
 
 
 def family(path: str) -> list[str]:
     """The files of a layer; a missing required one is an error."""
     base = os.path.splitext(path)[0]
+    recover(base)
     lost = [base + e for e in _REQUIRED if not os.path.exists(base + e)]
     if lost:
         raise FileNotFoundError(f"incomplete shapefile, missing {', '.join(lost)}")
@@ -109,13 +137,91 @@ class _Range(InputPartition):
         self.start, self.stop = start, stop
 
 
+def _key(v):
+    """As Spark orders: NaN above all numbers."""
+    return (v != v, v)
+
+
+#: What a pushed filter asks of a value that is not null.
+_TESTS = {
+    ds.EqualTo: lambda v, x: _key(v) == _key(x) or v == x,
+    ds.GreaterThan: lambda v, x: _key(v) > _key(x),
+    ds.GreaterThanOrEqual: lambda v, x: _key(v) >= _key(x),
+    ds.LessThan: lambda v, x: _key(v) < _key(x),
+    ds.LessThanOrEqual: lambda v, x: _key(v) <= _key(x),
+    ds.In: lambda v, x: v in x,
+    ds.StringStartsWith: lambda v, x: v.startswith(x),
+    ds.StringEndsWith: lambda v, x: v.endswith(x),
+    ds.StringContains: lambda v, x: x in v,
+}
+
+
+def _passes(kind: type, v, x) -> bool:
+    if kind in (ds.IsNull, ds.IsNotNull):
+        return (v is None) == (kind is ds.IsNull)
+    return v is not None and bool(_TESTS[kind](v, x))
+
+
+def box_index(base: str) -> tuple[int, list]:
+    """(records a box, boxes) of the layer's box index; (0, []) where there is none or the layer has changed since."""
+    try:
+        with open(base + ".boxes.json", encoding="utf-8") as f:
+            body = json.load(f)
+        info = os.stat(base + ".shp")
+        return (body["records"], body["boxes"]) if body["shp"] == [info.st_size, info.st_mtime_ns] else (0, [])
+    except (OSError, ValueError, KeyError):
+        return 0, []
+
+
+def write_box_index(base: str, records: int, boxes: dict[int, Sequence[float]], count: int) -> None:
+    """One box per so many records of the layer; a stretch without shapes has none."""
+    info = os.stat(base + ".shp")
+    body = {"shp": [info.st_size, info.st_mtime_ns], "records": records, "boxes": [list(boxes[i]) if i in boxes else None for i in range(-(-count // records))]}
+    temp = f"{base}.boxes.{uuid.uuid4().hex}"
+    with open(temp, "w", encoding="utf-8") as f:
+        json.dump(body, f)
+    os.replace(temp, base + ".boxes.json")
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
+    def __init__(self, path: str, schema: StructType, records: int = RECORDS_PER_PARTITION, window: Sequence[float] | None = None):
         self.base, self.names = os.path.splitext(path)[0], schema.fieldNames()
+        self.records, self.window = records, window
+        self.filters: list[tuple[type, str, object]] = []
+        self.bytes_read = 0
+
+    def pushFilters(self, filters: Iterable[ds.Filter]) -> Iterator[ds.Filter]:
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name is not None and name not in ("geom", "box") and (type(f) in _TESTS or isinstance(f, ds.IsNull | ds.IsNotNull)):
+                self.filters.append((type(f), name, getattr(f, "value", None)))
+            else:
+                yield f
 
     def partitions(self):
         n = _dbf_header(self.base + ".dbf")[0]
-        return [_Range(i, min(n, i + RECORDS_PER_PARTITION)) for i in range(0, n, RECORDS_PER_PARTITION)] or [_Range(0, 0)]
+        low, high = 0, n
+        for kind, name, x in self.filters:
+            if name == "fid":
+                if kind is ds.IsNull:
+                    high = 0
+                ends = {ds.EqualTo: (x, x), ds.GreaterThan: (x, n), ds.GreaterThanOrEqual: (x, n), ds.LessThan: (0, x), ds.LessThanOrEqual: (0, x)}
+                a, b = (min(x), max(x)) if kind is ds.In and x else ends.get(kind, (0, n))
+                low, high = max(low, a), min(high, b + 1)
+        step, boxes = box_index(self.base) if self.window else (0, [])
+        out = []
+        for i in range(0, n, self.records):
+            start, stop = max(i, low), min(n, i + self.records, high)
+            near = not boxes or any(b is not None and _meets(b, self.window) for b in boxes[start // step : -(-stop // step)])
+            if start < stop and near:
+                out.append(_Range(start, stop))
+        return out or [_Range(0, 0)]
+
+    def _take(self, f, at: int, n: int) -> bytes:
+        f.seek(at)
+        raw = f.read(n)
+        self.bytes_read += len(raw)
+        return raw
 
     def read(self, part) -> Iterator[tuple]:
         _, head, size, fields = _dbf_header(self.base + ".dbf")
@@ -124,35 +230,49 @@ class _Reader(DataSourceReader):
             spots[name] = (at, at + width, kind, decimals)
             at += width
         encoding, count = _encoding(self.base), part.stop - part.start
+        asked = [n for n in dict.fromkeys([*(f[1] for f in self.filters), *self.names]) if n in spots or n == "fid"]
         with open(self.base + ".dbf", "rb") as f:
-            f.seek(head + size * part.start)
-            table = f.read(size * count)
+            table = self._take(f, head + size * part.start, size * count)
         shapes = None
-        if "geom" in self.names:
+        if "geom" in self.names or "box" in self.names or self.window:
             with open(self.base + ".shx", "rb") as f:
-                f.seek(100 + 8 * part.start)
-                index = np.frombuffer(f.read(8 * count), ">i4").reshape(-1, 2).astype(np.int64) * 2
+                index = np.frombuffer(self._take(f, 100 + 8 * part.start, 8 * count), ">i4").reshape(-1, 2).astype(np.int64) * 2
             shapes = open(self.base + ".shp", "rb")
         try:
             for k in range(count):
-                record, row = table[k * size : (k + 1) * size], []
-                for name in self.names:
-                    if name == "fid":
-                        row.append(part.start + k)
-                    elif name == "geom":
-                        shapes.seek(int(index[k, 0]) + 8)
-                        row.append(_shape(shapes.read(int(index[k, 1]))))
-                    else:
+                record, row = table[k * size : (k + 1) * size], {"fid": part.start + k}
+                for name in asked:
+                    if name != "fid":
                         a, b, kind, decimals = spots[name]
-                        row.append(_value(record[a:b], kind, decimals, encoding))
-                yield tuple(row)
+                        row[name] = _value(record[a:b], kind, decimals, encoding)
+                if not all(_passes(kind, row[name], x) for kind, name, x in self.filters):
+                    continue
+                if shapes:
+                    where, length = int(index[k, 0]) + 8, int(index[k, 1])
+                    if "box" in self.names or self.window:
+                        box = _box(self._take(shapes, where, min(length, 36)))
+                        if self.window and not (box and _meets(box, self.window)):
+                            continue
+                        row["box"] = box
+                    if "geom" in self.names:
+                        row["geom"] = _shape(self._take(shapes, where, length))
+                yield tuple(row[n] for n in self.names)
         finally:
             if shapes:
                 shapes.close()
 
 
+def _box(head: bytes) -> tuple[float, ...] | None:
+    """The bounding box of a record's head, if it has a shape with one."""
+    return struct.unpack("<4d", head[4:36]) if len(head) == 36 and struct.unpack("<i", head[:4])[0] in (3, 5, 8, 13, 15, 18, 23, 25, 28, 31) else None
+
+
+def _meets(a: Sequence[float], b: Sequence[float]) -> bool:
+    return a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+
+
 class ShapefileSource(DataSource):
-    """``spark.read.format("shapefile").load(path)``; option ``columns`` is a comma list."""
+    """``spark.read.format("shapefile").load(path)``; option ``columns`` is a comma list, ``box`` among it gives bounding boxes."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,76 +283,37 @@ class ShapefileSource(DataSource):
         geom = StructField("geom", PARTS)
         every = [StructField("fid", LongType()), *[StructField(n, _spark_type(k, d)) for n, k, _, d in fields], geom]
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        return StructType([f for f in every if not wanted or f.name in wanted])
+        return StructType([f for f in every if not wanted or f.name in wanted] + [StructField("box", BOX)] * ("box" in wanted))
 
     def reader(self, schema: StructType):
-        return _Reader(self.options["path"], schema)
+        window = [float(v) for v in self.options.get("window", "").split(",") if v.strip()]
+        return _Reader(self.options["path"], schema, int(self.options.get("records", RECORDS_PER_PARTITION)), window or None)
 
+    def writer(self, schema: StructType, overwrite: bool):
+        from cantle.sources.shapefile_sink import SegmentWriter
 
-def read(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
-    """A layer in the shared file system as a DataFrame."""
-    family(path)
-    spark.dataSource.register(ShapefileSource)
-    reader = spark.read.format("shapefile")
-    return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
+        if not overwrite and os.path.exists(os.path.splitext(self.options["path"])[0] + ".shp"):
+            raise FileExistsError(f"{self.options['path']} is there; a layer can only be replaced whole")
+        return SegmentWriter(self.options["path"], schema, self.options)
 
 
-def _polygon_record(parts: list[pg.Polygon]) -> bytes:
-    rings = [pg.orient(r, k != 0) for p in parts for k, r in enumerate(p) if len(r) >= 3]
-    if not rings:
-        return struct.pack("<i", 0)
-    closed = [np.r_[r, r[:1]] for r in rings]
-    xy = np.concatenate(closed)
-    starts = np.cumsum([0, *map(len, closed)])[:-1]
-    return struct.pack("<i4d2i", 5, *xy.min(0), *xy.max(0), len(closed), len(xy)) + starts.astype("<i4").tobytes() + xy.astype("<f8").tobytes()
+def read(spark: SparkSession, path: str, columns: Sequence[str] = (), window: Sequence[float] | None = None, records: int = RECORDS_PER_PARTITION) -> DataFrame:
+    """A layer in the shared file system as a DataFrame; filters on it are pushed into the scan."""
+    family(path)
+    spark.dataSource.register(ShapefileSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("shapefile").option("records", records)
+    if columns:
+        reader = reader.option("columns", ",".join(columns))
+    if window:
+        reader = reader.option("window", ",".join(map(repr, map(float, window))))
+    return reader.load(path)
 
 
-def write_rows(path: str, rows, fields: Sequence[tuple[str, str, int, int]], prj: str) -> int:
-    """Write (attributes..., parts) rows in order, each file under a temporary name until whole."""
+def index_boxes(spark: SparkSession, path: str, records: int = RECORDS_PER_PARTITION) -> None:
+    """Write the box index of a layer that came without one: record heads are read in parallel, a box per stretch comes back."""
     base = os.path.splitext(path)[0]
-    mark = f".{uuid.uuid4().hex}"
-    low, high, at, n = np.array([np.inf, np.inf]), np.array([-np.inf, -np.inf]), 50, 0
-    width = 1 + sum(f[2] for f in fields)
-    with open(base + ".shp" + mark, "wb") as shp, open(base + ".shx" + mark, "wb") as shx, open(base + ".dbf" + mark, "wb") as dbf:
-        shp.write(b"\0" * 100)
-        shx.write(b"\0" * 100)
-        head = 33 + 32 * len(fields)
-        dbf.write(b"\0" * 32 + b"".join(struct.pack("<11sc4xBB14x", f[0].encode()[:10], f[1].encode(), f[2], f[3]) for f in fields) + b"\r")
-        for *values, parts in rows:
-            body = _polygon_record(parts)
-            if len(body) > 4:
-                box = struct.unpack("<4d", body[4:36])
-                low, high = np.minimum(low, box[:2]), np.maximum(high, box[2:])
-            shx.write(struct.pack(">2i", at, len(body) // 2))
-            shp.write(struct.pack(">2i", n + 1, len(body) // 2) + body)
-            at, n = at + 4 + len(body) // 2, n + 1
-            cells = []
-            for v, (_, kind, wide, decimals) in zip(values, fields, strict=True):
-                if kind in "NF":
-                    text = "" if v is None else f"{v:.{decimals}f}" if decimals else str(int(v))
-                    cells.append(text[:wide].rjust(wide).encode())
-                else:
-                    raw = ("" if v is None else str(v)).encode()[:wide]
-                    cells.append(raw.decode("utf-8", "ignore").encode().ljust(wide))
-            dbf.write(b" " + b"".join(cells))
-        dbf.write(b"\x1a")
-        dbf.seek(0)
-        dbf.write(struct.pack("<4BIHH", 3, 125, 1, 1, n, head, width))
-        box = [*low, *high] if n and np.isfinite(low).all() else [0.0] * 4
-        for f, words in ((shp, at), (shx, 50 + 4 * n)):
-            f.seek(0)
-            f.write(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, 5, *box, 0, 0, 0, 0))
-    for e, text in ((".prj", prj), (".cpg", "UTF-8")):
-        with open(base + e + mark, "w", encoding="utf-8") as f:
-            f.write(text)
-    for e in (".shp", ".shx", ".dbf", ".prj", ".cpg"):
-        os.replace(base + e + mark, base + e)
-    return n
-
-
-def write(df: DataFrame, path: str, fields: Sequence[tuple[str, str, int, int]], prj: str, order: str, geom: str = "geom") -> int:
-    """One layer from a DataFrame: the files' records depend on each other, so rows stream, in order, through one writer."""
-    from cantle.operators.geometry import parts_of
-
-    rows = df.orderBy(order).select(*[f[0] for f in fields], geom).toLocalIterator(prefetchPartitions=True)
-    return write_rows(path, ((*[r[f[0]] for f in fields], parts_of([[[p.asDict() for p in ring] for ring in part] for part in (r[geom] or [])])) for r in rows), fields, prj)
+    heads = read(spark, path, ["fid", "box"], records=records).where("box IS NOT NULL")
+    least = [F.min(f"box.{c}").alias(c) for c in ("x0", "y0")] + [F.max(f"box.{c}").alias(c) for c in ("x1", "y1")]
+    rows = heads.groupBy((F.col("fid") / records).cast("long").alias("i")).agg(*least).collect()
+    write_box_index(base, records, {r["i"]: r[1:] for r in rows}, _dbf_header(base + ".dbf")[0])

@@ -14,6 +14,7 @@ from cantle.operators import relational as rel
 from cantle.plans import adapters as ad
 from cantle.plans import registry
 from cantle.sources import files, shapefile
+from tests.plain_layer import write_rows
 
 PRJ = 'PROJCS["WGS_1984_UTM_Zone_11N",GEOGCS["GCS",DATUM["D",SPHEROID["S",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],UNIT["Meter",1.0]]'
 
@@ -49,62 +50,6 @@ def test_bpe_encode_native_equals_kernel(spark):
     assert bad == 2
 
 
-def _plain_bpe(segments, size, most, start=1500):
-    """Count again after each merge; ties by the order in which a pair was first seen."""
-    atoms, seen, blocked = {}, {}, set()
-    segs = [(list(s), w) for s, w in segments if w > 0 and len(s) > 1]
-
-    def counts():
-        n = {}
-        for s, w in segs:
-            for p in zip(s, s[1:]):
-                seen.setdefault(p, len(seen))
-                n[p] = n.get(p, 0) + w
-        return n
-
-    new = start
-    while new < size:
-        n = {p: k for p, k in counts().items() if p not in blocked}
-        if not n:
-            break
-        best = min(n, key=lambda p: (-n[p], seen[p]))
-        spelled = atoms.get(best[0], (best[0],)) + atoms.get(best[1], (best[1],))
-        if len(spelled) > most:
-            blocked.add(best)
-            continue
-        atoms[new] = spelled
-        for s, _ in segs:
-            i = 0
-            while i + 1 < len(s):
-                if (s[i], s[i + 1]) == best:
-                    s[i : i + 2] = [new]
-                i += 1
-        new += 1
-    return atoms
-
-
-def test_bpe_training_against_recounting():
-    rng = random.Random(4)
-    segs = [([rng.choice([0, 0, 1, 2, 3]) for _ in range(rng.randrange(2, 30))], rng.randrange(1, 4)) for _ in range(40)]
-    got = bpe.train(segs, 1530, 6).atoms
-    want = _plain_bpe(segs, 1530, 6)
-    # counts of merged pairs agree; the order of first sight may differ among equals
-    assert len(got) == len(want) and got[1500] == want[1500] and max(map(len, got.values())) <= 6
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bpe_round_trip(seed, tmp_path):
-    rng = random.Random(seed)
-    segs = [[rng.randrange(4) for _ in range(50)] for _ in range(30)]
-    v = bpe.train(((s, 1) for s in segs), 1560)
-    v.save(str(tmp_path / "v.txt"))
-    w = bpe.Vocabulary.load(str(tmp_path / "v.txt"))
-    assert w.atoms == v.atoms
-    assert all(w.decode(w.encode(s)) == s and len(w.encode(s)) < len(s) for s in segs)
-    with pytest.raises(ValueError):
-        bpe.Vocabulary({5: (1, 2)})
-
-
 def test_pairing_outcomes(spark):
     raws = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "fid long, osm string")
     targets = spark.createDataFrame([(0, "0", "a"), (1, "0", "a"), (2, "x", "a"), (3, "9", "a"), (4, "1", "other"), (5, "2.7", None), (6, None, "a")], "tid long, key string, name string")
@@ -146,7 +91,7 @@ def test_manifest(tmp_path):
 
 
 def _layer(path, rows, fields, prj=PRJ):
-    shapefile.write_rows(str(path), [(*v, [[pg.ring_of(r) for r in p] for p in parts]) for *v, parts in rows], fields, prj)
+    write_rows(str(path), [(*v, [[pg.ring_of(r) for r in p] for p in parts]) for *v, parts in rows], fields, prj)
 
 
 def test_shapefile_round_trip(spark, tmp_path):
@@ -303,43 +248,6 @@ def test_beam_equals_a_plain_search():
         assert np.allclose([s for _, s in got], [s for _, s in want])
 
 
-def test_training_equals_recounting_after_each_merge():
-    rng = np.random.default_rng(8)
-    for size, most in ((1512, 4), (1530, 10)):
-        segs = [(rng.integers(0, 4, rng.integers(1, 20)).tolist(), int(rng.integers(0, 3))) for _ in range(25)]
-        rows, weights, atoms = [list(s) for s, w in segs if w], [w for _, w in segs if w], {}
-        barred = set()
-        while 1500 + len(atoms) < size:
-            count = {}
-            for r, w in zip(rows, weights):
-                for p in zip(r, r[1:]):
-                    count[p] = count.get(p, 0) + w
-            best = max((n for p, n in count.items() if p not in barred), default=0)
-            if not best:
-                break
-            got = bpe.train(segs, 1500 + len(atoms) + 1, most).atoms
-            if len(got) == len(atoms):
-                break
-            spelled = got[1500 + len(atoms)]
-            ties = [p for p, n in count.items() if n == best and p not in barred]
-            spell = lambda t: atoms.get(t, (t,))
-            long = [p for p in ties if len(spell(p[0]) + spell(p[1])) > most]
-            barred.update(long)
-            fit = [p for p in ties if p not in barred]
-            if not fit:
-                continue
-            pair = next(p for p in fit if spell(p[0]) + spell(p[1]) == spelled)
-            new = 1500 + len(atoms)
-            for r in rows:
-                i = 0
-                while i < len(r) - 1:
-                    if (r[i], r[i + 1]) == pair:
-                        r[i : i + 2] = [new]
-                    i += 1
-            atoms[new] = spelled
-        assert len(atoms) > 5 and bpe.train(segs, 1500 + len(atoms), most).atoms == atoms
-
-
 def _two_cities(tmp_path, extra=1):
     """(raw, target) layers of two cities in degrees, squares of about ten metres."""
     wgs = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
