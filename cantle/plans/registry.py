@@ -512,7 +512,7 @@ def artifact_fingerprint(spark, sf_dir):
     """The fingerprint of a written file of names."""
     path = scratch(spark, "names") + ".txt"
     ad.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
-    found = files.fingerprint("/" + path.removeprefix("file:").lstrip("/"))
+    found = files.fingerprint(files.local_path(path))
     return spark.createDataFrame([(found["bytes"], found["sha256"], found["lines"])], "n_bytes long, digest string, lines long")
 
 
@@ -523,12 +523,74 @@ def _vocabulary(spark, sf_dir, size=1540):
     return bpe.train_from(ad.event_sequences(spark, sf_dir), ["tokens"], "id", size=size)
 
 
-@query()
+def _merges_sql(steps: int, most: int = 10) -> str:
+    """Merging one pair at a time over strings, one character a token: pairs are counted anew at each step; of equal
+    counts the pair first seen, where its later token was made, from the left."""
+    chars = "string_split(s, '')"
+    pairs = "SELECT id, i, c[i] AS l, c[i + 1] AS r FROM (SELECT id, c, unnest(range(1, len(c))) AS i FROM (SELECT id, {} AS c FROM s{}))"
+    out = f"""{EVENTS}, s0 AS MATERIALIZED (SELECT id, array_to_string(list_transform(tokens, lambda t: chr(65 + t)), '') AS s FROM seqs),
+seen0 AS MATERIALIZED (SELECT l, r, 0 AS m, min(struct_pack(id := id, i := i)) AS f FROM ({pairs.format(chars, 0)}) GROUP BY l, r),
+tok0 AS MATERIALIZED (SELECT chr(CAST(65 + t AS INT)) AS t, 1 AS n, CAST(t AS VARCHAR) AS atoms FROM range(5) x(t))"""
+    for k in range(steps):
+        new = f"chr({20000 + k})"
+        places = f"SELECT id, c, unnest(list_filter(range(1, len(c) + 1), lambda i: c[i] = {new})) AS i FROM (SELECT id, {chars} AS c FROM s{k + 1})"
+        out += f""", best{k} AS MATERIALIZED (
+  SELECT p.l, p.r, a.n + b.n AS n, a.atoms || ' ' || b.atoms AS atoms FROM (SELECT l, r, count(*) AS n FROM ({pairs.format(chars, k)}) GROUP BY l, r) p
+  JOIN seen{k} USING (l, r) JOIN tok{k} a ON a.t = l JOIN tok{k} b ON b.t = r WHERE a.n + b.n <= {most} ORDER BY p.n DESC, m, f LIMIT 1),
+s{k + 1} AS MATERIALIZED (SELECT id, replace(s, l || r, {new}) AS s FROM s{k}, best{k}),
+seen{k + 1} AS MATERIALIZED (SELECT * FROM seen{k} UNION ALL SELECT l, r, {k + 1}, min(f) FROM (
+  SELECT c[i - 1] AS l, {new} AS r, struct_pack(id := id, i := 2 * i) AS f FROM ({places}) WHERE i > 1
+  UNION ALL SELECT {new}, CASE WHEN c[i + 1] = {new} THEN b.l ELSE c[i + 1] END, struct_pack(id := id, i := 2 * i + 1) FROM ({places}), best{k} b WHERE i < len(c)) GROUP BY l, r),
+tok{k + 1} AS MATERIALIZED (SELECT * FROM tok{k} UNION ALL SELECT {new}, n, atoms FROM best{k})"""
+    return f"WITH {out} SELECT CAST(unicode(t) - 20000 + 1500 AS INT) AS id, atoms FROM tok{steps} WHERE n > 1"
+
+
+@query(_merges_sql(40))
 def bpe_vocab(spark, sf_dir):
+    """Forty merges over the events of all users."""
     v = _vocabulary(spark, sf_dir)
     return spark.createDataFrame([(i, " ".join(map(str, a))) for i, a in sorted(v.atoms.items())], "id int, atoms string")
 
 
+# -- layers ------------------------------------------------------------------------------------------
+def _star_layer(spark, sf_dir):
+    """The stars side by side, written as a layer in the order of their ids; its path."""
+    import os
+
+    from cantle.operators import geometry
+    from cantle.sources import shapefile_sink
+
+    folder = files.local_path(scratch(spark, "layer"))
+    os.makedirs(folder)
+    labels = ad.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    aside = F.transform("ring", lambda p: F.struct((p["x"] + 60.0 * F.col("id")).alias("x"), p["y"].alias("y")))
+    stars = ad.stars(spark, sf_dir).join(labels, "id").select("id", "label", geometry.as_parts(aside).alias("geom"))
+    shapefile_sink.write(stars, f"{folder}/stars.shp", [("id", "N", 12, 0), ("label", "N", 4, 0)], 'PROJCS["plane",UNIT["Meter",1.0]]', "id")
+    return f"{folder}/stars.shp"
+
+
+@query(f"""WITH {STARS} SELECT row_number() OVER (ORDER BY edge.id) - 1 AS fid, edge.id, CAST(any_value(label) AS BIGINT) AS label,
+ round(sum(x * y2 - x2 * y) / 2, 3) AS area, round(sum(len), 3) AS perimeter, count(*) AS vertices FROM edge JOIN embeddings ON vec_id = edge.id GROUP BY edge.id""")
+def layer_sink_scan(spark, sf_dir):
+    """A layer written by the executors and read back, place and attributes included."""
+    from cantle.sources import shapefile
+
+    r = F.col("geom")[0][0]
+    found = shapefile.read(spark, _star_layer(spark, sf_dir), records=2000)
+    return found.select("fid", "id", "label", F.round(rings.area(r), 3).alias("area"), F.round(rings.perimeter(r), 3).alias("perimeter"), F.size(r).cast("long").alias("vertices"))
+
+
+@query(f"""WITH {STARS}, box AS (SELECT id, min(x) + 60 * id AS x0, max(x) + 60 * id AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY id)
+SELECT id, CAST(label AS BIGINT) AS label, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1 FROM box JOIN embeddings ON vec_id = id
+WHERE label >= 3 AND label <> 5 AND x0 <= 20000 AND x1 >= 1000 AND y0 <= 7.5 AND y1 >= 2.5""")
+def layer_window_scan(spark, sf_dir):
+    """A window of the layer: the box index leaves out partitions, labels are tested before boxes, shapes are not read."""
+    from cantle.sources import shapefile
+
+    found = shapefile.read(spark, _star_layer(spark, sf_dir), ["id", "label", "box"], window=(1000.0, 2.5, 20000.0, 7.5), records=2000)
+    return found.where("label >= 3 AND label <> 5").select("id", "label", *[F.round(f"box.{c}", 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 #: Fixed composite tokens of the queries that encode event kinds (0 to 4).
 _COMPOSITES = {1500: (0, 4), 1501: (0, 4, 0), 1502: (4, 4), 1503: (2, 2, 4), 1504: (4, 0, 4, 0, 1)}
 
@@ -577,8 +639,10 @@ def codec_roundtrip(spark, sf_dir):
 @query("""WITH b AS (SELECT s_suppkey, 5.0 + s_nationkey AS w, 3.0 + s_suppkey % 7 AS h, (5.0 + s_nationkey) * (1.0 - (s_suppkey % 4) * 0.04) AS v FROM supplier),
 q AS (SELECT *, greatest(1, floor(w / 0.2 + 0.5 + 1e-9)) AS nw, greatest(1, floor(h / 0.2 + 0.5 + 1e-9)) AS nh, greatest(1, floor(v / 0.2 + 0.5 + 1e-9)) AS nv FROM b)
 SELECT s_suppkey AS target_fid, s_suppkey AS raw_fid, 'simple_rectangle' AS difficulty, 4 AS source_vertex_count, CAST(2 * (nw + nh) + 3 AS INT) AS n_source, CAST(2 * (nv + nh) + 2 AS INT) AS n_target,
- round(least(nv * 0.2, v) * least(nh * 0.2, h) / (nv * 0.2 * nh * 0.2 + v * h - least(nv * 0.2, v) * least(nh * 0.2, h)), 3) AS outline_iou, CAST(NULL AS VARCHAR) AS error FROM q""")
+ round(common / (nv * 0.2 * nh * 0.2 + v * h - common), 3) AS outline_iou, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, least(nh * 0.2, h) * CASE WHEN h > w THEN least(w, v) - greatest(0, w - nv * 0.2) ELSE least(nv * 0.2, v) END AS common FROM q)""")
 def prepare_pairs(spark, sf_dir):
+    """A box higher than wide is turned, so its tokens start at the lower right corner, and those of a narrower target, too."""
     from cantle.operators import geometry
 
     w, h, shrink = 5.0 + F.col("s_nationkey"), 3.0 + F.col("s_suppkey") % 7, 1.0 - (F.col("s_suppkey") % 4) * 0.04

@@ -35,6 +35,13 @@ def fid_filter(spark: SparkSession, path: str | None) -> DataFrame | None:
     return None if path is None else read_jsonl(spark, path, "raw_fid long").select("raw_fid").distinct()
 
 
+def local_path(path: str) -> str:
+    """A path of the mounted file system, given with or without its scheme; one of another store is an error."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path} does not lie in a mounted folder")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def _hadoop(spark: SparkSession, path: str):
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -41,6 +41,16 @@ def test_query_equals_oracle(spark, duck, name):
     assert got == want
 
 
+def test_prepared_pairs_hold_boxes_higher_than_wide(spark):
+    """The smallest tables have none that is narrowed, too."""
+    con, sf = duckdb.connect(), SF.replace("sf0.001", "sf0.01")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{sf}/supplier.parquet'")
+    tall = con.execute("SELECT count(*) FROM supplier WHERE 3.0 + s_suppkey % 7 > 5.0 + s_nationkey AND s_suppkey % 4 > 0").fetchone()[0]
+    want = con.execute(registry.ORACLE_SQL["prepare_pairs"]).df().sort_values("target_fid")["outline_iou"].tolist()
+    got = [r["outline_iou"] for r in registry.QUERIES["prepare_pairs"](spark, sf).orderBy("target_fid").collect()]
+    assert tall and got == want
+
+
 @pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.ORACLE_SQL])
 def test_query_without_oracle_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
