@@ -25,7 +25,7 @@ from cantle.functions import hashing, rings, seq2seq, tokens
 from cantle.functions import polygon as pg
 from cantle.operators import bpe, geometry, inference, training
 from cantle.operators import relational as rel
-from cantle.sources import files, shapefile, shapefile_sink
+from cantle.sources import files, lines, shapefile, shapefile_sink
 
 
 @dataclass(frozen=True)
@@ -169,13 +169,13 @@ def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path:
 
     audits, gates = {}, []
     for name in (*sinks, "diagnostic"):
-        before = files.read_jsonl(spark, work.at(f"{name}.jsonl"), files.SAMPLE_DDL)
-        broken = bpe.encode_or_keep(before, vocab, ["source_tokens", "target_tokens"], work.at(f"{name}.bpe.jsonl"), work.at(f"{name}.bpe.failures.jsonl"))
+        before = lines.line_file(spark, work.at(f"{name}.jsonl")).parsed(files.SAMPLE_DDL)
+        broken = bpe.encode_or_keep(before, vocab, ["source_tokens", "target_tokens"], work.at(f"{name}.bpe.jsonl"), work.at(f"{name}.bpe.failures.jsonl"), place="line")
         gates.append((f"{name} rows that cannot be encoded", 0, broken))
         if broken:
             continue
-        after = files.read_jsonl(spark, work.at(f"{name}.bpe.jsonl"), files.SAMPLE_DDL)
-        zipped = rel.zip_by_place(before.withColumn("n", F.col("target_fid")), after.withColumn("n", F.col("target_fid")), "n", "sample_id")
+        after = lines.line_file(spark, work.at(f"{name}.bpe.jsonl")).parsed(files.SAMPLE_DDL)
+        zipped = rel.zip_by_place(before, after, "line", "sample_id")
         audits[name] = found = rel.lossless_audit(zipped, vocab.decode_map(), ["source_tokens", "target_tokens"]).collect()[0].asDict()
         coded, rows = after.count(), before.count()
         gates += [(f"{name} rows", rows, coded), (f"{name} audit rows", coded, found["n_rows"])]

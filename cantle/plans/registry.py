@@ -341,6 +341,23 @@ def positional_zip_audit(spark, sf_dir):
     return rel.lossless_audit(rel.zip_by_place(left, right, "n", "id"), atoms, ["tokens"])
 
 
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id FROM documents), lost AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1),
+b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id FROM documents WHERE doc_id <> (SELECT doc_id FROM lost))
+SELECT coalesce(a.line, b.line) AS line, a.doc_id AS left_id, b.doc_id AS right_id, coalesce(a.doc_id = b.doc_id, false) AS aligned FROM a FULL JOIN b ON a.line = b.line""")
+def line_zip(spark, sf_dir):
+    """Two files of all documents by line number; one lacks the line of the longest, so that all later lines are misaligned."""
+    from cantle.sources import lines
+
+    docs = ad.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lost = docs.orderBy(F.desc("n_chars"), "doc_id").limit(1).select("doc_id")
+    root, sides = scratch(spark, "lines"), []
+    for name, df in {"left": docs, "right": docs.join(lost, "doc_id", "left_anti")}.items():
+        files.write_jsonl(lines.in_order(df.withColumn("line", F.col("doc_id"))), f"{root}/{name}.jsonl")
+        sides.append(lines.line_file(spark, f"{root}/{name}.jsonl").parsed("doc_id long"))
+    zipped = rel.zip_by_place(*sides, "line", "doc_id")
+    return zipped.select(F.coalesce("a.line", "b.line").alias("line"), F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id"), "aligned")
+
+
 @query("SELECT event_id, value AS start_x, -value AS rotation_deg, CAST(json_extract(props, '$.k') AS INT) AS start_vertex_index, value / 2 AS inner_x, 2 AS inner_n FROM events")
 def parse_frame_json(spark, sf_dir):
     v, k = F.col("value"), F.get_json_object("props", "$.k")

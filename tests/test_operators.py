@@ -383,7 +383,7 @@ def test_limit_takes_the_first_rows(spark, tmp_path):
     v = bpe.Vocabulary({1500: (1, 2)}, 1500, 6000, 10)
     df = spark.createDataFrame([(i, [1, 2, i]) for i in range(9, -1, -1)], "line int, t array<int>").repartition(3)
     out, bad = str(tmp_path / "o.jsonl"), str(tmp_path / "bad.jsonl")
-    assert bpe.encode_or_keep(df, v, ["t"], out, bad, limit=3, order="line") == 0
+    assert bpe.encode_or_keep(df, v, ["t"], out, bad, limit=3, place="line") == 0
     assert sorted(r["t"] for r in spark.read.json(out).collect()) == [[1500, 0], [1500, 1], [1500, 2]]
     broken = df.withColumn("t", F.when(F.col("line") == 4, F.array(F.lit(1), F.lit(None))).otherwise(F.col("t")))
     assert bpe.encode_or_keep(broken, v, ["t"], out, bad) == 1
