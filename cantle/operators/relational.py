@@ -141,12 +141,17 @@ def checks(spark, rows: Sequence[tuple[str, int, int]]) -> DataFrame:
     return spark.createDataFrame([(n, int(a), int(b)) for n, a, b in rows], "name string, expected long, actual long").withColumn("ok", F.col("expected") == F.col("actual"))
 
 
-def stage_statistics(df: DataFrame, stages: Column, groups: Column) -> dict[str, dict[str, int]]:
-    """Rows per stage and group; a row counts in each of its stages and groups."""
+def stage_counts(df: DataFrame, stages: Column, groups: Column) -> DataFrame:
+    """``stage, grp, n``: rows per stage and group; a row counts in each of its stages and groups."""
     pairs = df.select(F.explode(stages).alias("stage"), groups.alias("g")).select("stage", F.explode("g").alias("grp"))
+    return pairs.groupBy("stage", "grp").agg(F.count("*").alias("n"))
+
+
+def stage_statistics(df: DataFrame, stages: Column, groups: Column) -> dict[str, dict[str, int]]:
+    """The same as a dictionary; stages and groups are few."""
     out: dict[str, dict[str, int]] = {}
-    for r in pairs.groupBy("stage", "grp").count().collect():
-        out.setdefault(r["stage"], {})[r["grp"]] = r["count"]
+    for r in stage_counts(df, stages, groups).collect():
+        out.setdefault(r["stage"], {})[r["grp"]] = r["n"]
     return out
 
 

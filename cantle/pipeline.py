@@ -253,11 +253,11 @@ def prepare_all(spark: SparkSession, cities: dict, root: str, force: bool = Fals
 
 def predict(spark: SparkSession, dataset: str, weights: str, output: str, shape: seq2seq.Shape, max_len: int = 1024, limit: int | None = None) -> int:
     """Greedy predictions of a whole dataset, in its order and without a filter on length."""
-    rows = files.read_jsonl(spark, dataset, files.SAMPLE_DDL)
-    rows = rows.limit(limit) if limit else rows
+    rows = lines.line_file(spark, dataset).parsed(files.SAMPLE_DDL)
+    rows = rows.orderBy("line").limit(limit) if limit else rows
     found = inference.greedy_predictions(rows, seq2seq.load(weights), shape, max_len)
     named = found.withColumns({"target_tokens": tokens.strip_pad(F.coalesce("target_tokens", F.array().cast("array<int>"))), "difficulty": F.coalesce("difficulty", F.lit("unknown")), "source_vertex_count": F.coalesce("source_vertex_count", F.lit(0))})
-    files.write_jsonl(named.select("raw_fid", "osm_id", "scale", "source_frame", "difficulty", "source_vertex_count", "pred_tokens", "target_tokens"), output)
+    files.write_jsonl(lines.in_order(named.select("line", "raw_fid", "osm_id", "scale", "source_frame", "difficulty", "source_vertex_count", "pred_tokens", "target_tokens")), output)
     written = files.read_jsonl(spark, output, "raw_fid long").count()
     if not written:
         raise ValueError(f"{dataset} has no rows")
@@ -427,6 +427,9 @@ def parse_args(argv=None) -> argparse.Namespace:
         "predict": [("dataset", str), ("weights", str), ("output", str), ("max-len", int), ("limit", int)],
         "project": [("input", str), ("output", str), ("epsg", int), ("prj", str)],
     }
+    model = [(f"shape-{f.name.replace('_', '-')}", int) for f in dataclasses.fields(seq2seq.Shape) if isinstance(f.default, int) and not isinstance(f.default, bool)]
+    for name in ("infer", "train", "predict"):
+        common[name] += model
     for name, options in common.items():
         s = sub.add_parser(name)
         s.add_argument("--config")
@@ -445,7 +448,7 @@ def parse_args(argv=None) -> argparse.Namespace:
         if unknown := set(config) - set(vars(args)):
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         for k, v in config.items():
-            if getattr(args, k) in (None, False):
+            if getattr(args, k) is None or getattr(args, k) is False:  # a 0 was given
                 setattr(args, k, v)
     return args
 
@@ -453,6 +456,7 @@ def parse_args(argv=None) -> argparse.Namespace:
 def main(argv=None) -> int:
     args = parse_args(argv)
     given = {k: v for k, v in vars(args).items() if v is not None and k not in ("command", "config")}
+    shape = seq2seq.Shape(**{k.removeprefix("shape_"): given.pop(k) for k in list(given) if k.startswith("shape_")})
     spark = SparkSession.builder.appName(f"cantle-{args.command}").getOrCreate()
     if args.command == "prepare":
         need_disk(os.path.dirname(os.path.abspath(given["root"])), given.pop("min_free_gb", 20.0))
@@ -464,13 +468,13 @@ def main(argv=None) -> int:
         body = prepare_all(spark, cities, given.pop("root"), expected_unmatched=expected, **given)
     elif args.command == "train":
         fixed = {k: given.pop(k, None) for k in ("dataset", "run_dir", "test", "resume")}
-        body = {"checkpoint": training.train(spark, fixed["dataset"], fixed["run_dir"], seq2seq.Shape(), training.Plan(**given), fixed["test"], fixed["resume"])}
+        body = {"checkpoint": training.train(spark, fixed["dataset"], fixed["run_dir"], shape, training.Plan(**given), fixed["test"], fixed["resume"])}
     elif args.command == "predict":
-        body = {"written": predict(spark, args.dataset, args.weights, args.output, seq2seq.Shape(), args.max_len or 1024, args.limit)}
+        body = {"written": predict(spark, args.dataset, args.weights, args.output, shape, args.max_len or 1024, args.limit)}
     elif args.command == "evaluate":
         body = evaluate(spark, args.predictions, args.vocab, args.output)
     elif args.command == "infer":
-        body = infer(spark, args.raw, args.weights, args.vocab, args.output, args.scale, seq2seq.Shape(), args.ids, args.limit, args.max_len or 1024, args.beams or 5)
+        body = infer(spark, args.raw, args.weights, args.vocab, args.output, args.scale, shape, args.ids, args.limit, args.max_len or 1024, args.beams or 5)
     else:
         with open(args.prj, encoding="utf-8") as f:
             prj = f.read()

@@ -120,21 +120,16 @@ def group_sets(spark, sf_dir):
     return spark.sql("SELECT coalesce(difficulty, 'all') AS difficulty, coalesce(bucket, 'all') AS bucket, count(*) AS n FROM cantle_docs GROUP BY GROUPING SETS ((), (difficulty), (bucket))")
 
 
-def _stages(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id"))).withColumn("keep", hashing.keeps_sample(F.col("doc_id"), F.col("difficulty")))
-    train = F.col("split") == "train"
-    stage = F.array_compact(F.array(F.when(train, F.lit("train_before_filter")), F.when(train & F.col("keep"), F.lit("train_after_filter")), F.when(~train, F.lit("validation"))))
-    return docs.withColumn("stage", F.explode(stage))
-
-
 @query(f"""WITH {DOCS}, s AS (
   SELECT *, {fraction_sql('split', 'doc_id')} < 0.8 AS train, difficulty <> 'simple_rectangle' OR {fraction_sql('rectangle', 'doc_id')} < 0.1 AS keep FROM docs
 ), t AS (
   SELECT 'train_before_filter' AS stage, * FROM s WHERE train UNION ALL SELECT 'train_after_filter', * FROM s WHERE train AND keep UNION ALL SELECT 'validation', * FROM s WHERE NOT train)
 SELECT stage, grp, count(*) AS n FROM (SELECT stage, difficulty AS grp FROM t UNION ALL SELECT stage, 'vertices:' || bucket FROM t) GROUP BY stage, grp""")
 def split_stats(spark, sf_dir):
-    groups = F.array(F.col("difficulty"), F.concat(F.lit("vertices:"), F.col("bucket")))
-    return _stages(spark, sf_dir).select("stage", F.explode(groups).alias("grp")).groupBy("stage", "grp").agg(F.count("*").alias("n"))
+    docs = _docs(spark, sf_dir).withColumn("split", hashing.split_of(F.col("doc_id"))).withColumn("keep", hashing.keeps_sample(F.col("doc_id"), F.col("difficulty")))
+    train = F.col("split") == "train"
+    stages = F.array_compact(F.array(F.when(train, F.lit("train_before_filter")), F.when(train & F.col("keep"), F.lit("train_after_filter")), F.when(~train, F.lit("validation"))))
+    return rel.stage_counts(docs, stages, F.array(F.col("difficulty"), F.concat(F.lit("vertices:"), F.col("bucket"))))
 
 
 @query(f"""WITH {DOCS}, s AS (
@@ -227,8 +222,11 @@ def three_way_lookup(spark, sf_dir):
 # -- token sequences -------------------------------------------------------------------------------
 @query(f"WITH {LINES} SELECT count(*) FILTER (WHERE len(tokens) <= 5) AS kept, count(*) FILTER (WHERE len(tokens) > 5) AS skipped_too_long, CAST(sum(len(tokens)) FILTER (WHERE len(tokens) <= 5) AS BIGINT) AS n_tokens FROM seqs")
 def length_filter_stats(spark, sf_dir):
-    n, ok = F.size("tokens"), F.size("tokens") <= 5
-    return ad.order_sequences(spark, sf_dir).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped_too_long"), F.sum(F.when(ok, n)).cast("long").alias("n_tokens"))
+    from cantle.operators import training
+
+    rows = ad.order_sequences(spark, sf_dir).select(F.col("tokens").alias("source_tokens"), F.col("tokens").alias("target_tokens"))
+    kept, skipped = training.length_filter(rows, None, 5)
+    return kept.agg(F.count("*").alias("kept"), F.sum(F.size("target_tokens")).cast("long").alias("n_tokens")).withColumn("skipped_too_long", F.lit(skipped).cast("long"))
 
 
 _SEGMENTS = """marked AS (
@@ -301,11 +299,8 @@ def strip_pad(spark, sf_dir):
 @query(f"""WITH {PREDS}, m AS (SELECT pred = target AS same, len(list_filter(list_zip(pred, target), lambda p: coalesce(p[1] = p[2], false))) AS hit, greatest(len(pred), len(target)) AS n FROM preds)
 SELECT count(*) AS sample_count, count(*) FILTER (WHERE same) AS exact_match_count, round(avg(CAST(same AS INT)), 9) AS greedy_exact_match_rate, round(sum(hit) / sum(n), 9) AS token_accuracy FROM m""")
 def greedy_metrics(spark, sf_dir):
-    a, b = F.col("pred"), F.col("target")
-    same = a == b
-    rate = F.round(F.avg(same.cast("int")), 9)
-    accuracy = F.round(F.sum(tokens.positional_matches(a, b)) / F.sum(F.greatest(F.size(a), F.size(b))), 9)
-    return ad.predictions(spark, sf_dir).agg(F.count("*").alias("sample_count"), F.count_if(same).alias("exact_match_count"), rate.alias("greedy_exact_match_rate"), accuracy.alias("token_accuracy"))
+    found = rel.greedy_rates(ad.predictions(spark, sf_dir), "pred", "target")
+    return found.select("sample_count", "exact_match_count", F.round("greedy_exact_match_rate", 9).alias("greedy_exact_match_rate"), F.round("token_accuracy", 9).alias("token_accuracy"))
 
 
 @query(f"""WITH {LINES}, e AS (SELECT id, i, t, t <> coalesce(lag(t) OVER (PARTITION BY id ORDER BY i), -1) AS new FROM (SELECT id, unnest(list_sort(tokens)) AS t, unnest(range(len(tokens))) AS i FROM seqs)),
@@ -316,6 +311,20 @@ def rle_parse(spark, sf_dir):
     return ad.order_sequences(spark, sf_dir).select("id", F.array_join(r, " ").alias("runs"))
 
 
+@query(f"""WITH {LINES}, e AS (SELECT id, i, t, t <> coalesce(lag(t) OVER (PARTITION BY id ORDER BY i), -1) AS new FROM (SELECT id, unnest(list_transform(list_sort(tokens), lambda x: x // 10)) AS t, unnest(range(len(tokens))) AS i FROM seqs)),
+g AS (SELECT id, t, sum(CAST(new AS INT)) OVER (PARTITION BY id ORDER BY i) - 1 AS place FROM e), r AS (SELECT id, CAST(place AS BIGINT) AS place, t, count(*) AS n FROM g GROUP BY ALL)
+SELECT id, place, CAST(t AS INT) AS t, n, round(sum(cos(t * 40 * 2 * pi() / 720) * n * 0.2) OVER w, 6) + 0 AS x, round(sum(sin(t * 40 * 2 * pi() / 720) * n * 0.2) OVER w, 6) + 0 AS y FROM r WINDOW w AS (PARTITION BY id ORDER BY place)""")
+def table_functions(spark, sf_dir):
+    """Runs of the orders' quantities in tens, and the path that they walk, by table functions in SQL."""
+    from cantle.functions import tables
+
+    tables.register(spark)
+    tens = F.transform(F.sort_array("tokens"), lambda x: F.floor(x / 10).cast("int"))
+    ad.order_sequences(spark, sf_dir).select("id", F.posexplode(tens).alias("i", "t")).createOrReplaceTempView("cantle_tens")
+    return spark.sql("""WITH runs AS (SELECT * FROM token_runs(TABLE(cantle_tens))), walk AS (SELECT * FROM ring_walk(TABLE(SELECT id, at AS i, t * 40 AS d, n FROM runs)))
+      SELECT runs.id, at AS place, t, n, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM runs JOIN walk ON runs.id = walk.id AND runs.at = walk.i""")
+
+
 @query(f"""WITH {LINES}, v AS (SELECT id, list_transform(tokens, lambda x: CASE x % 10 WHEN 0 THEN x + 719 WHEN 1 THEN 1500 WHEN 2 THEN 1501 ELSE x END) AS l FROM seqs)
 SELECT id, len(list_filter(l, lambda x: NOT (x BETWEEN 0 AND 726 OR x = 1500))) AS bad FROM v""")
 def token_validity(spark, sf_dir):
@@ -401,9 +410,18 @@ def best_candidate(spark, sf_dir):
     return rel.best_per_group(scored, ["l_orderkey"], "score", "rank").select("l_orderkey", "score")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+@query("""SELECT event_type AS split, CAST(event_id AS INT) AS epoch, value AS greedy_exact_match_rate FROM events WHERE value >= 0 AND event_type IN ('view', 'click')
+ORDER BY CASE event_type WHEN 'view' THEN 0 ELSE 1 END, value DESC, event_id LIMIT 1""")
 def best_checkpoint(spark, sf_dir):
-    return rel.best_row(ad.table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
+    """The events as a metrics log, appended to in two parts: views are test rows, clicks training rows, other kinds neither."""
+    events = ad.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "test").when(F.col("event_type") == "click", "train").otherwise(F.col("event_type"))
+    log = events.select(kind.alias("split"), F.col("event_id").cast("int").alias("epoch"), F.col("value").alias("greedy_exact_match_rate"))
+    path = scratch(spark, "metrics")
+    files.append_metrics(log.where("split = 'train'"), path)
+    files.append_metrics(log.where("split <> 'train'"), path)
+    best = rel.best_checkpoint(files.read_jsonl(spark, path, "split string, epoch int, greedy_exact_match_rate double"))
+    return best.withColumn("split", F.when(F.col("split") == "test", "view").otherwise("click"))
 
 
 @query("""SELECT page_id, CASE WHEN contains(m, 'empty') OR contains(m, 'zero area') THEN 'empty_geometry' WHEN contains(m, 'not polygon') OR contains(m, 'no polygon') THEN 'non_polygon'

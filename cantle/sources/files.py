@@ -85,9 +85,9 @@ def replace(source: str, target: str) -> None:
         os.remove(aside)
 
 
-def append_metric(spark: SparkSession, path: str, row: Mapping) -> None:
-    """One more line of a metrics log."""
-    spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """More lines of a metrics log, a folder of JSON lines."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
 def write_report(path: str, report: Mapping, allow_nan: bool = True) -> None:
