@@ -17,7 +17,7 @@ import shutil
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cantle import constants as c
@@ -68,16 +68,13 @@ def paired(spark: SparkSession, raw_path: str, target_path: str) -> tuple[DataFr
 
 @dataclass
 class Samples:
-    """Token rows of a pair of layers, with what failed and what no target names."""
+    """Token rows of a pair of layers, what no target names, and the outcome of each target."""
 
-    rows: DataFrame  # persisted: every pair, with an error or tokens
-    good: DataFrame
-    failed: DataFrame
+    rows: DataFrame  # every pair, with an error or tokens
     lost: DataFrame
-    audit: DataFrame
+    audit: DataFrame  # persisted: ids and outcomes
 
     def release(self) -> None:
-        self.rows.unpersist()
         self.audit.unpersist()
 
 
@@ -86,13 +83,59 @@ SAMPLE_COLUMNS = ["sample_id", "raw_fid", "target_fid", "osm_id", "scale", "spli
 
 def tokenised(spark: SparkSession, raw_path: str, target_path: str, scale: int, prefix: str = "pair", seed: int = c.SEED, split: str | None = None) -> Samples:
     pairs, audit, raw = paired(spark, raw_path, target_path)
-    rows, audit = geometry.prepare_pairs(pairs, scale).persist(), audit.persist()
+    audit = audit.persist()
     named = F.when(F.lit(split).isNotNull(), F.lit(split)).otherwise(hashing.split_of(F.col("osm_id"), seed))
-    good = rows.where("error IS NULL").withColumns({"scale": F.lit(scale), "split": named, "sample_id": F.concat_ws(":", F.lit(prefix), "raw_fid", F.lit(scale))})
-    failed = audit.where("outcome <> 'paired'").select("target_fid", F.col("fk").alias("raw_fid"), F.lit("pairing").alias("failure_type"), F.col("outcome").alias("error"))
-    failed = failed.unionByName(rows.where("error IS NOT NULL").select("target_fid", "raw_fid", F.lit("preprocessing").alias("failure_type"), "error"))
+    rows = geometry.prepare_pairs(pairs, scale).withColumns({"scale": F.lit(scale), "split": named, "sample_id": F.concat_ws(":", F.lit(prefix), "raw_fid", F.lit(scale))})
     lost = rel.unmatched(raw.select(F.col("fid").alias("raw_fid"), "osm_id"), audit, "raw_fid").withColumn("scale", F.lit(scale))
-    return Samples(rows, good, failed, lost, audit)
+    return Samples(rows, lost, audit)
+
+
+OUTCOMES = ("paired", "invalid", "out_of_range", "duplicate", "mismatch")
+BUCKETS = ("4", "5-8", "9-16", "17+")
+
+
+def _groups() -> dict[str, Column]:
+    """The condition of each group that a row counts in; a row that failed is in none."""
+    ok, bucket = F.col("error").isNull(), geometry.bucket("source_vertex_count")
+    kinds = {k: ok & (F.col("difficulty") == k) for k in ("simple_rectangle", "complex")}
+    return {"overall": ok} | kinds | {f"vertices:{b}": ok & (bucket == b) for b in BUCKETS}
+
+
+def _route(part: Samples, prefix: str, sinks: dict[str, Column], stages: dict[str, Column]) -> tuple[DataFrame, dict[str, Observation]]:
+    """All that a pair of layers gives as lines for sinks, and the counters that are taken on the way.
+
+    Counters are observed behind the last shuffle, in the very tasks that write: those count once each, even if an
+    executor is lost and tasks are repeated.
+    """
+    line = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    groups = _groups()
+    seen = [F.count_if(F.col("error").isNotNull()).alias("failed")]
+    seen += [F.count_if(c).alias(f"n|{g}") for g, c in groups.items()]
+    seen += [F.count_if(c & s).alias(f"stage|{n}|{g}") for g, c in groups.items() for n, s in stages.items()]
+    for m in pg.LIGHT:
+        value = F.col(f"tokenization_metrics.{m}")
+        for g, c in groups.items():
+            finite = F.when(c & (F.abs(value) < float("inf")), value)
+            seen += [F.sum(finite).alias(f"sum|{g}|{m}"), F.count(finite).alias(f"count|{g}|{m}")]
+    look = {k: Observation(f"{prefix}{k}") for k in ("rows", "audit", "lost")}
+    rows, ok = part.rows.observe(look["rows"], *seen), F.col("error").isNull()
+    to = F.array_compact(F.array(*[F.when(ok & c, F.lit(n)) for n, c in sinks.items()], F.when(~ok, F.lit(f"{prefix}failures"))))
+    failure = lambda raw, kind, error: line(["target_fid", raw.alias("raw_fid"), F.lit(kind).alias("failure_type"), error.alias("error")])
+    out = rows.select(F.explode(to).alias("sink"), F.when(ok, line(SAMPLE_COLUMNS)).otherwise(failure(F.col("raw_fid"), "preprocessing", F.col("error"))).alias("value"))
+    audit = part.audit.observe(look["audit"], *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+    unpaired = audit.where("outcome <> 'paired'").select(F.lit(f"{prefix}failures").alias("sink"), failure(F.col("fk"), "pairing", F.col("outcome")).alias("value"))
+    lost = part.lost.observe(look["lost"], F.count("*").alias("n")).select(F.lit(f"{prefix}unmatched").alias("sink"), line(part.lost.columns).alias("value"))
+    return out.unionByName(unpaired).unionByName(lost), look
+
+
+def _group_report(seen: dict) -> dict[str, dict]:
+    """Rows and finite means of each group that has rows."""
+    out = {}
+    for g in _groups():
+        if n := seen[f"n|{g}"]:
+            means = {f"mean_{m}": seen[f"sum|{g}|{m}"] / seen[f"count|{g}|{m}"] if seen[f"count|{g}|{m}"] else None for m in pg.LIGHT}
+            out[g] = {"grp": g, "n": n} | means
+    return out
 
 
 def export_unmatched(spark: SparkSession, raw_path: str, ids: DataFrame, output: str, scale: int) -> int:
@@ -144,20 +187,22 @@ def prepare(spark: SparkSession, raw_path: str, target_path: str, root: str, sca
 def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path: str, test: tuple[str, str] | None, config: dict) -> tuple[dict, list[tuple[str, int, int]]]:
     """Write all outputs below ``work``; the report, and the gates as (name, expected, actual)."""
     scale, split, fraction, seed = config["scale"], config["split"], config["fraction"], config["seed"]
-    main = tokenised(spark, raw_path, target_path, scale, "pair", seed, split)
     keep = hashing.keeps_sample(F.col("osm_id"), F.col("difficulty"), seed, fraction)
-    sample = main.good.select(*SAMPLE_COLUMNS)
-    sinks = {"all": sample} if split else {"train": sample.where((F.col("split") == "train") & keep), "validation": sample.where("split = 'validation'")}
-    made = {"": main}
+    train, validation = F.col("split") == "train", F.col("split") == "validation"
+    stages = {"train_before_filter": train, "train_after_filter": train & keep, "validation": validation}
+    sinks = {"all": F.lit(True)} if split else {"train": train & keep, "validation": validation}
+    cities = {"": (tokenised(spark, raw_path, target_path, scale, "pair", seed, split), sinks)}
     if test:
-        made["test."] = other = tokenised(spark, *test, scale, "test", seed, "test")
-        sinks["test"] = other.good.select(*SAMPLE_COLUMNS)
-    for prefix, part in made.items():
-        files.write_jsonl(part.failed, work.at(f"{prefix}failures.jsonl"))
-        files.write_jsonl(part.lost, work.at(f"{prefix}unmatched.jsonl"))
-    for name, df in sinks.items():
-        files.write_jsonl(df, work.at(f"{name}.jsonl"))
-    exported = export_unmatched(spark, raw_path, main.lost, work.at("unmatched.source.jsonl"), scale)
+        cities["test."] = (tokenised(spark, *test, scale, "test", seed, "test"), {"test": F.lit(True)})
+    seen = {}
+    for prefix, (part, own) in cities.items():
+        # one job per city: it writes all sinks and takes all counters
+        lines_of, look = _route(part, prefix, own, stages)
+        files.write_sinks(lines_of, work.at(""), [*own, f"{prefix}failures", f"{prefix}unmatched"])
+        seen[prefix] = {k: o.get for k, o in look.items()}
+        part.release()
+    names = [n for _, own in cities.values() for n in own]
+    exported = export_unmatched(spark, raw_path, files.read_jsonl(spark, work.at("unmatched.jsonl"), "raw_fid long, osm_id string"), work.at("unmatched.source.jsonl"), scale)
 
     atomic = files.read_jsonl(spark, work.at("all.jsonl" if split else "train.jsonl"), files.SAMPLE_DDL)
     chosen = rel.hash_sample(atomic, "osm_id", config["bpe_rows"], "bpe", ["raw_fid"])
@@ -168,7 +213,7 @@ def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path:
     files.write_jsonl(hard, work.at("diagnostic.jsonl"))
 
     audits, gates = {}, []
-    for name in (*sinks, "diagnostic"):
+    for name in (*names, "diagnostic"):
         before = lines.line_file(spark, work.at(f"{name}.jsonl")).parsed(files.SAMPLE_DDL)
         broken = bpe.encode_or_keep(before, vocab, ["source_tokens", "target_tokens"], work.at(f"{name}.bpe.jsonl"), work.at(f"{name}.bpe.failures.jsonl"), place="line")
         gates.append((f"{name} rows that cannot be encoded", 0, broken))
@@ -181,33 +226,29 @@ def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path:
         gates += [(f"{name} rows", rows, coded), (f"{name} audit rows", coded, found["n_rows"])]
         gates += [(f"{name} {k}", 0, found[k]) for k in ("roundtrip_failures", "invalid_token_count", "row_alignment_failures")]
 
-    stage = F.col("split") == "train"
-    stages = F.array_compact(F.array(F.when(stage, F.lit("train_before_filter")), F.when(stage & keep, F.lit("train_after_filter")), F.when(F.col("split") == "validation", F.lit("validation"))))
-    groups = rel.overlapping_groups(F.col("difficulty"), geometry.bucket("source_vertex_count"))
-    split_stats = rel.stage_statistics(main.good, stages, groups)
-    flat = main.good.select("difficulty", "source_vertex_count", *[F.col(f"tokenization_metrics.{m}").alias(m) for m in pg.LIGHT])
-    stats = {r["grp"]: r.asDict() for r in rel.group_statistics(flat, groups, list(pg.LIGHT)).collect()}
-    counters = {"unmatched": main.lost.count(), "unmatched_exported": exported}
-    for prefix, part in made.items():
-        kinds = {r["failure_type"]: r["count"] for r in part.failed.groupBy("failure_type").count().collect()}
-        counters |= {f"{prefix}paired": part.good.count(), f"{prefix}pairing_failures": kinds.get("pairing", 0), f"{prefix}preprocessing_failures": kinds.get("preprocessing", 0)}
-        gates += [(f"{prefix}{k} failures", 0, kinds.get(k, 0)) for k in ("pairing", "preprocessing")]
+    rows = seen[""]["rows"]
+    split_stats = {n: found for n in stages if (found := {g: rows[f"stage|{n}|{g}"] for g in _groups() if rows[f"stage|{n}|{g}"]})}
+    stats = _group_report(rows)
+    counters = {"unmatched": seen[""]["lost"]["n"], "unmatched_exported": exported}
+    for prefix, found in seen.items():
+        failed = {"pairing": sum(found["audit"][o] for o in OUTCOMES[1:]), "preprocessing": found["rows"]["failed"]}
+        counters |= {f"{prefix}paired": found["rows"]["n|overall"]} | {f"{prefix}{k}_failures": n for k, n in failed.items()}
+        gates += [(f"{prefix}{k} failures", 0, n) for k, n in failed.items()]
     before, after = (split_stats.get(k, {}) for k in ("train_before_filter", "train_after_filter"))
     counters |= {f"{n}_written": a["n_rows"] for n, a in audits.items()}
     counters |= {k: stats.get(k, {}).get("n", 0) for k in ("simple_rectangle", "complex")}
     counters["rectangles_dropped"] = before.get("simple_rectangle", 0) - after.get("simple_rectangle", 0)
     rectangles = before.get("simple_rectangle", 0)
     if not split:
-        gates.append(("ids in training and validation", 0, rel.leakage(sinks["train"], sinks["validation"], "osm_id").count()))
-        gates += [(f"rows of another split in {n}", 0, df.where(F.col("split") != n).count()) for n, df in sinks.items()]
+        written = {n: files.read_jsonl(spark, work.at(f"{n}.jsonl"), "osm_id string, split string") for n in names}
+        gates.append(("ids in training and validation", 0, rel.leakage(written["train"], written["validation"], "osm_id").count()))
+        gates += [(f"rows of another split in {n}", 0, df.where(F.col("split") != n).count()) for n, df in written.items()]
         if rectangles >= 100:
             gates.append(("rectangles kept beyond 0.02 of their share", 0, int(abs(after.get("simple_rectangle", 0) / rectangles - fraction) > 0.02)))
     gates.append(("diagnostic rows of all complex ones", min(c.DIAGNOSTIC_ROWS, atomic.where("difficulty = 'complex'").count()), hard.count()))
     if config["expected_unmatched"] is not None:
         gates.append(("unmatched sources", config["expected_unmatched"], counters["unmatched"]))
-    outcomes = {r["outcome"]: r["count"] for r in main.audit.groupBy("outcome").count().collect()}
-    for part in made.values():
-        part.release()
+    outcomes = {o: n for o, n in seen[""]["audit"].items() if n}
     return {"outcomes": outcomes, "counters": counters, "split_stats": split_stats, "groups": stats, "audits": audits, "vocabulary": len(vocab.atoms)}, gates
 
 

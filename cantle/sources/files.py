@@ -67,6 +67,18 @@ def write_jsonl(df: DataFrame, path: str) -> None:
         fs.delete(new, True)
 
 
+def write_sinks(routed: DataFrame, folder: str, sinks: Sequence[str]) -> None:
+    """One job writes the lines ``value`` by ``sink``; each sink is then the folder ``<sink>.jsonl``, empty if it got no line."""
+    spark, temp = routed.sparkSession, os.path.join(folder, f".sinks-{uuid.uuid4().hex}")
+    routed.write.partitionBy("sink").text(temp)
+    for sink in sinks:
+        (made, fs), (target, _) = _hadoop(spark, f"{temp}/sink={sink}"), _hadoop(spark, os.path.join(folder, f"{sink}.jsonl"))
+        if not (fs.rename(made, target) if fs.exists(made) else fs.mkdirs(target)):
+            raise OSError(f"cannot move {made} to {target}")
+    made, fs = _hadoop(spark, temp)
+    fs.delete(made, True)
+
+
 def replace(source: str, target: str) -> None:
     """Move a file or folder over another one, which is put aside until the move is done."""
     aside = f"{target}.{uuid.uuid4().hex}.old"
