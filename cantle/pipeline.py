@@ -163,7 +163,7 @@ def prepare(spark: SparkSession, raw_path: str, target_path: str, root: str, sca
     inputs = [f for p in (raw_path, target_path, *(test or ())) for f in shapefile.family(p)]
     config = {"scale": scale, "seed": seed, "fraction": fraction, "split": split, "bpe_rows": bpe_rows, "vocab_size": vocab_size, "expected_unmatched": expected_unmatched}
     manifest = out.at("manifest.json")
-    if not force and files.manifest_is_current(manifest, config, inputs):
+    if not force and files.manifest_is_current(spark, manifest, config, inputs):
         with open(manifest, encoding="utf-8") as f:
             return json.load(f)
     work = Layout(os.path.join(root, f".work-{uuid.uuid4().hex}"), scale)
@@ -181,7 +181,7 @@ def prepare(spark: SparkSession, raw_path: str, target_path: str, root: str, sca
     finally:
         shutil.rmtree(work.root, ignore_errors=True)
     made = [n for n in sorted(os.listdir(out.at(""))) if n.endswith(("l", ".txt")) and n in {*made, "failures.jsonl", "test.failures.jsonl"}]
-    return files.write_manifest(manifest, config, inputs, [out.at(n) for n in made], {"scale": scale, **report})
+    return files.write_manifest(spark, manifest, config, inputs, [out.at(n) for n in made], {"scale": scale, **report})
 
 
 def _prepare_into(spark: SparkSession, work: Layout, raw_path: str, target_path: str, test: tuple[str, str] | None, config: dict) -> tuple[dict, list[tuple[str, int, int]]]:
@@ -276,10 +276,10 @@ def prepare_all(spark: SparkSession, cities: dict, root: str, force: bool = Fals
     projection = {}
     for (city, name), (source, output, epsg) in layers.items():
         record = os.path.join(root, "projected", "audits", f"{city}_{name}.json")
-        if force or not files.manifest_is_current(record, {"epsg": epsg}, shapefile.family(source)):
+        if force or not files.manifest_is_current(spark, record, {"epsg": epsg}, shapefile.family(source)):
             os.makedirs(os.path.dirname(output), exist_ok=True)
             project(spark, source, output, epsg, utm_prj(epsg))
-            files.write_manifest(record, {"epsg": epsg}, shapefile.family(source), shapefile.family(output))
+            files.write_manifest(spark, record, {"epsg": epsg}, shapefile.family(source), shapefile.family(output))
         projection[f"{city}_{name}"] = output
     at = lambda city, name: layers[city, name][1]
     reports = {}

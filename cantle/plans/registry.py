@@ -546,11 +546,21 @@ def angle_tests(spark, sf_dir):
 
 @query("SELECT CAST(sum(octet_length(encode(n_name)) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*) AS lines FROM nation")
 def artifact_fingerprint(spark, sf_dir):
-    """The fingerprint of a written file of names."""
+    """The fingerprint of a written file of names, which is the one part of its folder."""
     path = scratch(spark, "names") + ".txt"
     ad.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
-    found = files.fingerprint(files.local_path(path))
-    return spark.createDataFrame([(found["bytes"], found["sha256"], found["lines"])], "n_bytes long, digest string, lines long")
+    return files.parts(spark, path).select(F.col("bytes").alias("n_bytes"), F.col("sha256").alias("digest"), "lines")
+
+
+@query("""WITH p AS (SELECT label, string_agg(CAST(vec_id AS VARCHAR) || chr(10), '' ORDER BY vec_id) AS body, count(*) AS n FROM embeddings GROUP BY label)
+SELECT CAST(label AS BIGINT) AS label, octet_length(encode(body)) AS n_bytes, sha256(body) AS digest, n AS lines FROM p""")
+def part_fingerprints(spark, sf_dir):
+    """A file of ids for each label, hashed where it lies by the executors."""
+    root = scratch(spark, "parts")
+    ids = ad.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("string").alias("id"), "vec_id")
+    ids.repartition(F.col("label")).sortWithinPartitions("label", "vec_id").select("label", "id").write.partitionBy("label").text(root)
+    found = files.parts(spark, root)
+    return found.select(F.regexp_extract("name", r"label=(\d+)/", 1).cast("long").alias("label"), F.col("bytes").alias("n_bytes"), F.col("sha256").alias("digest"), "lines")
 
 
 # -- vocabularies, polygons and models ---------------------------------------------------------------

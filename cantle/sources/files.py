@@ -7,8 +7,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Mapping, Sequence
-from pathlib import Path
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,36 +114,97 @@ def write_report(path: str, report: Mapping, allow_nan: bool = True) -> None:
             os.remove(temp)
 
 
-def fingerprint(path: str) -> dict:
-    """Bytes and sha256, and lines for line files; a folder's files in name order."""
-    files = sorted(p for p in Path(path).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))) if os.path.isdir(path) else [Path(path)]
+#: Files up to this size are hashed whole by a task; the driver streams larger ones.
+WHOLE_BYTES = 256 << 20
+
+
+def parts(spark: SparkSession, path: str) -> DataFrame:
+    """``name, bytes, sha256, lines`` of a file, or of each data file below a folder, hashed by the executors on any file system."""
+    root, fs = _hadoop(spark, path)
+    base = fs.makeQualified(root).toString()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # without the content's column only lengths are read
+    small = found.where(F.col("length") <= WHOLE_BYTES)
+    plain = F.decode("content", "ISO-8859-1")
+    lines = (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))).cast("long")
+    name = F.regexp_replace(F.substring("path", F.lit(len(base) + 1), F.length("path")), "^/+", "")
+    return small.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), lines.alias("lines"))
+
+
+def _streamed(path: str) -> dict:
     h, size, lines = hashlib.sha256(), 0, 0
-    for p in files:
-        with open(p, "rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-                size += len(block)
-                lines += block.count(b"\n")
-    out = {"bytes": size, "sha256": h.hexdigest()}
-    return out | ({"lines": lines} if str(path).endswith((".jsonl", ".txt")) else {})
-
-
-def write_manifest(path: str, config: Mapping, inputs: Sequence[str], outputs: Sequence[str], extra: Mapping = {}) -> dict:  # noqa: B006
-    body = {"config": dict(config), "inputs": {p: fingerprint(p) for p in inputs}, "outputs": {p: fingerprint(p) for p in outputs}, **extra}
+    with open(local_path(path), "rb") as f:
+        while block := f.read(1 << 20):
+            h.update(block)
+            size += len(block)
+            lines += block.count(b"\n")
+    return {"bytes": size, "sha256": h.hexdigest(), "lines": lines}
+
+
+def fingerprint(spark: SparkSession, path: str) -> dict:
+    """Bytes and sha256, and lines for line files. A folder's digest is that of its parts' names and digests, which are listed, too;
+    empty parts do not count."""
+    root, fs = _hadoop(spark, path)
+    whole, every = fs.getFileStatus(root).isFile(), {}
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    for r in found.where(F.col("length") > WHOLE_BYTES).collect():
+        every[r["path"].removeprefix(fs.makeQualified(root).toString()).lstrip("/")] = _streamed(r["path"])
+    every |= {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"], "lines": r["lines"]} for r in parts(spark, path).collect()}
+    if whole:
+        (out,) = every.values() or [{"bytes": 0, "sha256": hashlib.sha256(b"").hexdigest(), "lines": 0}]
+    else:
+        tree = "".join(f"{n} {every[n]['sha256']}\n" for n in sorted(every))
+        out = {"bytes": sum(v["bytes"] for v in every.values()), "sha256": hashlib.sha256(tree.encode()).hexdigest(), "lines": sum(v["lines"] for v in every.values())}
+        out["parts"] = {n: every[n]["sha256"] for n in sorted(every)}
+    if not path.endswith((".jsonl", ".txt")):
+        del out["lines"]
+    return out
+
+
+def write_manifest(spark: SparkSession, path: str, config: Mapping, inputs: Sequence[str], outputs: Sequence[str], extra: Mapping = {}) -> dict:  # noqa: B006
+    body = {"config": dict(config), "inputs": {p: fingerprint(spark, p) for p in inputs}, "outputs": {p: fingerprint(spark, p) for p in outputs}, **extra}
     write_report(path, body)
     return body
 
 
-def manifest_is_current(path: str, config: Mapping, inputs: Sequence[str]) -> bool:
-    """Same settings, and every input and output as recorded; anything unreadable is stale."""
+def _recorded(path: str) -> dict:
     try:
         with open(path, encoding="utf-8") as f:
-            body = json.load(f)
+            return json.load(f)
+    except (OSError, ValueError):
+        return {}
+
+
+def manifest_is_current(spark: SparkSession, path: str, config: Mapping, inputs: Sequence[str]) -> bool:
+    """Same settings, and every input and output as recorded; anything unreadable is stale."""
+    try:
+        body = _recorded(path)
         same = body["config"] == json.loads(json.dumps(config)) and sorted(body["inputs"]) == sorted(inputs)
-        return same and all(fingerprint(p) == {**v} for part in ("inputs", "outputs") for p, v in body[part].items())
-    except (OSError, ValueError, KeyError):
+        return same and all(fingerprint(spark, p) == {**v} for k in ("inputs", "outputs") for p, v in body[k].items())
+    except Exception:  # a missing file, in any file system
         return False
 
 
+def refresh_parts(spark: SparkSession, source: str, target: str, manifest: str, make: Callable[[DataFrame], DataFrame]) -> dict[str, list[str]]:
+    """Keep ``target`` in step with the data files of the folder ``source``: only new and changed ones are made anew.
+
+    ``make`` turns rows ``part, value`` (a file's name and its lines) into rows that keep ``part``, by which ``target``
+    is partitioned. Parts whose file has gone are removed. The manifest is put down last, so whatever
+    breaks off is done again.
+    """
+    before = _recorded(manifest).get("parts", {})
+    now = {r["name"]: r["sha256"] for r in parts(spark, source).collect()}
+    changed, gone = sorted(n for n, h in now.items() if before.get(n) != h), sorted(set(before) - set(now))
+    if changed:
+        lines = spark.read.text([f"{source}/{n}" for n in changed])
+        named = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"), "value")
+        make(named).write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+    for name in gone:
+        where, fs = _hadoop(spark, f"{target}/part={name}")
+        fs.delete(where, True)
+    write_report(manifest, {"parts": now})
+    return {"made": changed, "removed": gone, "kept": sorted(set(now) - set(changed))}
+
+
 def config_hash(config: Mapping) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()

@@ -80,12 +80,12 @@ def test_manifest(tmp_path):
     src.write_bytes(b"x")
     out.write_text("{}\n")
     m = str(tmp_path / "m.json")
-    body = files.write_manifest(m, {"seed": 1}, [str(src)], [str(out)])
+    body = files.write_manifest(spark, m, {"seed": 1}, [str(src)], [str(out)])
     assert body["outputs"][str(out)]["lines"] == 1
-    assert files.manifest_is_current(m, {"seed": 1}, [str(src)])
-    assert not files.manifest_is_current(m, {"seed": 2}, [str(src)])
+    assert files.manifest_is_current(spark, m, {"seed": 1}, [str(src)])
+    assert not files.manifest_is_current(spark, m, {"seed": 2}, [str(src)])
     src.write_bytes(b"y")
-    assert not files.manifest_is_current(m, {"seed": 1}, [str(src)])
+    assert not files.manifest_is_current(spark, m, {"seed": 1}, [str(src)])
     with pytest.raises(ValueError):
         files.write_report(str(tmp_path / "r.json"), {"x": float("nan")}, allow_nan=False)
 
@@ -294,16 +294,16 @@ def test_gates_keep_old_outputs(spark, tmp_path):
     main = {"main": cities["main"]}
     pipeline.prepare_all(spark, main, root, min_free_gb=0.0, vocab_size=1510)
     out = pipeline.Layout(root, 5000)
-    old = files.fingerprint(out.at("train.jsonl"))
+    old = files.fingerprint(spark, out.at("train.jsonl"))
     with pytest.raises(ValueError, match="unmatched sources: expected 7, got 1"):
         pipeline.prepare_all(spark, main, root, min_free_gb=0.0, expected_unmatched={5000: 7}, vocab_size=1505)
-    assert files.fingerprint(out.at("train.jsonl")) == old and not [n for n in os.listdir(root) if n.startswith(".work")]
+    assert files.fingerprint(spark, out.at("train.jsonl")) == old and not [n for n in os.listdir(root) if n.startswith(".work")]
     raw, target = (os.path.join(root, "projected", "main", n) for n in ("raw.shp", "target_5000.shp"))
     rows = [(*v, parts) for *v, parts in [("0", 99, [_square(500000, 3760000, 10, 4)]), ("1", 1, [_square(500000, 3760000, 10, 4)])]]
     _layer(target, rows, [("osm_id", "C", 20, 0), ("InBld_FID", "N", 12, 0)])
     with pytest.raises(ValueError, match="pairing failures: expected 0, got 1"):
         pipeline.prepare(spark, raw, target, root, 5000, vocab_size=1510)
-    assert files.fingerprint(out.at("train.jsonl")) == old
+    assert files.fingerprint(spark, out.at("train.jsonl")) == old
     assert [r["error"] for r in spark.read.json(out.at("failures.jsonl")).collect()] == ["out_of_range"]
 
 
@@ -313,11 +313,11 @@ def test_failed_export_keeps_the_old_file(spark, tmp_path, monkeypatch):
     ids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (7, "z")], "raw_fid long, osm_id string")
     output = str(tmp_path / "u.jsonl")
     assert pipeline.export_unmatched(spark, raw, ids, output, 5000) == 2
-    before = files.fingerprint(output)
+    before = files.fingerprint(spark, output)
     monkeypatch.setattr(pipeline.geometry, "encode_sources", lambda df, scale: df.withColumn("source_tokens", F.raise_error(F.lit("no"))).withColumns({"source_frame": F.lit(None), "source_vertex_count": F.lit(0)}))
     with pytest.raises(Exception, match="no"):
         pipeline.export_unmatched(spark, raw, ids, output, 5000)
-    assert files.fingerprint(output) == before and sorted(n for n in os.listdir(tmp_path) if n.startswith("u.jsonl")) == ["u.jsonl"]
+    assert files.fingerprint(spark, output) == before and sorted(n for n in os.listdir(tmp_path) if n.startswith("u.jsonl")) == ["u.jsonl"]
 
 
 def test_auto_evaluation(spark, tmp_path):
