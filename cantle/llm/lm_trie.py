@@ -25,6 +25,7 @@ often as they occur; texts of any length are counted whole; extra columns are no
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import uuid
@@ -179,12 +180,16 @@ def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
     os.replace(temp, path)
 
 
+#: Files that a worker keeps mapped.
+MOST_OPEN = 4096
 _OPEN: dict[str, dict[str, np.ndarray]] = {}
 
 
 def _mapped(path: str) -> dict[str, np.ndarray]:
     if path not in _OPEN:
-        if len(_OPEN) > 4096:
+        # files of another model, or too many, are let go
+        root = path.rpartition("/")[0]
+        if len(_OPEN) > MOST_OPEN or any(p.rpartition("/")[0] != root for p in itertools.islice(_OPEN, 1)):
             _OPEN.clear()
         with open(path, "rb") as f:
             head = f.read(1024).decode().split("\n")
@@ -308,11 +313,10 @@ class Model:
         for k in range(2, upto + 1):
             context = np.r_[-1, gram[:-1]] if len(gram) else gram
             context = np.where(pos >= k - 1, context, -1)
-            wide = self.vocab + 1
-            pairs, back = np.unique((context + 1) * wide + number + 1, return_inverse=True)
-            got, value = self.find(k, pairs // wide - 1, pairs % wide - 1)
+            before, word, back = _distinct(context, number)
+            got, value = self.find(k, before, word)
             lost = np.flatnonzero(got < 0)
-            value[lost] = self.backoff(k, pairs[lost] // wide - 1)
+            value[lost] = self.backoff(k, before[lost])
             gram = got[back]
             yield gram, value[back]
 
@@ -400,6 +404,21 @@ def _received(rows: list[bytes], key_type) -> tuple[np.ndarray, np.ndarray | Non
     return _counted(np.concatenate(keys), np.concatenate(second) if second else None, np.concatenate(count))
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and each row's place among them; numbers are -1 or more, of any size."""
+    if not len(a):
+        return a, b, np.zeros(0, np.int64)
+    wide = int(b.max()) + 2
+    if int(a.max()) + 1 < (1 << 63) // wide - 1:  # both in one whole number
+        pairs, back = np.unique((a + 1) * wide + b + 1, return_inverse=True)
+        return pairs // wide - 1, pairs % wide - 1, back
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return a[order][new], b[order][new], back
+
+
 def _texts(batch: pa.RecordBatch, most: int) -> Iterator[list[bytes]]:
     for _, raws in tb.chunks(batch.column("body").to_pylist(), most):
         yield raws

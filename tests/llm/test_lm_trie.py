@@ -94,3 +94,26 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = lm.scores(one, lm.train(df)).collect()[0]
     assert row["n_known"] == 0 and row["train_tokens"] == 0 and row["score"] == pytest.approx(row["base_score"]) == 0
+
+
+@pytest.mark.parametrize("top", [50, 10**9, 1 << 62])
+def test_pairs_of_any_size_are_told_apart(top):
+    """Context and word numbers whose product passes 64 bits must not merge."""
+    rng = np.random.default_rng(3)
+    a = np.r_[rng.integers(-1, 40, 500), [top, top - 1, top]]
+    b = np.r_[rng.integers(-1, 30, 500), [5, min(top, 10**9), 5]]
+    before, word, back = lm._distinct(a, b)
+    assert list(zip(before.tolist(), word.tolist())) == sorted(set(zip(a.tolist(), b.tolist())))
+    assert (before[back] == a).all() and (word[back] == b).all()
+    assert [len(x) for x in lm._distinct(a[:0], b[:0])] == [0, 0, 0]
+
+
+def test_files_of_a_removed_model_are_let_go(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 3}") for i in range(30)], "doc_id long, text string")
+    one, two = lm.train(docs), lm.train(docs)
+    same = [x.tolist() for x in one.score([b"a b c1"])]
+    assert all(p.startswith(one.root) for p in lm._OPEN)
+    assert [x.tolist() for x in two.score([b"a b c1"])] == same
+    assert lm._OPEN and all(p.startswith(two.root) for p in lm._OPEN)
+    one.remove()
+    two.remove()
