@@ -219,6 +219,20 @@ def three_way_lookup(spark, sf_dir):
     return rel.three_way(raws.select("k"), preds, raws, "k").select("k", F.col("p.total").alias("total"), "c_nationkey", "missing")
 
 
+@query("""WITH p AS (SELECT vec_id AS k, label, max(vec_id) OVER (PARTITION BY label) AS last FROM embeddings)
+SELECT p.k, p.label, p.last, p.k <> p.last AS other, d.n_chars FROM p LEFT JOIN documents d ON d.doc_id = p.k""")
+def bucketed_lookup(spark, sf_dir):
+    """Documents and vectors kept by their ids: the look-up joins them without an exchange."""
+    from cantle.sources import tables
+
+    vectors = ad.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "label")
+    last = vectors.groupBy("label").agg(F.max("k").alias("last"))
+    docs = tables.by_key(ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("doc_id").alias("ord"), "n_chars"), "k")
+    kept = tables.by_key(vectors.join(F.broadcast(last), "label"), "k")  # a row a label
+    found = rel.three_way(kept.select("k"), docs, kept, "k")
+    return found.select("k", "label", "last", (F.col("k") != F.col("last")).alias("other"), F.col("p.n_chars").alias("n_chars"))
+
+
 # -- token sequences -------------------------------------------------------------------------------
 @query(f"WITH {LINES} SELECT count(*) FILTER (WHERE len(tokens) <= 5) AS kept, count(*) FILTER (WHERE len(tokens) > 5) AS skipped_too_long, CAST(sum(len(tokens)) FILTER (WHERE len(tokens) <= 5) AS BIGINT) AS n_tokens FROM seqs")
 def length_filter_stats(spark, sf_dir):
