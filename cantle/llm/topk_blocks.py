@@ -8,8 +8,9 @@ bound, score them whole, and stop when the next bound falls below their k-th sco
 
 Blocks are gathered into spans and queries into groups; each (span, group) is a cell of bounded
 size that returns k rows per query at most. A first pass over one span gives every query a score
-to beat. Then only the blocks' extremes go to all groups; a span's vectors follow to the groups that
-have a query whose bound for one of its blocks reaches that score.
+to beat. Then the blocks' extremes alone meet all groups of queries, many spans at a time (``WIDE_SPANS``), so that a
+query is sent once for so many spans; a span's vectors, and the queries again, follow only where a query of
+the group has a bound for one of its blocks that reaches that score.
 
 How much is pruned depends on the vectors: blocks of like vectors are skipped, blocks of unrelated
 ones have bounds that no k-th score reaches (``scored_share`` measures it).
@@ -36,6 +37,8 @@ SCALE = 64.0
 BLOCK = 256
 #: Blocks of a span, queries of a group.
 SPAN_BLOCKS, GROUP_QUERIES = 128, 2048
+#: Spans whose extremes meet a group of queries together.
+WIDE_SPANS = 64
 _LONG = (1 << 63) - 1
 
 
@@ -164,16 +167,18 @@ def _answer(blocks, queries, k: int):
 
 
 def _reached(key, blocks, queries):
-    """One row if a query's bound for a block of the span reaches the score that it has to beat."""
+    """A row for each span with a block for which some query's bound reaches the score that the query has to beat."""
     import pandas as pd
 
+    found = []
     if len(blocks) and len(queries):
         _, vectors, least = _asked(queries)
-        vectors, *ends = _even([vectors, *[np.frombuffer(getattr(r, c)).reshape(1, -1) for r in blocks.itertuples(index=False) for c in ("top", "low")]])
-        bound = _bounds(vectors, np.concatenate(ends[::2]), np.concatenate(ends[1::2]))
-        if (bound >= least.astype(np.float64)[:, None]).any():
-            return pd.DataFrame({"span": [key[0]], "grp": [key[1]]})
-    return pd.DataFrame({"span": [], "grp": []}).astype("int32")
+        for span, own in blocks.groupby("own"):
+            wide, *ends = _even([vectors, *[np.frombuffer(getattr(r, c)).reshape(1, -1) for r in own.itertuples(index=False) for c in ("top", "low")]])
+            bound = _bounds(wide, np.concatenate(ends[::2]), np.concatenate(ends[1::2]))
+            if (bound >= least.astype(np.float64)[:, None]).any():
+                found.append(span)
+    return pd.DataFrame({"span": found, "grp": [key[1]] * len(found)}).astype("int32")
 
 
 def _meet(spans: DataFrame, queries: DataFrame, cells: int, run, ddl: str) -> DataFrame:
@@ -213,12 +218,11 @@ def _searched(df: DataFrame, k: int, every: int, id_col: str, vector_col: str) -
         beat = found.where("row >= 0").groupBy("query_row").agg(F.min("score").alias("low"), F.count("*").alias("n"))
         low = F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-_LONG - 1))
         tighter = asked.drop("least").join(beat, "query_row", "left").withColumn("least", F.coalesce(low, F.lit(-_LONG - 1))).drop("low", "n")
-        rest = tighter.withColumn("span", F.explode(F.sequence(F.lit(1), F.lit(n_spans - 1))))
-        cells = (n_spans - 1) * n_groups
-        ends = spans.where("span > 0").select("span", "top", "low").withColumn("grp", groups)
-        open_cells = materialise(_meet(ends, rest, cells, _reached, "span int, grp int"))
-        sent, waiting = vectors_of.join(open_cells, "span"), rest.join(open_cells, ["span", "grp"], "left_semi")
-        found = found.unionByName(_meet(sent, waiting, cells, cell, _CELL))
+        wide = (n_spans - 1) // WIDE_SPANS + 1
+        ends = spans.where("span > 0").select(F.col("span").alias("own"), F.floor(F.col("span") / WIDE_SPANS).cast("int").alias("span"), "top", "low").withColumn("grp", groups)
+        open_cells = materialise(_meet(ends, tighter.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))), wide * n_groups, _reached, "span int, grp int"))
+        sent, waiting = vectors_of.join(open_cells, "span"), tighter.join(open_cells, "grp")
+        found = found.unionByName(_meet(sent, waiting, (n_spans - 1) * n_groups, cell, _CELL))
     return found, total, many
 
 
