@@ -64,6 +64,14 @@ def test_entry_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
+@pytest.mark.skipif(not (ROOT / "cantle" / "llm").exists(), reason="without the corpus operators")
+def test_entry_without_the_pipeline_alone(tmp_path):
+    shutil.copytree(ROOT / "cantle", tmp_path / "cantle", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'group_stats' in q and 'pipeline' not in q and 'op1_soft_mixing' in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_nothing_else_imports_the_corpus_operators():
     for p in (ROOT / "cantle").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT / "cantle").parts:
