@@ -291,7 +291,7 @@ WITH lines AS (
   SELECT doc_id, i AS line_no, str_split(text, chr(10))[i + 1] AS line
   FROM (SELECT doc_id, text, unnest(range(len(str_split(text, chr(10))))) AS i FROM documents)
 ), sets AS (
-  SELECT doc_id, line_no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> ''))) AS ws FROM lines
+  SELECT doc_id, line_no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\s\x0B]+'), lambda w: w <> ''))) AS ws FROM lines
 ), wide AS (
   SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM sets WHERE len(ws) >= 1
 ), cls AS (

@@ -113,6 +113,17 @@ def test_query_equals_its_sql(spark):
     assert got == want
 
 
+def test_any_white_space_parts_words_in_code_and_sql(spark):
+    rows = [(1, "a b c d e"), (2, "a\x0bb\tc\x0c\x0bd e\nother line here"), (3, "a\x0bb"), (4, "a b")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(f"SELECT doc_id, text, n_lines, n_removed FROM ({ld.ORACLE_SQL})").fetchall())
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True)
+    assert sorted(tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()) == want
+    assert [r[3] for r in want] == [0, 1, 0, 1]
+
+
 def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     plan = ld.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()

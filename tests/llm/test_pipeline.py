@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -81,7 +82,7 @@ def test_mixing_stage_without_low_rows_keeps_all(spark, tmp_path, labelled):
 
 
 def test_encoding_stage_equals_the_library(spark, docs):
-    library = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = {(r["doc_id"], r["decoded_sha256"]): r for r in cp.encode(spark, docs, SF).collect()}
     for i, text, *_ in _rows(docs):
         r = rows[i, hashlib.sha256((text or "").encode()).hexdigest()]
@@ -111,7 +112,7 @@ def test_run_equals_plain_stages(spark, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     kept = _plain_kept(spark, rows, real.schema, str(tmp_path))
     assert 50 < len(kept) < len(rows)
-    library = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     mixed = Counter(r["doc_id"] for r in cp.mix(spark, spark.createDataFrame(kept, real.schema), str(tmp_path)).collect())
     want = Counter()
     for r in kept:
