@@ -75,7 +75,7 @@ def test_gates(spark):
         rel.require(rel.gate_checks([("rows", one, two)]))
 
 
-def test_manifest(tmp_path):
+def test_manifest(spark, tmp_path):
     src, out = tmp_path / "a.dbf", tmp_path / "o.jsonl"
     src.write_bytes(b"x")
     out.write_text("{}\n")
@@ -184,7 +184,7 @@ def test_model_steps_equal_the_whole_pass():
 def test_beam_query_covers_the_whole_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 5").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["raw_fid"], r["beam_rank"]): r for r in registry.QUERIES["seq2seq_beam"](spark, str(tmp_path)).collect()}
-    sources = ad.stars(spark, str(tmp_path), 0.25).collect()
+    sources = ad.stars(spark, str(tmp_path)).collect()
     assert len(sources) > 2 and set(got) == {(r["id"], k) for r in sources for k in range(5)}
     model = seq2seq.Model(*registry._small_model())
     for r in sources:
