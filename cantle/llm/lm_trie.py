@@ -26,8 +26,10 @@ often as they occur; texts of any length are counted whole; extra columns are no
 from __future__ import annotations
 
 import itertools
+import mmap
 import os
 import shutil
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -180,8 +182,9 @@ def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
     os.replace(temp, path)
 
 
-#: Files that a worker keeps mapped.
-MOST_OPEN = 4096
+#: Files that a worker keeps mapped: one mapping each, without a file descriptor from Python 3.13 on.
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+MOST_OPEN = 30_000 if UNTRACKED else 512
 _OPEN: dict[str, dict[str, np.ndarray]] = {}
 
 
@@ -192,11 +195,11 @@ def _mapped(path: str) -> dict[str, np.ndarray]:
         if len(_OPEN) > MOST_OPEN or any(p.rpartition("/")[0] != root for p in itertools.islice(_OPEN, 1)):
             _OPEN.clear()
         with open(path, "rb") as f:
-            head = f.read(1024).decode().split("\n")
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
         out = {}
-        for line in head:
+        for line in whole[:1024].decode().split("\n"):
             name, kind, n, at = line.split()
-            out[name] = np.memmap(path, np.dtype(kind), "r", 1024 + int(at), (int(n),)).view(np.ndarray) if int(n) else np.zeros(0, np.dtype(kind))
+            out[name] = np.frombuffer(whole, np.dtype(kind), int(n), 1024 + int(at)) if int(n) else np.zeros(0, np.dtype(kind))
         _OPEN[path] = out
     return _OPEN[path]
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -117,3 +118,16 @@ def test_files_of_a_removed_model_are_let_go(spark):
     assert lm._OPEN and all(p.startswith(two.root) for p in lm._OPEN)
     one.remove()
     two.remove()
+
+
+def test_many_files_are_mapped_without_file_descriptors(tmp_path, monkeypatch):
+    """A model of 6 GB has thousands of files; a descriptor an array passes the system's limit."""
+    monkeypatch.setattr(lm, "_OPEN", {})
+    arrays = {"hash": np.arange(9, dtype=np.uint64), "none": np.zeros(0), "p": np.arange(5, dtype=np.uint8)}
+    before = len(os.listdir("/proc/self/fd"))
+    for i in range(100):
+        lm._write(f"{tmp_path}/1-{i}", arrays)
+        got = lm._mapped(f"{tmp_path}/1-{i}")
+        assert got.keys() == arrays.keys() and all((got[k] == a).all() and got[k].dtype == a.dtype for k, a in arrays.items())
+    assert len(lm._OPEN) == 100
+    assert len(os.listdir("/proc/self/fd")) - before <= (0 if lm.UNTRACKED else 100)
