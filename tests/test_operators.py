@@ -404,3 +404,24 @@ def test_records_without_polygons_are_left_out(spark, tmp_path):
     _layer(tmp_path / "l.shp", rows, [("RAW_FID", "N", 12, 0)])
     got = geometry.records(shapefile.read(spark, str(tmp_path / "l.shp"))).collect()
     assert sorted((r["fid"], len(r["geom"][0][0])) for r in got) == [(3, 4), (7, 4)]
+
+
+def test_equal_sources_are_decoded_once_and_in_many_tasks(spark):
+    from cantle.operators import inference
+
+    shape = seq2seq.Shape(vocab=760, width=16, heads=2, layers=1, inner=32)
+    weights = seq2seq.random_weights(shape, 3)
+    sources = [[5, 6, 7], [9], [5, 6, 7], [8, 8]]
+    rows = spark.createDataFrame([(i, sources[i % 4]) for i in range(400)], "id long, source_tokens array<int>").coalesce(1)
+    out = inference.greedy_predictions(rows, weights, shape, 12)
+    assert out.rdd.getNumPartitions() > 1
+    model = seq2seq.Model(weights, shape)
+    want = [[int(t) for t in model.greedy(np.array([s]), 12)[0][1:] if t != c.PAD] for s in sources]
+    assert {r["id"]: r["pred_tokens"] for r in out.collect()} == {i: want[i % 4] for i in range(400)}
+
+
+def test_greatest_values_as_a_stable_sort_has_them():
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(5, 90)), rng.integers(0, 3, (5, 90)).astype(float), np.where(rng.random((4, 9)) < 0.8, -np.inf, 1.0), np.ones((2, 3))):
+        for n in (1, 4, 9):
+            assert (seq2seq._greatest(x, n) == np.argsort(-x, axis=-1, kind="stable")[:, :n]).all()
