@@ -35,6 +35,8 @@ from cantle.sources import shapefile
 
 #: (name, kind, width, decimals) of an attribute.
 Attribute = tuple[str, str, int, int]
+#: Rows turned into records at a time: as Python objects, a point takes some hundred bytes.
+ROWS = 256
 #: Bytes of records moved at a time.
 MOVE_BYTES = 16 << 20
 #: Words of a file, at most: its offsets are 32-bit numbers of 16-bit words.
@@ -111,7 +113,7 @@ class SegmentWriter(DataSourceArrowWriter):
         count = words = 0
         low, high = np.array([np.inf, np.inf]), np.array([-np.inf, -np.inf])
         with open(name + ".shp", "wb") as shp, open(name + ".len", "wb") as lengths, open(name + ".dbf", "wb") as dbf:
-            for b in iterator:
+            for b in (whole.slice(i, ROWS) for whole in iterator for i in range(0, whole.num_rows, ROWS)):
                 bodies = [polygon_record(parts_of(v)) for v in b.column("geom").to_pylist()]
                 boxes = np.array([struct.unpack("<4d", r[4:36]) for r in bodies if len(r) > 4]).reshape(-1, 4)
                 low, high = np.minimum(low, boxes[:, :2].min(0, initial=np.inf)), np.maximum(high, boxes[:, 2:].max(0, initial=-np.inf))

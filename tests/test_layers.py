@@ -182,3 +182,30 @@ def test_stretches_cover_all_records(monkeypatch):
     size = np.array([5, 5, 500, 1, 1, 1, 40])
     cut = list(shapefile_sink._stretches(size))
     assert [a for a, _ in cut] == [0, *[b for _, b in cut][:-1]] and cut[-1][1] == len(size)
+
+
+def test_a_wide_batch_is_written_a_few_rows_at_a_time(tmp_path, monkeypatch):
+    """Ten thousand polygons of 64 points as Python objects took some hundred MB a task."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(shapefile_sink.TaskContext, "get", lambda: Context)
+    ring = [{"x": float(np.cos(a)), "y": float(np.sin(a))} for a in np.arange(64) * (2 * np.pi / 64)]
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    one = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([[[ring]]], kind)], names=["id", "geom"])
+    wide = pa.Table.from_batches([one] * 4000).combine_chunks().to_batches()[0]
+    assert wide.num_rows == 4000
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([StructField("id", LongType()), StructField("geom", shapefile.PARTS)])
+    writer = shapefile_sink.SegmentWriter(f"{tmp_path}/l.shp", schema, {"fields": '[["id", "N", 12, 0]]'})
+    tracemalloc.start()
+    segment = writer.write(iter([wide]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert segment.count == 4000 and os.path.getsize(segment.name + ".shp") == 2 * segment.words
+    assert peak < 30e6
