@@ -6,10 +6,9 @@ shingle). Texts with equal sets form a class and go through everything else once
 Forest: each of ``TREES`` trees keys a class by ``DEPTH`` MinHash values of its own. All keys, tree
 first, are range-partitioned and sorted: the sorted run of a tree is its prefix trie, and the common
 prefix of neighbours tells at which depth they part. Neighbours with a common prefix of the length
-in use are linked, so a subtree of any size costs one link a member. The length starts at
-``DEPTH`` and is shortened by what the tries hold: ``SAMPLE_LINKS`` neighbours are compared on their texts,
-and of those at the threshold or above the chance that some tree finds them, 1 - (1 - s^length)^TREES
-for a pair of similarity s, is averaged. Shortening ends when this recall reaches ``RECALL``.
+in use are linked, so a subtree of any size costs one link a member. The length follows from the
+threshold alone: the longest that finds a pair at the very threshold with a chance of ``RECALL``, which is
+1 - (1 - s^length)^TREES for a pair of similarity s; pairs above are found with a greater one. No text is looked at for it.
 
 Verification: links are closed into components. A component is cut into blocks of bounded size; each
 pair of blocks is a cell, and a cell counts the common shingles of all its pairs in numpy, common
@@ -43,8 +42,6 @@ TREES, DEPTH = 32, 8
 RECALL = 0.9999
 #: Shorter common prefixes are not looked at: this length finds a pair at the threshold but for a chance of 5e-8.
 LEAST = 4
-#: Neighbours compared on their texts to choose the prefix length, at most; those with the least hash.
-SAMPLE_LINKS = 2000
 #: A block of a component holds about so many classes, and so many shingles, at most.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 #: Shingles in more of a cell's texts than this go through the matrix product.
@@ -160,8 +157,8 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
-    """``a, b, length``: neighbours in the sorted tries and the longest prefix that they share in any tree."""
-    wide = 1 + 2 * DEPTH
+    """``a, b, length``: neighbours in the sorted tries that share a prefix of the length in use, and the longest that they share in any tree."""
+    wide, enough = 1 + 2 * DEPTH, prefix_length(np.array([NUM / DEN]))
 
     def keys(batches):
         for b in batches:
@@ -183,7 +180,7 @@ def _neighbours(classes: DataFrame) -> DataFrame:
             else:
                 key, cid = np.concatenate([last[0], key]), np.r_[last[1], cid]
             length = _common(key[:-1], key[1:])
-            found = np.flatnonzero((length >= LEAST) & (cid[:-1] != cid[1:]))
+            found = np.flatnonzero((length >= enough) & (cid[:-1] != cid[1:]))
             last = (key[-1:].copy(), int(cid[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(cid[found]), pa.array(cid[found + 1]), pa.array(length[found].astype(np.int32)), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.binary())], names=names)
         if last is not None:
@@ -197,7 +194,7 @@ def _neighbours(classes: DataFrame) -> DataFrame:
     seams = []
     for p, q in zip(ends, ends[1:], strict=False):
         length = int(_common(np.frombuffer(p[1], np.uint8)[None], np.frombuffer(q[0], np.uint8)[None])[0])
-        if length >= LEAST and p[3] != q[2]:
+        if length >= enough and p[3] != q[2]:
             seams.append((p[3], q[2], length))
     edges = found.where("first is null").select("a", "b", "length")
     if seams:
@@ -205,33 +202,9 @@ def _neighbours(classes: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("length").alias("length"))
 
 
-def _similarities(edges: DataFrame, classes: DataFrame, rows: DataFrame) -> np.ndarray:
-    """Exact similarity of a bounded sample of neighbours, of those at the threshold or above."""
-    drawn = edges.orderBy(F.xxhash64("a", "b"), "a", "b").limit(SAMPLE_LINKS).select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("cid"))
-    asked = drawn.join(classes.select("cid", F.col("first_row").alias("row_id")), "cid").select("pair", "row_id")
-    texts = rows.select("row_id", "body").join(F.broadcast(asked), "row_id")
-
-    def compare(batches):
-        held, out = {}, []
-        for b in batches:
-            for pair, body in zip(b.column("pair").to_pylist(), b.column("body").to_pylist(), strict=True):
-                mine = shingles([(body or "").encode("utf-8", "surrogatepass")])[1]
-                if pair not in held:
-                    held[pair] = mine
-                    continue
-                other = held.pop(pair)
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                out.append(common / max(1, len(mine) + len(other) - common))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["similarity"])
-
-    spread = texts.select("pair", "body").repartition(shuffle_width(rows.sparkSession), "pair").sortWithinPartitions("pair")
-    return np.array([r[0] for r in spread.mapInArrow(compare, "similarity double").where(F.col("similarity") >= NUM / DEN).collect()])
-
-
-def _links(classes: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(classes: DataFrame) -> DataFrame:
     """Edges between neighbours in the sorted tries that share a long enough prefix."""
-    near = materialise(_neighbours(classes))
-    return near.where(F.col("length") >= prefix_length(_similarities(near, classes, rows))).select("a", "b")
+    return _neighbours(classes).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -403,7 +376,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = _rows(docs, id_col, text_col)
     profile = materialise(_profile(rows))
     classes = materialise(_classes(profile))
-    comps = components(_links(classes, rows))
+    comps = components(_links(classes))
     cells = materialise(_verified(rows, classes, comps), small=True)
     counts = cells.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("linked_copies").alias("linked"))
     groups = components(cells.where("peer is not null").select(F.col("cid").alias("a"), F.col("peer").alias("b")))

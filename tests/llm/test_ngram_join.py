@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cantle.llm import ngram_join as nj
 from cantle.llm import queries
@@ -146,3 +147,16 @@ def test_components_of_a_long_chain(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.near_duplicates(df).count() == 0 and nj.first_of_each_group(df).count() == 0
+
+
+def test_prefix_length_follows_from_the_threshold_alone(spark):
+    """Near pairs of high similarity alone, from which longer prefixes were inferred, must not lower the recall of others."""
+    texts = [" ".join(f"t{k}w{j}" for j in range(200)) for k in range(40)]
+    rows = [(2 * i + j, t + " more" * j) for i, t in enumerate(texts) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_id", F.col("doc_id"))
+    nj.ship(spark)
+    classes = nj.materialise(nj._classes(nj._profile(nj._rows(df, "doc_id", "text"))))
+    lengths = [r["length"] for r in nj._neighbours(classes).collect()]
+    least = nj.prefix_length(np.array([nj.NUM / nj.DEN]))
+    assert nj.recall_at(least, np.array([nj.NUM / nj.DEN])) >= nj.RECALL and min(lengths) >= least
+    assert nj._links(classes).count() == len(lengths) == 40
