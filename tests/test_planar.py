@@ -91,3 +91,44 @@ def test_hull_and_box_of_a_rotated_rectangle(spark):
     r = df.select("h", "b", planar.box_angle(F.col("b")).alias("angle"), planar.box_ring(F.col("b")).alias("ring")).collect()[0]
     assert sorted([r["b"]["along"], r["b"]["across"]]) == pytest.approx([2, 6]) and r["angle"] == pytest.approx(20) and r["b"]["area"] == pytest.approx(12)
     assert len(r["h"]) <= 5 and abs(pg.signed_area(np.array([(p["x"], p["y"]) for p in r["ring"]]))) == pytest.approx(12)
+
+
+@pytest.mark.parametrize("move,near", [(0.0, 1e-9), (500000.0, 1e-6)])
+def test_stacked_metrics_equal_the_columns(spark, move, near):
+    every = _polygons()
+    parts = [[every[3][0], [r + 30 for r in every[-1][0]]], [[every[-2][0][0], every[-2][0][1]], [every[-4][0][0] + 90]]]  # several parts
+    pairs = [(a, b) for a in every + parts for b in every + parts][::3]
+    df = _frame(spark, pairs, move).repartition(4)
+    want = {r["k"]: r.asDict() for r in geometry.compare_valid(df, "k", "a", "b").collect()}
+    got = geometry.compare_stacked(df, "k", "a", "b").collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        boxes = [pg.least_box([np.concatenate([x + move for q in p for x in q])]) for p in pairs[r["k"]]]
+        square = any(long - short < 1e-6 for _, _, long, short in boxes)
+        _same(r.asDict(), want[r["k"]], near, square, any(len(p[0][0]) == 3 for p in pairs[r["k"]]))
+
+
+def test_stacked_metrics_take_many_edges_and_empty_sides(spark):
+    t = np.linspace(0, 2 * math.pi, 1500, endpoint=False)
+    star = [[np.c_[(5 + np.sin(9 * t) * k) * np.cos(t), (5 + np.cos(7 * t)) * np.sin(t)] for _ in range(1)] for k in (0.5, 1.0)]
+    df = _frame(spark, [([star[0]], [star[1]]), ([], [star[0]])]).union(spark.createDataFrame([(2, None, [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]])], f"k int, a {geometry.PARTS_DDL}, b {geometry.PARTS_DDL}")).coalesce(1)
+    got = {r["k"]: r.asDict() for r in geometry.compare_stacked(df, "k", "a", "b").collect()}
+    assert all(got[k][m] == math.inf for k in (1, 2) for m in pg.METRICS)
+    want = pg.metrics(star[0], star[1])
+    assert all(got[0][m] == pytest.approx(want[m], abs=1e-9) for m in pg.METRICS)
+
+
+def test_a_pair_of_stars_costs_few_milliseconds():
+    import time
+
+    import pyarrow as pa
+
+    from cantle.functions import stacked
+
+    t = np.linspace(0, 2 * math.pi, 64, endpoint=False)
+    rng = np.random.default_rng(3)
+    rows = [[[[{"x": x, "y": y} for x, y in zip(r * np.cos(t), r * np.sin(t), strict=True)]]] for r in rng.uniform(5, 9, (200, 64))]
+    column = pa.array(rows)
+    before = time.process_time()
+    assert np.allclose(stacked.metrics(column, column)["outline_iou"], 1.0)
+    assert (time.process_time() - before) / len(rows) < 0.01
