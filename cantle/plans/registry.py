@@ -335,8 +335,9 @@ def table_functions(spark, sf_dir):
     tables.register(spark)
     tens = F.transform(F.sort_array("tokens"), lambda x: F.floor(x / 10).cast("int"))
     ad.order_sequences(spark, sf_dir).select("id", F.posexplode(tens).alias("i", "t")).createOrReplaceTempView("cantle_tens")
-    return spark.sql("""WITH runs AS (SELECT * FROM token_runs(TABLE(cantle_tens))), walk AS (SELECT * FROM ring_walk(TABLE(SELECT id, at AS i, t * 40 AS d, n FROM runs)))
-      SELECT runs.id, at AS place, t, n, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM runs JOIN walk ON runs.id = walk.id AND runs.at = walk.i""")
+    dealt = "PARTITION BY pmod(xxhash64(id), 1024) ORDER BY (id, i)"
+    return spark.sql(f"""WITH runs AS (SELECT id, at AS i, t * 40 AS d, n FROM batch_runs(TABLE(cantle_tens) {dealt}))
+      SELECT id, i AS place, d DIV 40 AS t, n, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM batch_walk(TABLE(SELECT * FROM runs) {dealt})""").withColumn("t", F.col("t").cast("int"))
 
 
 @query(f"""WITH {LINES}, v AS (SELECT id, list_transform(tokens, lambda x: CASE x % 10 WHEN 0 THEN x + 719 WHEN 1 THEN 1500 WHEN 2 THEN 1501 ELSE x END) AS l FROM seqs)

@@ -56,3 +56,28 @@ def test_edges(spark):
     assert spark.sql("SELECT * FROM token_segments(TABLE(SELECT * FROM edge_rows WHERE id > 5))").count() == 0
     with pytest.raises(Exception, match="no t"):
         spark.sql("SELECT * FROM token_runs(TABLE(SELECT id, i FROM edge_rows))").collect()
+
+
+def test_batches_equal_the_functions_of_rows(spark, sequences):
+    deal = "PARTITION BY pmod(xxhash64(id), 3) ORDER BY (id, i)"
+    spark.sql("SELECT CASE WHEN id = 7 THEN null ELSE id END AS id, i, CASE WHEN i % 11 = 5 THEN null ELSE t END AS t FROM seq_rows").createOrReplaceTempView("odd_rows")
+    rows = lambda sql: sorted(map(tuple, spark.sql(sql).collect()), key=str)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("7", "10000"):  # runs and sequences that go on from batch to batch
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            runs = rows(f"SELECT * FROM batch_runs(TABLE(odd_rows) {deal})")
+            assert runs == rows("SELECT * FROM token_runs(TABLE(odd_rows))") and len(runs) > 500
+            spark.createDataFrame([*runs, (3, 10**6, None, 1)], "id long, i long, d int, n long").repartition(5).createOrReplaceTempView("walk_rows")
+            walk = rows(f"SELECT id, i, round(x, 9), round(y, 9) FROM batch_walk(TABLE(walk_rows) {deal})")
+            assert walk == rows("SELECT id, i, round(x, 9), round(y, 9) FROM ring_walk(TABLE(walk_rows))") and len(walk) == len(runs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert rows(f"SELECT * FROM batch_walk(TABLE(SELECT * FROM walk_rows WHERE id > 1000) {deal})") == []
+
+
+def test_the_query_has_no_call_of_python_a_row(spark):
+    from cantle.plans import registry
+
+    plan = registry.QUERIES["table_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" not in plan and plan.count("ArrowEvalPythonUDTF") == 2 and "Join" not in plan
