@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cantle.llm import textbytes as tb
-from cantle.session import ship
+from cantle.session import ship, trim
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,6 +37,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_WORDS = 600_000
 #: Bytes up to which failing words are merged many at a time; longer ones go through a heap.
 SHORT_WORD = 48
+#: Failing words that are merged together, as each takes a row as wide as the longest.
+TOGETHER = 4096
 #: Characters handled at a time inside a batch.
 SLICE_CHARS = 1_000_000
 
@@ -166,6 +168,7 @@ class SpeculativeBpe:
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.crowded = regex.compile(r" \s|\s ")
+        self.most = CACHE_WORDS
         self._forget()
 
     def _trie(self, known: dict[bytes, int]) -> None:
@@ -322,9 +325,10 @@ class SpeculativeBpe:
         least = 0
         for most in (8, 16, SHORT_WORD):
             some = np.flatnonzero(bad & (size > least) & (size <= most))
-            if len(some):
-                r, t = self.merge_many(buf, start[some], end[some])
-                parts.append((some[r], t))
+            for at in range(0, len(some), TOGETHER):
+                few = some[at : at + TOGETHER]
+                r, t = self.merge_many(buf, start[few], end[few])
+                parts.append((few[r], t))
             least = most
         for k in np.flatnonzero(bad & (size > SHORT_WORD)):
             t = np.array(self.merge(raw[k]), np.int64)
@@ -372,7 +376,7 @@ class SpeculativeBpe:
     # -- texts -----------------------------------------------------------------------------------
     def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The token ids of each text."""
-        if len(self.units) + len(self.cache) > CACHE_WORDS:
+        if len(self.units) + len(self.cache) > self.most:
             self._forget()
         word, unit = self.cache.__getitem__, self.units.__getitem__
         number, size = [], []
@@ -497,8 +501,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     return df.mapInArrow(run, _with(df, [T.StructField(out, T.StringType())]))
 
 
-def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``df`` without its text, with the size and digests of its ids and of what they decode to."""
+def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """``df`` without its text, with the size and digests of its ids and of what they decode to.
+
+    Fewer ``cache_words`` take less memory in each worker, and more time.
+    """
     spec = _spec(df, path)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
@@ -506,7 +513,9 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool
     schema = T.StructType([f for f in narrow.schema.fields if f.name != text_col] + fields)
 
     def run(batches):
+        trim()  # of what the worker did before
         codec = load(spec.value)
+        codec.most = cache_words
         for b in tb.sliced(batches):
             n, ids_sha, text_sha, kept = [], [], [], []
             for part in _slices(_texts(b.column(text_col))):
@@ -520,6 +529,8 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool
             if keep_ids:
                 new["ids"] = pa.array(kept, pa.list_(pa.int32()))
             yield _emit(b.drop_columns([text_col]), new)
+        codec.most = CACHE_WORDS
         codec._forget()  # the worker may go on with other work
+        trim()
 
     return narrow.mapInArrow(run, schema)

@@ -29,6 +29,8 @@ from cantle.session import remove, scratch, tidy
 
 #: Token shares of the mixing stage; toxic texts are gone by then.
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
+#: Words kept per Python worker in the last stage: by then the executors' heaps are as large as they get.
+CACHE_WORDS = 150_000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(docs, _tokenizer(), keep_ids=True)
+    return bpe_codec.round_trip(docs, _tokenizer(), keep_ids=True, cache_words=CACHE_WORDS)
 
 
 STAGES = [

@@ -110,3 +110,18 @@ def test_round_trip_frame(spark, library):
     assert bpe_codec.round_trip(df.limit(0), PATH).count() == 0
     back = bpe_codec.decode(bpe_codec.encode(df, PATH), PATH)
     assert sorted(r["decoded"] for r in back.collect()) == ["", "", "", "hello world"]
+
+
+def test_few_words_are_kept_and_merged_together(codec, library, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(4, 40))) for _ in range(500)) for _ in range(60)]
+    rows, merge_many = [], codec.merge_many
+    monkeypatch.setattr(codec, "merge_many", lambda buf, start, end: rows.append(len(start)) or merge_many(buf, start, end))
+    monkeypatch.setattr(codec, "most", 2000)
+    codec._forget()
+    for at in range(0, len(texts), 10):
+        assert codec.encode_many(texts[at : at + 10]) == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 10]]
+        assert len(codec.units) + len(codec.cache) <= 2000 + 10 * 500
+    codec._forget()
+    assert codec.encode_many(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(rows) <= bpe_codec.TOGETHER < sum(rows)
