@@ -128,3 +128,13 @@ def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     plan = ld.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_family_is_not_verified_pair_by_pair(spark, monkeypatch):
+    base = [f"f{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(range(40))]  # no word is hot
+    seen, verified = [], ld._verified
+    monkeypatch.setattr(ld, "_verified", lambda pairs, docs: seen.append(pairs.count()) or verified(pairs, docs))
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 else "" for i, t in rows}
+    assert sum(seen) <= 2 * len(rows), seen
