@@ -138,3 +138,33 @@ def test_a_family_is_not_verified_pair_by_pair(spark, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: t if i == 0 else "" for i, t in rows}
     assert sum(seen) <= 2 * len(rows), seen
+
+
+def test_a_family_without_hot_words_makes_few_pairs(spark, monkeypatch):
+    base = [f"f{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]])) for i in range(100)]  # each word occurs less than 2 ** HOT_LEAST times
+    met, keep = [], ld._Work.keep
+
+    def counted(self, df, name, *args, **named):
+        out = keep(self, df, name, *args, **named)
+        if name in ("near", "met"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ld._Work, "keep", counted)
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 else "" for i, t in rows}
+    assert sum(met) <= 2 * len(rows), met
+
+
+@pytest.mark.parametrize("seed,long,few", [(5, 12, 1), (6, 20, 0), (7, 96, 2)])
+def test_signatures_of_both_lengths_and_many_meetings(spark, monkeypatch, seed, long, few):
+    monkeypatch.setattr(ld, "LONG", long)
+    monkeypatch.setattr(ld, "FEW", few)
+    rows, rng = _rows(seed), random.Random(seed)
+    base = [f"l{i}" for i in range(120)]
+    for i in range(30):  # long lines of 85 to 110 words on both sides of the limit
+        part = rng.sample(base, rng.randrange(95, 121))[:110]
+        rows.append((2000 + i, " ".join(part[: rng.randrange(85, 111)])))
+    want = _check(spark, rows, spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1))
+    assert sum(w != t for w, (_, t) in zip(want, rows)) > 30
