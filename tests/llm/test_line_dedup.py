@@ -168,3 +168,13 @@ def test_signatures_of_both_lengths_and_many_meetings(spark, monkeypatch, seed,
         rows.append((2000 + i, " ".join(part[: rng.randrange(85, 111)])))
     want = _check(spark, rows, spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int").coalesce(1))
     assert sum(w != t for w, (_, t) in zip(want, rows)) > 30
+
+
+def test_a_pair_meets_once_for_each_run_of_common_words(spark):
+    base = [f"f{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "row_id long, body string").withColumn("ord_doc", F.col("row_id"))
+    postings = ld._postings(ld._classes(docs, ld._levels(docs)).withColumn("open", F.lit(True)), 1)
+    met = [(r["row_id"], r["row_a"]) for r in ld._meeting(postings, postings, "any").collect()]
+    assert set(met) == {(b, a) for b in range(40) for a in range(b)}
+    assert len(met) <= 2 * len(set(met)), len(met)
