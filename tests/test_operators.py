@@ -425,3 +425,33 @@ def test_greatest_values_as_a_stable_sort_has_them():
     for x in (rng.normal(size=(5, 90)), rng.integers(0, 3, (5, 90)).astype(float), np.where(rng.random((4, 9)) < 0.8, -np.inf, 1.0), np.ones((2, 3))):
         for n in (1, 4, 9):
             assert (seq2seq._greatest(x, n) == np.argsort(-x, axis=-1, kind="stable")[:, :n]).all()
+
+
+def test_a_search_over_many_sources_equals_a_plain_search_of_each():
+    shape = seq2seq.Shape(vocab=760, width=16, heads=2, layers=2, inner=32)
+    rng = np.random.default_rng(1)
+    sources = [[725, 723, *rng.integers(0, 700, n).tolist(), 722] for n in (2, 9, 1, 5)]
+    for seed, lift in enumerate([0.0, 3.0, 6.0]):
+        weights = seq2seq.random_weights(shape, seed)
+        weights["output.bias"][c.EOS] = lift
+        model = seq2seq.Model(weights, shape)
+        for source, got in zip(sources, model.beams(sources, 26, 4, 0.8, 3), strict=True):
+            want = _plain_beam(model, source, 26, 4, 0.8, 3)
+            assert [t for t, _ in got] == [t for t, _ in want]
+            assert np.allclose([s for _, s in got], [s for _, s in want])
+
+
+def test_candidates_take_a_step_of_many_sources_at_a_time(monkeypatch):
+    """As many steps for twelve sources as for one, and hypotheses share what they have in common."""
+    shape = seq2seq.Shape(vocab=760, width=16, heads=2, layers=1, inner=32)
+    model = seq2seq.Model(seq2seq.random_weights(shape, 3), shape)
+    seen, step = [], seq2seq.Model.search_step
+
+    def counted(self, held, tokens):
+        seen.append((held.n - held.agreed, tokens.shape))
+        return step(self, held, tokens)
+
+    monkeypatch.setattr(seq2seq.Model, "search_step", counted)
+    found = model.beams([[725, 723, k, 6, 722] for k in range(12)], 200, 5)
+    assert [len(f) for f in found] == [5] * 12
+    assert len(seen) <= 199 and seen[0][1] == (12, 5) and max(n for n, _ in seen) < 150
