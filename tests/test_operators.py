@@ -455,3 +455,38 @@ def test_candidates_take_a_step_of_many_sources_at_a_time(monkeypatch):
     found = model.beams([[725, 723, k, 6, 722] for k in range(12)], 200, 5)
     assert [len(f) for f in found] == [5] * 12
     assert len(seen) <= 199 and seen[0][1] == (12, 5) and max(n for n, _ in seen) < 150
+
+
+def test_runs_of_equal_lists_are_found_without_python_lists():
+    import pyarrow as pa
+
+    from cantle.operators import inference
+
+    lists = pa.array([[7], [5, 6], [5, 6], [5, 7], [5, 7], [5, 7], [], [], [5, 7], [1, 5, 7]], pa.list_(pa.int32()))
+    rows, starts = inference._runs(lists)
+    assert rows.tolist() == [0, 1, 1, 2, 2, 2, 3, 3, 4, 5] and starts.tolist() == [0, 1, 3, 6, 8, 9]
+    rows, starts = inference._runs(lists.slice(2, 3))
+    assert rows.tolist() == [0, 1, 1] and starts.tolist() == [0, 1]
+    with pytest.raises(ValueError):
+        inference._runs(pa.array([[1], None]))
+
+
+def test_greedy_predictions_keep_other_columns(spark):
+    """Rows come and go as Arrow batches; nested columns stay, an old prediction is replaced, and a run may go over two batches."""
+    from cantle.operators import inference
+
+    shape = seq2seq.Shape(vocab=760, width=16, heads=2, layers=1, inner=32)
+    weights = seq2seq.random_weights(shape, 3)
+    rows = spark.range(60).selectExpr("id", "named_struct('a', id, 'b', array(cast(id as string))) AS s", "array(1) AS pred_tokens", "transform(sequence(0, id % 3), x -> cast(x + 5 AS int)) AS source_tokens")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = inference.greedy_predictions(rows, weights, shape, 12)
+        assert "MapInArrow" in out._jdf.queryExecution().toString() and "MapInPandas" not in out._jdf.queryExecution().toString()
+        got = {r["id"]: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    model = seq2seq.Model(weights, shape)
+    assert sorted(got) == list(range(60))
+    for i, r in got.items():
+        assert (r["s"]["a"], r["s"]["b"]) == (i, [str(i)])
+        assert r["pred_tokens"] == [int(t) for t in model.greedy(np.array([list(range(5, 6 + i % 3))]), 12)[0][1:] if t != c.PAD]
